@@ -17,3 +17,23 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
     sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
 from judged group by doc_id
 """
+
+ORACLES["op6_near_dedup"] = r"""
+with recursive words as materialized (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), shingled as materialized (
+    select distinct doc_id, hash(case when len(w) < 5 then w else w[i : i + 4] end) as s from words, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as u(i) where len(w) > 0
+), sizes as materialized (
+    select doc_id, count(*) as n from shingled group by doc_id
+), pairs as (
+    select a.doc_id as x, b.doc_id as y, count(*) as c from shingled a join shingled b on a.s = b.s and a.doc_id < b.doc_id group by all
+), links as materialized (
+    select x, y from pairs join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c >= 85 * (p.n + q.n - c)
+), reach(doc_id, root) as (
+    select doc_id, doc_id from documents
+    union
+    select case when l.x = r.doc_id then l.y else l.x end, r.root from reach r join links l on l.x = r.doc_id or l.y = r.doc_id
+), least_id as (select doc_id, min(root) as component_id from reach group by doc_id)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id, component_id = d.doc_id as kept
+from documents d join least_id using (doc_id) left join sizes using (doc_id)
+"""

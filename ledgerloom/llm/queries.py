@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import encode_documents
 from .common import read
 from .line_dedup import dedup_lines
+from .near_dedup import near_duplicates
 from .quality_classifier import classify, fit_on, held_out
 from .quality_rules import quality_rules
 from .sharding import shard_rows
@@ -40,6 +41,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), shingle=5, percent=85)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -56,7 +61,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_bpe, op5_sharding, op7_line_dedup, op8_quality_classifier, op10_url_filters)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_bpe, op5_sharding, op6_near_dedup, op7_line_dedup, op8_quality_classifier, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
