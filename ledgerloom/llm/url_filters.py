@@ -27,9 +27,9 @@ BIN, REACH = 0.02, 200
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
-    rest = F.when(F.instr(url, "://") > 0, F.substring_index(url, "://", -1)).otherwise("")
     # The first "://" counts, later ones belong to the path or the query.
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(_url, instr(_url, '://') + 3)")).otherwise("")
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return lower_az(F.coalesce(host, F.lit(""))), F.coalesce(path, F.lit(""))
@@ -61,7 +61,7 @@ def models(counted: DataFrame) -> DataFrame:
         for s in ("a", "r"):
             p = (F.col(f"g_{s}") + F.col(f"t_{s}") * F.col(f"p_{s}")) / (F.col(f"c_{s}") + F.col(f"t_{s}"))
             table = table.withColumn(f"p_{s}", F.when(F.col(f"c_{s}") > 0, p).otherwise(F.col(f"p_{s}")))
-        table = table.select("gram", "n_a", "n_r", "p_a", "p_r")
+        table = cut(table.select("gram", "n_a", "n_r", "p_a", "p_r"))  # each order's plan holds the one before it twice
     return table.select("gram", (F.log("p_a") - F.log("p_r")).alias("ratio"))
 
 
