@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .common import read
+from .decontamination import leaks
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .quality_classifier import classify, fit_on, held_out
@@ -56,12 +57,16 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_bpe, op5_sharding, op6_near_dedup, op7_line_dedup, op8_quality_classifier, op10_url_filters)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_bpe, op5_sharding, op6_near_dedup, op7_line_dedup, op8_quality_classifier, op9_decontamination, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
