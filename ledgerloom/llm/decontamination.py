@@ -39,7 +39,7 @@ def _plain(text: Column) -> Column:
 
 def canonical_words(text: Column) -> Column:
     """As many words as raw_words has, in canonical form."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Lu}(?<=[\p{Ll},;] .)[\p{L}'’-]*", "<name>")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Lu}(?<=[\p{Ll},;] .)\p{Ll}[\p{L}'’-]*", "<name>")
     t = F.regexp_replace(F.lower(t), r"[$€£]?\d[\d.,:/]*%?", "<num>")
     t = F.regexp_replace(t, rf"<num>( ?)(?:{UNITS})(?![\p{{L}}])", "<num>$1<unit>")
     return raw_words(_plain(t))

@@ -37,3 +37,24 @@ with recursive words as materialized (
 select d.doc_id, coalesce(n, 0) as n_shingles, component_id, component_id = d.doc_id as kept
 from documents d join least_id using (doc_id) left join sizes using (doc_id)
 """
+
+ORACLES["op2_substring_dedup"] = r"""
+with words as materialized (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), windows as materialized (
+    select doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) as h from words, unnest(range(1, len(w) - 48)) as u(i) where len(w) >= 50
+), firsts as (
+    select h, min(doc_id) as first_doc from windows group by h
+), hits as (
+    select doc_id, i from windows join firsts using (h) where first_doc < doc_id
+), gone as (
+    select distinct doc_id, i + k as i from hits, range(0, 50) as r(k)
+), each_word as (
+    select doc_id, i, w[i] as word from words, unnest(range(1, len(w) + 1)) as u(i)
+), marked as (
+    select e.doc_id, e.i, e.word, g.i is not null as removed from each_word e left join gone g on e.doc_id = g.doc_id and e.i = g.i
+)
+select d.doc_id, count(m.i) as n_words, count(*) filter (removed) as n_removed,
+    sha256(coalesce(string_agg(word, ' ' order by m.i) filter (not removed), '')) as kept_sha256
+from documents d left join marked m on d.doc_id = m.doc_id group by d.doc_id
+"""

@@ -15,6 +15,7 @@ from .near_dedup import near_duplicates
 from .quality_classifier import classify, fit_on, held_out
 from .quality_rules import quality_rules
 from .sharding import shard_rows
+from .substring_dedup import dedup_substrings
 from .url_filters import filter_urls
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -25,6 +26,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = dedup_substrings(read(spark, sf_dir, "documents").select("doc_id", "text"), span=50)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -66,7 +72,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_bpe, op5_sharding, op6_near_dedup, op7_line_dedup, op8_quality_classifier, op9_decontamination, op10_url_filters)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_bpe, op5_sharding, op6_near_dedup, op7_line_dedup, op8_quality_classifier, op9_decontamination, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
