@@ -58,3 +58,33 @@ select d.doc_id, count(m.i) as n_words, count(*) filter (removed) as n_removed,
     sha256(coalesce(string_agg(word, ' ' order by m.i) filter (not removed), '')) as kept_sha256
 from documents d left join marked m on d.doc_id = m.doc_id group by d.doc_id
 """
+
+ORACLES["op4_suffix_dedup"] = r"""
+with texts as materialized (
+    select doc_id, hex(encode(coalesce(text, ''))) as x from documents
+), pieces as materialized (
+    select doc_id, j, substr(x, 800 * j + 1, 1600) as p from texts, unnest(range(0, (len(x) // 2 - 400) // 400 + 1)) as u(j) where len(x) >= 800
+), strings as materialized (
+    select doc_id, 400 * j + k as i, md5(substr(p, 2 * k + 1, 800)) as h from pieces, unnest(range(0, least(400, len(p) // 2 - 399))) as u(k)
+), again as (
+    select h from strings group by h having count(*) > 1
+), hits as (
+    select doc_id, i, i - row_number() over (partition by doc_id order by i) as run from strings where h in (select h from again)
+), covers as (
+    select doc_id, min(i) as lo, max(i) + 400 as hi from hits group by doc_id, run
+), islands as (
+    select doc_id, lo, hi, sum(case when lo <= upto then 0 else 1 end) over (partition by doc_id order by lo) as island
+    from (select *, coalesce(max(hi) over (partition by doc_id order by lo rows between unbounded preceding and 1 preceding), -1) as upto from covers)
+), gone as (
+    select doc_id, min(lo) as lo, max(hi) as hi from islands group by doc_id, island
+), gaps as (
+    select doc_id, lo, hi, lag(hi, 1, 0) over (partition by doc_id order by lo) as since from gone
+), kept as (
+    select g.doc_id, count(*) as n_spans, sum(hi - lo) as n_removed, max(hi) as upto,
+        string_agg(substr(x, 2 * since + 1, 2 * (lo - since)), '' order by lo) as head
+    from gaps g join texts t on t.doc_id = g.doc_id group by g.doc_id
+)
+select t.doc_id, len(x) // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans,
+    sha256(unhex(coalesce(head || substr(x, 2 * upto + 1), x))) as kept_sha256
+from texts t left join kept k on k.doc_id = t.doc_id
+"""
