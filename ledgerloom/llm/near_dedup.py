@@ -8,7 +8,10 @@ left out, so every pair within the radius meets under a key. Links are confirmed
 A key's documents are not paired with each other. First each meets the key's first document; where all
 of a key's documents are then in one component, nothing is left to find there. In the other keys, only
 pairs over a border of components are looked at, and the largest component of a key is only searched
-for partners of the others. No pair that could join two components is left out.
+for partners of the others. Keys of more than ``TILED`` documents are not joined pair by pair: all keys with
+one first document make a group, the group is cut into blocks, and each two blocks meet with their full
+sets in a task, which returns only links that join components. No pair that could join two components is
+left out.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 HASHES, CHUNKS, RADIUS = 96, 32, 31
+#: Larger keys are compared in tiles of two blocks of about BLOCK documents.
+TILED, BLOCK = 64, 256
 #: Up to so many ids are broadcast; more are joined by a shuffle.
 IDS_SENT = 1_000_000
 
@@ -107,6 +112,68 @@ def _linked(percent: int) -> Callable:
     return run
 
 
+def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share, as a matrix."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, ids, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times > 1  # a shingle of one set is shared by none
+    place = np.cumsum(often) - 1
+    owner, ids = owner[often[ids]], place[ids[often[ids]]]
+    out = np.zeros((n, n), np.float32)
+    for lo in range(0, int(often.sum()), 4096):
+        part = np.zeros((n, 4096), np.float32)
+        here = (ids >= lo) & (ids < lo + 4096)
+        part[owner[here], ids[here] - lo] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def tile_links(percent: int) -> Callable:
+    """Over one tile's rows (id, c, shingles): links that join components, no more than a forest of them."""
+
+    def run(key: tuple, tile: pa.Table) -> pa.Table:
+        ids, comps = tile.column("id").to_pylist(), tile.column("c").to_pylist()
+        links: list[tuple[int, int]] = []
+        if len(set(comps)) > 1:
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in tile.column("shingles")]
+            n = np.array([len(x) for x in sets])
+            both = common_shingles(sets)
+            close = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+            _, c = np.unique(np.array(comps), return_inverse=True)
+            close &= c[:, None] < c[None, :]
+            root = list(range(int(c.max()) + 1))
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for i, j in np.argwhere(close).tolist():
+                a, b = find(int(c[i])), find(int(c[j]))
+                if a != b:
+                    root[b] = a
+                    links.append((ids[i], ids[j]))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return run
+
+
+def links_in_tiles(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components within the groups of rows (head, id, c)."""
+    rows = cut(rows)
+    ids = rows.select("id").distinct()
+    wanted = F.broadcast(ids) if rows.count() <= IDS_SENT else ids
+    sets = docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_each(size, _as_sets), "id long, shingles binary")
+    blocks = rows.join(rows.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("of")), "head").withColumn("mine", F.pmod(F.hash("id"), F.col("of")))
+    # A block meets each other block, and itself in the tile with its next one (or alone, where it is the only one).
+    other = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda k: F.struct(F.least(F.col("mine"), k).alias("lo"), F.greatest(F.col("mine"), k).alias("hi")))
+    met = F.when(F.col("of") > 1, F.filter(other, lambda t: t["lo"] < t["hi"])).otherwise(other)
+    tiles = blocks.select("head", "id", "c", F.explode(met).alias("t")).select("head", "id", "c", "t.lo", "t.hi")
+    return tiles.join(sets, "id").select("head", "lo", "hi", "id", "c", "shingles").groupBy("head", "lo", "hi").applyInArrow(tile_links(percent), "a long, b long")
+
+
 def unequal_symbols(a: str, b: str) -> F.Column:
     parts = " + ".join(f"if(substring({a}, {2 * i + 1}, 2) = substring({b}, {2 * i + 1}, 2), 0, 1)" for i in range(HASHES))
     return F.expr(parts)
@@ -193,12 +260,14 @@ def near_duplicates(
     placed = shared.join(found.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
     placed = cut(placed)
     sides = placed.groupBy("key", "c").agg(F.count("*").alias("size"))
-    split = sides.groupBy("key").agg(F.count("*").alias("sides"), F.max(F.struct("size", "c")).alias("main")).filter("sides > 1").select("key", F.col("main.c").alias("main"))
-    x = placed.join(split, "key").filter("c <> main").select("key", "main", F.col("id").alias("x"), F.col("c").alias("x_c"), F.col("n").alias("x_n"), F.col("bits1").alias("x_bits1"), F.col("bits2").alias("x_bits2"))
+    split = sides.groupBy("key").agg(F.count("*").alias("sides"), F.sum("size").alias("of"), F.max(F.struct("size", "c")).alias("main")).filter("sides > 1").select("key", "of", F.col("main.c").alias("main"))
+    split = cut(split)
+    x = placed.join(split.filter(F.col("of") <= TILED), "key").filter("c <> main").select("key", "main", F.col("id").alias("x"), F.col("c").alias("x_c"), F.col("n").alias("x_n"), F.col("bits1").alias("x_bits1"), F.col("bits2").alias("x_bits2"))
     y = placed.select("key", F.col("id").alias("y"), F.col("c").alias("y_c"), F.col("n").alias("y_n"), F.col("bits1").alias("y_bits1"), F.col("bits2").alias("y_bits2"))
     over = (F.col("x_c") != F.col("y_c")) & ((F.col("y_c") == F.col("main")) | (F.col("x") < F.col("y"))) & near_size & near_bits
     more = x.join(y, (x["key"] == y["key"]) & over).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more_links = cut(confirmed(within(more), base, shingle, percent))
+    large = placed.join(split.filter(F.col("of") > TILED).select("key"), "key").select("head", "id", "c").distinct()
+    more_links = cut(confirmed(within(more), base, shingle, percent).unionByName(links_in_tiles(large, base, shingle, percent)).distinct())
     if more_links.head(1):
         found = components(links.unionByName(more_links))
     named = reps.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("_c"))
