@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from .common import WS_CHARS, lower_az, order_id, scratch_path, strip_ws
@@ -70,7 +71,7 @@ class LineRuns:
             self.spark.sql(f"drop table if exists {name}")
 
 
-@arrow_udf("struct<kept:string,n_dropped:bigint>")
+@arrow_udf(T.StructType([T.StructField("kept", T.StringType()), T.StructField("n_dropped", T.LongType())]))
 def _without(text: pa.Array, dropped: pa.Array) -> pa.Array:
     """Each text without the lines whose key hash is in dropped."""
     kept, gone = [], []
