@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import books  # noqa: F401  each module registers its queries
+from . import books, records  # noqa: F401  each module registers its queries
 from .registry import ORACLES, QUERIES
 
 

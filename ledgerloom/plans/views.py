@@ -108,6 +108,46 @@ VIEWS: dict[str, str] = {
             case when c_custkey % 3 = 0 then 'accepted' when c_custkey % 3 = 1 then 'pending' else 'cancelled' end as status,
             cast(date '2024-01-01' + cast(c_custkey % 60 + 7 as int) as timestamp) as expires_at, cast(date '2024-01-01' + cast(c_custkey % 60 as int) as timestamp) as created_at, c_custkey as user_id
         from {customer}""",
+    "amounts_": """
+        select o_orderkey as receipt_id, o_orderkey % 7 as k, cast(o_orderdate as date) as d, 1000 + (o_orderkey * 37) % 900000 as a, 1000 + (o_orderkey * 53) % 500000 as b from {orders}""",
+    "receipt_lines": """
+        select receipt_id, 0 as pos, concat(case when k = 1 then '상호: ' when k = 2 then '가맹점명 ' else '' end, '가게', cast(receipt_id % 50 as varchar(4)), ' 본점') as text, 0.97 as confidence, 10.0 as top from amounts_
+        union all select receipt_id, 1, concat(case when k < 4 then '거래일시 ' else '' end, case k % 3 when 0 then concat(cast(year(d) as varchar(4)), '-', cast(month(d) as varchar(2)), '-', cast(day(d) as varchar(2))) when 1 then concat(cast(year(d) as varchar(4)), '.', cast(month(d) as varchar(2)), '.', cast(day(d) as varchar(2)))
+            else concat(cast(year(d) as varchar(4)), '년 ', cast(month(d) as varchar(2)), '월 ', cast(day(d) as varchar(2)), '일') end), 0.95, 40.0 from amounts_
+        union all select receipt_id, 2, concat('아메리카노 2 ', cast(cast(floor(b / 1000) as int) as varchar(10)), ',', lpad(cast(b % 1000 as varchar(10)), 3, '0')), 0.9, 70.0 from amounts_
+        union all select receipt_id, 3, '수량 3', 0.9, 90.0 from amounts_ where k <> 3
+        union all select receipt_id, 4, concat('부가세 ', cast(cast(floor(b / 1000) as int) as varchar(10)), ',', lpad(cast(b % 1000 as varchar(10)), 3, '0')), 0.92, 120.0 from amounts_
+        union all select receipt_id, 5, concat('합계금액', case when k % 2 = 0 then concat(' ', cast(cast(floor(a / 1000) as int) as varchar(10)), ',', lpad(cast(a % 1000 as varchar(10)), 3, '0')) else '' end), 0.96, 150.0 from amounts_ where k <> 6
+        union all select receipt_id, 6, concat(cast(cast(floor(a / 1000) as int) as varchar(10)), ',', lpad(cast(a % 1000 as varchar(10)), 3, '0')), 0.96, 170.0 from amounts_ where k % 2 = 1
+        union all select receipt_id, 7, case when k = 4 then '승인금액' else concat('카드결제 ', cast(cast(floor(a / 1000) as int) as varchar(10)), ',', lpad(cast(a % 1000 as varchar(10)), 3, '0')) end, 0.94, 200.0 from amounts_ where k in (2, 4, 5)
+        union all select receipt_id, 8, '1', 0.5, 220.0 from amounts_ where k = 4
+        union all select receipt_id, 9, concat(cast(cast(floor(a / 1000) as int) as varchar(10)), ',', lpad(cast(a % 1000 as varchar(10)), 3, '0')), 0.93, 240.0 from amounts_ where k = 4
+        union all select receipt_id, 10, case k when 0 then '[체크카드 승인]' when 1 then '네이버페이 주문' when 2 then '현금영수증' when 3 then '계좌이체 받는분 총무' when 4 then '   ' else '감사합니다' end, 0.91, 270.0 from amounts_""",
+    "ocr_attempts": """
+        select receipt_id, concat('variant', cast(v as varchar(2))) as attempt, v, case when receipt_id % 5 = v then null else case when (receipt_id + v) % 4 = 0 then d + 1 else d end end as evidence_date,
+            case when receipt_id % 6 = v then null else concat('가게 ', case when (receipt_id + v) % 3 = 0 then cast(receipt_id % 50 as varchar(4)) else concat('-', cast(receipt_id % 50 as varchar(4))) end) end as merchant_name,
+            cast(case when receipt_id % 7 = v then null else a + case when (receipt_id * 3 + v) % 5 = 0 then 100 else 0 end end as decimal(12,2)) as amount,
+            case when (receipt_id + v) % 3 = 0 then 'card' when (receipt_id + v) % 3 = 1 then 'cash' end as payment_method, cast(0.5 + ((receipt_id * 13 + v * 7) % 50) / 100.0 as double) as avg_confidence, cast(5 + (receipt_id + v) % 20 as int) as line_count, cast(50 + (receipt_id * 11 + v) % 700 as int) as text_len
+        from amounts_ join (select 0 as v union all select 1 as v union all select 2 as v) x on 1 = 1""",
+    "ground_truth": """
+        select concat('r', cast(receipt_id as varchar(20))) as file_name, receipt_id, case when k < 5 then 'receipt' else 'e_receipt' end as evidence_type, d as expected_date, concat('가게 ', cast(receipt_id % 50 as varchar(4))) as expected_merchant_name, cast(a as decimal(12,2)) as expected_amount,
+            'card' as expected_payment_method, case when k = 3 then null when k < 3 then 'train' else 'test' end as split, case when k % 2 = 0 then 'easy' end as difficulty from amounts_""",
+    "sheet_rows_": """
+        select settlement_id as file_id, settlement_id % 3 as layout, row_number() over (partition by settlement_id order by tx_id) + 1 as row_idx, tx_id, transaction_date as d, amount, description from bank_tx""",
+    "sheet_cells": """
+        select file_id, cast(0 as bigint) as row_idx, 0 as col_idx, '거래 내역' as value from (select distinct file_id from sheet_rows_) f
+        union all select file_id, cast(1 as bigint), c, case layout when 0 then case c when 0 then '거래 일자' when 1 then '적요' when 2 then '거래금액' else '메모' end when 1 then case c when 0 then '거래일시' when 1 then '거래명' when 2 then '거래금액' when 3 then '구분' else '잔액' end
+            else case c when 0 then '날짜' when 1 then '내용' when 2 then '출금액' else '입금액' end end
+            from (select distinct file_id, layout from sheet_rows_) f join (select 0 as c union all select 1 as c union all select 2 as c union all select 3 as c) x on 1 = 1
+        union all select file_id, row_idx, 0, case when tx_id % 31 = 0 then '합계' when layout = 0 then concat(cast(year(d) as varchar(4)), '-', cast(month(d) as varchar(2)), '-', cast(day(d) as varchar(2))) when layout = 1 then concat(cast(year(d) as varchar(4)), '.', lpad(cast(month(d) as varchar(2)), 2, '0'), '.', lpad(cast(day(d) as varchar(2)), 2, '0'), ' 16:59:05') else concat(cast(year(d) as varchar(4)), '/', cast(month(d) as varchar(2)), '/', cast(day(d) as varchar(2))) end from sheet_rows_
+        union all select file_id, row_idx, 1, description from sheet_rows_
+        union all select file_id, row_idx, 2, case layout when 0 then concat(cast(amount as varchar(20)), '원') when 1 then cast(abs(amount) as varchar(20)) else case when amount < 0 then cast(-amount as varchar(20)) else '0' end end from sheet_rows_
+        union all select file_id, row_idx, 3, case layout when 0 then case when tx_id % 4 = 0 then 'memo' end when 1 then case when amount < 0 then '출금' else '입금' end else case when amount > 0 then cast(amount as varchar(20)) else '-' end end from sheet_rows_""",
+    "template_cells_": """
+        select settlement_id as file_id, r.row_idx, r.col_idx, r.value from settlements join (values (0, 0, '단체명 :'), (0, 2, '학 과'), (1, 0, '학년도'), (1, 2, '학기'), (2, 0, '총 수입'), (3, 0, '총지출'), (3, 3, '단체명'), (5, 0, '3월 결산'), (7, 0, '날 짜'), (7, 1, '내용'), (7, 2, '수입'), (7, 3, '지출'), (7, 4, '잔액'), (20, 0, '3월 정산'), (30, 0, '4월결산'), (60, 0, '4월 정산')) as r(row_idx, col_idx, value) on 1 = 1
+        where settlement_id % 3 <> 0 or r.row_idx <> 7""",
+    "templates": """
+        select c_custkey as template_id, cast(c_nationkey as bigint) as org_id, cast(date '2023-01-01' + cast((c_custkey * 17) % 300 as int) as timestamp) as created_at from {customer}""",
 }
 
 _WORD = re.compile(r"\b[a-z_]+\b")
