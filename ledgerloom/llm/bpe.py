@@ -67,6 +67,8 @@ class WordBpe:
             self.rank[ids[a], ids[b]] = (r, ids[a + b])
         keys = np.fromiter((a * size + b for a, b in self.rank), np.int64, len(self.rank))
         order = np.argsort(keys)
+        self.pair = {int(k): r for k, (r, _) in zip(keys.tolist(), self.rank.values(), strict=True)}
+        self.merged = {r: t for r, t in self.rank.values()}
         self.pair_keys = keys[order]
         self.pair_ranks = np.fromiter((r for r, _ in self.rank.values()), np.int64, len(self.rank))[order]
 
@@ -88,9 +90,18 @@ class WordBpe:
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.met: dict[str, list[int]] = {}
+        self.met: dict[str, tuple[int, ...]] = {}  # tuples of numbers are no work for the garbage collector
         self.flat, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    def forget(self) -> None:
+        """With too many words kept, forget all but those met first, among which the common ones are."""
+        if len(self.known) > WORDS_KEPT:
+            for kept in (self.known, self.met):
+                while len(kept) > WORDS_KEPT // 2:
+                    kept.popitem()
+            self.at = self.at[: len(self.known) + 1]
+            self.flat = self.flat[: self.at[-1]]
+
     def start(self, word: str) -> list[int]:
         """The ids of a word's signs; the last one carries the word end. Signs that the vocabulary lacks are dropped."""
         signs = [*word[:-1]]
@@ -122,6 +133,25 @@ class WordBpe:
                     heapq.heappush(heap, (self.rank[p][0], x, *p))
         return [x for x in ids if x >= 0]
 
+    def merge_short(self, ids: list[int]) -> list[int]:
+        """The same for words of few signs, where looking over all pairs is quicker than a heap."""
+        size, get, merged = self.size, self.pair.get, self.merged
+        ranks = [get(a * size + b, _NEVER) for a, b in zip(ids, ids[1:])]
+        while ranks and (r := min(ranks)) != _NEVER:
+            i = ranks.index(r)
+            t = merged[r]
+            ids[i : i + 2] = [t]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] * size + t, _NEVER)
+            if i < len(ranks):
+                ranks[i] = get(t * size + ids[i + 1], _NEVER)
+        return ids
+
+    def exact(self, word: str) -> list[int]:
+        ids = self.start(word)
+        return self.merge_short(ids) if len(ids) <= 48 else self.merge(ids)
+
     def propose(self, word: str) -> list[int] | None:
         """Greedy longest match; None where no token fits."""
         out, at, n, greedy, longest = [], 0, len(word), self.greedy, self.longest
@@ -157,6 +187,10 @@ class WordBpe:
     def pieces(self, chunk: bytes) -> list[str | int]:
         """A chunk without ASCII white space as words in byte signs, and ids of special tokens."""
         out: list[str | int] = []
+        if chunk.isalpha():  # ASCII letters, as most are
+            return [chunk.decode().lower() + _END]
+        if chunk[-1:] in (b".", b",") and chunk[:-1].isalpha():
+            return [chunk[:-1].decode().lower() + _END, chunk[-1:].decode() + _END]
         text = chunk.decode("utf-8")
         if text.isascii() and text.isprintable() and "<" not in text:  # such signs stand for themselves
             return [w + _END for w in self.words.findall(text.lower())]
@@ -179,7 +213,7 @@ class WordBpe:
         ends = np.cumsum([0, *(len(t) - 1 if t else 0 for t in tried)])
         bad = np.concatenate([[0], np.cumsum(~good)])
         fails = bad[ends[1:]] - bad[ends[:-1]] > 0
-        self.met.update((w, self.merge(self.start(w)) if t is None or f else t) for w, t, f in zip(words, tried, fails, strict=True))
+        self.met.update((w, tuple(self.exact(w) if t is None or f else t)) for w, t, f in zip(words, tried, fails, strict=True))
         ids = [[x for w in p for x in ([w] if isinstance(w, int) else self.met[w])] for p in split]
         first = len(self.at) - 1
         self.known.update(zip(chunks, range(first, first + len(chunks)), strict=True))
@@ -196,8 +230,7 @@ class WordBpe:
                 j += 1
             split = [t.split() if t else [] for t in texts[i:j]]
             i = j
-            if len(self.known) > WORDS_KEPT:
-                self.clear()
+            self.forget()
             if new := [c for c in set().union(*split) if c not in self.known]:
                 self.learn(new)
             k = np.fromiter((self.known[c] for chunks in split for c in chunks), np.int64)
@@ -214,34 +247,39 @@ def tokenizer(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode(text: Column, path: str) -> Column:
-    """The token ids of a text as array<int>; a null or empty text has none."""
-
-    @arrow_udf("array<int>")
-    def run(t: pa.Array) -> pa.Array:
-        return tokenizer(path).encode(t.cast(pa.binary()).to_pylist())
-
-    return run(text)
+def joined(ids: pa.ListArray, tokens: pa.Array) -> pa.Array:
+    """The tokens of each list of ids, joined by a space: what the file's own decoder gives, special tokens too."""
+    return pc.binary_join(pa.ListArray.from_arrays(pc.subtract(ids.offsets, ids.offsets[0]), pc.take(tokens, ids.flatten())), " ")
 
 
 def decode(ids: Column, path: str) -> Column:
-    """The tokens of ids, special ones too, joined by a space: what the file's own decoder gives. Null is empty."""
+    """The text of ids; null ids are an empty text."""
 
     @arrow_udf("string")
     def run(x: pa.Array) -> pa.Array:
-        tokens = pa.array(tokenizer(path).tokens, pa.string())
-        x = x.fill_null([]) if x.null_count == 0 else pa.array([y or [] for y in x.to_pylist()], pa.list_(pa.int32()))
-        flat = pc.take(tokens, x.flatten())
-        return pc.binary_join(pa.ListArray.from_arrays(pc.subtract(x.offsets, x.offsets[0]), flat), " ")
+        x = pa.array([y or [] for y in x.to_pylist()], pa.list_(pa.int32())) if x.null_count else x
+        return joined(x, pa.array(tokenizer(path).tokens, pa.string()))
 
     return run(ids)
 
 
+def code(text: Column, path: str) -> Column:
+    """struct<token_ids, decoded> of a text; a null or empty text has no ids and an empty decoded text."""
+
+    @arrow_udf("struct<token_ids:array<int>,decoded:string>")
+    def run(t: pa.Array) -> pa.Array:
+        coder = tokenizer(path)
+        ids = coder.encode(t.cast(pa.binary()).to_pylist())
+        return pa.StructArray.from_arrays([ids, joined(ids, pa.array(coder.tokens, pa.string()))], ["token_ids", "decoded"])
+
+    return run(text)
+
+
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``token_ids`` (array<int>) and ``decoded`` (string).
 
     All columns are handed on, but ones of these two names are replaced. A null text counts as empty:
     no ids and an empty string. Repeated rows are each encoded; an empty table gives no rows. The path
     has to be readable on every executor."""
-    coded = docs.withColumn("token_ids", encode(F.col(text_col), path))
-    return coded.withColumn("decoded", decode(F.col("token_ids"), path))
+    coded = docs.withColumn("_coded", code(F.col(text_col), path))
+    return coded.withColumn("token_ids", F.col("_coded.token_ids")).withColumn("decoded", F.col("_coded.decoded")).drop("_coded")
