@@ -88,3 +88,86 @@ select t.doc_id, len(x) // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_rem
     sha256(unhex(coalesce(head || substr(x, 2 * upto + 1), x))) as kept_sha256
 from texts t left join kept k on k.doc_id = t.doc_id
 """
+
+ORACLES["op1_quality_rules"] = r"""
+with words as materialized (
+    select doc_id, coalesce('=' || lang, 'null') as s0, coalesce('=' || source, 'null') as s1, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), windows as materialized (
+    select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as k from words, unnest(range(1, len(w) - 1)) as u(i) where len(w) >= 3
+), again as (
+    select doc_id, k from windows group by doc_id, k having count(*) > 1
+), repeats as (
+    select doc_id, count(distinct i + j) as n from windows join again using (doc_id, k), range(0, 3) as r(j) group by doc_id
+), dup_lines as (
+    select doc_id, count(*) - count(distinct line) as n from (select doc_id, unnest(string_split(text, chr(10))) as line from words) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id
+), counted as materialized (
+    select doc_id, s0, s1, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+        (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, coalesce(d.n, 0)::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words
+    from words left join repeats r using (doc_id) left join dup_lines d using (doc_id)
+), measured as materialized (
+    select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, 100 * word_chars // greatest(n_words, 1) as m_length, 10000 * n_symbols // greatest(word_chars, 1) as m_symbols,
+        10000 * n_dup_lines // greatest(n_words, 1) as m_dup_lines, 10000 * n_repeat_words // greatest(n_words, 1) as m_repeats
+    from counted
+), long as (
+    select s0, s1, 'm_length' as m, m_length as v from measured where not base_failed union all select s0, s1, 'm_symbols', m_symbols from measured where not base_failed
+    union all select s0, s1, 'm_dup_lines', m_dup_lines from measured where not base_failed union all select s0, s1, 'm_repeats', m_repeats from measured where not base_failed
+), bucketed as (
+    select s0, s1, m, case when v < 32 then v else (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)) end as b from long
+), sketch as (
+    select s0, s1, 2 as level, m, b, count(*) as n from bucketed group by all union all select s0, null, 1, m, b, count(*) from bucketed group by all union all select null, null, 0, m, b, count(*) from bucketed group by all
+), upto as (
+    select *, sum(n) over (partition by s0, s1, level, m order by b) as upto, sum(n) over (partition by s0, s1, level, m) as whole, case when b < 32 then b else (b - ((b - 32) // 32) * 32) << ((b - 32) // 32) end as floor_v from sketch
+), quartiles as (
+    select s0, s1, level, m, max(whole) as n, min(floor_v) filter (upto * 4 >= whole) as q1, min(floor_v) filter (upto * 4 >= whole * 3) as q3 from upto group by all
+), fences as (
+    select s0, s1, level, m, n, q1 - w as low, q3 + w as high from (select *, (q3 - q1) * 3 + case m when 'm_length' then 150 when 'm_symbols' then 500 when 'm_dup_lines' then 2500 else 2000 end as w from quartiles)
+), chosen as (
+    select d.doc_id, f.m, f.low, f.high, row_number() over (partition by d.doc_id, f.m order by f.level desc) as k
+    from measured d join fences f on (f.level = 0 or (f.n >= 200 and f.s0 = d.s0 and (f.level = 1 or f.s1 = d.s1)))
+), odd as (
+    select distinct c.doc_id from chosen c join measured d using (doc_id) where k = 1 and (case m when 'm_length' then m_length when 'm_symbols' then m_symbols when 'm_dup_lines' then m_dup_lines else m_repeats end > high or (m = 'm_length' and m_length < low))
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and doc_id not in (select doc_id from odd) as kept from measured
+"""
+
+ORACLES["op5_sharding"] = r"""
+with recursive remainders as materialized (
+    select list(c order by n) as t from (select n, list_reduce(list_prepend(n, range(0, 8)), lambda x, k: case when x % 2 = 1 then xor(3988292384, x >> 1) else x >> 1 end) as c from range(0, 256) r(n))
+), rows_ as materialized (
+    select doc_id, octet_length(encode(coalesce(text, ''))) + 1 as size,
+        xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, octet_length(encode(coalesce(text, '')))), lambda i: (instr('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', x[2 * i + 2]) - 1)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) as text_crc32,
+        md5(coalesce(cast(doc_id as varchar), 'null:' || coalesce(text, ''))) as h from (select *, string_split(hex(encode(coalesce(text, ''))), '') as x from documents), remainders
+), docs as materialized (
+    select *, ('0x' || substr(h, 1, 4))::integer as place from rows_
+), nodes as materialized (
+    select ('0x' || substr(md5('node-' || s || '-' || v), 1, 4))::integer as vplace, min(s) as home from range(0, 16) a(s), range(0, 32) b(v) group by 1
+), places as materialized (
+    select p.place, coalesce(n.vplace, (select min(vplace) from nodes)) as vplace from (select range::integer as place from range(0, 65536)) p asof left join nodes n on p.place <= n.vplace
+), counts as materialized (
+    select p.place, p.vplace, n.home, coalesce(c.n, 0) as n from places p join nodes n using (vplace) left join (select place, count(*) as n from docs group by place) c using (place)
+), bounded as materialized (
+    select *, t.total // 16 + case when home < t.total % 16 then 1 else 0 end as bound, coalesce(sum(n) over (partition by home order by place rows between unbounded preceding and 1 preceding), 0) as before
+    from counts, (select sum(n)::bigint as total from counts) t
+), overs as materialized (
+    select *, greatest(0, least(n, before + n - bound))::bigint as over from bounded
+), by_node as materialized (
+    select vplace, home, bound, sum(n)::bigint as n, sum(over)::bigint as over, row_number() over (order by vplace) as i, count(*) over () as m from overs group by vplace, home, bound
+), homes as (
+    select s, coalesce(greatest(0, max(bound) - sum(n)), 0)::bigint as room, coalesce(least(max(bound), sum(n)), 0)::bigint as kept from range(0, 16) r(s) left join by_node on home = s group by s
+), laps as materialized (
+    select i, home, over from by_node union all select i + m, home, 0 from by_node
+), walk as (
+    select 0::bigint as i, 0::bigint as carried, 0::bigint as placed, (select list(room order by s) from homes) as rooms, (select list(kept order by s) from homes) as slots, null::integer as shard, null::bigint as lo, null::bigint as hi, null::bigint as slot
+    union all
+    select l.i, w.carried + l.over - x.a, w.placed + x.a, list_transform(w.rooms, lambda r, j: case when j = l.home + 1 then r - x.a else r end), list_transform(w.slots, lambda r, j: case when j = l.home + 1 then r + x.a else r end), l.home, w.placed, w.placed + x.a, w.slots[l.home + 1]
+    from walk w join laps l on l.i = w.i + 1, lateral (select least(w.carried + l.over, w.rooms[l.home + 1]) as a) x
+), ranked as materialized (
+    select *, row_number() over (partition by place order by h, size, text_crc32) - 1 as r from docs
+), dealt as (
+    select place, home, before, n - over as stay, sum(over) over (order by vplace, before, place rows unbounded preceding) - over as over_at from overs
+), put as (
+    select doc_id, size, text_crc32, home, before, r, case when r >= stay then over_at + r - stay end as g from ranked join dealt using (place)
+)
+select doc_id, size::bigint as size, text_crc32::bigint as text_crc32, 'rows' as law, coalesce(w.shard, home)::integer as shard, coalesce(w.slot + g - w.lo, before + r)::bigint as slot, null::integer as grown_shard
+from put left join walk w on g >= w.lo and g < w.hi
+"""
