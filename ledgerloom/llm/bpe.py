@@ -24,11 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import by_slices
+
 WORDS_KEPT = 400_000
 #: Bytes of texts that are split into words at a time; a longer text is a slice of its own.
 SLICE = 4_000_000
 #: The tokenizer's white space (Unicode White_Space).
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Code points that are no letters or numbers in any version of Unicode, whatever the pattern library makes of them.
+_BEYOND = regex.compile("[\U000323b0-\U0010ffff]")
 _NEVER = 1 << 40
 #: Marks a word's end here; no byte sign is a line feed.
 _END = "\n"
@@ -199,7 +203,8 @@ class WordBpe:
                 out.append(self.special[part])
                 continue
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()  # sign by sign: no final sigma
-            out += ["".join([self.signs[x] for x in w.encode()]) + _END for w in self.words.findall(part)]
+            seen = _BEYOND.sub("\ue000", part)
+            out += ["".join([self.signs[x] for x in part[m.start() : m.end()].encode()]) + _END for m in self.words.finditer(seen)]
         return out
 
     def learn(self, chunks: list[bytes]) -> None:
@@ -269,8 +274,13 @@ def code(text: Column, path: str) -> Column:
     @arrow_udf("struct<token_ids:array<int>,decoded:string>")
     def run(t: pa.Array) -> pa.Array:
         coder = tokenizer(path)
-        ids = coder.encode(t.cast(pa.binary()).to_pylist())
-        return pa.StructArray.from_arrays([ids, joined(ids, pa.array(coder.tokens, pa.string()))], ["token_ids", "decoded"])
+        tokens = pa.array(coder.tokens, pa.string())
+
+        def part(x: pa.Array) -> pa.Array:
+            ids = coder.encode(x.cast(pa.binary()).to_pylist())
+            return pa.StructArray.from_arrays([ids, joined(ids, tokens)], ["token_ids", "decoded"])
+
+        return by_slices(part, t, rows=1000)
 
     return run(text)
 

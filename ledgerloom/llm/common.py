@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +59,12 @@ def order_id(col: Column) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def by_slices(make: Callable[..., pa.Array], *columns: pa.Array, rows: int = 500) -> pa.Array:
+    """make(...) over a few rows at a time, so that a worker never holds a whole batch as Python objects."""
+    parts = [make(*(c.slice(i, rows) for c in columns)) for i in range(0, len(columns[0]), rows)]
+    out = pa.concat_arrays(parts) if parts else make(*columns)
+    del parts
+    pa.default_memory_pool().release_unused()  # workers are kept for later stages; what this one took should not be
+    return out

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import WS_CHARS, lower_az, order_id, scratch_path, strip_ws
+from .common import WS_CHARS, by_slices, lower_az, order_id, scratch_path, strip_ws
 
 _WS = WS_CHARS.encode()
 _KEY = ["h1", "h2"]
@@ -74,6 +74,10 @@ class LineRuns:
 @arrow_udf(T.StructType([T.StructField("kept", T.StringType()), T.StructField("n_dropped", T.LongType())]))
 def _without(text: pa.Array, dropped: pa.Array) -> pa.Array:
     """Each text without the lines whose key hash is in dropped."""
+    return by_slices(_kept_lines, text, dropped)
+
+
+def _kept_lines(text: pa.Array, dropped: pa.Array) -> pa.Array:
     kept, gone = [], []
     for t, hashes in zip(text.cast(pa.binary()).to_pylist(), dropped.to_pylist(), strict=True):
         bad = set(hashes)

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import by_slices
+
 #: Upper bounds of the bins of each measure of a line; a value over the last one has a bin of its own.
 BINS: dict[str, list[float]] = {
     "words": [0, 1, 3, 7, 15, 31, 63],
@@ -167,7 +169,7 @@ def fit(feats: list[np.ndarray], labels: list[int], rounds: int = 120, rate: flo
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
         got = [line_features(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
         feats, weights = [f.astype(np.uint8).tobytes() for f, _ in got], [x.astype(np.int64).tobytes() for _, x in got]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(feats, pa.binary()), pa.array(weights, pa.binary())], ["label", "feats", "weight"])
@@ -216,7 +218,7 @@ def score(text: Column, model: LineField) -> Column:
 
     @arrow_udf("double")
     def run(t: pa.Array) -> pa.Array:
-        return pa.array(model.scores([x or b"" for x in t.cast(pa.binary()).to_pylist()]), pa.float64())
+        return by_slices(lambda part: pa.array(model.scores([x or b"" for x in part.cast(pa.binary()).to_pylist()]), pa.float64()), t)
 
     return run(text)
 

@@ -77,8 +77,14 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_bpe, op4_suffix_dedup, op5_sharding, op6_near_dedup, op7_line_dedup, op8_quality_classifier, op9_decontamination, op10_url_filters)}
+    return {f.__name__: f for f in (pipeline, op1_quality_rules, op2_substring_dedup, op3_bpe, op4_suffix_dedup, op5_sharding, op6_near_dedup, op7_line_dedup, op8_quality_classifier, op9_decontamination, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
