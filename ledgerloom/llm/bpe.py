@@ -26,7 +26,7 @@ from pyspark.sql.functions import arrow_udf
 
 from .common import by_slices
 
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 #: Bytes of texts that are split into words at a time; a longer text is a slice of its own.
 SLICE = 4_000_000
 #: The tokenizer's white space (Unicode White_Space).
