@@ -490,12 +490,28 @@ def llm_json_extract(t: Tables) -> DataFrame:
     return S.llm_json_extract(t.amounts_.select("receipt_id", reply.alias("reply")))
 
 
-@query("ground_truth_clean", "select file_name, evidence_type, expected_date, expected_merchant_name, expected_amount, case when receipt_id % 2 = 0 then 'online_payment' else 'card' end as expected_payment_method, null as notes, split, difficulty from ground_truth where receipt_id % 7 <> 0")
-def ground_truth_clean(t: Tables) -> DataFrame:
-    """The typed form of labels that come as text."""
+@query("ground_truth_csv", "select file_name, evidence_type, expected_date, expected_merchant_name, expected_amount, case when receipt_id % 2 = 0 then 'online_payment' else 'card' end as expected_payment_method, null as notes, split, difficulty from ground_truth where receipt_id % 7 <> 0")
+def ground_truth_csv(t: Tables) -> DataFrame:
+    """The typed form of labels, by way of CSV files."""
     r = F.col("receipt_id")
     raw = t.ground_truth.select(F.when(r % 7 == 0, " ").otherwise(F.col("file_name")).alias("file_name"), "evidence_type", F.col("expected_date").cast("string"), "expected_merchant_name", F.col("expected_amount").cast("string"), F.when(r % 2 == 0, "Naver_Pay").otherwise(F.lit("card")).alias("expected_payment_method"), F.lit("  ").alias("notes"), "split", "difficulty")
-    return S.clean_truth(raw)
+    path = S.scratch(t.spark, "labels_csv")
+    raw.write.csv(path, header=True)
+    return S.ground_truth_csv(t.spark, path)
+
+
+@query("sheet_grid", "select concat(file_id, '.xlsx') as path, row_idx::integer as row_idx, col_idx, value, null as error from sheet_cells where value is not null")
+def sheet_grid(t: Tables) -> DataFrame:
+    """The cells of workbooks, one per derived sheet."""
+    return S.sheet_grid(S.workbooks(t.sheet_cells))
+
+
+@query("write_report", f"select receipt_id, date_ok, merchant_ok, coalesce(split, 'none') as split from ({EVALUATED})")
+def write_report(t: Tables) -> DataFrame:
+    """Evaluation rows written as JSON by split, and read again."""
+    path = S.scratch(t.spark, "report")
+    S.write_report(evaluated(t).select("receipt_id", "date_ok", "merchant_ok", F.coalesce("split", F.lit("none")).alias("split")), path, "split")
+    return t.spark.read.schema("receipt_id long, date_ok boolean, merchant_ok boolean, split string").json(path)
 
 
 @query("file_inventory", "select concat('/up/', source_file_name) as path, lower(regexp_extract(source_file_name, '\\.([^./]+)$', 1)) as suffix, case when evidence_id % 5 <> 1 then 'suffix' when evidence_id % 4 = 0 then 'empty' when evidence_id % 4 = 1 then 'too_large' end as reject_reason from evidences")

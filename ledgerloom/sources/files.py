@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import re
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -28,6 +30,12 @@ def file_inventory(files: DataFrame, max_mb: int = MAX_MB, suffixes: list[str] |
     return files.select("path", suffix.alias("suffix"), bad.alias("reject_reason"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, or in one of our own where none is named."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerloom-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
@@ -82,6 +90,28 @@ def sheet_grid(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, row_idx int, col_idx int, value string, error string")
 
 
+def workbooks(cells: DataFrame) -> DataFrame:
+    """(path, content): one minimal workbook of inline strings per file of a cell grid (file_id, row_idx, col_idx, value)."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        rows: dict[int, list[tuple[int, str]]] = {}
+        for r, c, v in zip(*(t.column(n).to_pylist() for n in ("row_idx", "col_idx", "value")), strict=True):
+            rows.setdefault(r, []).append((c, v))
+        sheet = ElementTree.Element("worksheet")
+        data = ElementTree.SubElement(sheet, "sheetData")
+        for r in sorted(rows):
+            row = ElementTree.SubElement(data, "row", r=str(r + 1))
+            for c, v in sorted(rows[r]):
+                cell = ElementTree.SubElement(row, "c", r=f"{chr(65 + c)}{r + 1}", t="inlineStr")
+                ElementTree.SubElement(ElementTree.SubElement(cell, "is"), "t").text = v
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("xl/worksheets/sheet1.xml", ElementTree.tostring(sheet, encoding="utf-8"))
+        return pa.table({"path": [f"{key[0].as_py()}.xlsx"], "content": pa.array([out.getvalue()], pa.binary())})
+
+    return cells.filter("value is not null").groupBy("file_id").applyInArrow(run, "path string, content binary")
+
+
 def clean_truth(raw: DataFrame) -> DataFrame:
     """Typed labels from text columns; rows without a file name or type are dropped, blanks are null."""
     text = lambda c: F.nullif(F.trim(c), F.lit(""))
