@@ -23,6 +23,9 @@ from .common import cut
 MEASURES = {"m_length": 150, "m_symbols": 500, "m_dup_lines": 2500, "m_repeats": 2000}
 LOW_SIDED = ("m_length",)
 
+#: Up to so many strata's thresholds are broadcast; more are joined by a shuffle.
+STRATA_SENT = 100_000
+
 _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
 _SYMBOL = np.zeros(256, bool)
@@ -152,7 +155,9 @@ def quality_rules(
         level = wide.filter((F.col("level") == k) & ((F.col("n") >= min_rows) | (F.lit(k) == 0))).select(*keys[:k], F.struct(*fence_cols).alias(f"_l{k}"))
         chosen = chosen.join(level, keys[:k], "left") if k else chosen.join(level, F.lit(True), "left")  # level 0: one row
         picked.append(f"_l{k}")
-    chosen = chosen.select(*keys, F.coalesce(*picked).alias("_f"))
+    chosen = cut(chosen.select(*keys, F.coalesce(*picked).alias("_f")))
+    if chosen.count() <= STRATA_SENT:
+        chosen = F.broadcast(chosen)
     odd = F.lit(False)
     for m in MEASURES:
         odd = odd | (F.col(m) > F.col(f"_f.high_{m}"))
