@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,12 +22,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import by_slices
-
-WORDS_KEPT = 250_000
+WORDS_KEPT = 150_000
+#: Rows of a batch that goes back to Spark: ids and tokens are several times as large as the text.
+ROWS_OUT = 250
 #: Bytes of texts that are split into words at a time; a longer text is a slice of its own.
 SLICE = 4_000_000
 #: The tokenizer's white space (Unicode White_Space).
@@ -268,28 +269,24 @@ def decode(ids: Column, path: str) -> Column:
     return run(ids)
 
 
-def code(text: Column, path: str) -> Column:
-    """struct<token_ids, decoded> of a text; a null or empty text has no ids and an empty decoded text."""
-
-    @arrow_udf("struct<token_ids:array<int>,decoded:string>")
-    def run(t: pa.Array) -> pa.Array:
-        coder = tokenizer(path)
-        tokens = pa.array(coder.tokens, pa.string())
-
-        def part(x: pa.Array) -> pa.Array:
-            ids = coder.encode(x.cast(pa.binary()).to_pylist())
-            return pa.StructArray.from_arrays([ids, joined(ids, tokens)], ["token_ids", "decoded"])
-
-        return by_slices(part, t, rows=1000)
-
-    return run(text)
-
-
 def encode_documents(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``token_ids`` (array<int>) and ``decoded`` (string).
 
     All columns are handed on, but ones of these two names are replaced. A null text counts as empty:
     no ids and an empty string. Repeated rows are each encoded; an empty table gives no rows. The path
     has to be readable on every executor."""
-    coded = docs.withColumn("_coded", code(F.col(text_col), path))
-    return coded.withColumn("token_ids", F.col("_coded.token_ids")).withColumn("decoded", F.col("_coded.decoded")).drop("_coded")
+    names = [c for c in docs.columns if c not in ("token_ids", "decoded")]
+    source, at = docs.select(*names), names.index(text_col)
+    new = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = tokenizer(path)
+        tokens = pa.array(coder.tokens, pa.string())
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS_OUT):
+                b = whole.slice(lo, ROWS_OUT)
+                ids = coder.encode(b.column(at).cast(pa.binary()).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns, ids, joined(ids, tokens)], [*names, "token_ids", "decoded"])
+            pa.default_memory_pool().release_unused()
+
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, *new]))
