@@ -16,6 +16,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-WORDS_KEPT = 150_000
+WORDS_KEPT = 300_000
 #: Rows of a batch that goes back to Spark: ids and tokens are several times as large as the text.
 ROWS_OUT = 250
 #: Bytes of texts that are split into words at a time; a longer text is a slice of its own.
@@ -239,7 +240,7 @@ class WordBpe:
             self.forget()
             if new := [c for c in set().union(*split) if c not in self.known]:
                 self.learn(new)
-            k = np.fromiter((self.known[c] for chunks in split for c in chunks), np.int64)
+            k = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64)
             lo = self.at[k]
             n = self.at[k + 1] - lo
             upto = np.concatenate([[0], np.cumsum(n)])
