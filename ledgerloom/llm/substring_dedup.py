@@ -2,8 +2,8 @@
 
 A document loses each word that lies in a window of ``span`` words which also starts in a document of
 smaller id. Windows are dealt to shards by their anchor (see anchors.py), so equal windows share a shard.
-Blocks of windows that are copies of a whole block of an earlier document need no index. The other
-blocks of an anchor are indexed: a shard's words become a Burrows-Wheeler transform in a wavelet matrix
+Blocks of windows that are copies of a whole block of an earlier document need no index. Of the other
+blocks of an anchor one of each content is indexed, and its copies in the same document take its answer: a shard's words become a Burrows-Wheeler transform in a wavelet matrix
 of packed bits, the blocks are streamed through it by backward search, all at once and a word at a time,
 and each place where the match is ``span`` words long reports the interval of its occurrences, and so the
 least id that has the window.
@@ -136,7 +136,7 @@ def _signed(x: np.ndarray) -> list[int]:
 
 
 _BLOCK = {"a": pa.int64(), "c": pa.int64(), "doc": pa.int64(), "th": pa.int64(), "first": pa.int64(), "n": pa.int64()}
-_SPAN = {"doc": pa.int64(), "th": pa.int64(), "first": pa.int64(), "n": pa.int64()}
+_SPAN = {"doc": pa.int64(), "th": pa.int64(), "at": pa.int64(), "first": pa.int64(), "n": pa.int64()}
 
 
 def block_rows(span: int) -> object:
@@ -175,7 +175,7 @@ def _spans(flags: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def indexed_spans(span: int) -> object:
-    """Over rows (a, doc, th, first, words) in the order of a: the spans of windows of smaller documents."""
+    """Over rows (a, doc, th, first, words) in the order of a: the spans of windows of smaller documents, at being the block's first window."""
 
     def shard(rows: list[tuple]) -> pa.RecordBatch:
         out: dict[str, list] = {c: [] for c in _SPAN}
@@ -186,6 +186,7 @@ def indexed_spans(span: int) -> object:
             at, n = _spans(flags)
             out["doc"] += [doc] * len(at)
             out["th"] += [th] * len(at)
+            out["at"] += [first] * len(at)
             out["first"] += [first + x for x in at]
             out["n"] += n
         return _emit(out, _SPAN)
@@ -230,7 +231,7 @@ def block_texts(span: int) -> object:
 
 def single_windows(span: int) -> object:
     """Each window of each block by a hash of 128 bits."""
-    kinds = {"w1": pa.int64(), "w2": pa.int64(), "doc": pa.int64(), "th": pa.int64(), "first": pa.int64()}
+    kinds = {"w1": pa.int64(), "w2": pa.int64(), "doc": pa.int64(), "th": pa.int64(), "at": pa.int64(), "first": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -243,6 +244,7 @@ def single_windows(span: int) -> object:
                     out["w2"].append((h & ((1 << 64) - 1)) - (1 << 63))
                     out["doc"].append(doc)
                     out["th"].append(th)
+                    out["at"].append(first)
                     out["first"].append(first + i)
             yield _emit(out, kinds)
 
@@ -255,10 +257,12 @@ def earlier_spans(base: DataFrame, span: int) -> DataFrame:
     ``base`` has (doc, th, text), th a checksum of the text."""
     spark = base.sparkSession
     rows = cut(base.mapInArrow(block_rows(span), "a long, c long, doc long, th long, first long, n long"))
-    kinds = rows.groupBy("a", "c").agg(F.min(F.struct("doc", "th", "first", "n")).alias("head"), F.max("doc").alias("last"))
+    kinds = rows.groupBy("a", "c").agg(F.min(F.struct("doc", "th", "first", "n")).alias("head"), F.count("*").alias("copies"))
     kinds = cut(kinds)
     many = kinds.groupBy("a").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    copied = rows.join(kinds.filter("last > head.doc").select("a", "c", F.col("head.doc").alias("least")), ["a", "c"]).filter("doc > least").select("doc", "th", "first", "n")
+    again = rows.join(kinds.filter("copies > 1").select("a", "c", F.col("head.doc").alias("least"), F.col("head.th").alias("h_th"), F.col("head.first").alias("at"), F.col("head.n").alias("h_n")), ["a", "c"])
+    copied = again.filter("doc > least").select("doc", "th", "first", "n")
+    twins = again.filter("doc = least and n = h_n and (th != h_th or first != at)").select("doc", F.col("h_th").alias("th"), "at", F.col("th").alias("t_th"), F.col("first").alias("t_at")).distinct()
 
     unsure = kinds.join(many, "a").select("a", "head.*", (F.col("kinds") > WIDE).alias("wide"))
     listed = cut(unsure.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "first", "n", "wide")).alias("blocks")))
@@ -268,11 +272,14 @@ def earlier_spans(base: DataFrame, span: int) -> DataFrame:
     texts = cut(texts)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     narrow = texts.filter("not wide").drop("wide").repartition(parts, "a").sortWithinPartitions("a")
-    indexed = narrow.select("a", "doc", "th", "first", "words").mapInArrow(indexed_spans(span), "doc long, th long, first long, n long")
-    singles = cut(texts.filter("wide").select("a", "doc", "th", "first", "words").mapInArrow(single_windows(span), "w1 long, w2 long, doc long, th long, first long"))
+    indexed = narrow.select("a", "doc", "th", "first", "words").mapInArrow(indexed_spans(span), "doc long, th long, at long, first long, n long")
+    singles = cut(texts.filter("wide").select("a", "doc", "th", "first", "words").mapInArrow(single_windows(span), "w1 long, w2 long, doc long, th long, at long, first long"))
     least = singles.groupBy("w1", "w2").agg(F.min("doc").alias("least"))
-    counted = singles.join(least, ["w1", "w2"]).filter("doc > least").select("doc", "th", "first", F.lit(1).cast("long").alias("n"))
-    return copied.unionByName(indexed).unionByName(counted)
+    counted = singles.join(least, ["w1", "w2"]).filter("doc > least").select("doc", "th", "at", "first", F.lit(1).cast("long").alias("n"))
+    # Only the head of a content was looked up; what holds for it holds for its twins in the same document.
+    heads = cut(indexed.unionByName(counted))
+    moved = heads.join(twins, ["doc", "th", "at"]).select("doc", F.col("t_th").alias("th"), (F.col("t_at") + F.col("first") - F.col("at")).alias("first"), "n")
+    return copied.unionByName(heads.drop("at")).unionByName(moved)
 
 
 def removal(span: int) -> object:

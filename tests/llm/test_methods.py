@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from ledgerloom.llm import bpe, near_dedup, quality_classifier, suffix_dedup
+from ledgerloom.llm import bpe, near_dedup, quality_classifier, substring_dedup, suffix_dedup
 from ledgerloom.llm.anchors import blocks
 from ledgerloom.llm.decontamination import leaks
 from ledgerloom.llm.queries import op8_quality_classifier, op9_decontamination, op10_url_filters, tokenizer_path
@@ -61,6 +61,38 @@ def test_windows_of_earlier_documents(seed):
     assert [x.tolist() for x in earlier_windows(seqs, docs, span)] == want
 
 
+@pytest.mark.parametrize("wide", [2000, 1])
+def test_removed_words_against_all_windows(spark, monkeypatch, wide):
+    monkeypatch.setattr(substring_dedup, "WIDE", wide)
+    rng = random.Random(7)
+
+    def words(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    p, r, edges = words(90), words(60), [words(30) for _ in range(4)]
+    q = edges[0] + p + edges[1]
+    other = edges[2] + r + edges[3]
+    rows = [
+        (1, words(9) + p + words(9)), (2, words(5) + q + words(20) + q + words(7) + q),  # copies in one document
+        (3, r), (4, words(8) + other), (4, other + words(3)), (4, other + words(3)),  # rows of equal id
+        (5, words(40)), (None, words(3) + edges[2] + p + edges[3]), (None, edges[2] + p + edges[3] + words(3)), (None, r + r),
+    ]
+    rows[-4] = (5, rows[-4][1] + q[10:140])
+    span, first = 16, {}
+    key = lambda d: 10**9 if d is None else d
+    for d, x in rows:
+        for i in range(len(x) - span + 1):
+            w = tuple(x[i : i + span])
+            first[w] = min(first.get(w, 10**9), key(d))
+    want = []
+    for d, x in rows:
+        gone = {k for i in range(len(x) - span + 1) if first[tuple(x[i : i + span])] < key(d) for k in range(i, i + span)}
+        want.append((str(d), " ".join(w for k, w in enumerate(x) if k not in gone)))
+    docs = spark.createDataFrame([(d, " ".join(x)) for d, x in rows], "doc_id long, text string")
+    got = substring_dedup.dedup_substrings(docs, span=span).collect()
+    assert sorted((str(x.doc_id), x.kept_text) for x in got) == sorted(want)
+
+
 def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(3)
     shared = rng.integers(0, 9, 120)
