@@ -70,19 +70,20 @@ def leaks(
     words are one window, of fewer than ``least_words`` are never found. ``n_slots`` are the item's words
     behind placeholders in the matched windows, ``n_changed`` those that the document has otherwise; a
     match in which one of them stands for several words of the document counts only as far as its windows
-    without placeholders go. Null texts and ids are found nowhere; repeated rows count once."""
+    without placeholders go. Null texts and ids are found nowhere; repeated rows count once.
+    Several texts of one item are looked for one by one, and the one with the most coverage is given."""
     items = cut(
-        benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("t")).filter("item is not null")
-        .select("item", F.transform(raw_words(F.col("t")), lambda w: F.lower(_plain(w))).alias("i_raw"), canonical_words(F.col("t")).alias("i_words"))
+        benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("t")).filter("item is not null").distinct()
+        .select("item", F.xxhash64("t").alias("th"), F.transform(raw_words(F.col("t")), lambda w: F.lower(_plain(w))).alias("i_raw"), canonical_words(F.col("t")).alias("i_words"))
         .withColumn("size", F.least(F.size("i_words"), F.lit(size))).filter(F.col("size") >= least_words)
     )
     literal = F.size(F.filter(F.slice("i_words", F.col("w.at") + 1, F.col("size")), lambda w: ~w.contains("<")))
     filed = cut(
         items.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.size("i_words") - F.col("size") + 1), lambda i: F.struct(F.xxhash64(F.slice("i_words", i, F.col("size"))).alias("hash"), (i - 1).alias("at")))).alias("w"))
         .filter(literal * 10 >= F.col("size") * 6)
-        .select("item", "size", F.col("w.hash").alias("hash"), F.col("w.at").alias("i_at"), (literal < F.col("size")).alias("slotted"))
+        .select("item", "th", "size", F.col("w.hash").alias("hash"), F.col("w.at").alias("i_at"), (literal < F.col("size")).alias("slotted"))
     )
-    filed = filed.join(filed.groupBy("item").agg(F.count("*").alias("of")), "item")
+    filed = filed.join(filed.groupBy("item", "th").agg(F.countDistinct("i_at").alias("of")), ["item", "th"])
     filed = cut(filed)
     small = filed.count() <= SENT
     sizes = [r["size"] for r in filed.select("size").distinct().collect()] or [size]  # size - least_words + 1 values at most
@@ -91,11 +92,11 @@ def leaks(
     for s in sorted(sizes):
         mine = filed.filter(F.col("size") == s).drop("size")
         looked = worded.select("doc", F.inline(windows(F.col("words"), s))).withColumnRenamed("at", "d_at")
-        hit = looked.join(F.broadcast(mine) if small else mine, "hash").select("doc", "item", "of", "d_at", "i_at", "slotted", F.lit(s).alias("size"))
+        hit = looked.join(F.broadcast(mine) if small else mine, "hash").select("doc", "item", "th", "of", "d_at", "i_at", "slotted", F.lit(s).alias("size"))
         found = hit if found is None else found.unionByName(hit)
     found = cut(found.distinct())
-    enough = found.groupBy("doc", "item").agg(F.countDistinct("i_at").alias("n"), F.first("of").alias("of")).filter(F.col("n") >= F.col("of") * share).select("doc", "item")
-    likely = cut(found.join(enough, ["doc", "item"]).withColumn("shift", F.col("d_at") - F.col("i_at")))
+    enough = found.groupBy("doc", "item", "th").agg(F.countDistinct("i_at").alias("n"), F.first("of").alias("of")).filter(F.col("n") >= F.col("of") * share).select("doc", "item", "th")
+    likely = cut(found.join(enough, ["doc", "item", "th"]).withColumn("shift", F.col("d_at") - F.col("i_at")))
 
     slotted = likely.filter("slotted")
     ids = cut(slotted.select("doc").distinct())
@@ -104,17 +105,19 @@ def leaks(
     texts = texts.select("doc", F.transform(raw_words(F.col("t")), lambda w: F.lower(_plain(w))).alias("d_raw"))
     at = F.explode(F.filter(F.sequence(F.col("i_at"), F.col("i_at") + F.col("size") - 1), lambda i: F.get("i_words", i).contains("<")))
     slots = (
-        slotted.select("doc", "item", "shift", "i_at", "size").join(items.select("item", "i_words", "i_raw"), "item")
-        .select("doc", "item", "shift", "i_raw", at.alias("i")).distinct()
+        slotted.select("doc", "item", "th", "shift", "i_at", "size").join(items.select("item", "th", "i_words", "i_raw"), ["item", "th"])
+        .select("doc", "item", "th", "shift", "i_raw", at.alias("i")).distinct()
         .join(texts, "doc")
-        .select("doc", "item", "shift", F.get("i_raw", F.col("i")).alias("of_item"), F.get("d_raw", F.col("i") + F.col("shift")).alias("of_doc"))
-        .groupBy("doc", "item", "shift", "of_item").agg(F.countDistinct("of_doc").alias("kinds"), F.max((F.col("of_doc") != F.col("of_item")).cast("int")).alias("changed"))
-        .groupBy("doc", "item", "shift").agg(F.count("*").alias("n_slots"), F.sum("changed").alias("n_changed"), (F.max("kinds") == 1).alias("consistent"))
+        .select("doc", "item", "th", "shift", F.get("i_raw", F.col("i")).alias("of_item"), F.get("d_raw", F.col("i") + F.col("shift")).alias("of_doc"))
+        .groupBy("doc", "item", "th", "shift", "of_item").agg(F.countDistinct("of_doc").alias("kinds"), F.max((F.col("of_doc") != F.col("of_item")).cast("int")).alias("changed"))
+        .groupBy("doc", "item", "th", "shift").agg(F.count("*").alias("n_slots"), F.sum("changed").alias("n_changed"), (F.max("kinds") == 1).alias("consistent"))
     )
-    sound = likely.join(slots, ["doc", "item", "shift"], "left").filter(~F.col("slotted") | F.coalesce("consistent", F.lit(True)))
-    per_shift = sound.groupBy("doc", "item", "shift").agg(F.collect_set("i_at").alias("ats"), F.first("of").alias("of"), F.coalesce(F.max("n_slots"), F.lit(0)).alias("n_slots"), F.coalesce(F.max("n_changed"), F.lit(0)).alias("n_changed"))
-    judged = per_shift.select("doc", "item", "of", "n_slots", "n_changed", F.explode("ats").alias("i_at")).groupBy("doc", "item").agg(F.countDistinct("i_at").alias("n_windows"), F.first("of").alias("of"), F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed"))
-    return judged.filter(F.col("n_windows") >= F.col("of") * share).select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_windows", F.round(F.col("n_windows") / F.col("of"), 6).alias("coverage"), "n_slots", "n_changed")
+    sound = likely.join(slots, ["doc", "item", "th", "shift"], "left").filter(~F.col("slotted") | F.coalesce("consistent", F.lit(True)))
+    per_shift = sound.groupBy("doc", "item", "th", "shift").agg(F.collect_set("i_at").alias("ats"), F.first("of").alias("of"), F.coalesce(F.max("n_slots"), F.lit(0)).alias("n_slots"), F.coalesce(F.max("n_changed"), F.lit(0)).alias("n_changed"))
+    judged = per_shift.select("doc", "item", "th", "of", "n_slots", "n_changed", F.explode("ats").alias("i_at")).groupBy("doc", "item", "th").agg(F.countDistinct("i_at").alias("n_windows"), F.first("of").alias("of"), F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed"))
+    best = F.max(F.struct(F.round(F.col("n_windows") / F.col("of"), 6).alias("coverage"), "n_windows", "n_slots", "n_changed")).alias("b")
+    kept = judged.filter(F.col("n_windows") >= F.col("of") * share).groupBy("doc", "item").agg(best)
+    return kept.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "b.n_windows", "b.coverage", "b.n_slots", "b.n_changed")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:

@@ -161,6 +161,14 @@ def test_templates(spark):
     assert [(r.doc_id, r.n_changed) for r in leaks(docs, bench).collect()] == [(1, 2)]
 
 
+def test_repeated_items(spark):
+    first, second = ("the quick brown fox jumps over the lazy dog near a quiet river bank", " ".join(f"other{chr(97 + k)}" for k in range(20)))
+    docs = spark.createDataFrame([(1, f"as told here {first} and so on"), (2, f"then {second} again")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, first)] * 5 + [(2, first), (2, second), (2, " ".join(f"third{chr(97 + k)}" for k in range(20)))], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_windows, r.coverage) for r in leaks(docs, bench).collect())
+    assert got == [(1, 1, 7, 1.0), (1, 2, 7, 1.0), (2, 2, 13, 1.0)]
+
+
 def test_leaks_against_a_search(spark, sf_dir):
     got = {(r.doc_id, r.item_id) for r in op9_decontamination(spark, sf_dir).collect()}
     docs = {r.doc_id: " ".join(r.text.lower().split()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
