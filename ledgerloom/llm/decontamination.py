@@ -45,11 +45,26 @@ def canonical_words(text: Column) -> Column:
     return raw_words(_plain(t))
 
 
-def windows(words: Column, size: int) -> Column:
-    """array<struct<hash, at>>: each window of ``size`` words and its place, from 0."""
+def spaced(text: Column) -> Column:
+    """The text with each sign of a script without spaces between words as a word of its own."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\u0E00-\x{3FFFF}&&[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}]]", " $0 ")
+
+
+def literal_words(text: Column) -> Column:
+    """As many words as raw_words has, lower-cased and without punctuation behind them."""
+    return raw_words(_plain(F.lower(F.coalesce(text, F.lit("")))))
+
+
+def hashed(df: DataFrame) -> DataFrame:
+    """``df`` with ``c`` and ``r``, canonical and literal words, as arrays of hashes: equal where a word is literal."""
+    return df.withColumn("c", F.zip_with("c", "r", lambda c, r: F.when(c == r, F.xxhash64(r)).otherwise(F.xxhash64(c, F.lit(1))))).withColumn("r", F.transform("r", lambda r: F.xxhash64(r)))
+
+
+def windows(words: str, size: int | Column) -> Column:
+    """array<hash>: each window of ``size`` words, in their order."""
     n = F.size(words) - size + 1
-    made = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.xxhash64(F.slice(words, i, size)).alias("hash"), (i - 1).alias("at")))
-    return F.when(n > 0, made).otherwise(F.array().cast("array<struct<hash:bigint,at:int>>"))
+    made = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(words, i, size)))
+    return F.when(n > 0, made).otherwise(F.array().cast("array<bigint>"))
 
 
 def leaks(
@@ -65,58 +80,65 @@ def leaks(
 ) -> DataFrame:
     """(id, item, n_windows, coverage, n_slots, n_changed) for each document and item that it leaks.
 
-    ``coverage`` is the share of the item's windows found in the document, at least ``share``; windows of
-    which fewer than 60 % are literal words say nothing and are left out. Items of fewer than ``size``
-    words are one window, of fewer than ``least_words`` are never found. ``n_slots`` are the item's words
-    behind placeholders in the matched windows, ``n_changed`` those that the document has otherwise; a
-    match in which one of them stands for several words of the document counts only as far as its windows
-    without placeholders go. Null texts and ids are found nowhere; repeated rows count once.
+    A window of the item is found verbatim, whatever its words, or as a template, if 60 % of its words at least
+    are literal. ``coverage`` is the share of the item's windows found, or that of those which can be found as
+    templates if it is greater, at least ``share``. Items of fewer than ``size`` words are one window, of fewer
+    than ``least_words`` are found verbatim only. In scripts without spaces each sign is a word. ``n_slots`` are
+    the item's words behind placeholders in the matched windows, ``n_changed`` those that the document has
+    otherwise; a match in which one of them stands for several words of the document counts only as far as its
+    verbatim windows go. Null texts and ids are found nowhere; repeated rows count once.
     Several texts of one item are looked for one by one, and the one with the most coverage is given."""
     items = cut(
         benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("t")).filter("item is not null").distinct()
-        .select("item", F.xxhash64("t").alias("th"), F.transform(raw_words(F.col("t")), lambda w: F.lower(_plain(w))).alias("i_raw"), canonical_words(F.col("t")).alias("i_words"))
-        .withColumn("size", F.least(F.size("i_words"), F.lit(size))).filter(F.col("size") >= least_words)
-    )
-    literal = F.size(F.filter(F.slice("i_words", F.col("w.at") + 1, F.col("size")), lambda w: ~w.contains("<")))
-    filed = cut(
-        items.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.size("i_words") - F.col("size") + 1), lambda i: F.struct(F.xxhash64(F.slice("i_words", i, F.col("size"))).alias("hash"), (i - 1).alias("at")))).alias("w"))
-        .filter(literal * 10 >= F.col("size") * 6)
-        .select("item", "th", "size", F.col("w.hash").alias("hash"), F.col("w.at").alias("i_at"), (literal < F.col("size")).alias("slotted"))
+        .withColumn("s", spaced(F.col("t")))
+        .select("item", F.xxhash64("t").alias("th"), literal_words(F.col("s")).alias("i_raw"), canonical_words(F.col("s")).alias("i_words"))
+        .withColumn("size", F.least(F.size("i_words"), F.lit(size))).filter("size > 0")
+        .withColumn("slot", F.zip_with("i_words", "i_raw", lambda c, r: c != r))
     )
-    filed = filed.join(filed.groupBy("item", "th").agg(F.countDistinct("i_at").alias("of")), ["item", "th"])
-    filed = cut(filed)
+    made = hashed(items.withColumn("c", F.col("i_words")).withColumn("r", F.col("i_raw"))).select("item", "th", "size", "slot", F.posexplode(F.arrays_zip(windows("c", F.col("size")).alias("c"), windows("r", F.col("size")).alias("r"))).alias("i_at", "w"))
+    literal = F.col("size") - F.size(F.filter(F.slice("slot", F.col("i_at") + 1, F.col("size")), lambda x: x))
+    made = made.select("item", "th", "size", "i_at", "w", (literal < F.col("size")).alias("slotted"), ((literal * 10 >= F.col("size") * 6) & ((F.col("size") >= least_words) | (literal == F.col("size")))).alias("open"))
+    ways = F.filter(F.array(F.struct(F.col("w.r").alias("hash"), F.lit(True).alias("verbatim")), F.struct(F.col("w.c").alias("hash"), F.lit(False).alias("verbatim"))), lambda x: x.verbatim | (F.col("slotted") & F.col("open")))
+    filed = made.select("item", "th", "size", "i_at", "slotted", "open", F.inline(ways))
+    whole = made.groupBy("item", "th").agg(F.count("*").alias("of"), F.sum(F.col("open").cast("int")).alias("of_open"))
+    filed = cut(filed.join(whole, ["item", "th"]))
     small = filed.count() <= SENT
-    sizes = [r["size"] for r in filed.select("size").distinct().collect()] or [size]  # size - least_words + 1 values at most
-    worded = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), canonical_words(F.col(text_col)).alias("words"))
+    sizes = [r["size"] for r in filed.select("size").distinct().collect()] or [size]  # as many values as ``size`` at most
+    worded = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), spaced(F.col(text_col)).alias("s"))
+    worded = hashed(worded.select("doc", canonical_words(F.col("s")).alias("c"), literal_words(F.col("s")).alias("r")))
     found = None
     for s in sorted(sizes):
         mine = filed.filter(F.col("size") == s).drop("size")
-        looked = worded.select("doc", F.inline(windows(F.col("words"), s))).withColumnRenamed("at", "d_at")
-        hit = looked.join(F.broadcast(mine) if small else mine, "hash").select("doc", "item", "th", "of", "d_at", "i_at", "slotted", F.lit(s).alias("size"))
+        looked = worded.select("doc", F.posexplode(F.arrays_zip(windows("c", s).alias("c"), windows("r", s).alias("r"))).alias("d_at", "w"))
+        looked = looked.select("doc", "d_at", F.explode(F.when(F.col("w.c") == F.col("w.r"), F.array("w.r")).otherwise(F.array("w.c", "w.r"))).alias("hash"))
+        hit = looked.join(F.broadcast(mine) if small else mine, "hash").select("doc", "item", "th", "of", "of_open", "d_at", "i_at", "slotted", "open", "verbatim", F.lit(s).alias("size"))
         found = hit if found is None else found.unionByName(hit)
-    found = cut(found.distinct())
-    enough = found.groupBy("doc", "item", "th").agg(F.countDistinct("i_at").alias("n"), F.first("of").alias("of")).filter(F.col("n") >= F.col("of") * share).select("doc", "item", "th")
-    likely = cut(found.join(enough, ["doc", "item", "th"]).withColumn("shift", F.col("d_at") - F.col("i_at")))
+    found = found.groupBy("doc", "item", "th", "of", "of_open", "d_at", "i_at", "slotted", "open", "size").agg(F.max("verbatim").alias("verbatim"))
+    found = cut(found.withColumn("shift", F.col("d_at") - F.col("i_at")))
+    key, at_shift = ["doc", "item", "th"], ["doc", "item", "th", "shift"]
+    counts = [F.countDistinct("i_at").alias("n_windows"), F.countDistinct(F.when(F.col("open"), F.col("i_at"))).alias("n_open"), F.first("of").alias("of"), F.first("of_open").alias("of_open")]
+    coverage = F.greatest(F.col("n_windows") / F.col("of"), F.when(F.col("of_open") > 0, F.col("n_open") / F.col("of_open")).otherwise(0.0))
+    enough = coverage >= share
+    likely = cut(found.join(found.groupBy(*key).agg(*counts).filter(enough).select(*key), key))
 
     slotted = likely.filter("slotted")
     ids = cut(slotted.select("doc").distinct())
     few = F.broadcast(ids) if ids.count() <= SENT else ids
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t")).join(few, "doc", "left_semi")
-    texts = texts.select("doc", F.transform(raw_words(F.col("t")), lambda w: F.lower(_plain(w))).alias("d_raw"))
-    at = F.explode(F.filter(F.sequence(F.col("i_at"), F.col("i_at") + F.col("size") - 1), lambda i: F.get("i_words", i).contains("<")))
+    texts = texts.select("doc", literal_words(spaced(F.col("t"))).alias("d_raw"))
+    at = F.explode(F.filter(F.sequence(F.col("i_at"), F.col("i_at") + F.col("size") - 1), lambda i: F.get("slot", i)))
     slots = (
-        slotted.select("doc", "item", "th", "shift", "i_at", "size").join(items.select("item", "th", "i_words", "i_raw"), ["item", "th"])
-        .select("doc", "item", "th", "shift", "i_raw", at.alias("i")).distinct()
+        slotted.select(*at_shift, "i_at", "size").join(items.select("item", "th", "slot", "i_raw"), ["item", "th"])
+        .select(*at_shift, "i_raw", at.alias("i")).distinct()
         .join(texts, "doc")
-        .select("doc", "item", "th", "shift", F.get("i_raw", F.col("i")).alias("of_item"), F.get("d_raw", F.col("i") + F.col("shift")).alias("of_doc"))
-        .groupBy("doc", "item", "th", "shift", "of_item").agg(F.countDistinct("of_doc").alias("kinds"), F.max((F.col("of_doc") != F.col("of_item")).cast("int")).alias("changed"))
-        .groupBy("doc", "item", "th", "shift").agg(F.count("*").alias("n_slots"), F.sum("changed").alias("n_changed"), (F.max("kinds") == 1).alias("consistent"))
+        .select(*at_shift, "i", F.get("i_raw", F.col("i")).alias("of_item"), F.get("d_raw", F.col("i") + F.col("shift")).alias("of_doc"))
+        .groupBy(*at_shift, "of_item").agg(F.countDistinct("of_doc").alias("kinds"), F.max((F.col("of_doc") != F.col("of_item")).cast("int")).alias("changed"))
+        .groupBy(*at_shift).agg(F.count("*").alias("n_slots"), F.sum("changed").alias("n_changed"), (F.max("kinds") == 1).alias("consistent"))
     )
-    sound = likely.join(slots, ["doc", "item", "th", "shift"], "left").filter(~F.col("slotted") | F.coalesce("consistent", F.lit(True)))
-    per_shift = sound.groupBy("doc", "item", "th", "shift").agg(F.collect_set("i_at").alias("ats"), F.first("of").alias("of"), F.coalesce(F.max("n_slots"), F.lit(0)).alias("n_slots"), F.coalesce(F.max("n_changed"), F.lit(0)).alias("n_changed"))
-    judged = per_shift.select("doc", "item", "th", "of", "n_slots", "n_changed", F.explode("ats").alias("i_at")).groupBy("doc", "item", "th").agg(F.countDistinct("i_at").alias("n_windows"), F.first("of").alias("of"), F.max("n_slots").alias("n_slots"), F.max("n_changed").alias("n_changed"))
-    best = F.max(F.struct(F.round(F.col("n_windows") / F.col("of"), 6).alias("coverage"), "n_windows", "n_slots", "n_changed")).alias("b")
-    kept = judged.filter(F.col("n_windows") >= F.col("of") * share).groupBy("doc", "item").agg(best)
+    sound = likely.join(slots, at_shift, "left").filter(F.col("verbatim") | F.coalesce("consistent", F.lit(True)))
+    judged = sound.groupBy(*key).agg(*counts, F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"), F.max(F.coalesce("n_changed", F.lit(0))).alias("n_changed"))
+    best = F.max(F.struct(F.round(coverage, 6).alias("coverage"), "n_windows", "n_slots", "n_changed")).alias("b")
+    kept = judged.filter(enough).groupBy("doc", "item").agg(best)
     return kept.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "b.n_windows", "b.coverage", "b.n_slots", "b.n_changed")
 
 

@@ -169,6 +169,16 @@ def test_repeated_items(spark):
     assert got == [(1, 1, 7, 1.0), (1, 2, 7, 1.0), (2, 2, 13, 1.0)]
 
 
+def test_verbatim_items_of_any_words(spark):
+    items = [
+        (1, "1, 2, 4, 8, 16, 32, 64, 128: what comes next?"), (2, "zeta quotient lemma"), (3, "日本の首都はどこですか教えてください"),
+        (4, "if <a> and <b> or <c> then <d> else <e> end of <f> here"), (5, "not in any of these documents at all, is it"),
+    ]
+    docs = spark.createDataFrame([(i, f"it was said that {t} by all of them") for i, t in items[:2]] + [(3, "問題。日本の首都はどこですか教えてください。以上"), (4, f"code: {items[3][1]} and more"), (6, "1, 2, 3, 5, 8, 13, 21, 34: what is this?")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.coverage) for r in leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (4, 4, 1.0)]
+
+
 def test_leaks_against_a_search(spark, sf_dir):
     got = {(r.doc_id, r.item_id) for r in op9_decontamination(spark, sf_dir).collect()}
     docs = {r.doc_id: " ".join(r.text.lower().split()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
