@@ -77,12 +77,13 @@ def leaks(
     size: int = 8,
     least_words: int = 4,
     share: float = 0.3,
+    run: int = 13,
 ) -> DataFrame:
     """(id, item, n_windows, coverage, n_slots, n_changed) for each document and item that it leaks.
 
     A window of the item is found verbatim, whatever its words, or as a template, if 60 % of its words at least
     are literal. ``coverage`` is the share of the item's windows found, or that of those which can be found as
-    templates if it is greater, at least ``share``. Items of fewer than ``size`` words are one window, of fewer
+    templates if it is greater, at least ``share``, or less where ``run`` words on end are found verbatim. Items of fewer than ``size`` words are one window, of fewer
     than ``least_words`` are found verbatim only. In scripts without spaces each sign is a word. ``n_slots`` are
     the item's words behind placeholders in the matched windows, ``n_changed`` those that the document has
     otherwise; a match in which one of them stands for several words of the document counts only as far as its
@@ -119,7 +120,10 @@ def leaks(
     counts = [F.countDistinct("i_at").alias("n_windows"), F.countDistinct(F.when(F.col("open"), F.col("i_at"))).alias("n_open"), F.first("of").alias("of"), F.first("of_open").alias("of_open")]
     coverage = F.greatest(F.col("n_windows") / F.col("of"), F.when(F.col("of_open") > 0, F.col("n_open") / F.col("of_open")).otherwise(0.0))
     enough = coverage >= share
-    likely = cut(found.join(found.groupBy(*key).agg(*counts).filter(enough).select(*key), key))
+    need = F.greatest(F.lit(run) - F.col("size") + 1, F.lit(1))
+    on_end = F.exists(F.transform("ats", lambda x, k: F.get("ats", k + need - 1) - x == need - 1), lambda v: F.coalesce(v, F.lit(False)))
+    runs = cut(found.filter("verbatim").groupBy(*at_shift, "size").agg(F.sort_array(F.collect_set("i_at")).alias("ats")).filter(on_end).select(*key).distinct())
+    likely = cut(found.join(found.groupBy(*key).agg(*counts).filter(enough).select(*key).union(runs).distinct(), key))
 
     slotted = likely.filter("slotted")
     ids = cut(slotted.select("doc").distinct())
@@ -138,7 +142,7 @@ def leaks(
     sound = likely.join(slots, at_shift, "left").filter(F.col("verbatim") | F.coalesce("consistent", F.lit(True)))
     judged = sound.groupBy(*key).agg(*counts, F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"), F.max(F.coalesce("n_changed", F.lit(0))).alias("n_changed"))
     best = F.max(F.struct(F.round(coverage, 6).alias("coverage"), "n_windows", "n_slots", "n_changed")).alias("b")
-    kept = judged.filter(enough).groupBy("doc", "item").agg(best)
+    kept = judged.join(runs.withColumn("run", F.lit(True)), key, "left").filter(enough | F.col("run")).groupBy("doc", "item").agg(best)
     return kept.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "b.n_windows", "b.coverage", "b.n_slots", "b.n_changed")
 
 

@@ -179,6 +179,13 @@ def test_verbatim_items_of_any_words(spark):
     assert got == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (4, 4, 1.0)]
 
 
+def test_passages_of_long_items(spark):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(400)]
+    docs = spark.createDataFrame([(1, "as in " + " ".join(words[150:250]) + " it says"), (2, "as in " + " ".join(words[7:20]) + " it says"), (3, "as in " + " ".join(words[7:19]) + " it says")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_windows, r.coverage) for r in leaks(docs, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect())
+    assert got == [(1, 93, round(93 / 393, 6)), (2, 6, round(6 / 393, 6))]
+
+
 def test_leaks_against_a_search(spark, sf_dir):
     got = {(r.doc_id, r.item_id) for r in op9_decontamination(spark, sf_dir).collect()}
     docs = {r.doc_id: " ".join(r.text.lower().split()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
