@@ -86,8 +86,8 @@ def leaks(
     templates if it is greater, at least ``share``, or less where ``run`` words on end are found verbatim. Items of fewer than ``size`` words are one window, of fewer
     than ``least_words`` are found verbatim only. In scripts without spaces each sign is a word. ``n_slots`` are
     the item's words behind placeholders in the matched windows, ``n_changed`` those that the document has
-    otherwise; a match in which one of them stands for several words of the document counts only as far as its
-    verbatim windows go. Null texts and ids are found nowhere; repeated rows count once.
+    otherwise; where one of them stands for several words of the document, a match counts without the windows that
+    hold it, other than verbatim ones. Null texts and ids are found nowhere; repeated rows count once.
     Several texts of one item are looked for one by one, and the one with the most coverage is given."""
     items = cut(
         benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("t")).filter("item is not null").distinct()
@@ -136,11 +136,16 @@ def leaks(
         .select(*at_shift, "i_raw", at.alias("i")).distinct()
         .join(texts, "doc")
         .select(*at_shift, "i", F.get("i_raw", F.col("i")).alias("of_item"), F.get("d_raw", F.col("i") + F.col("shift")).alias("of_doc"))
-        .groupBy(*at_shift, "of_item").agg(F.countDistinct("of_doc").alias("kinds"), F.max((F.col("of_doc") != F.col("of_item")).cast("int")).alias("changed"))
-        .groupBy(*at_shift).agg(F.count("*").alias("n_slots"), F.sum("changed").alias("n_changed"), (F.max("kinds") == 1).alias("consistent"))
+        .groupBy(*at_shift, "of_item").agg(F.countDistinct("of_doc").alias("kinds"), F.max((F.col("of_doc") != F.col("of_item")).cast("int")).alias("changed"), F.collect_set("i").alias("places"))
+        .groupBy(*at_shift).agg(F.collect_list(F.when(F.col("kinds") == 1, F.struct("places", "changed"))).alias("good"), F.flatten(F.collect_list(F.when(F.col("kinds") > 1, F.col("places")))).alias("bad"))
     )
-    sound = likely.join(slots, at_shift, "left").filter(F.col("verbatim") | F.coalesce("consistent", F.lit(True)))
-    judged = sound.groupBy(*key).agg(*counts, F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"), F.max(F.coalesce("n_changed", F.lit(0))).alias("n_changed"))
+    void = F.coalesce(F.exists("bad", lambda i: (i >= F.col("i_at")) & (i < F.col("i_at") + F.col("size"))), F.lit(False))
+    sound = likely.join(slots, at_shift, "left").filter(F.col("verbatim") | ~void)
+    reached = F.array_distinct(F.flatten(F.transform(F.collect_set("i_at"), lambda x: F.sequence(x, x + F.first("size") - 1))))
+    per_shift = sound.groupBy(*at_shift).agg(reached.alias("reached"), F.first("good").alias("good"))
+    seen = F.filter("good", lambda g: F.arrays_overlap(g.places, "reached"))
+    per_shift = per_shift.select(*key, seen.alias("seen")).groupBy(*key).agg(F.max(F.coalesce(F.size("seen"), F.lit(0)).cast("long")).alias("n_slots"), F.max(F.coalesce(F.size(F.filter("seen", lambda g: g.changed == 1)), F.lit(0)).cast("long")).alias("n_changed"))
+    judged = sound.groupBy(*key).agg(*counts).join(per_shift, key)
     best = F.max(F.struct(F.round(coverage, 6).alias("coverage"), "n_windows", "n_slots", "n_changed")).alias("b")
     kept = judged.join(runs.withColumn("run", F.lit(True)), key, "left").filter(enough | F.col("run")).groupBy("doc", "item").agg(best)
     return kept.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "b.n_windows", "b.coverage", "b.n_slots", "b.n_changed")

@@ -186,6 +186,16 @@ def test_passages_of_long_items(spark):
     assert got == [(1, 93, round(93 / 393, 6)), (2, 6, round(6 / 393, 6))]
 
 
+def test_one_slot_for_two_words(spark):
+    def text(numbers):
+        return " ".join(f"w{chr(97 + k)}x w{chr(97 + k)}y w{chr(97 + k)}z {n}" for k, n in enumerate(numbers))
+
+    docs = spark.createDataFrame([(1, text([*range(31, 41), 7, 9])), (2, text([*range(31, 41), 7, 7]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, text([*range(11, 21), 5, 5]))], "item_id long, text string")
+    got = sorted((r.doc_id, r.n_windows, r.n_slots, r.n_changed) for r in leaks(docs, bench).collect())
+    assert got == [(1, 36, 10, 10), (2, 41, 11, 11)]
+
+
 def test_leaks_against_a_search(spark, sf_dir):
     got = {(r.doc_id, r.item_id) for r in op9_decontamination(spark, sf_dir).collect()}
     docs = {r.doc_id: " ".join(r.text.lower().split()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
