@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,12 +23,16 @@ NULL_ID = 9223372036854775807
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a folder of our own will do if driver and executors are one process; on a cluster it is
+    an error, as executors would each write to disks of their own."""
     sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if at is None:
-        known = sc.getCheckpointDir()
-        at = known or tempfile.mkdtemp(prefix="ledgerloom-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="ledgerloom-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(at)
     return at
@@ -44,6 +49,45 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours wherever it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Tables of one run, written to the shared folder and read from there; all are deleted at the end.
+
+    What is handed on from the run must not read them: give it away by ``cut``."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.root, self.made, self.paths = spark, scratch_path(spark, name), 0, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        remove(self.spark, self.root)
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` as Parquet and go on from there."""
+        self.made += 1
+        path = f"{self.root}/{self.made}"
+        df.write.parquet(path)
+        written = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(written)] = path
+        return written
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no later step reads."""
+        for t in tables:
+            remove(self.spark, self.paths[id(t)])
+
+
+def id_type(docs: DataFrame, id_col: str) -> str:
+    return docs.schema[id_col].dataType.simpleString()
+
+
 def lower_az(col: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(col, _UPPER, _UPPER.lower())
@@ -53,8 +97,22 @@ def strip_ws(col: Column) -> Column:
     return F.trim(col, F.lit(WS_CHARS))
 
 
-def order_id(col: Column) -> Column:
-    return F.coalesce(col.cast("long"), F.lit(NULL_ID))
+def order_id(docs: DataFrame, id_col: str) -> Column:
+    """The id as a long in which a null comes last. Ids that are no whole numbers raise a TypeError."""
+    if id_type(docs, id_col) not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"{id_col} is {id_type(docs, id_col)}; ids must be whole numbers")
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, changed until no column of ``docs`` has them."""
+    taken, found = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

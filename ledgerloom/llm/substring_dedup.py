@@ -312,7 +312,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``span`` is 16 to 62 words. A null or blank text has no words. Rows of equal id count as one document, so
     they remove nothing from each other; rows with a null id count as one last document. An empty table gives
     no rows; all other columns are handed on, but columns of the three new names are replaced."""
-    keyed = docs.withColumn("_doc", order_id(F.col(id_col))).withColumn("_th", F.xxhash64(text_col))
+    keyed = docs.withColumn("_doc", order_id(docs, id_col)).withColumn("_th", F.xxhash64(text_col))
     base = keyed.select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), F.col(text_col).alias("text"))
     spans = earlier_spans(base, span).groupBy("doc", "th").agg(F.collect_list("first").alias("_firsts"), F.collect_list("n").alias("_counts"))
     joined = keyed.join(spans.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), "_firsts", "_counts"), ["_doc", "_th"], "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -10,8 +11,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from ledgerloom.llm import bpe, near_dedup, quality_classifier, substring_dedup, suffix_dedup
+from ledgerloom.llm import bpe, line_dedup, near_dedup, quality_classifier, substring_dedup, suffix_dedup
 from ledgerloom.llm.anchors import blocks
+from ledgerloom.llm.common import Scratch
 from ledgerloom.llm.decontamination import leaks
 from ledgerloom.llm.queries import op8_quality_classifier, op9_decontamination, op10_url_filters, tokenizer_path
 from ledgerloom.llm.substring_dedup import earlier_windows
@@ -144,15 +146,120 @@ def test_components(spark):
     for _ in range(60):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
-    got = {r.id: r.component for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    with Scratch(spark, "test") as s:
+        got = {r.id: r.component for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long"), s).collect()}
     assert got == {x: root[x] for e in edges if e[0] != e[1] for x in e}
 
 
-def test_common_shingles():
+def test_shared_counts():
     rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 300, 80).astype(np.uint64)) for _ in range(6)]
-    got = near_dedup.common_shingles(sets)
-    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(6) for j in range(6) if i != j)
+    base = rng.integers(0, 1 << 40, 80)
+    sets = [np.unique(np.concatenate([rng.choice(base, 60), rng.integers(0, 300, 20)]).astype(np.uint64)) for _ in range(9)]
+    counts = near_dedup.shared_counts(sets)
+    assert all(counts(i)[j] == len(np.intersect1d(sets[i], sets[j])) for i in range(9) for j in range(9) if i != j)
+
+
+def near_corpus() -> list[tuple[int, str | None]]:
+    """A large group of near copies of one text, some beyond the threshold, smaller groups, and texts of their own."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    rows, base = [], [rng.choice(words) for _ in range(150)]
+    for i in range(140):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4, 6, 9])):
+            copy[rng.randrange(150)] = f"new{rng.randrange(9999)}"
+        rows.append(" ".join(copy))
+    for _ in range(12):
+        small = [rng.choice(words) for _ in range(rng.choice([3, 40, 90]))]
+        rows += [" ".join(small), " ".join([*small, "more"]), " ".join(small[1:])]
+    rows += [None, "", "one"]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def near_components(rows: list[tuple[int, str | None]], percent: int) -> dict[int, int]:
+    sets = {i: set(near_dedup.shingles((t or "").encode(), 5, {}).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in range(a + 1, len(rows)):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize(("errors", "percent", "blocks"), [(0, 85, None), (1, 85, None), (1, 80, (16, 1500)), (2, 85, (16, 1500))])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, errors, percent, blocks):
+    if blocks:
+        monkeypatch.setattr(near_dedup, "SIGNATURES", blocks[0])
+        monkeypatch.setattr(near_dedup, "SHINGLES", blocks[1])
+    rows = near_corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, percent=percent, errors=errors).collect()}
+    assert got == near_components(rows, percent)
+
+
+def test_near_duplicates_without_broadcast_and_with_text_ids(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "IDS_SENT", 0)
+    rows = near_corpus()
+    docs = spark.createDataFrame([(f"{i:04}", t) for i, t in rows], "doc_id string, text string")
+    got = {int(r.doc_id): int(r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == near_components(rows, 85)
+
+
+def test_radius_and_chunks():
+    for percent in (50, 80, 85, 95):
+        r = near_dedup.radius_for(percent)
+        differs = 1 - percent / 100
+        beyond = sum(math.comb(96, k) * differs**k * (1 - differs) ** (96 - k) for k in range(r + 1, 97))
+        assert beyond <= near_dedup.LOSS < beyond + math.comb(96, r) * differs**r * (1 - differs) ** (96 - r)
+        for errors in (0, 1, 2):
+            chunks = near_dedup.chunk_symbols(r, errors)
+            assert sorted(sum(chunks, [])) == list(range(96))
+            assert len(chunks) * (errors + 1) > r
+
+
+def test_line_runs_are_sorted_and_can_be_opened_again(spark, tmp_path):
+    def batch(rows):
+        return spark.createDataFrame(rows, "doc_id long, text string")
+
+    folder = f"{tmp_path}/runs"
+    first = batch([(1, "the first line\nof one here"), (2, "the first line\nanother one")])
+    runs = line_dedup.LineRuns(spark, buckets=3, fanout=2, folder=folder)
+    assert {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(first, batches=2, runs=runs).collect()} == {1: 0, 2: 1}
+    again = line_dedup.LineRuns(spark, folder=folder)
+    assert again.buckets == 3
+    assert sum(run.count() for run in again.runs()) == 3
+    second = batch([(0, "The first line\nnew in two  "), (5, "new in two of it\nanother one"), (6, "new in two")])
+    assert {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(second, batches=1, runs=again).collect()} == {0: 1, 5: 1, 6: 1}
+    third = line_dedup.LineRuns(spark, folder=folder)
+    assert sum(run.count() for run in third.runs()) == 5
+    own = spark.createDataFrame([(1, 2)], "h1 long, h2 long")
+    with line_dedup._in_bucket_order(spark):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = own.join(third.runs()[0], ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1
+    assert plan.count("Sort [") == 1
+    third.drop()
+
+
+def test_lines_against_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(rng.randrange(40), "\n".join(rng.choice([" Common line of all ", "rare line %d" % rng.randrange(30), "short", ""]) for _ in range(6))) for _ in range(60)]
+    first = {}
+    for i, t in sorted(rows):
+        for x in t.split("\n"):
+            first.setdefault(x.strip().lower(), i)
+    want = sorted((i, "\n".join(x for x in t.split("\n") if len(x.strip()) < 10 or first[x.strip().lower()] == i)) for i, t in rows)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), batches=5)
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == want
 
 
 def test_templates(spark):
