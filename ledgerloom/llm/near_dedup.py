@@ -1,35 +1,41 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
-A document's signature has ``hashes`` symbols of 16 bits, one from each minimum over its shingles. Two
-signatures within ``radius`` unequal symbols agree, by the pigeonhole principle, in one of ``chunks``
-chunks up to radius // chunks symbols: each chunk is filed under all its keys with that many symbols
-left out, so every pair within the radius meets under a key. Links are confirmed on full shingle sets.
-
-A key's documents are not paired with each other. First each meets the key's first document; where all
-of a key's documents are then in one component, nothing is left to find there. In the other keys, only
-pairs over a border of components are looked at, and the largest component of a key is only searched
-for partners of the others. Keys of more than ``TILED`` documents are not joined pair by pair: all keys with
-one first document make a group, the group is cut into blocks, and each two blocks meet with their full
-sets in a task, which returns only links that join components. No pair that could join two components is
-left out.
+A document's signature has ``HASHES`` symbols of 16 bits, one from each minimum over its shingles. The
+radius is the number of unequal symbols that a pair at the threshold exceeds with a probability of at most
+``loss``. A signature is split into chunks, so many that two signatures within the radius have, by the
+pigeonhole principle, a chunk with no more than ``errors`` unequal symbols. Each chunk is filed under every
+key that leaves ``errors`` of its symbols out, so each pair within the radius meets under a key.
+
+A key's documents are not paired with each other. The document that shares most keys with most others is
+the key's hub; each document is first compared with its best hub, on signatures and then on full sets, and
+the links found make components. Where all of a key's documents are in one component nothing is left to
+find. The documents of the other keys meet, hub by hub, in tiles of two blocks of bounded size: first their
+signatures, which tell the documents with a partner within the radius in another component, then the full
+sets of these alone, as differences from what most of the tile shares. A tile returns no more than a forest
+of links. No pair that could join two components is left out, whatever the size of a key.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Scratch, cut, id_type
 
-HASHES, CHUNKS, RADIUS = 96, 32, 31
-#: Larger keys are compared in tiles of two blocks of about BLOCK documents.
-TILED, BLOCK = 64, 256
+HASHES = 96
+#: Symbols of a chunk that may differ.
+ERRORS = 1
+#: A pair at the threshold lies beyond the radius with this probability at most.
+LOSS = 1e-8
+#: Signatures and shingles of a block; a tile has two blocks.
+SIGNATURES, SHINGLES = 4096, 1_000_000
 #: Up to so many ids are broadcast; more are joined by a shuffle.
 IDS_SENT = 1_000_000
 
@@ -45,6 +51,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def radius_for(percent: int, loss: float = LOSS) -> int:
+    """The least radius that a pair of just this similarity exceeds with a probability of ``loss`` at most."""
+    differs, beyond = 1 - percent / 100, 0.0
+    for r in range(HASHES, 0, -1):
+        beyond += math.comb(HASHES, r) * differs**r * (1 - differs) ** (HASHES - r)
+        if beyond > loss:
+            return r
+    return 0
+
+
+def chunk_symbols(radius: int, errors: int) -> list[list[int]]:
+    """The symbols of each chunk: radius // (errors + 1) + 1 chunks, as equal in size as can be."""
+    chunks = radius // (errors + 1) + 1
+    cuts = [HASHES * i // chunks for i in range(chunks + 1)]
+    return [list(range(a, b)) for a, b in itertools.pairwise(cuts)]
+
+
+def chunk_keys(radius: int, errors: int) -> Column:
+    """The keys of a signature: each chunk with each choice of ``errors`` symbols left out."""
+    keys = []
+    for c, symbols in enumerate(chunk_symbols(radius, errors)):
+        for left_out in itertools.combinations(symbols, min(errors, len(symbols))):
+            kept = [F.substring("sig", 2 * i + 1, 2) for i in symbols if i not in left_out]
+            keys.append(F.xxhash64(F.lit(c), F.lit(",".join(map(str, left_out))), *kept))
+    return F.array(*keys)
+
+
 def shingles(text: bytes | None, size: int, known: dict[bytes, int]) -> np.ndarray:
     """The sorted distinct 64-bit shingles of a text; known: hashes of words met before."""
     words = text.lower().split() if text else []
@@ -84,13 +117,10 @@ def _each(size: int, make: Callable) -> Callable:
 
 
 def _signed(b: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
-    sig = [signature(s) if len(s) else None for s in sets]
-    bits = np.stack([np.packbits(x & 1, bitorder="little")[:12] if x is not None else np.zeros(12, np.uint8) for x in sig]) if sig else np.zeros((0, 12), np.uint8)
-    wide = np.concatenate([bits[:, :6], np.zeros((len(bits), 2), np.uint8), bits[:, 6:], np.zeros((len(bits), 2), np.uint8)], axis=1)
-    bit = np.ascontiguousarray(wide).view(np.int64).reshape(-1, 2)
     key = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-    cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array([x.tobytes() if x is not None else None for x in sig], pa.binary()), pa.array(bit[:, 0]), pa.array(bit[:, 1])]
-    return pa.RecordBatch.from_arrays(cols, ["id", "n", "set_key", "sig", "bits1", "bits2"])
+    sig = [signature(s).tobytes() if len(s) else None for s in sets]
+    cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, ["id", "n", "set_key", "sig"])
 
 
 def _as_sets(b: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -112,84 +142,29 @@ def _linked(percent: int) -> Callable:
     return run
 
 
-def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
-    """How many shingles each two sets share, as a matrix."""
-    n = len(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    _, ids, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    often = times > 1  # a shingle of one set is shared by none
-    place = np.cumsum(often) - 1
-    owner, ids = owner[often[ids]], place[ids[often[ids]]]
-    out = np.zeros((n, n), np.float32)
-    for lo in range(0, int(often.sum()), 4096):
-        part = np.zeros((n, 4096), np.float32)
-        here = (ids >= lo) & (ids < lo + 4096)
-        part[owner[here], ids[here] - lo] = 1
-        out += part @ part.T
-    return out.astype(np.int64)
-
-
-def tile_links(percent: int) -> Callable:
-    """Over one tile's rows (id, c, shingles): links that join components, no more than a forest of them."""
-
-    def run(key: tuple, tile: pa.Table) -> pa.Table:
-        ids, comps = tile.column("id").to_pylist(), tile.column("c").to_pylist()
-        links: list[tuple[int, int]] = []
-        if len(set(comps)) > 1:
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in tile.column("shingles")]
-            n = np.array([len(x) for x in sets])
-            both = common_shingles(sets)
-            close = 100 * both >= percent * (n[:, None] + n[None, :] - both)
-            _, c = np.unique(np.array(comps), return_inverse=True)
-            close &= c[:, None] < c[None, :]
-            root = list(range(int(c.max()) + 1))
-
-            def find(x: int) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            for i, j in np.argwhere(close).tolist():
-                a, b = find(int(c[i])), find(int(c[j]))
-                if a != b:
-                    root[b] = a
-                    links.append((ids[i], ids[j]))
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
-
-    return run
-
-
-def links_in_tiles(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) that join components within the groups of rows (head, id, c)."""
-    rows = cut(rows)
-    ids = rows.select("id").distinct()
-    wanted = F.broadcast(ids) if rows.count() <= IDS_SENT else ids
-    sets = docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_each(size, _as_sets), "id long, shingles binary")
-    blocks = rows.join(rows.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("of")), "head").withColumn("mine", F.pmod(F.hash("id"), F.col("of")))
-    # A block meets each other block, and itself in the tile with its next one (or alone, where it is the only one).
-    other = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda k: F.struct(F.least(F.col("mine"), k).alias("lo"), F.greatest(F.col("mine"), k).alias("hi")))
-    met = F.when(F.col("of") > 1, F.filter(other, lambda t: t["lo"] < t["hi"])).otherwise(other)
-    tiles = blocks.select("head", "id", "c", F.explode(met).alias("t")).select("head", "id", "c", "t.lo", "t.hi")
-    return tiles.join(sets, "id").select("head", "lo", "hi", "id", "c", "shingles").groupBy("head", "lo", "hi").applyInArrow(tile_links(percent), "a long, b long")
-
-
-def unequal_symbols(a: str, b: str) -> F.Column:
+def unequal_symbols(a: str, b: str) -> Column:
     parts = " + ".join(f"if(substring({a}, {2 * i + 1}, 2) = substring({b}, {2 * i + 1}, 2), 0, 1)" for i in range(HASHES))
     return F.expr(parts)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def wanted(ids: DataFrame) -> DataFrame:
+    """``ids`` to join with, broadcast if they are few."""
+    return F.broadcast(ids) if ids.count() <= IDS_SENT else ids
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, s: Scratch) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= IDS_SENT else ids
-    sets = cut(docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_each(size, _as_sets), "id long, shingles binary"))
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("p")), "a")
-    both = with_a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("q")), "b")
-    return both.select("a", "b", "p", "q").mapInArrow(_linked(percent), "a long, b long").distinct()
+    kind = id_type(docs, "id")
+    ids = s.table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    sets = s.table(docs.join(wanted(ids), "id", "left_semi").select("id", "text").mapInArrow(_each(size, _as_sets), f"id {kind}, shingles binary"))
+    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("q")), "b")
+    both = with_b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("p")), "a")
+    links = s.table(both.select("a", "b", "p", "q").mapInArrow(_linked(percent), f"a {kind}, b {kind}").distinct())
+    s.drop(ids, sets)
+    return links
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, s: Scratch) -> DataFrame:
     """(id, component) for every id of the edges (a, b): the smallest id that can be reached.
 
     Large-star and small-star rounds until nothing changes; each is two joins on the edges."""
@@ -197,30 +172,166 @@ def components(edges: DataFrame) -> DataFrame:
     def hashed(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
 
-    e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    e = s.table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     before = hashed(e)
     while before[0]:
         two_way = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = two_way.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        e = two_way.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
-        e = cut(e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        after = hashed(e)
+        large = two_way.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        now = s.table(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        s.drop(e)
+        e, after = now, hashed(now)
         if after == before:
             break
         before = after
-    return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    roots = e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+    return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def chunk_keys(chunks: int, radius: int) -> F.Column:
-    """The keys of a signature: each chunk with each choice of radius // chunks symbols left out."""
-    width, errors = HASHES // chunks, radius // chunks
-    keys = []
-    for c in range(chunks):
-        for left_out in itertools.combinations(range(width), errors):
-            kept = [F.substring("sig", 2 * (c * width + i) + 1, 2) for i in range(width) if i not in left_out]
-            keys.append(F.xxhash64(F.lit(c), F.lit(",".join(map(str, left_out))), *kept))
-    return F.array(*keys)
+def in_tiles(rows: DataFrame, weight: str, room: int, make: Callable, schema: str) -> DataFrame:
+    """make(ids, components, sizes, payloads) for every two blocks of each hub's rows (hub, id, c, n, payload).
+
+    A block holds rows of about ``room`` in all by ``weight``. A worker holds one tile at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+
+        def tile() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            ids, comps, sizes = (t.column(c) for c in ("id", "c", "n"))
+            _, colour = np.unique(np.array(comps.to_pylist()), return_inverse=True)
+            return make(ids, colour, sizes.to_numpy(), t.column("payload"))
+
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in ("hub", "lo", "hi")), strict=True))
+            start = 0
+            for i, k in enumerate(keys):
+                if k != key:
+                    if start < i:
+                        held.append(b.slice(start, i - start))
+                    if held:
+                        yield tile()
+                    held, key, start = [], k, i
+            held.append(b.slice(start))
+        if held:
+            yield tile()
+
+    of = rows.groupBy("hub").agg(F.ceil(F.sum(F.expr(weight)) / room).cast("int").alias("of"))
+    blocks = rows.join(of, "hub").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
+    # A block meets each other block; an only block meets itself.
+    other = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda k: F.struct(F.least(F.col("mine"), k).alias("lo"), F.greatest(F.col("mine"), k).alias("hi")))
+    met = F.when(F.col("of") > 1, F.filter(other, lambda t: t["lo"] < t["hi"])).otherwise(other)
+    tiles = blocks.withColumn("t", F.explode(met)).select("hub", "t.lo", "t.hi", "id", "c", "n", "payload")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiles.repartition(parts, "hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi").mapInArrow(run, schema)
+
+
+def main_colour(colour: np.ndarray) -> int:
+    return int(np.bincount(colour).argmax())
+
+
+def near_signatures(percent: int, radius: int) -> Callable:
+    """Over a tile of signatures: the ids that have a partner of another component within the radius."""
+
+    def make(ids: pa.ChunkedArray, colour: np.ndarray, sizes: np.ndarray, payload: pa.ChunkedArray) -> pa.RecordBatch:
+        sig = np.frombuffer(b"".join(payload.to_pylist()), np.uint16).reshape(-1, HASHES)
+        active = np.zeros(len(sig), bool)
+        for i in np.flatnonzero(colour != main_colour(colour)).tolist():
+            alike = (colour != colour[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+            other = np.flatnonzero(alike)
+            near = other[(sig[other] != sig[i]).sum(axis=1) <= radius]
+            active[near] = True
+            active[i] |= len(near) > 0
+        return pa.RecordBatch.from_arrays([ids.combine_chunks().filter(pa.array(active))], ["id"])
+
+    return make
+
+
+class Postings:
+    """Lists of rows by column, of (row, column) pairs in the order of rows."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, n_rows: int, n_cols: int) -> None:
+        self.n, self.cols = n_rows, cols
+        self.row_at = np.searchsorted(rows, np.arange(n_rows + 1))
+        self.rows = rows[np.argsort(cols, kind="stable")]
+        self.col_at = np.concatenate([[0], np.cumsum(np.bincount(cols, minlength=n_cols))])
+
+    def common(self, row: int) -> np.ndarray:
+        """How many columns each row shares with this one."""
+        mine = self.cols[self.row_at[row] : self.row_at[row + 1]]
+        at, count = self.col_at[mine], self.col_at[mine + 1] - self.col_at[mine]
+        places = np.repeat(at - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        return np.bincount(self.rows[places], minlength=self.n)
+
+
+def shared_counts(sets: list[np.ndarray]) -> Callable[[int], np.ndarray]:
+    """A function that gives, for a set's number, how many shingles it shares with each set.
+
+    Shingles that most sets have are counted by the sets that lack them."""
+    m, lens = len(sets), np.array([len(s) for s in sets])
+    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), lens)
+    most = 2 * times > m
+    base = np.cumsum(most) - 1
+    has = np.zeros((m, int(most.sum())), bool)
+    common = most[col]
+    has[row[common], base[col[common]]] = True
+    lack_row, lack_col = np.nonzero(~has)
+    lacking = Postings(lack_row, lack_col, m, has.shape[1])
+    lacks = np.bincount(lack_row, minlength=m)
+    rest = ~common & (times[col] > 1)  # a shingle of one set is shared by none
+    having = Postings(row[rest], col[rest], m, len(times))
+    return lambda i: has.shape[1] - lacks[i] - lacks + lacking.common(i) + having.common(i)
+
+
+def set_links(percent: int, kind: pa.DataType) -> Callable:
+    """Over a tile of full sets: links that join components, no more than a forest of them."""
+
+    def make(ids: pa.ChunkedArray, colour: np.ndarray, sizes: np.ndarray, payload: pa.ChunkedArray) -> pa.RecordBatch:
+        links: list[tuple[int, int]] = []
+        root = list(range(int(colour.max()) + 1))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        if len(root) > 1:
+            counts = shared_counts([np.frombuffer(x.as_buffer(), np.uint64) for x in payload])
+            parts = len(root)
+            for i in np.flatnonzero(colour != main_colour(colour)).tolist():
+                if parts == 1:
+                    break
+                both = counts(i)
+                close = (100 * both >= percent * (sizes + sizes[i] - both)) & (colour != colour[i])
+                for c, j in zip(*(x.tolist() for x in np.unique(np.where(close, colour, -1), return_index=True)), strict=True):
+                    if c >= 0 and find(c) != find(int(colour[i])):
+                        root[find(c)] = find(int(colour[i]))
+                        links.append((i, j))
+                        parts -= 1
+        named = ids.to_pylist()
+        return pa.RecordBatch.from_arrays([pa.array([named[i] for i, _ in links], kind), pa.array([named[j] for _, j in links], kind)], ["a", "b"])
+
+    return make
+
+
+def border_links(rows: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int, radius: int, s: Scratch) -> DataFrame:
+    """Links (a, b) that join components within each hub's rows (hub, id, c)."""
+    kind, arrow = id_type(docs, "id"), pa.int64()
+    rows = s.table(rows)
+    signed = rows.join(reps.select("id", "n", F.col("sig").alias("payload")), "id")
+    active = s.table(in_tiles(signed, "1", SIGNATURES, near_signatures(percent, radius), f"id {kind}").distinct())
+    sets = docs.join(wanted(active), "id", "left_semi").select("id", "text").mapInArrow(_each(size, _as_sets), f"id {kind}, shingles binary")
+    sets = s.table(sets.select("id", (F.octet_length("shingles") / 8).cast("long").alias("n"), F.col("shingles").alias("payload")))
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind)
+    found = in_tiles(rows.join(sets, "id"), "n", SHINGLES, set_links(percent, arrow), f"a {kind}, b {kind}")
+    links = s.table(found.distinct())
+    s.drop(rows, active, sets)
+    return links
 
 
 def near_duplicates(
@@ -229,48 +340,53 @@ def near_duplicates(
     text_col: str = "text",
     shingle: int = 5,
     percent: int = 85,
-    chunks: int = CHUNKS,
-    radius: int = RADIUS,
+    errors: int = ERRORS,
+    loss: float = LOSS,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; kept: its id is its component's smallest.
 
-    Words are lower-cased A-Z; fewer words than a shingle are one shingle. Texts that are null or have
-    no words are linked with nothing. Rows of equal id are one document; a row with a null id has a null
-    component and is kept. An empty table gives no rows; other columns are not looked at."""
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(base.mapInArrow(_each(shingle, _signed), "id long, n long, set_key binary, sig binary, bits1 long, bits2 long"))
-    groups = signed.filter("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bits1").alias("bits1"), F.first("bits2").alias("bits2"))
-    reps = cut(groups)
-    filed = reps.select("id", "n", "bits1", "bits2", F.explode(chunk_keys(chunks, radius)).alias("key"))
-    heads = reps.select("id", F.explode(chunk_keys(chunks, radius)).alias("key")).groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head < last").select("key", "head")
-    shared = cut(filed.join(heads, "key"))
-
-    near_size = F.expr(f"100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)")
-    near_bits = F.expr(f"bit_count(x_bits1 ^ y_bits1) + bit_count(x_bits2 ^ y_bits2) <= {radius}")  # never more than unequal symbols
-
-    def within(pairs: DataFrame) -> DataFrame:
-        one, two = (reps.select(F.col("id").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("n").alias(f"n_{s}")) for s in ("a", "b"))
-        close = pairs.join(one, "a").join(two, "b").filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").filter(unequal_symbols("sig_a", "sig_b") <= radius)
-        return cut(close.select("a", "b").distinct())
-
-    links = confirmed(within(shared.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()), base, shingle, percent)
-    links = cut(links)
-    found = components(links)
-
-    placed = shared.join(found.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    placed = cut(placed)
-    sides = placed.groupBy("key", "c").agg(F.count("*").alias("size"))
-    split = sides.groupBy("key").agg(F.count("*").alias("sides"), F.sum("size").alias("of"), F.max(F.struct("size", "c")).alias("main")).filter("sides > 1").select("key", "of", F.col("main.c").alias("main"))
-    split = cut(split)
-    x = placed.join(split.filter(F.col("of") <= TILED), "key").filter("c <> main").select("key", "main", F.col("id").alias("x"), F.col("c").alias("x_c"), F.col("n").alias("x_n"), F.col("bits1").alias("x_bits1"), F.col("bits2").alias("x_bits2"))
-    y = placed.select("key", F.col("id").alias("y"), F.col("c").alias("y_c"), F.col("n").alias("y_n"), F.col("bits1").alias("y_bits1"), F.col("bits2").alias("y_bits2"))
-    over = (F.col("x_c") != F.col("y_c")) & ((F.col("y_c") == F.col("main")) | (F.col("x") < F.col("y"))) & near_size & near_bits
-    more = x.join(y, (x["key"] == y["key"]) & over).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    large = placed.join(split.filter(F.col("of") > TILED).select("key"), "key").select("head", "id", "c").distinct()
-    more_links = cut(confirmed(within(more), base, shingle, percent).unionByName(links_in_tiles(large, base, shingle, percent)).distinct())
-    if more_links.head(1):
-        found = components(links.unionByName(more_links))
-    named = reps.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("_c"))
-    judged = signed.select("id", "n", "set_key").join(named, "set_key", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("_c", "id"))
-    return judged.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    Ids are whole numbers or strings, ordered as Spark orders them. Words are lower-cased A-Z; fewer words than
+    a shingle are one shingle. Texts that are null or have no words are linked with nothing. Rows of equal id are
+    one document; a row with a null id has a null component and is kept. An empty table gives no rows; other
+    columns are not looked at. The radius follows from ``percent`` and ``loss``."""
+    kind, radius = id_type(docs, id_col), radius_for(percent, loss)
+    if kind in ("smallint", "tinyint"):
+        docs, kind = docs.withColumn(id_col, F.col(id_col).cast("int")), "int"
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    with Scratch(docs.sparkSession, "near") as s:
+        signed = s.table(base.mapInArrow(_each(shingle, _signed), f"id {kind}, n long, set_key binary, sig binary"))
+        known = signed.filter("set_key is not null and id is not null")
+        reps = s.table(known.groupBy("set_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+
+        filed = reps.select("id", F.explode(chunk_keys(radius, errors)).alias("key"))
+        held = filed.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
+        shared = s.table(filed.join(held, "key"))
+        weights = shared.groupBy("id").agg(F.sum("held").alias("weight"))
+        weighted = s.table(shared.join(weights, "id").select("key", "id", "weight"))
+        s.drop(shared)
+        hubs = weighted.groupBy("key").agg(F.max(F.struct("weight", "id")).alias("hub"))
+        placed = s.table(weighted.join(hubs, "key").select("key", "id", F.col("hub.id").alias("hub"), F.col("hub.weight").alias("weight")))
+        s.drop(weighted)
+
+        best = placed.filter("id <> hub").groupBy("id").agg(F.max(F.struct("weight", "hub")).alias("best"))
+        pairs = best.select(F.col("best.hub").alias("a"), F.col("id").alias("b"))
+        one, two = (reps.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
+        near_size = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+        close = s.table(pairs.join(two, "b").join(one, "a").filter(near_size).filter(unequal_symbols("sig_a", "sig_b") <= radius).select("a", "b").distinct())
+        links = confirmed(close, base, shingle, percent, s)
+        found = components(links, s)
+
+        coloured = s.table(placed.join(found.withColumnRenamed("component", "c"), "id", "left").select("key", "id", "hub", F.coalesce("c", "id").alias("c")))
+        s.drop(placed)
+        split = coloured.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+        border = coloured.join(split, "key").select("hub", "id", "c").distinct()
+        more = border_links(border, reps, base, shingle, percent, radius, s)
+        s.drop(coloured)
+        if more.head(1):
+            found = components(links.unionByName(more), s)
+
+        named = reps.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("c"))
+        judged = signed.select("id", "n", "set_key").join(named, "set_key", "left")
+        component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
+        kept = F.coalesce(component == F.col("id"), F.lit(True))
+        return cut(judged.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept")))
