@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bpe import encode_documents
-from ledgerloom.llm.common import read, scratch_path
+from ledgerloom.llm.common import read, remove, scratch_path
 from ledgerloom.llm.decontamination import without_leaks
 from ledgerloom.llm.line_dedup import dedup_lines
 from ledgerloom.llm.near_dedup import near_duplicates
@@ -52,10 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over documents; each stage's result is written to the shared folder, read again and deleted when
+    the next one's is there."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, name.replace(" ", "_"))
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
