@@ -126,3 +126,24 @@ def by_slices(make: Callable[..., pa.Array], *columns: pa.Array, rows: int = 500
     del parts
     pa.default_memory_pool().release_unused()  # workers are kept for later stages; what this one took should not be
     return out
+
+
+#: Up to so many ids are broadcast (8 bytes each); more are joined by a shuffle.
+IDS_SENT = 250_000
+
+
+def wanted(ids: DataFrame) -> DataFrame:
+    """``ids`` to join with, broadcast if they are few."""
+    return F.broadcast(ids) if ids.count() <= IDS_SENT else ids
+
+
+def join_touched(docs: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """``docs`` left joined with ``found`` on the keys, the first of them an id. Where few ids are touched, the rows of
+    the others are not shuffled."""
+    ids = found.select(keys[0]).distinct()
+    if ids.count() > IDS_SENT:
+        return docs.join(found, keys, "left")
+    few = F.broadcast(ids)
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema if f.name not in keys]
+    some = docs.join(few, keys[0], "left_semi").join(found, keys, "left")
+    return some.unionByName(docs.join(few, keys[0], "left_anti").select("*", *nothing))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, id_type
+from .common import Scratch, cut, id_type, wanted
 
 HASHES = 96
 #: Symbols of a chunk that may differ.
@@ -36,8 +36,6 @@ ERRORS = 1
 LOSS = 1e-8
 #: Signatures and shingles of a block; a tile has two blocks.
 SIGNATURES, SHINGLES = 4096, 1_000_000
-#: Up to so many ids are broadcast; more are joined by a shuffle.
-IDS_SENT = 1_000_000
 
 _rng = np.random.default_rng(20240601)
 _MULT = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -147,11 +145,6 @@ def unequal_symbols(a: str, b: str) -> Column:
     return F.expr(parts)
 
 
-def wanted(ids: DataFrame) -> DataFrame:
-    """``ids`` to join with, broadcast if they are few."""
-    return F.broadcast(ids) if ids.count() <= IDS_SENT else ids
-
-
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, s: Scratch) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
     kind = id_type(docs, "id")

@@ -1,15 +1,18 @@
 """Substring dedup over windows of words, with a compressed FM-index per shard.
 
 A document loses each word that lies in a window of ``span`` words which also starts in a document of
-smaller id. Windows are dealt to shards by their anchor (see anchors.py), so equal windows share a shard.
-Blocks of windows that are copies of a whole block of an earlier document need no index. Of the other
-blocks of an anchor one of each content is indexed, and its copies in the same document take its answer: a shard's words become a Burrows-Wheeler transform in a wavelet matrix
-of packed bits, the blocks are streamed through it by backward search, all at once and a word at a time,
-and each place where the match is ``span`` words long reports the interval of its occurrences, and so the
-least id that has the window.
-
-An anchor with more than ``WIDE`` different blocks (the edge of a passage that very many documents share)
-would not fit a shard: its windows are counted one by one by their hash in a grouped aggregate instead.
+smaller id. Windows are dealt by their anchor (see anchors.py), so equal windows meet: the windows of one
+anchor in one document are a block, and blocks whose anchor only one document has need not be looked at.
+
+Of the blocks with equal contents the one of the least id stands for all. These contents are the shards' texts:
+a shard's words become a Burrows-Wheeler transform in a wavelet matrix of packed bits, with two bit vectors that
+mark where suffixes part within ``span`` words. Contents are streamed through the shards of their anchor by
+backward search, all at once and a word at a time. A match of ``span`` words is reported as an interval, and
+so as the least id that has the window; then its last word is forgotten by widening the interval to its parent.
+The reports of a content hold for every block that has it.
+
+An anchor with more contents than a shard has room for gets several shards, and its contents are streamed
+through each of them, so a shard's size is bounded whatever a passage's popularity.
 """
 
 from __future__ import annotations
@@ -24,52 +27,111 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .anchors import blocks
-from .common import cut, order_id
+from .common import Scratch, cut, join_touched, order_id, unused, wanted
 
 GRAM = 8
-WIDE = 2000
-#: Words of a shard; the blocks of an anchor are never parted, so a shard may be one anchor longer.
+#: Words of a shard. An anchor's own shards have no more; shards of several anchors are closed when they reach it.
 SHARD_WORDS = 600_000
-#: Up to so many ids are broadcast; more are joined by a shuffle.
-IDS_SENT = 1_000_000
+
+
+def top_bit(w: np.ndarray) -> np.ndarray:
+    """The place of the highest bit of words that are not 0."""
+    high = w >> np.uint64(32)
+    upper = high > 0
+    return np.frexp(np.where(upper, high, w).astype(np.float64))[1] - 1 + 32 * upper
+
+
+class Bits:
+    """A packed bit vector with rank, and the nearest set bit on either side."""
+
+    def __init__(self, flags: np.ndarray) -> None:
+        padded = np.zeros((len(flags) // 64 + 1) * 64, bool)
+        padded[: len(flags)] = flags
+        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
+        self.counts = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32)[:-1]]).astype(np.int32)
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """The set bits before i."""
+        at = i >> 6
+        return self.counts[at] + np.bitwise_count(self.words[at] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
+
+    def link(self) -> None:
+        """Make ready for ``last`` and ``next``."""
+        full, at = self.words != 0, np.arange(len(self.words), dtype=np.int32)
+        self.before = np.maximum.accumulate(np.where(full, at, 0))
+        self.after = np.minimum.accumulate(np.where(full, at, len(at) - 1)[::-1])[::-1]
+
+    def last(self, i: np.ndarray) -> np.ndarray:
+        """The last set bit at i or before; there is one."""
+        at = i >> 6
+        w = self.words[at] & (~np.uint64(0) >> (np.uint64(63) - (i & 63).astype(np.uint64)))
+        at = np.where(w != 0, at, self.before[np.maximum(at - 1, 0)])
+        return 64 * at + top_bit(np.where(w != 0, w, self.words[at]))
+
+    def next(self, i: np.ndarray) -> np.ndarray:
+        """The first set bit after i; there is one."""
+        at = (i + 1) >> 6
+        w = self.words[at] & (~np.uint64(0) << ((i + 1) & 63).astype(np.uint64))
+        at = np.where(w != 0, at, self.after[np.minimum(at + 1, len(self.after) - 1)])
+        w = np.where(w != 0, w, self.words[at])
+        return 64 * at + top_bit(w & (~w + np.uint64(1)))
 
 
 class FmIndex:
-    """Wavelet matrix over the BWT of a sequence of numbers below ``top``, for patterns of up to 62."""
+    """Wavelet matrix over the BWT of a sequence of numbers below ``top``, for patterns of up to ``span`` (62 at most).
 
-    def __init__(self, seq: np.ndarray, top: int) -> None:
+    Beside it only bit vectors: where the suffixes, in their order, part within span - 1 and within span."""
+
+    def __init__(self, seq: np.ndarray, top: int, span: int) -> None:
         n = len(seq)
         self.n, self.bits = n, max(1, int(top - 1).bit_length())
-        rank, self.depth = seq.astype(np.int64), {1: seq.astype(np.int64)}
-        order = np.argsort(rank, kind="stable")
-        for width in (1, 2, 4, 8, 16, 32):
-            ahead = np.zeros(n, np.int64)
-            ahead[:-width] = rank[width:] + 1
-            key = rank * (n + top + 2) + ahead
-            order = np.argsort(key, kind="stable")
-            sorted_key = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate([[0], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)]))
-            self.depth[2 * width] = rank
-        self.order = order  # right to 64 words, more than any pattern has
+        width = max(1, min(62 // self.bits, span // 2))  # as many symbols as fit into a number are sorted at once
+        rank = np.zeros(n, np.int64)
+        for k in range(width):
+            rank <<= self.bits
+            rank[: n - k] |= seq[k:]
+        order = np.argsort(rank)
+        rank = self._ranked(rank, order)
+        while width <= span:
+            far = np.zeros(n, np.int64)
+            far[:-width] = rank[width:] + 1
+            if width < span <= 2 * width:
+                near = rank, width
+            far += rank * (n + 1)
+            order = np.argsort(far)
+            rank = self._ranked(far, order)
+            width *= 2
+        self.shorter, self.whole = (Bits(self._parts(*near, order, length)) for length in (span - 1, span))
+        self.shorter.link()
+        self.order = order  # given up once the owner has read the documents in it
         bwt = seq[order - 1]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(seq, minlength=top))])
-        self.words, self.counts, self.zeros = [], [], []
+        self.levels, self.zeros = [], []
         for level in range(self.bits - 1, -1, -1):
             bit = ((bwt >> level) & 1).astype(bool)
-            padded = np.zeros((n // 64 + 1) * 64, bool)
-            padded[:n] = bit
-            word = np.packbits(padded, bitorder="little").view(np.uint64)
-            self.words.append(word)
-            self.counts.append(np.concatenate([[0], np.cumsum(np.bitwise_count(word), dtype=np.int64)[:-1]]).astype(np.int32))
+            self.levels.append(Bits(bit))
             self.zeros.append(int(n - bit.sum()))
             bwt = np.concatenate([bwt[~bit], bwt[bit]])
         self.start = self._down(np.arange(top), np.zeros(top, np.int64))
 
+    @staticmethod
+    def _ranked(key: np.ndarray, order: np.ndarray) -> np.ndarray:
+        arranged = key[order]
+        rank = np.empty(len(key), np.int64)
+        rank[order] = np.cumsum(np.concatenate([[0], (arranged[1:] != arranged[:-1]).astype(np.int64)]))
+        return rank
+
+    @staticmethod
+    def _parts(rank: np.ndarray, width: int, order: np.ndarray, length: int) -> np.ndarray:
+        """Flags of the places in the order whose suffix differs from the one before within ``length``, and of the end."""
+        far = np.zeros(len(rank), np.int64)
+        far[: len(rank) - (length - width)] = rank[length - width :] + 1
+        a, b = rank[order], far[order]
+        return np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]), [True]])
+
     def _down(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         for k, level in enumerate(range(self.bits - 1, -1, -1)):
-            at = i >> 6
-            ones = self.counts[k][at] + np.bitwise_count(self.words[k][at] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
+            ones = self.levels[k].rank(i)
             i = np.where((c >> level) & 1, self.zeros[k] + ones, i - ones)
         return i
 
@@ -79,45 +141,47 @@ class FmIndex:
         base = self.first[c] - self.start[c]
         return down[: len(c)] + base, down[len(c) :] + base
 
-    def runs(self, length: int) -> np.ndarray:
-        """For each rank, the number of its run of suffixes with the same ``length`` first words."""
-        size = max(w for w in self.depth if w <= length)
-        rank = self.depth[size]
-        far = np.zeros(self.n, np.int64)
-        far[: self.n - (length - size)] = rank[length - size :] + 1
-        a, b = rank[self.order], far[self.order]
-        return np.cumsum(np.concatenate([[0], ((a[1:] != a[:-1]) | (b[1:] != b[:-1])).astype(np.int64)]))
 
-
-def earlier_windows(seqs: list[np.ndarray], docs: np.ndarray, span: int) -> list[np.ndarray]:
-    """For each sequence and each of its windows: does the window start in a sequence of a smaller doc?"""
+def least_docs(seqs: list[np.ndarray], docs: np.ndarray, indexed: np.ndarray, span: int) -> list[np.ndarray]:
+    """For each sequence of numbers from 1 on and each of its windows: the least doc of the indexed sequences that
+    has the window; the greatest long where none has it."""
+    none = np.iinfo(np.int64).max
     lens = np.array([len(s) for s in seqs])
-    flat, ids = np.concatenate(seqs), None
-    _, ids = np.unique(flat, return_inverse=True)
-    starts = np.cumsum(lens + 1) - lens - 1
-    owner = np.repeat(np.arange(len(seqs)), lens + 1)
-    seq = np.zeros(int(lens.sum()) + len(seqs), np.int64)  # 0 ends each sequence
-    seq[np.arange(len(flat)) + np.repeat(np.arange(len(seqs)), lens)] = ids + 1
-    index = FmIndex(seq, int(ids.max()) + 2)
-    shorter, whole = index.runs(span - 1), index.runs(span)
-    edge = np.flatnonzero(np.concatenate([[True], shorter[1:] != shorter[:-1], [True]]))
-    least = np.minimum.reduceat(docs[owner[index.order]], np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]])))
-    found = [np.zeros(max(0, x - span + 1), bool) for x in lens]
-    # Streams run from each sequence's end; lo, hi is the interval of the last words read, at most span - 1 of them.
-    by_len = np.argsort(-lens, kind="stable")
+    found = [np.full(max(0, x - span + 1), none) for x in lens]
+    own = np.flatnonzero(indexed)
+    if not len(own):
+        return found
+    parts = [p for i in own for p in (seqs[i], np.zeros(1, np.int64))]  # 0 ends each sequence
+    seq = np.concatenate(parts)
+    top = max(int(s.max()) for s in seqs) + 1
+    index = FmIndex(seq, top, span)
+    owner = np.repeat(docs[own], lens[own] + 1)
+    edges = np.flatnonzero(np.unpackbits(index.whole.words.view(np.uint8), bitorder="little")[: index.n])
+    least = np.minimum.reduceat(owner[index.order], edges)
+    del index.order
+    flat = np.concatenate(seqs)
+    starts = np.cumsum(lens) - lens
+    # A stream runs leftwards; lo, hi is the interval of the words from p to e, fewer than span of them.
+    p, e = lens.copy(), lens.copy()
     lo, hi = np.zeros(len(seqs), np.int64), np.full(len(seqs), index.n, np.int64)
-    for t in range(int(lens.max())):
-        live = by_len[: int(np.searchsorted(-lens[by_len], -t, side="left"))]
-        at = lens[live] - 1 - t
-        a, b = index.step(seq[starts[live] + at], lo[live], hi[live])
-        if t >= span - 1:  # the match is span long: report it, then forget its last word
-            early = least[whole[a]] < docs[live]
-            for s, p, e in zip(live, at, early, strict=True):
-                if e:
-                    found[s][p] = True
-            a, b = edge[shorter[a]], edge[shorter[a] + 1]
+    out = np.full(len(flat), none)
+    live = np.flatnonzero(e >= span)
+    while len(live):
+        p[live] -= 1
+        a, b = index.step(flat[starts[live] + p[live]], lo[live], hi[live])
+        full = (a < b) & (e[live] - p[live] == span)
+        at = live[full]  # span words are matched: report the interval, then forget its last word
+        out[starts[at] + p[at]] = least[index.whole.rank(a[full] + 1) - 1]
+        a[full], b[full] = index.shorter.last(a[full]), index.shorter.next(a[full])
+        e[at] -= 1
+        lost = a >= b  # no such words in the shard: begin again a word further left
+        at = live[lost]
+        e[at] -= 1
+        p[at] = e[at]
+        a[lost], b[lost] = 0, index.n
         lo[live], hi[live] = a, b
-    return found
+        live = live[e[live] >= span]
+    return [out[i : i + len(f)] for i, f in zip(starts.tolist(), found, strict=True)]
 
 
 def _hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
@@ -136,7 +200,7 @@ def _signed(x: np.ndarray) -> list[int]:
 
 
 _BLOCK = {"a": pa.int64(), "c": pa.int64(), "doc": pa.int64(), "th": pa.int64(), "first": pa.int64(), "n": pa.int64()}
-_SPAN = {"doc": pa.int64(), "th": pa.int64(), "at": pa.int64(), "first": pa.int64(), "n": pa.int64()}
+_REPORT = {"a": pa.int64(), "c": pa.int64(), "off": pa.int64(), "n": pa.int64(), "least": pa.int64()}
 
 
 def block_rows(span: int) -> object:
@@ -169,117 +233,87 @@ def block_rows(span: int) -> object:
     return run
 
 
-def _spans(flags: np.ndarray) -> tuple[list[int], list[int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return edges[::2].tolist(), (edges[1::2] - edges[::2]).tolist()
-
-
-def indexed_spans(span: int) -> object:
-    """Over rows (a, doc, th, first, words) in the order of a: the spans of windows of smaller documents, at being the block's first window."""
+def reported_spans(span: int) -> object:
+    """Over rows (a, k, c, doc, last, indexed, words) in the order of a, k: the spans of windows with one least doc, where it is below ``last``."""
 
     def shard(rows: list[tuple]) -> pa.RecordBatch:
-        out: dict[str, list] = {c: [] for c in _SPAN}
-        known: dict[bytes, int] = {}
-        seqs = [_hashes(w.split(), known) for *_, w in rows]
-        found = earlier_windows(seqs, np.array([r[1] for r in rows], np.int64), span)
-        for (_, doc, th, first, _), flags in zip(rows, found, strict=True):
-            at, n = _spans(flags)
-            out["doc"] += [doc] * len(at)
-            out["th"] += [th] * len(at)
-            out["at"] += [first] * len(at)
-            out["first"] += [first + x for x in at]
-            out["n"] += n
-        return _emit(out, _SPAN)
+        out: dict[str, list] = {c: [] for c in _REPORT}
+        number: dict[bytes, int] = {}
+        seqs = [np.array([number.setdefault(w, len(number) + 1) for w in r[6].split()], np.int64) for r in rows]
+        found = least_docs(seqs, np.array([r[3] for r in rows], np.int64), np.array([r[5] for r in rows], bool), span)
+        for (a, _, c, _, last, _, _), least in zip(rows, found, strict=True):
+            edges = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+            n = np.diff(np.concatenate([edges, [len(least)]]))
+            use = least[edges] < last
+            out["a"] += [a] * int(use.sum())
+            out["c"] += [c] * int(use.sum())
+            out["off"] += edges[use].tolist()
+            out["n"] += n[use].tolist()
+            out["least"] += least[edges[use]].tolist()
+        return _emit(out, _REPORT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
-        for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if held >= SHARD_WORDS and r[0] != rows[-1][0]:
-                    yield shard(rows)
-                    rows, held = [], 0
-                rows.append(r)
-                held += r[4].count(b" ") + 2
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                for r in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                    if held >= SHARD_WORDS and r[:2] != rows[-1][:2]:
+                        yield shard(rows)
+                        rows, held = [], 0
+                    rows.append(r)
+                    held += r[6].count(b" ") + 2
         if rows:
             yield shard(rows)
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
 def block_texts(span: int) -> object:
     """The words of the listed blocks of each document."""
-    kinds = {"a": pa.int64(), "doc": pa.int64(), "th": pa.int64(), "first": pa.int64(), "words": pa.binary(), "wide": pa.bool_()}
+    kinds = {"a": pa.int64(), "c": pa.int64(), "doc": pa.int64(), "last": pa.int64(), "of": pa.int32(), "words": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 200):
+            for lo in range(0, whole.num_rows, 100):
                 out: dict[str, list] = {c: [] for c in kinds}
-                for r in whole.slice(lo, 200).to_pylist():
+                for r in whole.slice(lo, 100).to_pylist():
                     words = r["text"].encode().split()
                     for x in r["blocks"]:
-                        out["a"].append(x["a"])
                         out["doc"].append(r["doc"])
-                        out["th"].append(r["th"])
-                        out["first"].append(x["first"])
                         out["words"].append(b" ".join(words[x["first"] : x["first"] + x["n"] + span - 1]))
-                        out["wide"].append(x["wide"])
+                        for c in ("a", "c", "last", "of"):
+                            out[c].append(x[c])
                 yield _emit(out, kinds)
 
     return run
 
 
-def single_windows(span: int) -> object:
-    """Each window of each block by a hash of 128 bits."""
-    kinds = {"w1": pa.int64(), "w2": pa.int64(), "doc": pa.int64(), "th": pa.int64(), "at": pa.int64(), "first": pa.int64()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: dict[str, list] = {c: [] for c in kinds}
-            for _, doc, th, first, text in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                words = text.split()
-                for i in range(len(words) - span + 1):
-                    h = xxhash.xxh3_128_intdigest(b" ".join(words[i : i + span]))
-                    out["w1"].append((h >> 64) - (1 << 63))
-                    out["w2"].append((h & ((1 << 64) - 1)) - (1 << 63))
-                    out["doc"].append(doc)
-                    out["th"].append(th)
-                    out["at"].append(first)
-                    out["first"].append(first + i)
-            yield _emit(out, kinds)
-
-    return run
-
-
-def earlier_spans(base: DataFrame, span: int) -> DataFrame:
+def earlier_spans(base: DataFrame, span: int, shard_words: int | None = None) -> DataFrame:
     """(doc, th, first, n): spans of windows of a document that start in a document of smaller id too.
 
-    ``base`` has (doc, th, text), th a checksum of the text."""
+    ``base`` has (doc, th, text), th a checksum of the text; rows of equal doc count as one document. Null and short
+    texts have no windows; an empty table gives no rows."""
     spark = base.sparkSession
-    rows = cut(base.mapInArrow(block_rows(span), "a long, c long, doc long, th long, first long, n long"))
-    kinds = rows.groupBy("a", "c").agg(F.min(F.struct("doc", "th", "first", "n")).alias("head"), F.count("*").alias("copies"))
-    kinds = cut(kinds)
-    many = kinds.groupBy("a").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    again = rows.join(kinds.filter("copies > 1").select("a", "c", F.col("head.doc").alias("least"), F.col("head.th").alias("h_th"), F.col("head.first").alias("at"), F.col("head.n").alias("h_n")), ["a", "c"])
-    copied = again.filter("doc > least").select("doc", "th", "first", "n")
-    twins = again.filter("doc = least and n = h_n and (th != h_th or first != at)").select("doc", F.col("h_th").alias("th"), "at", F.col("th").alias("t_th"), F.col("first").alias("t_at")).distinct()
-
-    unsure = kinds.join(many, "a").select("a", "head.*", (F.col("kinds") > WIDE).alias("wide"))
-    listed = cut(unsure.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "first", "n", "wide")).alias("blocks")))
-    ids = listed.select("doc").distinct()
-    few = base.join(F.broadcast(ids), "doc", "left_semi") if listed.count() <= IDS_SENT else base
-    texts = few.join(listed, ["doc", "th"]).select("doc", "th", "text", "blocks").mapInArrow(block_texts(span), "a long, doc long, th long, first long, words binary, wide boolean")
-    texts = cut(texts)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    narrow = texts.filter("not wide").drop("wide").repartition(parts, "a").sortWithinPartitions("a")
-    indexed = narrow.select("a", "doc", "th", "first", "words").mapInArrow(indexed_spans(span), "doc long, th long, at long, first long, n long")
-    singles = cut(texts.filter("wide").select("a", "doc", "th", "first", "words").mapInArrow(single_windows(span), "w1 long, w2 long, doc long, th long, at long, first long"))
-    least = singles.groupBy("w1", "w2").agg(F.min("doc").alias("least"))
-    counted = singles.join(least, ["w1", "w2"]).filter("doc > least").select("doc", "th", "at", "first", F.lit(1).cast("long").alias("n"))
-    # Only the head of a content was looked up; what holds for it holds for its twins in the same document.
-    heads = cut(indexed.unionByName(counted))
-    moved = heads.join(twins, ["doc", "th", "at"]).select("doc", F.col("t_th").alias("th"), (F.col("t_at") + F.col("first") - F.col("at")).alias("first"), "n")
-    return copied.unionByName(heads.drop("at")).unionByName(moved)
+    with Scratch(spark, "substring") as s:
+        rows = s.table(base.mapInArrow(block_rows(span), "a long, c long, doc long, th long, first long, n long"))
+        kinds = s.table(rows.groupBy("a", "c").agg(F.min(F.struct("doc", "th", "first", "n")).alias("head"), F.max("doc").alias("last")))
+        room = shard_words or SHARD_WORDS
+        met = kinds.groupBy("a").agg(F.min("head.doc").alias("lo"), F.max("last").alias("hi"), F.ceil(F.sum(F.col("head.n") + span) / room).cast("int").alias("of"))
+        listed = kinds.join(met.filter("lo < hi").select("a", "of"), "a").select("a", "c", "last", "of", "head.*")
+        listed = s.table(listed.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "c", "last", "of", "first", "n")).alias("blocks")))
+        s.drop(kinds)
+        few = base.join(wanted(listed.select("doc").distinct()), "doc", "left_semi")
+        texts = few.join(listed, ["doc", "th"]).select("doc", "text", "blocks").mapInArrow(block_texts(span), "a long, c long, doc long, last long, of int, words binary")
+        # Rows of one id with one text give a block twice, from the same place: the same content.
+        texts = texts.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).withColumn("indexed", F.pmod(F.col("c"), F.col("of")) == F.col("k"))
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = texts.select("a", "k", "c", "doc", "last", "indexed", "words").repartition(parts, "a", "k").sortWithinPartitions("a", "k")
+        reports = s.table(dealt.mapInArrow(reported_spans(span), "a long, c long, off long, n long, least long"))
+        found = rows.drop("n").join(reports, ["a", "c"]).filter("doc > least").select("doc", "th", (F.col("first") + F.col("off")).alias("first"), "n")
+        return cut(found.groupBy("doc", "th").agg(F.collect_list("first").alias("firsts"), F.collect_list("n").alias("counts")))
 
 
 def removal(span: int) -> object:
@@ -309,13 +343,16 @@ def removal(span: int) -> object:
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50) -> DataFrame:
     """``docs`` with ``kept_text`` (the words left, joined by one space), ``n_words`` and ``n_removed``.
 
-    ``span`` is 16 to 62 words. A null or blank text has no words. Rows of equal id count as one document, so
-    they remove nothing from each other; rows with a null id count as one last document. An empty table gives
-    no rows; all other columns are handed on, but columns of the three new names are replaced."""
-    keyed = docs.withColumn("_doc", order_id(docs, id_col)).withColumn("_th", F.xxhash64(text_col))
-    base = keyed.select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), F.col(text_col).alias("text"))
-    spans = earlier_spans(base, span).groupBy("doc", "th").agg(F.collect_list("first").alias("_firsts"), F.collect_list("n").alias("_counts"))
-    joined = keyed.join(spans.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), "_firsts", "_counts"), ["_doc", "_th"], "left")
+    ``span`` is 16 to 62 words. A null or blank text has no words. Ids are whole numbers (others raise a TypeError).
+    Rows of equal id count as one document, so they remove nothing from each other; rows with a null id count as
+    one last document. An empty table gives no rows; all other columns are handed on, whatever their names, but
+    columns of the three new names are replaced."""
+    doc, th, firsts, counts, out = unused(docs, "doc", "th", "firsts", "counts", "out")
+    keyed = docs.withColumn(doc, order_id(docs, id_col)).withColumn(th, F.xxhash64(text_col))
+    base = keyed.select(F.col(doc).alias("doc"), F.col(th).alias("th"), F.col(text_col).alias("text"))
+    joined = join_touched(keyed, earlier_spans(base, span).toDF(doc, th, firsts, counts), [doc, th])
     none = F.array().cast("array<bigint>")
-    out = joined.withColumn("_out", removal(span)(F.col(text_col), F.coalesce("_firsts", none), F.coalesce("_counts", none)))
-    return out.withColumn("kept_text", F.col("_out.kept")).withColumn("n_words", F.col("_out.n_words")).withColumn("n_removed", F.col("_out.n_removed")).drop("_doc", "_th", "_firsts", "_counts", "_out")
+    cleaned = joined.withColumn(out, removal(span)(F.col(text_col), F.coalesce(firsts, none), F.coalesce(counts, none)))
+    for new, c in (("kept_text", "kept"), ("n_words", "n_words"), ("n_removed", "n_removed")):
+        cleaned = cleaned.withColumn(new, F.col(f"{out}.{c}"))
+    return cleaned.drop(doc, th, firsts, counts, out)

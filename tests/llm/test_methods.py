@@ -11,12 +11,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from ledgerloom.llm import bpe, line_dedup, near_dedup, quality_classifier, substring_dedup, suffix_dedup
+from ledgerloom.llm import bpe, common, line_dedup, near_dedup, quality_classifier, substring_dedup, suffix_dedup
 from ledgerloom.llm.anchors import blocks
 from ledgerloom.llm.common import Scratch
 from ledgerloom.llm.decontamination import leaks
 from ledgerloom.llm.queries import op8_quality_classifier, op9_decontamination, op10_url_filters, tokenizer_path
-from ledgerloom.llm.substring_dedup import earlier_windows
+from ledgerloom.llm.substring_dedup import least_docs
 from ledgerloom.llm.suffix_groups import suffix_order
 
 
@@ -52,20 +52,36 @@ def test_windows_of_earlier_documents(seed):
     for _ in range(9):
         i = rng.randrange(150)
         seqs.append(np.array(base[i : i + rng.randrange(16, 45)] + [rng.randrange(5) for _ in range(rng.randrange(9))], np.uint64))
+    seqs = [x.astype(np.int64) + 1 for x in seqs]
     docs = np.array([rng.randrange(6) for _ in seqs])
-    span = 16
+    indexed = np.array([seed % 2 == 0 or rng.random() < 0.6 for _ in seqs])
+    span = 16 + seed % 3
     first = {}
-    for s, d in zip(seqs, docs, strict=True):
+    for s, d in zip((x for x, i in zip(seqs, indexed, strict=True) if i), docs[indexed], strict=True):
         for i in range(len(s) - span + 1):
             k = tuple(s[i : i + span].tolist())
-            first[k] = min(first.get(k, 99), d)
-    want = [[bool(first[tuple(s[i : i + span].tolist())] < d) for i in range(len(s) - span + 1)] for s, d in zip(seqs, docs, strict=True)]
-    assert [x.tolist() for x in earlier_windows(seqs, docs, span)] == want
-
-
-@pytest.mark.parametrize("wide", [2000, 1])
-def test_removed_words_against_all_windows(spark, monkeypatch, wide):
-    monkeypatch.setattr(substring_dedup, "WIDE", wide)
+            first[k] = min(first.get(k, 99), int(d))
+    none = np.iinfo(np.int64).max
+    want = [[first.get(tuple(s[i : i + span].tolist()), none) for i in range(len(s) - span + 1)] for s in seqs]
+    assert [x.tolist() for x in least_docs(seqs, docs, indexed, span)] == want
+
+
+def test_bit_vectors():
+    rng = np.random.default_rng(4)
+    flags = rng.random(700) < 0.02
+    flags[[0, 699]] = True
+    bits = substring_dedup.Bits(flags)
+    bits.link()
+    at, i = np.flatnonzero(flags), np.arange(699)
+    assert (bits.rank(i) == np.searchsorted(at, i)).all()
+    assert (bits.last(i) == at[np.searchsorted(at, i, side="right") - 1]).all()
+    assert (bits.next(i) == at[np.searchsorted(at, i, side="right")]).all()
+
+
+@pytest.mark.parametrize(("room", "sent"), [(600_000, 250_000), (30, 0)])
+def test_removed_words_against_all_windows(spark, monkeypatch, room, sent):
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", room)  # 30: several shards to an anchor
+    monkeypatch.setattr(common, "IDS_SENT", sent)
     rng = random.Random(7)
 
     def words(n):
@@ -206,7 +222,7 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, errors, percent,
 
 
 def test_near_duplicates_without_broadcast_and_with_text_ids(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "IDS_SENT", 0)
+    monkeypatch.setattr(common, "IDS_SENT", 0)
     rows = near_corpus()
     docs = spark.createDataFrame([(f"{i:04}", t) for i, t in rows], "doc_id string, text string")
     got = {int(r.doc_id): int(r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
