@@ -1,17 +1,17 @@
 """Suffix-array dedup: repeated strings of bytes, found by suffix sorting in shards.
 
 A text loses each byte covered by a string of ``span`` bytes that also starts anywhere else. Such strings
-are dealt to shards by their anchor (see anchors.py), so that equal ones share a shard. A block of windows
-that occurs twice as a whole is settled by counting; the other blocks of its anchor are sorted.
+are dealt by their anchor (see anchors.py), so that equal ones meet: the strings of one anchor in one text are
+a block, and blocks whose anchor occurs once need not be looked at. Blocks with equal contents are one text of a
+shard with their number as its weight. An anchor with more contents than a shard has room for is cut into
+parts, and each two parts meet in a shard, so a shard's size is bounded whatever a passage's popularity.
 
-In a shard, the blocks are parsed into phrases that end at one of a few rare byte values. No phrase is a
+In a shard, the contents are parsed once into phrases that end at one of a few rare byte values. No phrase is a
 prefix of another, so the suffixes of the phrase sequence stand in the order of the bytes; they are sorted
 by Lyndon groups (suffix_groups.py). A string that begins within a phrase is that phrase's rest and a suffix
 at the phrase border: strings with equal rests are put in the order of those suffixes, and one occurs
-twice if it shares its first ``span`` bytes with a neighbour in that order.
-
-An anchor with more than ``WIDE`` different blocks (the edge of a passage that very many documents share)
-would not fit a shard: its strings are counted one by one by their hash in a grouped aggregate instead.
+twice if it shares its first ``span`` bytes with a neighbour in that order, or its content has a weight over 1.
+Shared bytes are counted on the bytes themselves; rests are grouped by hash, and every group is compared byte by byte.
 """
 
 from __future__ import annotations
@@ -26,16 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .anchors import blocks, mix
-from .common import cut
+from .common import Scratch, cut, join_touched, order_id, unused, wanted
 from .suffix_groups import suffix_order
 
 GRAM = 32
-WIDE = 2000
-#: Bytes of a shard; the blocks of an anchor are never parted, so a shard may be one anchor longer.
+#: Bytes of a shard. Two parts of an anchor have no more; shards of several anchors are closed when they reach it.
 SHARD_BYTES = 1_000_000
 #: The bytes that end phrases make up about this share of a shard.
 ENDS = 1 / 24
-IDS_SENT = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -60,14 +58,30 @@ class Strings:
     def of(self, at: np.ndarray, to: np.ndarray) -> np.ndarray:
         return mix((self.sums[to] - self.sums[at]) * self.back[at])
 
+
+class Eights:
+    """The bytes of a sequence, eight at a time from any place on."""
+
+    def __init__(self, raw: np.ndarray, span: int) -> None:
+        n = len(raw) + span + 8
+        padded = np.zeros(n + 8, np.uint64)
+        padded[: len(raw)] = raw
+        self.at = padded[:n].copy()
+        for k in range(1, 8):
+            self.at |= padded[k : n + k] << np.uint64(8 * k)
+
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """How many bytes from a and from b on are equal, up to most."""
-        low, high = np.zeros(len(a), np.int64), most.copy()
-        while (low < high).any():
-            mid = (low + high + 1) >> 1
-            same = self.of(a, a + mid) == self.of(b, b + mid)
-            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-        return low
+        out, live, k = most.copy(), np.flatnonzero(most > 0), 0
+        while len(live):
+            apart = self.at[a[live] + k] ^ self.at[b[live] + k]
+            ended = apart != 0
+            bit = apart[ended] & (~apart[ended] + np.uint64(1))
+            equal = (np.frexp(bit.astype(np.float64))[1] - 1) >> 3
+            out[live[ended]] = np.minimum(k + equal, most[live[ended]])
+            k += 8
+            live = live[~ended & (most[live] > k)]
+        return out
 
 
 def range_least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -84,8 +98,9 @@ def range_least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_strings(texts: list[bytes], span: int) -> list[np.ndarray]:
-    """For each text and each string of span bytes in it: does the string start at another place too?"""
+def repeated_strings(texts: list[bytes], span: int, weights: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each text and each string of span bytes in it: does the string start at another place too? A text of weight
+    over 1 stands for as many equal ones."""
     lens = np.array([len(t) for t in texts])
     raw = np.frombuffer(b"".join(texts), np.uint8)
     starts = np.cumsum(lens) - lens
@@ -112,32 +127,40 @@ def repeated_strings(texts: list[bytes], span: int) -> list[np.ndarray]:
     order = order[order < len(place)]
     rank_of = np.empty(len(place), np.int64)
     rank_of[order] = np.arange(len(order))
-    strings = Strings(raw)
+    strings, eights = Strings(raw), Eights(raw, span)
     at = place[order]
     shared = np.zeros(len(order), np.int64)
-    shared[1:] = strings.common(at[:-1], at[1:], np.minimum(span, np.minimum((limit[order] - at)[:-1], (limit[order] - at)[1:])))
+    shared[1:] = eights.common(at[:-1], at[1:], np.minimum(span, np.minimum((limit[order] - at)[:-1], (limit[order] - at)[1:])))
 
     n_windows = np.maximum(lens - span + 1, 0)
     s = np.concatenate([np.arange(i, i + k) for i, k in zip(starts, n_windows, strict=True)])
     phrase = np.searchsorted(stops, s, side="right")  # the phrase that holds s
     border = stops[phrase]
-    rest = np.minimum(border, s + span)
-    key = strings.of(s, rest) ^ mix((rest - s).astype(np.uint64))
+    size = np.minimum(border - s, span)
     # The symbol at the border: the next phrase, or the end of the text; texts before it have put in one symbol each.
     symbol = phrase + 1 + text_of[phrase]
     r = rank_of[symbol]
-    r[rest - s >= span] = 0  # the rest is the whole string
-    by = np.lexsort((r, key))
-    k, r, need = key[by], r[by], span - (rest - s)[by]
-    near = np.flatnonzero(k[1:] == k[:-1])
+    r[size >= span] = 0  # the rest is the whole string
+
+    def by_rests(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        by = np.lexsort((r, key))
+        near = np.flatnonzero(key[by[1:]] == key[by[:-1]])
+        return by[near], by[near + 1]
+
+    one, two = by_rests(strings.of(s, s + size) ^ mix(size.astype(np.uint64)))
+    if (size[one] != size[two]).any() or (eights.common(s[one], s[two], size[one]) < size[one]).any():
+        number: dict[bytes, int] = {}  # different rests have one hash: number the rests themselves
+        key = np.fromiter((number.setdefault(whole[i : i + j], len(number)) for i, j in zip(s.tolist(), size.tolist(), strict=True)), np.int64, len(s))
+        one, two = by_rests(key)
     same = np.zeros(len(s), bool)
-    lo, hi = r[near], r[near + 1]
-    enough = need[near] <= 0
+    lo, hi, need = r[one], r[two], span - size[one]
+    enough = need <= 0
     apart = np.flatnonzero(hi > lo)
-    enough[apart] |= range_least(shared, lo[apart] + 1, hi[apart] + 1) >= need[near][apart]
-    hit = near[enough]
-    same[by[hit]] = True
-    same[by[hit + 1]] = True
+    enough[apart] |= range_least(shared, lo[apart] + 1, hi[apart] + 1) >= need[apart]
+    same[one[enough]] = True
+    same[two[enough]] = True
+    if weights is not None:
+        same |= np.repeat(weights > 1, n_windows)
     return np.split(same, np.cumsum(n_windows)[:-1])
 
 
@@ -146,7 +169,7 @@ def _batch(cols: dict[str, list], kinds: dict[str, pa.DataType]) -> pa.RecordBat
 
 
 _BLOCK = {"a": pa.int64(), "c": pa.int64(), "doc": pa.int64(), "th": pa.int64(), "first": pa.int64(), "n": pa.int64()}
-_SPAN = {"doc": pa.int64(), "th": pa.int64(), "first": pa.int64(), "n": pa.int64()}
+_REPORT = {"a": pa.int64(), "c": pa.int64(), "off": pa.int64(), "n": pa.int64()}
 
 
 def block_rows(span: int) -> object:
@@ -172,89 +195,82 @@ def block_rows(span: int) -> object:
 
 
 def block_texts(span: int) -> object:
-    kinds = {"a": pa.int64(), "doc": pa.int64(), "th": pa.int64(), "first": pa.int64(), "bytes": pa.binary(), "single": pa.bool_(), "wide": pa.bool_()}
+    """The bytes of the listed blocks of each text."""
+    kinds = {"a": pa.int64(), "c": pa.int64(), "times": pa.int64(), "of": pa.int32(), "bytes": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 200):
+            for lo in range(0, whole.num_rows, 100):
                 out: dict[str, list] = {c: [] for c in kinds}
-                for r in whole.slice(lo, 200).to_pylist():
+                for r in whole.slice(lo, 100).to_pylist():
                     text = r["text"].encode()
                     for x in r["blocks"]:
-                        for c, v in (("a", x["a"]), ("doc", r["doc"]), ("th", r["th"]), ("first", x["first"]), ("bytes", text[x["first"] : x["first"] + x["n"] + span - 1]), ("single", x["single"]), ("wide", x["wide"])):
-                            out[c].append(v)
+                        out["bytes"].append(text[x["first"] : x["first"] + x["n"] + span - 1])
+                        for c in ("a", "c", "times", "of"):
+                            out[c].append(x[c])
                 yield _batch(out, kinds)
 
     return run
 
 
-def sorted_spans(span: int) -> object:
-    """Over rows (a, doc, th, first, bytes, single) in the order of a: spans of repeated strings of single blocks."""
+def reported_spans(span: int) -> object:
+    """Over rows (a, lo, hi, c, times, bytes) in the order of a, lo, hi: the spans of repeated strings of each content."""
 
     def shard(rows: list[tuple]) -> pa.RecordBatch:
-        out: dict[str, list] = {c: [] for c in _SPAN}
-        for (_, doc, th, first, _, single), flags in zip(rows, repeated_strings([r[4] for r in rows], span), strict=True):
-            if single:
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-                out["doc"] += [doc] * (len(edges) // 2)
-                out["th"] += [th] * (len(edges) // 2)
-                out["first"] += (edges[::2] + first).tolist()
-                out["n"] += (edges[1::2] - edges[::2]).tolist()
-        return _batch(out, _SPAN)
+        out: dict[str, list] = {c: [] for c in _REPORT}
+        found = repeated_strings([r[5] for r in rows], span, np.array([r[4] for r in rows]))
+        for (a, _, _, c, _, _), flags in zip(rows, found, strict=True):
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+            out["a"] += [a] * (len(edges) // 2)
+            out["c"] += [c] * (len(edges) // 2)
+            out["off"] += edges[::2].tolist()
+            out["n"] += (edges[1::2] - edges[::2]).tolist()
+        return _batch(out, _REPORT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
-        for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                if held >= SHARD_BYTES and r[0] != rows[-1][0]:
-                    yield shard(rows)
-                    rows, held = [], 0
-                rows.append(r)
-                held += len(r[4])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                for r in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                    if held >= SHARD_BYTES and r[:3] != rows[-1][:3]:
+                        yield shard(rows)
+                        rows, held = [], 0
+                    rows.append(r)
+                    held += len(r[5])
         if rows:
             yield shard(rows)
-
-    return run
-
-
-def single_strings(span: int) -> object:
-    kinds = {"w1": pa.int64(), "w2": pa.int64(), "doc": pa.int64(), "th": pa.int64(), "first": pa.int64(), "times": pa.int64()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: dict[str, list] = {c: [] for c in kinds}
-            for doc, th, first, text, single in zip(*(b.column(i).to_pylist() for i in range(1, 6)), strict=True):
-                for i in range(len(text) - span + 1):
-                    h = xxhash.xxh3_128_intdigest(text[i : i + span])
-                    for c, v in (("w1", (h >> 64) - (1 << 63)), ("w2", (h & ((1 << 64) - 1)) - (1 << 63)), ("doc", doc), ("th", th), ("first", first + i), ("times", 1 if single else 2)):
-                        out[c].append(v)
-            yield _batch(out, kinds)
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
 def repeated_spans(base: DataFrame, span: int) -> DataFrame:
-    """(doc, th, first, n): spans of strings that start anywhere else too. ``base`` has (doc, th, text)."""
+    """(doc, th, firsts, counts): the spans of each text's strings that start anywhere else too.
+
+    ``base`` has (doc, th, text), th a checksum of the text. Null and short texts have no strings; repeated rows are
+    each other's elsewhere; an empty table gives no rows."""
     spark = base.sparkSession
-    rows = cut(base.mapInArrow(block_rows(span), "a long, c long, doc long, th long, first long, n long"))
-    kinds = cut(rows.groupBy("a", "c").agg(F.count("*").alias("times"), F.first(F.struct("doc", "th", "first", "n")).alias("head")))
-    many = kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).filter("kinds > 1 and least = 1")
-    copied = rows.join(kinds.filter("times > 1").select("a", "c"), ["a", "c"]).select("doc", "th", "first", "n")
-
-    unsure = kinds.join(many, "a").select("a", "head.*", (F.col("times") == 1).alias("single"), (F.col("kinds") > WIDE).alias("wide"))
-    listed = cut(unsure.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "first", "n", "single", "wide")).alias("blocks")))
-    ids = listed.select("th").distinct()
-    few = base.join(F.broadcast(ids), "th", "left_semi") if listed.count() <= IDS_SENT else base
-    same = few["doc"].eqNullSafe(listed["doc"]) & (few["th"] == listed["th"])
-    texts = cut(few.dropDuplicates(["doc", "th"]).join(listed, same).select(few["doc"], few["th"], "text", "blocks").mapInArrow(block_texts(span), "a long, doc long, th long, first long, bytes binary, single boolean, wide boolean"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    narrow = texts.filter("not wide").drop("wide").repartition(parts, "a").sortWithinPartitions("a")
-    grouped = narrow.mapInArrow(sorted_spans(span), "doc long, th long, first long, n long")
-    singles = cut(texts.filter("wide").drop("wide").mapInArrow(single_strings(span), "w1 long, w2 long, doc long, th long, first long, times long"))
-    again = singles.groupBy("w1", "w2").agg(F.sum("times").alias("times")).filter("times > 1").select("w1", "w2")
-    counted = singles.join(again, ["w1", "w2"]).select("doc", "th", "first", F.lit(1).cast("long").alias("n"))
-    return copied.unionByName(grouped).unionByName(counted)
+    with Scratch(spark, "suffix") as s:
+        rows = s.table(base.mapInArrow(block_rows(span), "a long, c long, doc long, th long, first long, n long"))
+        kinds = s.table(rows.groupBy("a", "c").agg(F.count("*").alias("times"), F.min(F.struct("doc", "th", "first", "n")).alias("head")))
+        of = F.ceil(F.sum(F.col("head.n") + span) * 2 / SHARD_BYTES).cast("int")  # two parts meet in a shard
+        met = kinds.groupBy("a").agg(F.sum("times").alias("all"), of.alias("of")).filter("all > 1").select("a", "of")
+        listed = kinds.join(met, "a").select("a", "c", "times", "of", "head.*")
+        listed = s.table(listed.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "c", "times", "of", "first", "n")).alias("blocks")))
+        s.drop(kinds)
+        few = base.join(wanted(listed.select("doc").distinct()), "doc", "left_semi").dropDuplicates(["doc", "th"])
+        texts = few.join(listed, ["doc", "th"]).select("text", "blocks").mapInArrow(block_texts(span), "a long, c long, times long, of int, bytes binary")
+        mine = F.pmod(F.col("c"), F.col("of")).cast("int")
+        other = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda k: F.struct(F.least(mine, k).alias("lo"), F.greatest(mine, k).alias("hi")))
+        met = F.when(F.col("of") > 1, F.filter(other, lambda t: t["lo"] < t["hi"])).otherwise(other)
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = texts.withColumn("t", F.explode(met)).select("a", "t.lo", "t.hi", "c", "times", "bytes")
+        dealt = dealt.repartition(parts, "a", "lo", "hi").sortWithinPartitions("a", "lo", "hi")
+        reports = s.table(dealt.mapInArrow(reported_spans(span), "a long, c long, off long, n long").distinct())
+        found = rows.drop("n").join(reports, ["a", "c"]).select("doc", "th", (F.col("first") + F.col("off")).alias("first"), "n")
+        return cut(found.groupBy("doc", "th").agg(F.collect_list("first").alias("firsts"), F.collect_list("n").alias("counts")))
 
 
 def removal(span: int) -> object:
@@ -283,16 +299,16 @@ def dedup_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``docs`` with ``kept_bytes`` (binary: the bytes left, joined), ``n_bytes``, ``n_removed`` and ``spans``
     (array of at, length: the removed runs of bytes).
 
-    ``span`` is over 64 bytes. A null text is empty. Repeated rows are each other's elsewhere, whatever their
-    ids, null ids too, so their long enough texts are removed whole. An empty table gives no rows; all other
-    columns are handed on, but columns of the four new names are replaced."""
-    keyed = docs.withColumn("_doc", F.col(id_col).cast("long")).withColumn("_th", F.xxhash64(text_col))
-    base = keyed.select(F.col("_doc").alias("doc"), F.col("_th").alias("th"), F.col(text_col).alias("text"))
-    spans = repeated_spans(base, span).groupBy("doc", "th").agg(F.collect_list("first").alias("_firsts"), F.collect_list("n").alias("_counts"))
-    spans = spans.select(F.col("doc").alias("_d"), F.col("th").alias("_t"), "_firsts", "_counts")
-    joined = keyed.join(spans, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
+    ``span`` is over 64 bytes. A null text is empty. Ids are whole numbers (others raise a TypeError). Repeated rows
+    are each other's elsewhere, whatever their ids, null ids too, so their long enough texts are removed whole. An
+    empty table gives no rows; all other columns are handed on, whatever their names, but columns of the four new
+    names are replaced."""
+    doc, th, firsts, counts, out = unused(docs, "doc", "th", "firsts", "counts", "out")
+    keyed = docs.withColumn(doc, order_id(docs, id_col)).withColumn(th, F.xxhash64(text_col))
+    base = keyed.select(F.col(doc).alias("doc"), F.col(th).alias("th"), F.col(text_col).alias("text"))
+    joined = join_touched(keyed, repeated_spans(base, span).toDF(doc, th, firsts, counts), [doc, th])
     none = F.array().cast("array<bigint>")
-    out = joined.withColumn("_out", removal(span)(F.col(text_col), F.coalesce("_firsts", none), F.coalesce("_counts", none)))
+    cleaned = joined.withColumn(out, removal(span)(F.col(text_col), F.coalesce(firsts, none), F.coalesce(counts, none)))
     for new, c in (("kept_bytes", "kept"), ("n_bytes", "n_bytes"), ("n_removed", "n_removed"), ("spans", "spans")):
-        out = out.withColumn(new, F.col(f"_out.{c}"))
-    return out.drop("_doc", "_th", "_d", "_t", "_firsts", "_counts", "_out")
+        cleaned = cleaned.withColumn(new, F.col(f"{out}.{c}"))
+    return cleaned.drop(doc, th, firsts, counts, out)

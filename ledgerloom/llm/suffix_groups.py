@@ -14,6 +14,9 @@ from collections import defaultdict
 
 import numpy as np
 
+#: A pointer that isn't known yet.
+_OPEN = -2
+
 
 def suffix_order(seq: np.ndarray) -> np.ndarray:
     """Start positions of the suffixes of ``seq`` in ascending order. The last symbol is the only least one."""
@@ -31,9 +34,9 @@ def suffix_order(seq: np.ndarray) -> np.ndarray:
     size = np.zeros(n, np.int64)
     size[first] = np.diff(np.concatenate([first, [n]]))
     size = size.tolist()
-    before = [-1] * n
+    before = [_OPEN] * n
 
-    end = n
+    end, waiting = n, []
     while end > 0:
         low = group[sa[end - 1]]
         if end - low == 1:
@@ -45,13 +48,23 @@ def suffix_order(seq: np.ndarray) -> np.ndarray:
             pointed = {1: [p]} if p >= 0 else {}
         else:
             times: dict[int, int] = {}
-            for s in sorted(sa[low:end]):
-                p = s - 1
-                while p >= 0 and group[p] >= low:
-                    p = before[p]
-                before[s] = p
-                if p >= 0:
-                    times[p] = times.get(p, 0) + 1
+            for s in sa[low:end]:
+                while before[s] == _OPEN:
+                    at_s, p = s, s - 1
+                    while p >= 0 and group[p] >= low:
+                        if before[p] == _OPEN:  # of this group too: its pointer comes first, and ends the walk
+                            waiting.append(at_s)
+                            at_s, p = p, p - 1
+                        else:
+                            p = before[p]
+                    before[at_s] = p
+                    if p >= 0:
+                        times[p] = times.get(p, 0) + 1
+                    while waiting:
+                        at_s = waiting.pop()
+                        before[at_s] = p
+                        if p >= 0:
+                            times[p] = times.get(p, 0) + 1
             pointed = defaultdict(list)
             for p, k in times.items():
                 pointed[k].append(p)

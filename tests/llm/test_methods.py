@@ -111,6 +111,36 @@ def test_removed_words_against_all_windows(spark, monkeypatch, room, sent):
     assert sorted((str(x.doc_id), x.kept_text) for x in got) == sorted(want)
 
 
+@pytest.mark.parametrize(("room", "sent"), [(1_000_000, 250_000), (900, 0)])
+def test_removed_bytes_against_all_strings(spark, monkeypatch, room, sent):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", room)  # 900: several parts to an anchor
+    monkeypatch.setattr(common, "IDS_SENT", sent)
+    rng = random.Random(8)
+
+    def text(n):
+        return "".join(rng.choice("abcdé ,.\n") for _ in range(n))
+
+    p, q = text(150), text(220)
+    texts = [text(60), text(30) + p + text(50), p + text(9) + p, text(80) + q[20:], q, q, text(10) + q[:140] + text(4) + p[30:], "", None, "x" * 300]
+    rows = list(zip([1, 2, 3, 4, 5, 6, 6, 7, 8, None], texts, strict=True)) + [(None, q), (20, text(40) + q)]
+    span, seen = 70, {}
+    raw = [(t or "").encode() for _, t in rows]
+    for t in raw:
+        for i in range(len(t) - span + 1):
+            seen[t[i : i + span]] = seen.get(t[i : i + span], 0) + 1
+    want = []
+    for (d, _), t in zip(rows, raw, strict=True):
+        gone = {k for i in range(len(t) - span + 1) if seen[t[i : i + span]] > 1 for k in range(i, i + span)}
+        want.append((str(d), len(gone), sum(k - 1 not in gone for k in gone), bytes(x for k, x in enumerate(t) if k not in gone)))
+    got = suffix_dedup.dedup_strings(spark.createDataFrame(rows, "doc_id long, text string"), span=span)
+    assert sorted((str(r.doc_id), r.n_removed, len(r.spans), bytes(r.kept_bytes)) for r in got.collect()) == sorted(want)
+
+
+def test_rests_of_one_hash(monkeypatch):
+    monkeypatch.setattr(suffix_dedup.Strings, "of", lambda self, at, to: np.zeros(len(at), np.uint64))
+    test_repeated_strings(3)
+
+
 def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(3)
     shared = rng.integers(0, 9, 120)
