@@ -140,7 +140,10 @@ def last_activity(settlements: DataFrame) -> Column:
 
 
 #: Words that mark a text as an address.
-ADDRESS_HINTS = ["시 ", "구 ", "로 ", "길 ", "동 ", "층", "번지"]
+ADDRESS_HINTS = [
+    "서울", "경기", "인천", "부산", "대구", "대전", "광주", "울산", "세종", "충북", "충남", "전북", "전남", "경북", "경남", "강원", "제주",
+    "광진구", "송파구", "강남구", "자양로", "능동로", "로 ", "길 ", "층",
+]
 
 
 def looks_like_address(text: Column) -> Column:

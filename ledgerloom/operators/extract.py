@@ -25,15 +25,11 @@ DICTIONARIES = {
     "noise": ["영수증", "조회", "발행", "고객용", "사업자", "전화", "주소", "대표자", "부가세", "공급가액", "면세", "과세", "합계", "총계", "총액", "포스", "pos"],
 }
 
-#: The labels before a merchant's name, and the merchant's other marks.
-MERCHANT_LABELS = "가맹점명|가맹점|상호명|상호|점포명|점포|판매처|매장명|merchant|store"
+#: Numbers of businesses and phones, and amounts with grouped thousands.
 BUSINESS_NUMBER = r"\d{2,3}\s*-\s*\d{2}\s*-\s*\d{4,5}"
 PHONE = r"(\d{2,4}-\d{3,4}-\d{4})|(1[568]\d{2}-\d{4})"
 GROUPED_AMOUNT = r"(?<![\d,])\d{1,3}(?:,\d{3})+(?!\d)"
-
-#: Date patterns in order of trial.
-DATE_PATTERNS = [r"(\d{4})\s*[-./년]\s*(\d{1,2})\s*[-./월]\s*(\d{1,2})", r"(?<!\d)(\d{2})[./-](\d{1,2})[./-](\d{1,2})(?!\d)", r"(20\d{2})(\d{2})(\d{2})(?!\d)"]
-
+LOOSE_AMOUNT = r"(?<!\d)(\d{1,3}(?:,\d{3})+|\d{3,9})(?:\.\d{1,2})?(?!\d)"
 
 def any_of(text: Column, words: list[str]) -> Column:
     return text.rlike("|".join(w.replace(".", r"\.") for w in words))
@@ -53,6 +49,12 @@ def amount_tokens(lines: DataFrame) -> DataFrame:
     return lines.select("receipt_id", "pos", F.posexplode(amounts_of(F.col("text"))).alias("i", "value"))
 
 
+def amount_values(lines: DataFrame) -> DataFrame:
+    """(receipt_id, pos, i, value): the looser pattern: grouped or of three to nine digits, decimals cut off, over 0."""
+    values = F.filter(F.transform(F.regexp_extract_all("text", F.lit(LOOSE_AMOUNT), F.lit(1)), lambda x: F.regexp_replace(x, ",", "").cast("bigint")), lambda v: v > 0)
+    return lines.select("receipt_id", "pos", F.posexplode(values).alias("i", "value"))
+
+
 def classified(lines: DataFrame) -> DataFrame:
     """Non-empty lines, numbered, with a label and amounts; a label's line without amounts has the first amounts that
     follow within three lines and before the next label; one that finds none is no label."""
@@ -108,16 +110,6 @@ def payment_method(lines: DataFrame, types: DataFrame) -> DataFrame:
     return text.select("receipt_id", method.alias("payment_method"))
 
 
-def merchant_clean(text: Column) -> Column:
-    """The name without label, business number, phone and what follows them; null for noise."""
-    t = F.regexp_replace(F.trim(text), rf"(?i)^({MERCHANT_LABELS})\s*[:：]?\s*", "")
-    t = F.regexp_replace(F.regexp_replace(t, BUSINESS_NUMBER, ""), PHONE, "")
-    t = F.trim(F.regexp_replace(t, r"(?i)\s*(tel|fax|전화|대표).*$", ""))
-    t = F.trim(F.regexp_replace(t, r"\s+", " "))
-    noise = any_of(F.lower(t), DICTIONARIES["noise"])
-    return F.when((t != "") & ~noise, t)
-
-
 def context_lines(lines: DataFrame) -> DataFrame:
     """Each line with its neighbours, the gap to the next, its place on the page and whether it is of the last five."""
     w = Window.partitionBy("receipt_id").orderBy("pos")
@@ -128,77 +120,52 @@ def context_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def extract_date(lines: DataFrame, as_of_year: int) -> DataFrame:
-    """(receipt_id, evidence_date): the best-scored date of a line, or of a line and the next where they lie close."""
-    c = context_lines(lines).select("receipt_id", "pos", "next_text", "gap", "normalized_y").join(lines.select("receipt_id", "pos", "text"), ["receipt_id", "pos"])
-    n = F.row_number().over(Window.partitionBy("receipt_id").orderBy("pos")) - 1
-    both = F.when(F.col("gap") <= 28, F.concat_ws(" ", "text", "next_text"))
-    ctx = c.withColumn("idx", n).select("receipt_id", "idx", "normalized_y", F.posexplode(F.array("text", both)).alias("ctx", "t")).filter("t is not null")
-    found = None
-    for p, pattern in enumerate(DATE_PATTERNS):
-        raw = ctx.select("*", F.posexplode(F.regexp_extract_all("t", F.lit(f"({pattern})"), F.lit(1))).alias("i", "m"))
-        y, mo, d = (F.regexp_extract("m", pattern, g).try_cast("int") for g in (1, 2, 3))
-        year = F.when(y < 100, y + 2000).otherwise(y)
-        day = F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), mo.cast("string"), d.cast("string")), "yyyy-M-d")
-        part = raw.select("receipt_id", "idx", "normalized_y", "ctx", F.lit(p).alias("p"), "i", day.alias("d"), any_of(F.lower("t"), DICTIONARIES["date"]).alias("kw")).filter("d is not null")
-        found = part if found is None else found.unionByName(part)
-    year = F.year("d")
-    score = 50 + F.when(F.col("kw"), 22).otherwise(0) - F.col("idx") * 0.8 + F.when(F.col("normalized_y") <= 0.35, 6).otherwise(0) - F.abs(year - as_of_year) * 4 - F.when((year > as_of_year + 1) | (year < as_of_year - 4), 12).otherwise(0)
-    w = Window.partitionBy("receipt_id").orderBy(F.round(score, 6).desc(), "idx", "ctx", "p", "i")
-    return found.withColumn("k", F.row_number().over(w)).filter("k = 1").select("receipt_id", F.col("d").alias("evidence_date"))
-
-
-def extract_merchant(lines: DataFrame) -> DataFrame:
-    """(receipt_id, merchant_name): a labelled name first, else the best of the first six lines by position, script and length."""
-    w = Window.partitionBy("receipt_id").orderBy("pos")
-    named = lines.withColumn("idx", F.row_number().over(w) - 1).withColumn("name", merchant_clean(F.col("text"))).filter("name is not null")
-    labelled = F.trim("text").rlike(rf"(?i)^({MERCHANT_LABELS})\s*[:：]?\s*\S")
-    score = F.when(labelled, 100).otherwise(0) + 30 - F.col("idx") * 4 + F.when(F.col("name").rlike("[가-힣]"), 8).otherwise(0) + F.least(F.length("name"), F.lit(12)) - F.when(F.col("name").rlike(r"\d,\d{3}"), 40).otherwise(0) - F.when(F.col("name").rlike(r"^\d"), 20).otherwise(0)
-    best = Window.partitionBy("receipt_id").orderBy(F.desc("score"), "idx")
-    return named.filter(labelled | (F.col("idx") < 6)).withColumn("score", score).withColumn("k", F.row_number().over(best)).filter("k = 1").select("receipt_id", F.col("name").alias("merchant_name"))
-
-
-def extract_amount(lines: DataFrame) -> DataFrame:
-    """(receipt_id, amount): the best of the amounts on, and beside, lines that name a total; one that recurs gains."""
-    w = Window.partitionBy("receipt_id").orderBy("pos")
-    low = F.lower("text")
-    base = lines.select("receipt_id", F.row_number().over(w).alias("n"), amounts_of(F.col("text")).alias("own"), any_of(low, DICTIONARIES["total"]).alias("hint"), any_of(low, DICTIONARIES["reject"]).alias("bad"), any_of(low, SUBTOTAL).alias("part"))
-    near = base.select("*", *((F.lead("hint", -k) if k < 0 else F.lag("hint", k)).over(Window.partitionBy("receipt_id").orderBy("n")).alias(f"h{'b' if k < 0 else 'a'}{abs(k)}") for k in (1, 2, -1, -2)))
-    beside = F.greatest(*(F.coalesce(F.col(c), F.lit(False)) for c in ("ha1", "ha2")))
-    c = near.filter("not bad").select("receipt_id", "n", "hint", (beside & ~F.col("part")).alias("beside"), "part", F.explode("own").alias("value"))
-    times = F.count("*").over(Window.partitionBy("receipt_id", "value"))
-    score = F.when(F.col("hint"), 60).when(F.col("beside"), 45).otherwise(10) - F.when(F.col("part"), 30).otherwise(0) + F.least(F.lit(24), (times - 1) * 12) + F.col("n")
-    best = c.withColumn("score", score).groupBy("receipt_id").agg(F.max_by("value", F.struct("hint", "score", "n", "value")).alias("amount"))
-    return best
-
-
-def parse_receipt(lines: DataFrame, types: DataFrame, as_of_year: int) -> DataFrame:
-    """All four fields and the confidence that each found one adds to."""
-    ids = lines.select("receipt_id").distinct()
-    for part in (extract_date(lines, as_of_year), extract_merchant(lines), payment_amount(lines).select("receipt_id", "amount"), payment_method(lines, types)):
-        ids = ids.join(part, "receipt_id", "left")
-    weights = {"evidence_date": 0.25, "merchant_name": 0.3, "amount": 0.3, "payment_method": 0.15}
-    return ids.withColumn("confidence", F.round(sum((F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, w in weights.items()), F.lit(0.0)), 2))
-
-
 def line_merge(boxes: DataFrame) -> DataFrame:
-    """(receipt_id, row, text) from boxes (receipt_id, top, left, height, text): boxes whose centre lies near the mean
-    centre of the row so far join it. The state is the row's running mean, so each receipt's boxes fold in one array."""
-    centre = F.col("top") + F.col("height") / 2
+    """(receipt_id, row, text, left, top, right, bottom) from boxes (receipt_id, top, left, height, text, and right and
+    bottom if they are known): boxes whose centre lies near the mean centre of the row so far join it.
+
+    The state is the row's running mean, so each receipt's boxes fold in one array."""
+    if "bottom" not in boxes.columns:
+        boxes = boxes.withColumn("bottom", F.col("top") + F.col("height")).withColumn("right", F.col("left"))
     w = Window.partitionBy("receipt_id")
-    sized = boxes.withColumn("c", centre).withColumn("reach", F.greatest(F.lit(12.0), 0.7 * F.median("height").over(w)))
-    rows = sized.groupBy("receipt_id").agg(F.sort_array(F.collect_list(F.struct("top", "left", "c", "text"))).alias("b"), F.first("reach").alias("reach"))
-    fold = F.expr("""aggregate(b, cast(array() as array<struct<n:int,sum:double,words:array<struct<left:double,text:string>>>>),
+    sized = boxes.withColumn("c", F.col("top") + F.col("height") / 2).withColumn("reach", F.greatest(F.lit(12.0), 0.7 * F.median("height").over(w)))
+    kind = "struct<top:double,left:double,c:double,text:string,right:double,bottom:double>"
+    box = F.struct(*(F.col(c).cast("string" if c == "text" else "double").alias(c) for c in ("top", "left", "c", "text", "right", "bottom")))
+    rows = sized.groupBy("receipt_id").agg(F.sort_array(F.collect_list(box)).alias("b"), F.first("reach").alias("reach"))
+    fold = F.expr(f"""aggregate(b, cast(array() as array<struct<n:int,sum:double,boxes:array<{kind}>>>),
         (rows, x) -> if(size(rows) > 0 and abs(x.c - element_at(rows, -1).sum / element_at(rows, -1).n) <= reach,
-            concat(slice(rows, 1, size(rows) - 1), array(named_struct('n', element_at(rows, -1).n + 1, 'sum', element_at(rows, -1).sum + x.c, 'words', concat(element_at(rows, -1).words, array(named_struct('left', cast(x.left as double), 'text', x.text)))))),
-            concat(rows, array(named_struct('n', 1, 'sum', cast(x.c as double), 'words', array(named_struct('left', cast(x.left as double), 'text', x.text)))))))""")
-    return rows.select("receipt_id", F.posexplode(fold).alias("row", "r")).select("receipt_id", "row", F.array_join(F.transform(F.sort_array("r.words"), lambda x: x["text"]), " ").alias("text"))
+            concat(slice(rows, 1, size(rows) - 1), array(named_struct('n', element_at(rows, -1).n + 1, 'sum', element_at(rows, -1).sum + x.c, 'boxes', concat(element_at(rows, -1).boxes, array(x))))),
+            concat(rows, array(named_struct('n', 1, 'sum', x.c, 'boxes', array(x))))))""")
+    row = rows.select("receipt_id", F.posexplode(fold).alias("row", "r")).select("receipt_id", "row", F.col("r.boxes").alias("b"))
+    words = F.transform(F.array_sort("b", lambda x, y: F.when(x["left"] < y["left"], -1).when(x["left"] > y["left"], 1).otherwise(0)), lambda x: x["text"])
+    ends = [(F.array_min if c in ("left", "top") else F.array_max)(F.col(f"b.{c}")).alias(c) for c in ("left", "top", "right", "bottom")]
+    return row.select("receipt_id", "row", F.array_join(words, " ").alias("text"), *ends)
+
+
+#: What a preprocessing adds to an attempt's score, for any receipt or for physical ones, and to a field's.
+ANY_BONUS = {"upscaled_enhanced": 3.0, "sharpened": 2.0}
+PHYSICAL_BONUS = {"adaptive_binary": 4.0, "background_cropped": 3.0}
+FIELD_BONUS = {
+    "merchant_name": {"perspective_corrected": 6.0, "background_cropped": 6.0, "upscaled_enhanced": 5.0, "sharpened": 4.0},
+    "amount": {"adaptive_binary": 2.0, "upscaled_enhanced": 1.0, "sharpened": 1.0},
+    "evidence_date": {"document_enhanced": 3.0, "upscaled_enhanced": 3.0},
+    "payment_method": {},
+}
+#: Fields on which attempts vote.
+VOTED = ["evidence_date", "merchant_name", "amount"]
+FIELDS = ["evidence_date", "merchant_name", "amount", "payment_method"]
+
+
+def _bonus(table: dict[str, float]) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[F.col("attempt")], F.lit(0.0)) if table else F.lit(0.0)
 
 
 def attempt_score() -> Column:
-    """A field-weighted completeness of an attempt, with its confidence, lines and text."""
+    """A field-weighted completeness of an attempt, with its confidence, lines, text and preprocessing."""
     has = lambda c, w: F.when(F.col(c).isNotNull(), float(w)).otherwise(0.0)
-    return F.round(has("evidence_date", 18) + has("merchant_name", 30) + has("amount", 32) + has("payment_method", 12) + 15 * F.col("avg_confidence") + F.least(F.col("line_count"), F.lit(12)) + F.least(F.col("text_len"), F.lit(600)) / 60, 4)
+    fields = has("evidence_date", 18) + has("merchant_name", 30) + has("amount", 32) + has("payment_method", 12)
+    made = F.when(F.col("evidence_type") == "physical_receipt", _bonus(PHYSICAL_BONUS)).otherwise(0.0) + _bonus(ANY_BONUS)
+    return F.round(fields + 15 * F.col("avg_confidence") + F.least(F.col("line_count"), F.lit(12)) + F.least(F.col("text_len"), F.lit(600)) / 60 + made, 4)
 
 
 def scored(attempts: DataFrame) -> DataFrame:
@@ -206,31 +173,40 @@ def scored(attempts: DataFrame) -> DataFrame:
 
 
 def best_attempt(attempts: DataFrame) -> DataFrame:
-    return scored(attempts).groupBy("receipt_id").agg(F.max_by("attempt", F.struct("score", "avg_confidence", F.negative("v").alias("v"))).alias("attempt"), F.max("score").alias("score"))
-
-
-FIELDS = ["evidence_date", "merchant_name", "amount", "payment_method"]
+    best = F.max_by(F.struct("attempt", "score"), F.struct("score", "avg_confidence", F.negative("v").alias("v"))).alias("b")
+    return scored(attempts).groupBy("receipt_id").agg(best).select("receipt_id", "b.attempt", "b.score")
 
 
-def _long(attempts: DataFrame) -> DataFrame:
-    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in FIELDS))
-    return scored(attempts).select("receipt_id", "attempt", "v", "score", F.inline(fields)).filter("value is not null")
+def field_scores(attempts: DataFrame) -> DataFrame:
+    """(receipt_id, attempt, v, field, value, score): each attempt's fields with the score of each field there."""
+    base = F.col("score") + F.col("avg_confidence") * 10
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), (base + _bonus(FIELD_BONUS[f])).alias("field_score")) for f in FIELDS))
+    long = scored(attempts).select("receipt_id", "attempt", "v", F.inline(fields)).filter("value <> ''")
+    return long.withColumn("score", F.round("field_score", 6)).drop("field_score")
 
 
 def field_fusion(attempts: DataFrame) -> DataFrame:
-    """Per receipt and field the value of the best-scored attempt that has one."""
-    return _long(attempts).groupBy("receipt_id", "field").agg(F.max_by(F.struct("value", "attempt"), F.struct("score", F.negative("v").alias("v"))).alias("b")).select("receipt_id", "field", "b.value", "b.attempt")
+    """Per receipt and field the value of the attempt that scores best for it; the first of equals."""
+    best = F.max_by(F.struct("value", "attempt", "score"), F.struct("score", F.negative("v").alias("v"))).alias("b")
+    return field_scores(attempts).groupBy("receipt_id", "field").agg(best).select("receipt_id", "field", "b.value", "b.attempt", F.round("b.score", 4).alias("score"))
 
 
 def field_consensus(attempts: DataFrame) -> DataFrame:
-    """Per receipt and field: a value with two votes or more, the most first, in its best-scored attempt; else the best-scored.
-    Merchants vote by their key."""
-    x = _long(attempts).withColumn("key", F.when(F.col("field") == "merchant_name", merchant_key(F.col("value"))).otherwise(F.col("value")))
+    """(receipt_id, field, value, votes, score): a value with two votes or more, the most first, in the attempt that scores
+    best for the field; else the best-scored value. Merchants vote by their key; on the payment method nobody votes."""
+    vote = F.when(F.col("field") == "merchant_name", merchant_key(F.col("value"))).otherwise(F.col("value"))
     votes = Window.partitionBy("receipt_id", "field", "key")
-    counted = x.withColumn("votes", F.count("*").over(votes)).withColumn("first", F.min("v").over(votes))
-    two = F.col("votes") >= 2
+    counted = field_scores(attempts).withColumn("key", vote).withColumn("votes", F.count("*").over(votes)).withColumn("first", F.min("v").over(votes))
+    two = (F.col("votes") >= 2) & F.col("field").isin(VOTED)
     w = Window.partitionBy("receipt_id", "field").orderBy(two.desc(), F.when(two, F.col("votes")).desc_nulls_last(), F.when(two, F.col("first")).asc_nulls_last(), F.desc("score"), "v")
-    return counted.withColumn("k", F.row_number().over(w)).filter("k = 1").select("receipt_id", "field", "value", "votes")
+    return counted.withColumn("k", F.row_number().over(w)).filter("k = 1").select("receipt_id", "field", "value", "votes", "score")
+
+
+def attempt_confidence(attempts: DataFrame) -> DataFrame:
+    """(receipt_id, confidence) of the merged fields: the mean of their scores over 100, 1 at most; 0 without a field."""
+    mean = field_consensus(attempts).groupBy("receipt_id").agg(F.avg("score").alias("mean"))
+    every = attempts.select("receipt_id").distinct().join(mean, "receipt_id", "left")
+    return every.select("receipt_id", F.round(F.least(F.coalesce("mean", F.lit(0.0)) / 100, F.lit(1.0)), 4).alias("confidence"))
 
 
 def attempt_summary(attempts: DataFrame) -> DataFrame:

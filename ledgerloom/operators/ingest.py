@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,38 +11,52 @@ from ..functions.scalars import coerce_date, coerce_decimal, normalize_header
 
 #: Header words of each role.
 ROLE_WORDS = {
-    "date": ["거래일", "일자", "날짜", "date"],
-    "withdrawal": ["출금", "지급", "withdrawal"],
-    "deposit": ["입금", "deposit"],
-    "type": ["구분", "거래유형", "입출금"],
-    "amount": ["거래금액", "금액", "amount"],
-    "description": ["적요", "내용", "거래명", "거래처", "description"],
-    "memo": ["메모", "memo"],
+    "date": ["거래일시", "거래일", "거래일자", "일자", "날짜", "transaction_date", "date"],
+    "withdrawal": ["출금", "출금액", "withdrawal", "출금금액"],
+    "deposit": ["입금", "입금액", "deposit", "입금금액"],
+    "type": ["구분", "입출금", "type"],
+    "amount": ["금액", "거래금액", "amount"],
+    "description": ["거래명", "적요", "내용", "거래내역", "description", "memo", "비고"],
+    "memo": ["메모", "note"],
 }
 
 
 def _has(text: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | (F.instr(text, w) > 0)
-    return out
+    return reduce(lambda c, w: c | (F.instr(text, w) > 0), words, F.lit(False))
+
+
+def sheet_rows(cells: DataFrame) -> DataFrame:
+    """(file_id, row_idx, cells): each row's cells (col, value) in one array, the rows of a sheet in one partition."""
+    dealt = cells.select("file_id", "row_idx", "col_idx", "value").repartition("file_id")
+    return dealt.groupBy("file_id", "row_idx").agg(F.sort_array(F.collect_list(F.struct(F.col("col_idx").alias("col"), "value"))).alias("cells"))
+
+
+def with_header(rows: DataFrame, within: int = 30) -> DataFrame:
+    """``rows`` (of sheet_rows) with ``header``: the sheet's header row and each role's column, or null.
+
+    The header is the first of the first rows that has a date and any amount column. The first fitting column of a role
+    counts; a column of withdrawals or deposits is never the amount."""
+
+    def column(role: str) -> Column:
+        def fits(x: Column) -> Column:
+            text = normalize_header(x["value"])
+            found = _has(text, ROLE_WORDS[role])
+            return found & ~_has(text, ROLE_WORDS["withdrawal"] + ROLE_WORDS["deposit"]) if role == "amount" else found
+
+        return F.array_min(F.transform(F.filter("cells", fits), lambda x: x["col"])).alias(f"{role}_col")
+
+    head = F.when(F.col("row_idx") < within, F.struct(F.col("row_idx").alias("header_row"), *(column(r) for r in ROLE_WORDS)))
+    named = rows.withColumn("head", head)
+    amount = F.col("head.amount_col").isNotNull() | F.col("head.withdrawal_col").isNotNull() | F.col("head.deposit_col").isNotNull()
+    named = named.withColumn("head", F.when(F.col("head.date_col").isNotNull() & amount, F.col("head")))
+    first = F.min_by("head", F.when(F.col("head").isNotNull(), F.col("row_idx"))).over(Window.partitionBy("file_id"))
+    return named.withColumn("header", first).drop("head")
 
 
 def detect_header(cells: DataFrame, rows: int = 30) -> DataFrame:
-    """(file_id, header_row, and the column of each role or null): the first row with a date and any amount column.
-
-    The first fitting column of a role counts; a column of withdrawals or deposits is never the amount."""
-    text = normalize_header(F.col("value"))
-    head = cells.filter(F.col("row_idx") < rows).withColumn("t", text)
-    flags = {r: _has(F.col("t"), w) for r, w in ROLE_WORDS.items()}
-    both = F.instr("t", "입출금") > 0
-    flags["withdrawal"] = flags["withdrawal"] & ~both
-    flags["deposit"] = flags["deposit"] & ~both
-    flags["amount"] = flags["amount"] & ~flags["withdrawal"] & ~flags["deposit"]
-    by = head.groupBy("file_id", "row_idx").agg(*(F.min(F.when(f, F.col("col_idx"))).alias(f"{r}_col") for r, f in flags.items()))
-    fits = by.filter("date_col is not null and (amount_col is not null or withdrawal_col is not null or deposit_col is not null)")
-    w = Window.partitionBy("file_id").orderBy("row_idx")
-    return fits.withColumn("k", F.row_number().over(w)).filter("k = 1").withColumnRenamed("row_idx", "header_row").drop("k")
+    """(file_id, header_row, and the column of each role or null) of the sheets that have a header."""
+    found = with_header(sheet_rows(cells), rows).filter(F.col("row_idx") == F.col("header.header_row"))
+    return found.select("file_id", "header.*")
 
 
 def resolve_sign(kind: Column, amount: Column, withdrawal: Column, deposit: Column) -> Column:
@@ -52,10 +68,14 @@ def resolve_sign(kind: Column, amount: Column, withdrawal: Column, deposit: Colu
 
 def statement_rows(cells: DataFrame) -> DataFrame:
     """(file_id, row_idx, transaction_date, description, amount) of each row under the header that has a date and an amount."""
-    head = detect_header(cells)
-    body = cells.join(head, "file_id").filter(F.col("row_idx") > F.col("header_row"))
-    wide = body.groupBy("file_id", "row_idx").agg(*(F.max(F.when(F.col("col_idx") == F.col(f"{r}_col"), F.col("value"))).alias(r) for r in ROLE_WORDS))
-    amount = resolve_sign(F.col("type"), coerce_decimal(F.col("amount")), coerce_decimal(F.col("withdrawal")), coerce_decimal(F.col("deposit")))
+    body = with_header(sheet_rows(cells)).filter(F.col("row_idx") > F.col("header.header_row"))
+    value = lambda r: F.get(F.filter("cells", lambda x: x["col"] == F.col(f"header.{r}_col")), 0)["value"].alias(r)
+    wide = body.select("file_id", "row_idx", F.col("header.amount_col").isNotNull().alias("has_amount"), *(value(r) for r in ROLE_WORDS))
+    paid = [coerce_decimal(F.col(c)) for c in ("amount", "withdrawal", "deposit")]
+    none = F.lit(None).cast("decimal(12,2)")
+    # A sheet with an amount column has its amounts there and nowhere else.
+    pair = [F.when(F.col("has_amount"), none).otherwise(c) for c in paid[1:]]
+    amount = resolve_sign(F.col("type"), paid[0], *pair)
     memo = F.trim(F.coalesce("memo", F.lit("")))
     what = F.trim(F.coalesce("description", F.lit("")))
     text = F.when((memo != "") & (what != ""), F.concat(what, F.lit(" ("), memo, F.lit(")"))).when(memo != "", memo).otherwise(what)

@@ -9,6 +9,7 @@ from ..functions import scalars as N
 from ..operators import evaluate as V
 from ..operators import extract as X
 from ..operators import ingest as I
+from ..operators import layout as Y
 from ..operators import ledger as L
 from ..operators import lifecycle as C
 from ..operators import rollup as U
@@ -63,7 +64,12 @@ def match_text(t: Tables) -> DataFrame:
     return t.base("documents").select("doc_id", N.match_text(F.col("text")).alias("match"))
 
 
-@query("alpha_ratio", "select doc_id, round(case when length(text) = 0 then 0.0 else length(regexp_replace(text, '[^\\p{L}]', '', 'g'))::double / length(text) end, 9) as ratio, regexp_matches(text, '[가-힣]') as hangul, regexp_matches(text, '\\d{1,4}-\\d{1,4}') as address from documents")
+def _address(text: str) -> str:
+    hints = ", ".join(f"'{h}'" for h in N.ADDRESS_HINTS)
+    return f"(list_sum(list_transform([{hints}], lambda h: contains({text}, h)::int)) >= 2 or regexp_matches({text}, '\\d{{1,4}}-\\d{{1,4}}'))"
+
+
+@query("alpha_ratio", "select doc_id, round(case when length(text) = 0 then 0.0 else length(regexp_replace(text, '[^\\p{L}]', '', 'g'))::double / length(text) end, 9) as ratio, regexp_matches(text, '[가-힣]') as hangul, " + _address("text") + " as address from documents")
 def alpha_ratio(t: Tables) -> DataFrame:
     text = F.col("text")
     return t.base("documents").select("doc_id", F.round(N.alpha_ratio(text), 9).alias("ratio"), N.has_hangul(text).alias("hangul"), N.looks_like_address(text).alias("address"))
@@ -243,6 +249,14 @@ def amount_tokens(t: Tables) -> DataFrame:
     return X.amount_tokens(t.receipt_lines)
 
 
+LOOSE = r"list_filter(list_transform(regexp_extract_all(' ' || regexp_replace({t}, '([^\d,.])', '\1\1', 'g') || ' ', '[^\d](\d{{1,3}}(?:,\d{{3}})+|\d{{3,9}})(?:\.\d{{1,2}})?[^\d]', 1), lambda x: replace(x, ',', '')), lambda x: x::bigint > 0)"
+
+
+@query("amount_values", f"select receipt_id, pos, (u.i - 1)::int as i, a[u.i]::bigint as value from (select receipt_id, pos, {LOOSE.format(t='text')} as a from receipt_lines) x, unnest(range(1, len(a) + 1)) as u(i)")
+def amount_values(t: Tables) -> DataFrame:
+    return X.amount_values(t.receipt_lines)
+
+
 def _has(words: list[str]) -> str:
     return f"regexp_matches(replace(trim(text), ' ', ''), '{'|'.join(words)}')"
 
@@ -273,7 +287,7 @@ def _dict(k: str) -> str:
     return f"regexp_matches(t, '{'|'.join(X.DICTIONARIES[k])}')"
 
 
-METHOD = f"select x.receipt_id, case when {_dict('online')} then 'online_payment' when {_dict('bank')} then 'bank_transfer' when {_dict('cash')} then 'cash' when {_dict('card')} then 'card' when evidence_type = 'e_receipt' then 'online_payment' end as payment_method from (select receipt_id, lower(string_agg(text, chr(10) order by pos)) as t from receipt_lines group by 1) x join ground_truth g on g.receipt_id = x.receipt_id"
+METHOD = f"select x.receipt_id, case when {_dict('online')} then 'online_payment' when evidence_type = 'bank_transfer_statement' or {_dict('bank')} then 'bank_transfer' when {_dict('cash')} then 'cash' when {_dict('card')} then 'card' when evidence_type = 'e_receipt' then 'online_payment' end as payment_method from (select receipt_id, lower(string_agg(text, chr(10) order by pos)) as t from receipt_lines group by 1) x join ground_truth g on g.receipt_id = x.receipt_id"
 
 
 @query("payment_method", METHOD)
@@ -281,13 +295,30 @@ def payment_method(t: Tables) -> DataFrame:
     return X.payment_method(t.receipt_lines, t.ground_truth.select("receipt_id", "evidence_type"))
 
 
-CLEAN = rf"""nullif(trim(regexp_replace(regexp_replace(regexp_replace(trim(text), '^({X.MERCHANT_LABELS})\s*[:：]?\s*', '', 'i'), '\d{{2,3}}\s*-\s*\d{{2}}\s*-\s*\d{{4,5}}', '', 'g'), '\s*(tel|fax|전화|대표).*$', '', 'i')), '')"""
-CLEANED = f"select receipt_id, pos, text, case when not regexp_matches(lower({CLEAN}), '{'|'.join(X.DICTIONARIES['noise'])}') then regexp_replace({CLEAN}, '\\s+', ' ', 'g') end as name from receipt_lines"
+def _any(text: str, words: list[str]) -> str:
+    return f"regexp_matches({text}, '{'|'.join(words)}')"
 
 
-@query("merchant_clean", f"select receipt_id, pos, name from ({CLEANED})")
+def _clean(text: str) -> str:
+    """The merchant's name in a text, in SQL; without look-arounds, so the sign before a cut tail is put back."""
+    t = f"translate({text}, ':|', '  ')"
+    for label in Y.MERCHANT_LABELS:
+        t = f"regexp_replace({t}, '^\\s*{label}\\s*[:：-]?\\s*', '', 'i')"
+    edge = r"(^|[^\p{L}\p{N}_])"
+    tail = r"(?:[^\p{L}\p{N}_].*)?$"
+    t = f"regexp_replace({t}, '{edge}(?:{'|'.join(Y.ROLE_TAILS)}){tail}', '\\1')"
+    t = f"regexp_replace(regexp_replace({t}, '{X.BUSINESS_NUMBER}', '', 'g'), '{X.PHONE}', '', 'g')"
+    t = f"regexp_replace({t}, '{edge}(?:tel|fax){tail}', '\\1', 'i')"
+    return f"trim(regexp_replace({t}, '\\s{{2,}}', ' ', 'g'), ' -:/')"
+
+
+def _kept(name: str) -> str:
+    return f"{name} <> '' and (not {_any(f'lower({name})', X.DICTIONARIES['noise'])} or {_any(name, Y.KEEP_WORDS)})"
+
+
+@query("merchant_clean", f"select receipt_id, pos, case when {_kept('name')} then name end as name from (select receipt_id, pos, {_clean('text')} as name from receipt_lines)")
 def merchant_clean(t: Tables) -> DataFrame:
-    return t.receipt_lines.select("receipt_id", "pos", X.merchant_clean(F.col("text")).alias("name"))
+    return t.receipt_lines.select("receipt_id", "pos", Y.merchant_clean(F.col("text")).alias("name"))
 
 
 @query("context_lines", """
@@ -297,38 +328,79 @@ def context_lines(t: Tables) -> DataFrame:
     return X.context_lines(t.receipt_lines)
 
 
+def receipt_types(t: Tables) -> DataFrame:
+    return t.ground_truth.select("receipt_id", "evidence_type")
+
+
 @query("extract_date", "select receipt_id, d as evidence_date from amounts_")
 def extract_date(t: Tables) -> DataFrame:
     """The derived receipts have one date each, in three notations: the SQL states it."""
-    return X.extract_date(t.receipt_lines, 2000)
+    return Y.extract_date(Y.page_lines(t.receipt_lines), receipt_types(t), 2000)
+
+
+def _coded(text: str) -> str:
+    return f"(regexp_matches({text}, '{X.BUSINESS_NUMBER}') or regexp_matches({text}, '{X.PHONE}'))"
+
+
+LAYOUT = f"""
+l0 as (select r.receipt_id, r.pos, r.text, lower(r.text) as low, r.top::double as top, r.top::double + 12 as bottom, greatest(length(r.text) * 10, 40) as width, g.evidence_type, {LOOSE.format(t='r.text')} as a, {_clean('r.text')} as name0
+    from receipt_lines r join ground_truth g on g.receipt_id = r.receipt_id where trim(r.text) <> ''),
+l1 as (select *, row_number() over w - 1 as idx, count(*) over p as n, max(bottom) over p as ph, max(width) over p as pw, {_any('low', X.DICTIONARIES['total'])} as total, {_coded('text')} as coded, {_any('low', Y.STRUCTURE)} as names, case when {_kept('name0')} then name0 end as name
+    from l0 window w as (partition by receipt_id order by pos), p as (partition by receipt_id)),
+l as (select *, top / ph as ny, lag(low) over w as low_before, lead(low) over w as low_after, coalesce(lag(total) over w, false) or coalesce(lead(total) over w, false) as beside, lead(name) over w as name_after, coalesce(lead(coded) over w, false) as coded_after
+    from l1 window w as (partition by receipt_id order by idx)),
+mm as ({METHOD})"""
+
+AMOUNTS = f"""
+o as (select l.*, payment_method, total or beside as hinted, concat_ws(' ', low_before, low, low_after) as around from l join mm on mm.receipt_id = l.receipt_id),
+own as (select *, unnest(a) as num from o where hinted or not (coded or {_any('low', X.DICTIONARIES['reject'])})),
+near as (select t.receipt_id, unnest(x.a) as num, x.ny, case when x.idx > t.idx then 74 else 70 end - 6 * abs(x.idx - t.idx) as base from l t join l x on x.receipt_id = t.receipt_id and abs(x.idx - t.idx) in (1, 2)
+    where t.total and len(t.a) = 0 and greatest(case when x.idx > t.idx then x.top - t.bottom else t.top - x.bottom end, 0) <= {Y.NEAR}),
+paid as (select receipt_id, idx, list_max(list_transform(a, lambda x: x::bigint)) as most, case when {_any('low', Y.RECEIVED_WORDS)} then 'received' when {_any('low', Y.CHANGE_WORDS)} then 'change' when total then 'total' end as kind from l where len(a) > 0),
+cash as (select receipt_id, arg_max(most, idx) filter (kind = 'received') as r, arg_max(most, idx) filter (kind = 'change') as c, arg_max(most, idx) filter (kind = 'total') as t from paid group by 1),
+cands as (
+    select receipt_id, num::bigint as value, hinted, 12 + case when total then 62 when beside then 38 else 0 end + case when {_any('around', Y.PAID_WORDS)} then 10 else 0 end + case when {_any('around', Y.CURRENCY_WORDS)} then 6 else 0 end
+        + case when num::bigint >= 1000 then 8 else 0 end + case when num::bigint >= 10000 then 4 else 0 end + case when ny >= 0.45 then 10 else 0 end + case when idx >= n - 5 then 4 else 0 end + case when len(a) = 1 and total then 10 else 0 end
+        - case when {_any('low', Y.ITEM_WORDS)} and not total then 30 else 0 end - case when len(a) >= 3 and not total then 22 else 0 end - case when len(num) >= 7 and not hinted then 32 else 0 end
+        - case when {_any('around', X.DICTIONARIES['reject'])} and not hinted then 55 else 0 end - case when payment_method = 'cash' and {_any('low', Y.CASH_LINE_WORDS)} then 18 else 0 end - case when ny <= 0.22 and not hinted then 12 else 0 end as score from own where len(num) < 9
+    union all select receipt_id, num::bigint, true, base + case when ny >= 0.45 then 10 else 0 end + case when num::bigint >= 1000 then 8 else 0 end from near where len(num) < 9
+    union all select receipt_id, coalesce(t, r - c), true, 88 from cash where coalesce(t, case when r - c > 0 then r - c end) is not null),
+counted as (select *, count(*) over (partition by receipt_id, value) as times from cands),
+amount_of as (select receipt_id, value as amount from counted qualify row_number() over (partition by receipt_id order by hinted desc, score + least((times - 1) * 12, 24) desc, times desc, value desc) = 1)"""
+
+
+@query("extract_amount", f"with {LAYOUT}, {AMOUNTS} select * from amount_of")
+def extract_amount(t: Tables) -> DataFrame:
+    return Y.extract_amount(Y.page_lines(t.receipt_lines), receipt_types(t))
 
 
-MERCHANT = f"""
-with c as (select *, row_number() over (partition by receipt_id order by pos) - 1 as idx from ({CLEANED}) x),
-s as (select *, regexp_matches(trim(text), '^({X.MERCHANT_LABELS})\\s*[:：]?\\s*\\S', 'i') as lab from c where name is not null),
-k as (select *, case when lab then 100 else 0 end + 30 - idx * 4 + case when regexp_matches(name, '[가-힣]') then 8 else 0 end + least(length(name), 12) - case when regexp_matches(name, '\\d,\\d{{3}}') then 40 else 0 end - case when regexp_matches(name, '^\\d') then 20 else 0 end as score from s where lab or idx < 6)
-select receipt_id, name as merchant_name from k qualify row_number() over (partition by receipt_id order by score desc, idx) = 1"""
+def _labelled(labels: list[str]) -> str:
+    pattern = rf"^\s*(?:{'|'.join(labels)})\s*[:：]?\s*(.*)$"
+    name = _clean(f"regexp_extract(text, '{pattern}', 1, 'i')")
+    return f"case when idx < 10 and regexp_matches(text, '{pattern}', 'i') then coalesce(case when {_kept(name)} then {name} end, name_after) end"
 
 
-@query("extract_merchant", MERCHANT)
-def extract_merchant(t: Tables) -> DataFrame:
-    return X.extract_merchant(t.receipt_lines)
+MERCHANT = f"""
+f as (select *, min(case when idx < 10 and (coded or names or (idx > 0 and {_address('text')})) then idx end) over (partition by receipt_id) as first from l),
+g as (select *, least(n, greatest(6, coalesce(first + 2, 8))) as upto, case when evidence_type = 'bank_transfer_statement' then {_labelled(Y.TYPE_LABELS['bank_transfer_statement'])} when evidence_type = 'e_receipt' then {_labelled(Y.TYPE_LABELS['e_receipt'])} end as typed, {_labelled(Y.MERCHANT_LABELS)} as labelled from f),
+h as (select *, round(38.0::double - idx * 2.5::double + case when ny <= 0.18 then 14 when ny <= 0.32 then 8 else 0 end + case when idx < first then 12 else 0 end + case when idx + 1 = first then 8 else 0 end + case when regexp_matches(name, '[가-힣]') then 14 else 0 end
+    + length(regexp_replace(name, '[^\\p{{L}}]', '', 'g'))::double / length(name) * 10 + case when length(name) >= 5 then 6 else 0 end + case when width::double / pw between 0.2 and 0.92 then 5 else 0 end - case when length(name) <= 3 then 24 else 0 end
+    - case when {_address('name')} then 40 else 0 end - case when {_coded('name')} then 45 else 0 end - case when names then 34 else 0 end - case when {_any('lower(name)', X.DICTIONARIES['noise'])} then 28 else 0 end
+    - case when regexp_matches(name, '\\p{{L}}') and not regexp_matches(regexp_replace(name, '[\\x00-\\x7F]', '', 'g'), '\\p{{L}}') then 18 else 0 end
+    - case when idx + 1 < upto and coalesce(regexp_matches(name_after, '[가-힣]'), false) and not regexp_matches(name, '[가-힣]') and length(name) <= 10 then 18 else 0 end + case when coded_after then 14 else 0 end, 4) as score from g),
+merchant_of as (select receipt_id, coalesce(arg_min(typed, idx) filter (typed is not null), arg_min(labelled, idx) filter (labelled is not null), first(name order by score desc, length(name) desc, idx) filter (name is not null and idx < upto and score > 0)) as merchant_name from h group by 1)"""
 
 
-@query("extract_amount", f"""
-with b as (select receipt_id, row_number() over (partition by receipt_id order by pos) as n, {GROUPED} as a, regexp_matches(lower(text), '{'|'.join(X.DICTIONARIES['total'])}') as hint, regexp_matches(lower(text), '{'|'.join(X.DICTIONARIES['reject'])}') as bad, regexp_matches(lower(text), '{'|'.join(X.SUBTOTAL)}') as part from receipt_lines),
-c as (select *, not part and (coalesce(lag(hint, 1) over w, false) or coalesce(lag(hint, 2) over w, false)) as beside from b window w as (partition by receipt_id order by n)),
-v as (select receipt_id, n, hint, beside, part, unnest(a) as value from c where not bad), s as (select *, case when hint then 60 when beside then 45 else 10 end - case when part then 30 else 0 end + least(24, (count(*) over (partition by receipt_id, value) - 1) * 12) + n as score from v)
-select receipt_id, value as amount from s qualify row_number() over (partition by receipt_id order by hint desc, score desc, n desc, value desc) = 1""")
-def extract_amount(t: Tables) -> DataFrame:
-    return X.extract_amount(t.receipt_lines)
+@query("extract_merchant", f"with {LAYOUT}, {MERCHANT} select * from merchant_of")
+def extract_merchant(t: Tables) -> DataFrame:
+    return Y.extract_merchant(Y.page_lines(t.receipt_lines), receipt_types(t))
 
 
-@query("parse_receipt", CLASSED + f""", mm as ({METHOD}), ms as ({MERCHANT})
-select f.receipt_id, z.d as evidence_date, merchant_name, f.amount, payment_method, round(0.25 + case when merchant_name is null then 0 else 0.3 end + case when f.amount is null then 0 else 0.3 end + case when payment_method is null then 0 else 0.15 end, 2)::double as confidence
-from final f join amounts_ z on z.receipt_id = f.receipt_id left join mm on mm.receipt_id = f.receipt_id left join ms on ms.receipt_id = f.receipt_id""")
+@query("parse_receipt", f"""with {LAYOUT}, {AMOUNTS}, {MERCHANT}
+select z.receipt_id, z.d as evidence_date, merchant_name, amount, payment_method, round(0.25 + case when merchant_name is null then 0 else 0.3 end + case when amount is null then 0 else 0.3 end + case when payment_method is null then 0 else 0.15 end, 4)::double as confidence
+from amounts_ z left join amount_of on amount_of.receipt_id = z.receipt_id left join mm on mm.receipt_id = z.receipt_id left join merchant_of on merchant_of.receipt_id = z.receipt_id""")
 def parse_receipt(t: Tables) -> DataFrame:
-    return X.parse_receipt(t.receipt_lines, t.ground_truth.select("receipt_id", "evidence_type"), 2000)
+    return Y.parse_receipt(Y.page_lines(t.receipt_lines), receipt_types(t), 2000)
 
 
 @query("line_merge", "select receipt_id, (row_number() over (partition by receipt_id order by pos) - 1)::int as row, concat(trim(text), ' |') as text from receipt_lines where trim(text) <> ''")
@@ -338,10 +410,15 @@ def line_merge(t: Tables) -> DataFrame:
     top = F.col("top").cast("double")
     left = full.select("receipt_id", top.alias("top"), F.lit(5.0).alias("left"), F.lit(14.0).alias("height"), F.trim("text").alias("text"))
     right = full.select("receipt_id", (top + 3.0).alias("top"), F.lit(200.0).alias("left"), F.lit(12.0).alias("height"), F.lit("|").alias("text"))
-    return X.line_merge(left.unionByName(right))
+    return X.line_merge(left.unionByName(right)).select("receipt_id", "row", "text")
 
 
-SCORE = "round(case when evidence_date is null then 0 else 18 end + case when merchant_name is null then 0 else 30 end + case when amount is null then 0 else 32 end + case when payment_method is null then 0 else 12 end + 15 * avg_confidence + least(line_count, 12) + least(text_len, 600) / 60.0::double, 4)"
+def _bonus(table: dict[str, float]) -> str:
+    return f"case attempt {' '.join(f"when '{k}' then {v}" for k, v in table.items())} else 0 end" if table else "0"
+
+
+SCORE = f"""round(case when evidence_date is null then 0 else 18 end + case when merchant_name is null then 0 else 30 end + case when amount is null then 0 else 32 end + case when payment_method is null then 0 else 12 end + 15 * avg_confidence + least(line_count, 12) + least(text_len, 600) / 60.0::double
+    + case when evidence_type = 'physical_receipt' then {_bonus(X.PHYSICAL_BONUS)} else 0 end + {_bonus(X.ANY_BONUS)}, 4)"""
 
 
 @query("attempt_score", f"select receipt_id, attempt, {SCORE} as score from ocr_attempts")
@@ -349,22 +426,28 @@ def attempt_score(t: Tables) -> DataFrame:
     return X.scored(t.ocr_attempts).select("receipt_id", "attempt", "score")
 
 
-@query("best_attempt", f"select receipt_id, attempt, {SCORE} as score from ocr_attempts qualify row_number() over (partition by receipt_id order by score desc, avg_confidence desc, v) = 1")
+BEST = f"select receipt_id, attempt, {SCORE} as score from ocr_attempts qualify row_number() over (partition by receipt_id order by {SCORE} desc, avg_confidence desc, v) = 1"
+
+
+@query("best_attempt", BEST)
 def best_attempt(t: Tables) -> DataFrame:
     return X.best_attempt(t.ocr_attempts)
 
 
-LONG = f"""with s as (select *, {SCORE} as score from ocr_attempts), x as (select receipt_id, attempt, v, score, 'evidence_date' as field, cast(evidence_date as varchar) as value from s union all select receipt_id, attempt, v, score, 'merchant_name', merchant_name from s
-union all select receipt_id, attempt, v, score, 'amount', cast(amount as varchar) from s union all select receipt_id, attempt, v, score, 'payment_method', payment_method from s), y as (select *, case when field = 'merchant_name' then {KEY.format(c='value')} else value end as key from x where value is not null)"""
+LONG = "with s as (select *, " + SCORE + " + avg_confidence * 10 as base from ocr_attempts), x as (" + " union all ".join(
+    f"select receipt_id, attempt, v, '{f}' as field, cast({f} as varchar) as value, round(base + {_bonus(X.FIELD_BONUS[f])}, 6) as score from s" for f in X.FIELDS
+) + f"), y as (select *, case when field = 'merchant_name' then {KEY.format(c='value')} else value end as key from x where value <> '')"
 
 
-@query("field_fusion", LONG + " select receipt_id, field, value, attempt from y qualify row_number() over (partition by receipt_id, field order by score desc, v) = 1")
+@query("field_fusion", LONG + " select receipt_id, field, value, attempt, round(score, 4) as score from y qualify row_number() over (partition by receipt_id, field order by score desc, v) = 1")
 def field_fusion(t: Tables) -> DataFrame:
     return X.field_fusion(t.ocr_attempts)
 
 
-CONSENSUS = LONG + """, z as (select *, count(*) over (partition by receipt_id, field, key) as votes, min(v) over (partition by receipt_id, field, key) as first_v from y),
-c as (select receipt_id, field, value, votes from z qualify row_number() over (partition by receipt_id, field order by votes >= 2 desc, case when votes >= 2 then votes end desc nulls last, case when votes >= 2 then first_v end nulls last, score desc, v) = 1)"""
+CONSENSUS = LONG + """, votes as (select receipt_id, field, key, count(*) as votes, min(v) as first_v from y group by 1, 2, 3),
+won as (select receipt_id, field, key from votes where votes >= 2 and field <> 'payment_method' qualify row_number() over (partition by receipt_id, field order by votes desc, first_v) = 1),
+c as (select y.receipt_id, y.field, y.value, votes.votes, y.score from y join votes using (receipt_id, field, key) left join won on won.receipt_id = y.receipt_id and won.field = y.field
+    where won.key is null or won.key = y.key qualify row_number() over (partition by y.receipt_id, y.field order by y.score desc, y.v) = 1)"""
 
 
 @query("field_consensus", CONSENSUS + " select * from c")
@@ -372,8 +455,13 @@ def field_consensus(t: Tables) -> DataFrame:
     return X.field_consensus(t.ocr_attempts)
 
 
+@query("attempt_confidence", CONSENSUS + " select a.receipt_id, round(least(coalesce(avg(score), 0) / 100, 1), 4) as confidence from (select distinct receipt_id from ocr_attempts) a left join c using (receipt_id) group by 1")
+def attempt_confidence(t: Tables) -> DataFrame:
+    return X.attempt_confidence(t.ocr_attempts)
+
+
 @query("attempt_summary", CONSENSUS + f""" select a.receipt_id, a.n as variant_count, a.n as attempt_count, b.attempt as best_attempt, max(value) filter (field = 'evidence_date') as evidence_date, max(value) filter (field = 'merchant_name') as merchant_name, max(value) filter (field = 'amount') as amount, max(value) filter (field = 'payment_method') as payment_method
-from (select receipt_id, count(*) as n from ocr_attempts group by 1) a join (select receipt_id, attempt from ocr_attempts qualify row_number() over (partition by receipt_id order by {SCORE} desc, avg_confidence desc, v) = 1) b using (receipt_id) left join c using (receipt_id) group by all""")
+from (select receipt_id, count(*) as n from ocr_attempts group by 1) a join ({BEST}) b using (receipt_id) left join c using (receipt_id) group by all""")
 def attempt_summary(t: Tables) -> DataFrame:
     return X.attempt_summary(t.ocr_attempts)
 

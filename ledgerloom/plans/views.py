@@ -115,22 +115,23 @@ VIEWS: dict[str, str] = {
         union all select receipt_id, 1, concat(case when k < 4 then '거래일시 ' else '' end, case k % 3 when 0 then concat(cast(year(d) as varchar(4)), '-', cast(month(d) as varchar(2)), '-', cast(day(d) as varchar(2))) when 1 then concat(cast(year(d) as varchar(4)), '.', cast(month(d) as varchar(2)), '.', cast(day(d) as varchar(2)))
             else concat(cast(year(d) as varchar(4)), '년 ', cast(month(d) as varchar(2)), '월 ', cast(day(d) as varchar(2)), '일') end), 0.95, 40.0 from amounts_
         union all select receipt_id, 2, concat('아메리카노 2 ', cast(cast(floor(b / 1000) as int) as varchar(10)), ',', lpad(cast(b % 1000 as varchar(10)), 3, '0')), 0.9, 70.0 from amounts_
-        union all select receipt_id, 3, '수량 3', 0.9, 90.0 from amounts_ where k <> 3
+        union all select receipt_id, 3, case receipt_id % 11 when 2 then '사업자번호 123-45-67890 TEL 02-123-4567' when 5 then '받은금액 950,000' when 8 then '서울 광진구 자양로 12' else '수량 3' end, 0.9, 90.0 from amounts_ where k <> 3
         union all select receipt_id, 4, concat('부가세 ', cast(cast(floor(b / 1000) as int) as varchar(10)), ',', lpad(cast(b % 1000 as varchar(10)), 3, '0')), 0.92, 120.0 from amounts_
         union all select receipt_id, 5, concat('합계금액', case when k % 2 = 0 then concat(' ', cast(cast(floor(a / 1000) as int) as varchar(10)), ',', lpad(cast(a % 1000 as varchar(10)), 3, '0')) else '' end), 0.96, 150.0 from amounts_ where k <> 6
         union all select receipt_id, 6, concat(cast(cast(floor(a / 1000) as int) as varchar(10)), ',', lpad(cast(a % 1000 as varchar(10)), 3, '0')), 0.96, 170.0 from amounts_ where k % 2 = 1
         union all select receipt_id, 7, case when k = 4 then '승인금액' else concat('카드결제 ', cast(cast(floor(a / 1000) as int) as varchar(10)), ',', lpad(cast(a % 1000 as varchar(10)), 3, '0')) end, 0.94, 200.0 from amounts_ where k in (2, 4, 5)
         union all select receipt_id, 8, '1', 0.5, 220.0 from amounts_ where k = 4
+        union all select receipt_id, 8, case receipt_id % 11 when 5 then '거스름돈 3,500' when 6 then concat('총액 ', cast(a as varchar(10)), '원') else concat('승인번호 ', cast(10000000 + receipt_id as varchar(20))) end, 0.9, 220.0 from amounts_ where k <> 4
         union all select receipt_id, 9, concat(cast(cast(floor(a / 1000) as int) as varchar(10)), ',', lpad(cast(a % 1000 as varchar(10)), 3, '0')), 0.93, 240.0 from amounts_ where k = 4
         union all select receipt_id, 10, case k when 0 then '[체크카드 승인]' when 1 then '네이버페이 주문' when 2 then '현금영수증' when 3 then '계좌이체 받는분 총무' when 4 then '   ' else '감사합니다' end, 0.91, 270.0 from amounts_""",
     "ocr_attempts": """
-        select receipt_id, concat('variant', cast(v as varchar(2))) as attempt, v, case when receipt_id % 5 = v then null else case when (receipt_id + v) % 4 = 0 then d + 1 else d end end as evidence_date,
+        select receipt_id, case v when 0 then 'adaptive_binary' when 1 then case when k < 3 then 'background_cropped' else 'document_enhanced' end else case when k % 2 = 0 then 'upscaled_enhanced' else 'sharpened' end end as attempt, v, case when k < 5 then 'physical_receipt' else 'e_receipt' end as evidence_type, case when receipt_id % 5 = v then null else case when (receipt_id + v) % 4 = 0 then d + 1 else d end end as evidence_date,
             case when receipt_id % 6 = v then null else concat('가게 ', case when (receipt_id + v) % 3 = 0 then cast(receipt_id % 50 as varchar(4)) else concat('-', cast(receipt_id % 50 as varchar(4))) end) end as merchant_name,
             cast(case when receipt_id % 7 = v then null else a + case when (receipt_id * 3 + v) % 5 = 0 then 100 else 0 end end as decimal(12,2)) as amount,
             case when (receipt_id + v) % 3 = 0 then 'card' when (receipt_id + v) % 3 = 1 then 'cash' end as payment_method, cast(0.5 + ((receipt_id * 13 + v * 7) % 50) / 100.0 as double) as avg_confidence, cast(5 + (receipt_id + v) % 20 as int) as line_count, cast(50 + (receipt_id * 11 + v) % 700 as int) as text_len
         from amounts_ join (select 0 as v union all select 1 as v union all select 2 as v) x on 1 = 1""",
     "ground_truth": """
-        select concat('r', cast(receipt_id as varchar(20))) as file_name, receipt_id, case when k < 5 then 'receipt' else 'e_receipt' end as evidence_type, d as expected_date, concat('가게 ', cast(receipt_id % 50 as varchar(4))) as expected_merchant_name, cast(a as decimal(12,2)) as expected_amount,
+        select concat('r', cast(receipt_id as varchar(20))) as file_name, receipt_id, case when k < 3 then 'physical_receipt' when k < 5 then 'bank_transfer_statement' else 'e_receipt' end as evidence_type, d as expected_date, concat('가게 ', cast(receipt_id % 50 as varchar(4))) as expected_merchant_name, cast(a as decimal(12,2)) as expected_amount,
             'card' as expected_payment_method, case when k = 3 then null when k < 3 then 'train' else 'test' end as split, case when k % 2 = 0 then 'easy' end as difficulty from amounts_""",
     "sheet_rows_": """
         select settlement_id as file_id, settlement_id % 3 as layout, row_number() over (partition by settlement_id order by tx_id) + 1 as row_idx, tx_id, transaction_date as d, amount, description from bank_tx""",

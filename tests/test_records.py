@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as N
-from ledgerloom.operators import evaluate, extract, ingest
+from ledgerloom.operators import evaluate, extract, ingest, layout
 from ledgerloom.sources import files
 from ledgerloom.streaming import jobs
 
@@ -110,3 +110,65 @@ def test_streams(spark, tmp_path):
     f = jobs.fanout_stream(stream, settlements, members, str(tmp_path / "out"), str(tmp_path / "c2"))
     f.awaitTermination(120)
     assert {(r.event_id, r.user_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, 7), (3, 8)}
+
+
+def parsed(spark, kind, *texts, boxes=None):
+    """The fields of one receipt, of plain lines or of lines with (top, bottom)."""
+    rows = [(1, i, t) for i, t in enumerate(texts)]
+    found = layout.page_lines(spark.createDataFrame(rows, "receipt_id long, pos int, text string"))
+    if boxes:
+        found = spark.createDataFrame([(1, i, t, 0.0, float(a), 240.0, float(b)) for i, (t, (a, b)) in enumerate(zip(texts, boxes, strict=True))], "receipt_id long, pos int, text string, left double, top double, right double, bottom double")
+    types = spark.createDataFrame([(1, kind)], "receipt_id long, evidence_type string")
+    return layout.parse_receipt(found, types, 2026).head()
+
+
+PHYSICAL, TRANSFER, ONLINE = "physical_receipt", "bank_transfer_statement", "e_receipt"
+
+
+@pytest.mark.parametrize(("kind", "texts", "want"), [
+    (TRANSFER, ["거래일시 2026-03-19 14:22", "받는분 학생식당", "이체금액 12,300원", "출금계좌 123-45-67890"], (date(2026, 3, 19), "학생식당", 12300, "bank_transfer", 1.0)),
+    (ONLINE, ["네이버페이 주문", "결제일 2026.03.20", "판매처 캠퍼스문구", "결제금액 45,000원"], (date(2026, 3, 20), "캠퍼스문구", 45000, "online_payment", 1.0)),
+    (PHYSICAL, ["CU 구의본점", "거래일시 2026.04.04 11:20", "현금결제", "받을금액 2,720원"], (date(2026, 4, 4), "CU 구의본점", 2720, "cash", 1.0)),
+    (PHYSICAL, ["사업자번호 123-45-67890", "건국대 학생회관 1847카페", "승인일시 2026/03/21 13:22:11", "합계 5,500원 카드"], (date(2026, 3, 21), "건국대 학생회관 1847카페", 5500, "card", 1.0)),
+    (PHYSICAL, ["원플레이 건대점 사업자번호 116-07-98021", "결제금액 18,800원 카드"], (None, "원플레이 건대점", 18800, "card", 0.75)),
+    (PHYSICAL, ["건국대 학생회관 1847카페", "아메리카노 2,000원", "샌드위치 2,500원", "결제금액 4,500원", "카드"], (None, "건국대 학생회관 1847카페", 4500, "card", 0.75)),
+    (PHYSICAL, ["합계 9500원"], (None, "합계 9500원", 9500, None, 0.3)),
+])
+def test_parsed_texts(spark, kind, texts, want):
+    row = parsed(spark, kind, *texts)
+    if texts == ["합계 9500원"]:  # a line of noise is no name
+        want = (*want[:1], None, *want[2:])
+    assert tuple(row[c] for c in ("evidence_date", "merchant_name", "amount", "payment_method", "confidence")) == want
+
+
+def test_parsed_layouts(spark):
+    assert parsed(spark, PHYSICAL, "판매시간 20260404 23:54:53", "합계 28,200원", "카드").evidence_date == date(2026, 4, 4)
+    assert parsed(spark, PHYSICAL, "CU 구의본점", "결제금액", "6,360", "NO:3859 15:19", boxes=[(0, 18), (180, 198), (205, 223), (260, 278)]).amount == 6360
+    assert parsed(spark, PHYSICAL, "Again", "CU 구의본점", "사업자등록번호 207-41-02918", boxes=[(0, 18), (24, 42), (50, 68)]).merchant_name == "CU 구의본점"
+    assert parsed(spark, PHYSICAL, "거래일시", "2026/04/03 11:04", "2028-04-03 10:29", boxes=[(120, 138), (146, 164), (320, 338)]).evidence_date == date(2026, 4, 3)
+    assert parsed(spark, PHYSICAL, "가게", "받은금액 10,000", "거스름돈 3,500").amount == 6500
+    assert parsed(spark, PHYSICAL, "가게", "4,200", "합계").amount == 4200
+    left = spark.createDataFrame([(1, 0, "합계", 0.0, 100.0, 60.0, 118.0), (1, 1, "7,700", 150.0, 103.0, 240.0, 119.0)], "receipt_id long, pos int, text string, left double, top double, right double, bottom double")
+    assert [r.text for r in layout.merged_lines(left).collect()] == ["합계 7,700"]
+
+
+def test_merged_attempts(spark):
+    rows = [(1, "background_cropped", 0, PHYSICAL, None, "건국대 학생회관 1847카페", 4000, "card", 0.84, 2, 28), (1, "document_enhanced", 1, PHYSICAL, date(2026, 4, 3), None, 4000, "card", 0.81, 2, 38), (2, "original", 0, PHYSICAL, None, None, None, None, 0.5, 1, 4)]
+    attempts = spark.createDataFrame(rows, "receipt_id long, attempt string, v int, evidence_type string, evidence_date date, merchant_name string, amount long, payment_method string, avg_confidence double, line_count int, text_len int")
+    got = {r.field: r.value for r in extract.field_consensus(attempts).filter("receipt_id = 1").collect()}
+    assert got == {"evidence_date": "2026-04-03", "merchant_name": "건국대 학생회관 1847카페", "amount": "4000", "payment_method": "card"}
+    score = {r.attempt: r.score for r in extract.scored(attempts).collect()}
+    assert score["background_cropped"] == round(30 + 32 + 12 + 0.84 * 15 + 2 + 28 / 60 + 3, 4)
+    assert {r.receipt_id: r.confidence for r in extract.attempt_confidence(attempts).collect()}[2] == 0
+    assert {r.receipt_id: r.attempt for r in extract.best_attempt(attempts).collect()}[1] == "background_cropped"
+
+
+def test_header_words(spark):
+    rows = [["거래일자", "비고", "금액"], ["2026-03-02", "회비", "1,000"], ["2026-03-03", "간식", ""]]
+    assert [(r.description, r.amount) for r in ingest.statement_rows(grid(spark, rows)).collect()] == [("회비", Decimal(1000))]
+
+
+def test_addresses(spark):
+    texts = ["서울 광진구 자양로", "자양로", "12-34", "카페"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(N.looks_like_address(F.col("t"))).collect()] == [True, False, True, False]
