@@ -127,7 +127,8 @@ def public_settlements(visible: DataFrame, organizations: DataFrame, settlements
 
 def public_periods(visible: DataFrame, organizations: DataFrame, settlements: DataFrame) -> DataFrame:
     shown = public_gate(settlements).join(organizations.select("org_id", "college_name"), "org_id")
-    by = visible.join(shown, "college_name").groupBy("user_id", "academic_year", "semester").agg(F.count("*").alias("published_count"))
+    per_college = shown.groupBy("college_name", "academic_year", "semester").agg(F.count("*").alias("n"))  # before users meet settlements
+    by = visible.join(per_college, "college_name").groupBy("user_id", "academic_year", "semester").agg(F.sum("n").alias("published_count"))
     return by.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("academic_year"), F.desc(semester_order(F.col("semester"))))))
 
 

@@ -46,11 +46,15 @@ def access_check(requests: DataFrame, memberships: DataFrame, scope: DataFrame)
 
 
 def notification_fanout(actions: DataFrame, settlements: DataFrame, memberships: DataFrame) -> DataFrame:
-    """One row per event and user with a role that hears of it, without the actor."""
+    """One row per event (event_id is unique) and user with a role that hears of it, without the actor.
+
+    Listeners are made distinct before the events meet them, so the fanned-out rows are not shuffled again."""
     spark = actions.sparkSession
     routes = F.broadcast(spark.createDataFrame(ROUTES, "action string, role string"))  # a fixed table
-    heard = actions.join(routes, "action").join(settlements.select("settlement_id", "org_id"), "settlement_id").join(memberships.select("org_id", "role", "user_id"), ["org_id", "role"])
-    return heard.filter(~F.col("user_id").eqNullSafe(F.col("actor_user_id"))).select("event_id", "user_id", "action").distinct()
+    listeners = memberships.select("org_id", "role", "user_id").join(routes, "role").select("org_id", "action", "user_id").distinct()
+    events = actions.select("event_id", "settlement_id", "action", "actor_user_id").join(settlements.select("settlement_id", "org_id"), "settlement_id")
+    heard = events.join(listeners, ["org_id", "action"])
+    return heard.filter(~F.col("user_id").eqNullSafe(F.col("actor_user_id"))).select("event_id", "user_id", "action")
 
 
 def org_period_cards(organizations: DataFrame, settlements: DataFrame, periods: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import reconcile as R
 from ..operators import rollup as U
 from ..operators import scope as S
+from ..sources.files import scratch
+from ..streaming import jobs as J
 from .registry import query
 from .views import Tables
 
@@ -356,6 +358,17 @@ def notification_fanout(t: Tables) -> DataFrame:
     return heard.groupBy("event_id", "action").agg(F.count("*").alias("n"), F.min("user_id").alias("first_user"), F.sum("user_id").alias("ids"))
 
 
+@query("fanout_stream", f"select event_id, action, count(*) as n, min(user_id) as first_user, sum(user_id)::bigint as ids from ({FANOUT}) f group by event_id, action")
+def fanout_stream(t: Tables) -> DataFrame:
+    """The fan-out as a stream: the events are written as files, read as they come, and the notifications of all batches read back."""
+    spark, at = t.spark, scratch(t.spark, "fanout")
+    t.actions.write.parquet(f"{at}/actions")
+    stream = J.events_stream(spark, f"{at}/actions", spark.read.parquet(f"{at}/actions").schema)
+    J.fanout_stream(stream, t.settlements, t.memberships, f"{at}/out", f"{at}/state").awaitTermination()
+    heard = spark.read.parquet(f"{at}/out")
+    return heard.groupBy("event_id", "action").agg(F.count("*").alias("n"), F.min("user_id").alias("first_user"), F.sum("user_id").alias("ids"))
+
+
 LABEL = "case when s.status is null then '미제출' when s.status = 'draft' then '작성중' when s.status = 'submitted' then '제출완료' when s.status in ('under_audit', 'ready_for_review') then '감사중' when s.status = 'approved' and s.published_at is not null then '공개완료' when s.status = 'approved' then '승인완료' when s.status = 'rejected' then '반려' else s.status end"
 
 

@@ -31,8 +31,12 @@ def file_inventory(files: DataFrame, max_mb: int = MAX_MB, suffixes: list[str] |
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share, or in one of our own where none is named."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerloom-")
+    """A new path in the folder that driver and executors share; where none is named, one of our own, but not on a cluster."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="ledgerloom-")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

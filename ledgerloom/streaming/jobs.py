@@ -20,7 +20,7 @@ def fanout_stream(actions: DataFrame, settlements: DataFrame, memberships: DataF
     """Append the notifications of each micro-batch of lifecycle events to a table of files; returns the started query."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        notification_fanout(batch, settlements, memberships).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        notification_fanout(batch, settlements, memberships).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return actions.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
