@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, strip_ws
+from .common import cut, strip_ws, unused
 
 #: Units that count as such after a number.
 UNITS = (
@@ -37,11 +37,11 @@ def _plain(text: Column) -> Column:
     return F.regexp_replace(text, r"""[.,;:!?"')\]](?<=\S.)[.,;:!?"')\]]*(?=\s|$)""", "")
 
 
-def canonical_words(text: Column) -> Column:
+def canonical_words(text: Column, units: str = UNITS) -> Column:
     """As many words as raw_words has, in canonical form."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Lu}(?<=[\p{Ll},;] .)\p{Ll}[\p{L}'’-]*", "<name>")
     t = F.regexp_replace(F.lower(t), r"[$€£]?\d[\d.,:/]*%?", "<num>")
-    t = F.regexp_replace(t, rf"<num>( ?)(?:{UNITS})(?![\p{{L}}])", "<num>$1<unit>")
+    t = F.regexp_replace(t, rf"<num>( ?)(?:{units})(?![\p{{L}}])", "<num>$1<unit>")
     return raw_words(_plain(t))
 
 
@@ -78,27 +78,30 @@ def leaks(
     least_words: int = 4,
     share: float = 0.3,
     run: int = 13,
+    literal: float = 0.6,
+    units: str = UNITS,
 ) -> DataFrame:
     """(id, item, n_windows, coverage, n_slots, n_changed) for each document and item that it leaks.
 
-    A window of the item is found verbatim, whatever its words, or as a template, if 60 % of its words at least
-    are literal. ``coverage`` is the share of the item's windows found, or that of those which can be found as
+    A window of the item is found verbatim, whatever its words, or as a template, if a share of ``literal`` of its words
+    at least are literal: with fewer, placeholders alone would make texts alike. ``units`` are those told after numbers. ``coverage`` is the share of the item's windows found, or that of those which can be found as
     templates if it is greater, at least ``share``, or less where ``run`` words on end are found verbatim. Items of fewer than ``size`` words are one window, of fewer
     than ``least_words`` are found verbatim only. In scripts without spaces each sign is a word. ``n_slots`` are
     the item's words behind placeholders in the matched windows, ``n_changed`` those that the document has
     otherwise; where one of them stands for several words of the document, a match counts without the windows that
     hold it, other than verbatim ones. Null texts and ids are found nowhere; repeated rows count once.
-    Several texts of one item are looked for one by one, and the one with the most coverage is given."""
+    Several texts of one item are looked for one by one, and the one with the most coverage is given. An empty table on
+    either side gives no rows; other columns are not looked at, whatever their names."""
     items = cut(
         benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("t")).filter("item is not null").distinct()
         .withColumn("s", spaced(F.col("t")))
-        .select("item", F.xxhash64("t").alias("th"), literal_words(F.col("s")).alias("i_raw"), canonical_words(F.col("s")).alias("i_words"))
+        .select("item", F.xxhash64("t").alias("th"), literal_words(F.col("s")).alias("i_raw"), canonical_words(F.col("s"), units).alias("i_words"))
         .withColumn("size", F.least(F.size("i_words"), F.lit(size))).filter("size > 0")
         .withColumn("slot", F.zip_with("i_words", "i_raw", lambda c, r: c != r))
     )
     made = hashed(items.withColumn("c", F.col("i_words")).withColumn("r", F.col("i_raw"))).select("item", "th", "size", "slot", F.posexplode(F.arrays_zip(windows("c", F.col("size")).alias("c"), windows("r", F.col("size")).alias("r"))).alias("i_at", "w"))
-    literal = F.col("size") - F.size(F.filter(F.slice("slot", F.col("i_at") + 1, F.col("size")), lambda x: x))
-    made = made.select("item", "th", "size", "i_at", "w", (literal < F.col("size")).alias("slotted"), ((literal * 10 >= F.col("size") * 6) & ((F.col("size") >= least_words) | (literal == F.col("size")))).alias("open"))
+    literals = F.col("size") - F.size(F.filter(F.slice("slot", F.col("i_at") + 1, F.col("size")), lambda x: x))
+    made = made.select("item", "th", "size", "i_at", "w", (literals < F.col("size")).alias("slotted"), ((literals >= F.ceil(F.col("size") * literal - 1e-9)) & ((F.col("size") >= least_words) | (literals == F.col("size")))).alias("open"))
     ways = F.filter(F.array(F.struct(F.col("w.r").alias("hash"), F.lit(True).alias("verbatim")), F.struct(F.col("w.c").alias("hash"), F.lit(False).alias("verbatim"))), lambda x: x.verbatim | (F.col("slotted") & F.col("open")))
     filed = made.select("item", "th", "size", "i_at", "slotted", "open", F.inline(ways))
     whole = made.groupBy("item", "th").agg(F.count("*").alias("of"), F.sum(F.col("open").cast("int")).alias("of_open"))
@@ -106,7 +109,7 @@ def leaks(
     small = filed.count() <= SENT
     sizes = [r["size"] for r in filed.select("size").distinct().collect()] or [size]  # as many values as ``size`` at most
     worded = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), spaced(F.col(text_col)).alias("s"))
-    worded = hashed(worded.select("doc", canonical_words(F.col("s")).alias("c"), literal_words(F.col("s")).alias("r")))
+    worded = hashed(worded.select("doc", canonical_words(F.col("s"), units).alias("c"), literal_words(F.col("s")).alias("r")))
     found = None
     for s in sorted(sizes):
         mine = filed.filter(F.col("size") == s).drop("size")
@@ -152,7 +155,9 @@ def leaks(
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """``docs`` less the documents that leak an item; rows with a null id stay."""
-    bad = cut(leaks(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("_bad")).distinct())
+    """``docs`` less the documents that leak an item; rows with a null id stay, and so does every row where the benchmark
+    is empty. An empty table gives no rows; all columns are handed on, whatever their names."""
+    (name,) = unused(docs, "bad")
+    bad = cut(leaks(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias(name)).distinct())
     few = F.broadcast(bad) if bad.count() <= SENT else bad
-    return docs.join(few, docs[id_col] == F.col("_bad"), "left_anti")
+    return docs.join(few, docs[id_col] == F.col(name), "left_anti")

@@ -49,9 +49,6 @@ WEIGHTS = int(_OFFSET[-1]) + 1  # and a bias
 #: Scores from here on are good.
 THRESHOLD = 0.3
 
-#: In fitting, longer chains are cut into pieces of so many lines.
-FIT_CHAIN = 400
-
 
 def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(lines x features) places of weights, and the lines' lengths in bytes."""
@@ -145,11 +142,13 @@ class LineField:
         return np.where(mean < self.line, THRESHOLD * mean / self.line, 1 - (1 - THRESHOLD) * (1 - mean) / (1 - self.line))
 
 
-def fit(feats: list[np.ndarray], labels: list[int], rounds: int = 120, rate: float = 0.15, decay: float = 1e-3) -> LineField:
+def fit(feats: list[np.ndarray], labels: list[int], rounds: int = 120, rate: float = 0.15, decay: float = 1e-3, fit_chain: int = 400) -> LineField:
+    """Gradient ascent on the likelihood. Chains of over ``fit_chain`` lines are fitted as pieces of so many lines, without the
+    pairs between the pieces; scores are of whole chains."""
     w, trans = np.zeros(WEIGHTS), np.zeros((2, 2))
     if not feats:
         return LineField(w, trans)
-    cut = [(f[i : i + FIT_CHAIN], y) for f, y in zip(feats, labels, strict=True) for i in range(0, len(f), FIT_CHAIN)]
+    cut = [(f[i : i + fit_chain], y) for f, y in zip(feats, labels, strict=True) for i in range(0, len(f), fit_chain)]
     x = np.concatenate([f for f, _ in cut])
     lens, y = np.array([len(f) for f, _ in cut]), np.array([y for _, y in cut])
     lines_y = np.repeat(y, lens)
@@ -179,7 +178,7 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(id_col.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 4000) -> LineField:
+def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 4000, fit_chain: int = 400) -> LineField:
     """Fit on at most ``fit_rows`` labelled documents (those of the smallest checksums), whole texts.
 
     Held-out ids, null labels and null ids are left out. Of several labels of an id the smallest counts."""
@@ -193,7 +192,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     width = len(_SIZES)
     rows = sorted((r["label"], bytes(r["feats"]), r["weight"]) for r in rows)
     feats, labels = [np.frombuffer(f, np.uint8).reshape(-1, width).astype(np.int64) for _, f, _ in rows], [y for y, _, _ in rows]
-    field = fit(feats, labels)
+    field = fit(feats, labels, fit_chain=fit_chain)
     if len(set(labels)) > 1:
         lens = np.array([len(f) for f in feats])
         good, _, _ = chains(field.lines(np.concatenate(feats)), lens, field.trans)

@@ -10,7 +10,7 @@ from ledgerloom.llm.queries import URL_RULES, tokenizer_path
 
 LONG = " ".join(f"word{i % 977} x{i}" for i in range(30000))
 ROWS = [(1, None), (2, ""), (3, " \n\t"), (4, LONG), (5, LONG), (5, LONG), (6, "a b c\na b c"), (None, "null id"), (None, None), (7, "naïve ☃ 日本 text"), (8, "a b c\na b c")]
-EXTRA = {"n_words": "clash", "kept": 1, "id": 2, "doc": 3, "_doc": 4, "score": "s", "a": 0, "th": 0}
+EXTRA = {"n_words": "clash", "kept": 1, "id": 2, "doc": 3, "_doc": 4, "score": "s", "a": 0, "th": 0, "out": 5, "firsts": 6, "counts": 7, "dropped": 8, "doc_": 9, "_th": 10, "_out": 11, "bad": 12}
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +80,55 @@ def test_urls(spark):
     assert (got[5].rule, got[5].verdict, got[6].rule) == ("example.com/en/", "block", "net/es/")
     assert (got[0].host, got[0].path, got[0].rule) == ("", "", None)
     assert url_filters.filter_urls(pages.limit(0), URL_RULES).collect() == []
+
+
+@pytest.mark.parametrize("name", ["substring", "suffix", "lines", "classifier"])
+def test_other_columns_are_handed_on(docs, labels, name):
+    out = OPS[name](docs, labels)
+    new = {"substring": ["n_words"], "classifier": ["score"]}.get(name, [])
+    kept = [c for c in EXTRA if c not in new]
+    assert set(kept) <= set(out.columns)
+    assert {tuple(r) for r in out.select(*kept).collect()} == {tuple(EXTRA[c] for c in kept)}
+
+
+def test_documents_without_leaks_keep_their_columns(spark, docs):
+    bench = spark.createDataFrame([(1, "null id")], "item_id long, text string")
+    assert decontamination.without_leaks(docs, bench).columns == docs.columns
+
+
+@pytest.mark.parametrize("name", ["substring", "suffix", "lines"])
+def test_ids_that_are_no_numbers(spark, name):
+    with pytest.raises(TypeError):
+        OPS[name](spark.createDataFrame([("x", "text")], "doc_id string, text string"), None)
+
+
+def test_long_lines_and_long_words(spark):
+    word, line = "w" * 300_000, " ".join(["same"] * 60_000)
+    rows = [(1, word), (2, word), (3, line), (4, line + "\n" + word)]
+    long = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(long).collect()} == {1: 0, 2: 1, 3: 0, 4: 2}
+    assert {r.doc_id: r.n_removed for r in substring_dedup.dedup_substrings(long).collect()} == {1: 0, 2: 0, 3: 0, 4: 60_000}
+    assert all(r.n_removed == r.n_bytes or r.doc_id == 4 for r in suffix_dedup.dedup_strings(long).collect())
+
+
+STAGE_ROWS = [(1, None), (2, ""), (3, "x"), (4, "a line of plain words here.\nand one more line"), (4, "a line of plain words here.\nand one more line"), (5, "a line of plain words here.\nand one more line"), (None, "a text of no id at all")]
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    text = "doc_id long, text string, lang string, source string, n_chars long"
+    full = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in STAGE_ROWS], text).withColumn("bad", F.lit(1)).withColumn("doc", F.lit(2))
+    spark.createDataFrame([(3, 0, 0), (4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "never found in any text of these documents here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, full, str(tmp_path))
+        assert stage(spark, full.limit(0), str(tmp_path)).collect() == []
+        if name != "encoding":
+            assert got.columns == corpus_pipeline.COLUMNS
+        ids = [r.doc_id for r in got.collect()]
+        assert None in ids or name == "quality classifier"
+        if name in ("line dedup", "decontamination", "encoding"):
+            assert len(ids) == len(STAGE_ROWS)
+        if name == "near dedup":
+            assert 5 not in ids

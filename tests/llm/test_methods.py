@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import math
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerloom.llm import bpe, common, line_dedup, near_dedup, quality_classifier, substring_dedup, suffix_dedup
+from ledgerloom.llm import bpe, common, decontamination, line_dedup, near_dedup, quality_classifier, substring_dedup, suffix_dedup, url_filters
 from ledgerloom.llm.anchors import blocks
 from ledgerloom.llm.common import Scratch
 from ledgerloom.llm.decontamination import leaks
@@ -314,6 +317,107 @@ def test_templates(spark):
     assert [(r.doc_id, r.n_changed) for r in leaks(docs, bench).collect()] == [(1, 2)]
 
 
+def reparameterised() -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
+    """Items with numbers, names and units, and documents that hold them verbatim, in part, with other values, and with values
+    that don't fit together."""
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in ("gra", "lo", "mi", "ten", "ur") for b in ("ba", "ko", "ly", "sen", "vi", "zo")]
+    items, docs = [], []
+    for item in range(12):
+        parts = [rng.choice(words) for _ in range(rng.randrange(14, 30))]
+        for k in range(2, len(parts) - 1, rng.choice([3, 4, 5])):
+            parts[k] = rng.choice(["{n}", "{n} kg", "{m}", "Anna", "{n}"])
+        made = lambda n, m, name, parts=parts: " ".join(parts).replace("{n}", str(n)).replace("{m}", str(m)).replace("Anna", name)
+        items.append((item, made(5, 17, "Anna")))
+        pad = lambda: " ".join(rng.choice(words) for _ in range(7))
+        whole = made(8, 23, "Tom")
+        mixed = whole.replace("8", "9", 1)
+        for text in (items[-1][1], whole, mixed, " ".join(whole.split()[: len(whole.split()) // 2]), pad()):
+            docs.append((len(docs), f"{pad()} {text} {pad()}"))
+    return docs, items
+
+
+def test_templates_against_all_windows(spark):
+    docs, items = reparameterised()
+    frame = lambda rows: spark.createDataFrame(rows, "id long, text string").select("id", decontamination.canonical_words(F.col("text")).alias("c"), decontamination.literal_words(F.col("text")).alias("r")).collect()
+    want = {}
+    for d in frame(docs):
+        for i in frame(items):
+            size, of = 8, len(i.c) - 7
+            slot = [a != b for a, b in zip(i.c, i.r, strict=True)]
+            opened = [5 <= size - sum(slot[at : at + size]) for at in range(of)]
+            met = []
+            for at in range(of):
+                for x in range(len(d.c) - size + 1):
+                    verbatim = i.r[at : at + size] == d.r[x : x + size]
+                    if verbatim or (opened[at] and any(slot[at : at + size]) and i.c[at : at + size] == d.c[x : x + size]):
+                        met.append((x - at, at, verbatim))
+            runs = any(all((shift, at + k, True) in met for k in range(6)) for shift, at, _ in met)
+
+            def coverage(met, of=of, opened=opened):
+                ats = {at for _, at, _ in met}
+                return len(ats), max(len(ats) / of, len({at for at in ats if opened[at]}) / sum(opened) if any(opened) else 0.0)
+
+            if not met or not (runs or coverage(met)[1] >= 0.3):
+                continue
+            sound = []
+            for shift in {m[0] for m in met}:
+                here = [m for m in met if m[0] == shift]
+                at_slots = {k for _, at, _ in here for k in range(at, at + size) if slot[k]}
+                stands = {}
+                for k in at_slots:
+                    stands.setdefault(i.r[k], set()).add(d.r[k + shift])
+                bad = {k for k in at_slots if len(stands[i.r[k]]) > 1}
+                sound += [m for m in here if m[2] or not bad & set(range(m[1], m[1] + size))]
+            n, share = coverage(sound)
+            if sound and (runs or share >= 0.3):
+                want[d.id, i.id] = (n, round(share, 6))
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): (r.n_windows, r.coverage) for r in got.collect()} == want
+    assert len(want) >= 30
+
+
+def test_url_models_against_brute_force(spark):
+    rng = random.Random(12)
+    rules = [("allow", "com", "/"), ("block", "net", "/")]
+    hosts = [("news", "com"), ("shop", "com"), ("casino", "net"), ("win", "net"), ("blog", "org"), ("casino", "org")]
+    urls = [f"http://{h}{rng.randrange(30)}.{tld}/{rng.choice(['a', 'read', 'bet', 'bonus'])}/{rng.randrange(99)}" for h, tld in (rng.choice(hosts) for _ in range(160))] + ["http://x.com/a"] * 3
+    texts = {u: "^^^" + "".join("0" if c.isdigit() else c if c.isascii() and c.isalpha() or c in "./-?" else "~" for c in u.split("://")[1].lower()) for u in urls}
+    given = {u: "allow" if u.split("/")[2].endswith(".com") else "block" if u.split("/")[2].endswith(".net") else None for u in urls}
+    held = {u: zlib.crc32(u.encode()) % 5 == 0 for u in urls}
+    seen = {v: Counter() for v in ("allow", "block")}
+    for u in urls:
+        if given[u] and not held[u]:
+            t = texts[u]
+            seen[given[u]].update(t[k - n : k + 1] for k in range(3, len(t)) for n in range(4))
+    contexts = {v: Counter() for v in seen}
+    kinds = {v: Counter() for v in seen}
+    for v, counts in seen.items():
+        for g, n in counts.items():
+            contexts[v][g[:-1], len(g)] += n
+            kinds[v][g[:-1], len(g)] += 1
+
+    def p(v: str, gram: str) -> float:
+        out = 1 / 32
+        for n in range(1, 5):
+            g = gram[4 - n :]
+            c = contexts[v][g[:-1], n]
+            if c:
+                out = (seen[v][g] + kinds[v][g[:-1], n] * out) / (c + kinds[v][g[:-1], n])
+        return out
+
+    score = {u: round(float(np.mean([math.log(p("allow", t[k : k + 4])) - math.log(p("block", t[k : k + 4])) for k in range(len(t) - 3)])), 6) for u, t in texts.items()}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = {r.page_id: r for r in url_filters.filter_urls(pages, rules).collect()}
+    assert all(abs(rows[i].score - score[u]) < 2e-6 for i, u in enumerate(urls))
+    bins = lambda x: max(-200, min(200, math.floor(x / 0.02 + 1e-9)))
+    held_out = [(bins(score[u]), given[u]) for u in urls if held[u] and given[u]]
+    loss = lambda b: round(sum(x < b for x, v in held_out if v == "allow") / sum(v == "allow" for _, v in held_out) + 1 - sum(x < b for x, v in held_out if v == "block") / sum(v == "block" for _, v in held_out), 9)
+    line = min((loss(b), abs(b), b) for b in {b for b, _ in held_out})[2] * 0.02
+    for i, u in enumerate(urls):
+        assert rows[i].verdict == (given[u] or ("allow" if score[u] >= round(line, 2) else "block"))
+
+
 def test_repeated_items(spark):
     first, second = ("the quick brown fox jumps over the lazy dog near a quiet river bank", " ".join(f"other{chr(97 + k)}" for k in range(20)))
     docs = spark.createDataFrame([(1, f"as told here {first} and so on"), (2, f"then {second} again")], "doc_id long, text string")
