@@ -351,7 +351,7 @@ l as (select *, top / ph as ny, lag(low) over w as low_before, lead(low) over w
     from l1 window w as (partition by receipt_id order by idx)),
 mm as ({METHOD})"""
 
-AMOUNTS = f"""
+AMOUNT_OF = f"""
 o as (select l.*, payment_method, total or beside as hinted, concat_ws(' ', low_before, low, low_after) as around from l join mm on mm.receipt_id = l.receipt_id),
 own as (select *, unnest(a) as num from o where hinted or not (coded or {_any('low', X.DICTIONARIES['reject'])})),
 near as (select t.receipt_id, unnest(x.a) as num, x.ny, case when x.idx > t.idx then 74 else 70 end - 6 * abs(x.idx - t.idx) as base from l t join l x on x.receipt_id = t.receipt_id and abs(x.idx - t.idx) in (1, 2)
@@ -369,7 +369,7 @@ counted as (select *, count(*) over (partition by receipt_id, value) as times fr
 amount_of as (select receipt_id, value as amount from counted qualify row_number() over (partition by receipt_id order by hinted desc, score + least((times - 1) * 12, 24) desc, times desc, value desc) = 1)"""
 
 
-@query("extract_amount", f"with {LAYOUT}, {AMOUNTS} select * from amount_of")
+@query("extract_amount", f"with {LAYOUT}, {AMOUNT_OF} select * from amount_of")
 def extract_amount(t: Tables) -> DataFrame:
     return Y.extract_amount(Y.page_lines(t.receipt_lines), receipt_types(t))
 
@@ -396,7 +396,7 @@ def extract_merchant(t: Tables) -> DataFrame:
     return Y.extract_merchant(Y.page_lines(t.receipt_lines), receipt_types(t))
 
 
-@query("parse_receipt", f"""with {LAYOUT}, {AMOUNTS}, {MERCHANT}
+@query("parse_receipt", f"""with {LAYOUT}, {AMOUNT_OF}, {MERCHANT}
 select z.receipt_id, z.d as evidence_date, merchant_name, amount, payment_method, round(0.25 + case when merchant_name is null then 0 else 0.3 end + case when amount is null then 0 else 0.3 end + case when payment_method is null then 0 else 0.15 end, 4)::double as confidence
 from amounts_ z left join amount_of on amount_of.receipt_id = z.receipt_id left join mm on mm.receipt_id = z.receipt_id left join merchant_of on merchant_of.receipt_id = z.receipt_id""")
 def parse_receipt(t: Tables) -> DataFrame:
