@@ -84,36 +84,66 @@ def line_features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(cols, axis=1) + _OFFSET[:-1], length
 
 
-def chains(u: np.ndarray, lens: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def chains(u: np.ndarray, lens: np.ndarray, trans: np.ndarray, counted: bool = True) -> tuple[np.ndarray, np.ndarray, float]:
     """Forward-backward over chains that lie one after the other: P(good) of each line, the expected number
-    of each pair of neighbouring labels, and the log of the partition functions' product.
-
-    ``u`` is a line's weight for good over bad; trans[a, b] the weight of a before b."""
-    order = np.argsort(-lens, kind="stable")
-    start = (np.cumsum(lens) - lens)[order]
-    lens = lens[order]
-    longest = int(lens[0]) if len(lens) else 0
-    live = [int(np.searchsorted(-lens, -t, side="left")) for t in range(longest)]  # chains longer than t
+    of each pair of neighbouring labels (0 if not to be ``counted``), and the log of the partition functions' product.
+
+    ``u`` is a line's weight for good over bad; trans[a, b] the weight of a before b. Chains are cut into blocks
+    of about the root of the longest chain's lines. A block acts on what comes in as one 2 x 2 matrix, so the
+    messages first pass from block to block and then along all blocks at once; the result is that of the whole chains."""
+    n = len(u)
     pot = np.exp(trans)
     e = np.stack([np.where(u > 0, np.exp(-np.abs(u)), 1.0), np.where(u > 0, 1.0, np.exp(-np.abs(u)))], axis=1)
-    fwd, bwd, total = np.empty_like(e), np.empty_like(e), float(np.maximum(u, 0).sum())
-    for t in range(longest):
-        at = start[: live[t]] + t
-        a = e[at] if t == 0 else (fwd[at - 1] @ pot) * e[at]
+    total = float(np.maximum(u, 0).sum())
+    if not n:
+        return np.zeros(0), np.zeros((2, 2)), total
+    room = max(16, int(np.ceil(np.sqrt(lens.max()))))
+    held = -(-lens // room)  # blocks of each chain
+    chain = np.repeat(np.arange(len(lens)), held)
+    nth = np.arange(len(chain)) - (np.cumsum(held) - held)[chain]
+    start = (np.cumsum(lens) - lens)[chain] + nth * room
+    size = np.minimum(lens[chain] - nth * room, room)
+    # A step from a line to the next; into a chain's first line every step weighs 1.
+    step = pot[None] * e[:, None, :]
+    step[start[nth == 0]] = e[start[nth == 0]][:, None, :]
+
+    by_size = np.argsort(-size, kind="stable")
+    longer = [by_size[: int(np.searchsorted(-size[by_size], -t, side="left"))] for t in range(int(size.max()))]  # blocks of over t lines
+    by_nth = np.argsort(nth, kind="stable")
+    of_nth = np.split(by_nth, np.cumsum(np.bincount(nth))[:-1])
+
+    whole = np.broadcast_to(np.eye(2), (len(start), 2, 2)).copy()
+    for t, live in enumerate(longer):
+        m = whole[live] @ step[start[live] + t]
+        whole[live] = m / m.sum(axis=(1, 2), keepdims=True)
+    into, after = np.full((len(start), 2), 0.5), np.full((len(start), 2), 0.5)
+    for on in of_nth[1:]:
+        v = (into[on - 1][:, None, :] @ whole[on - 1])[:, 0]
+        into[on] = v / v.sum(axis=1, keepdims=True)
+    for on in of_nth[:0:-1]:
+        v = (whole[on] @ after[on][:, :, None])[:, :, 0]
+        after[on - 1] = v / v.sum(axis=1, keepdims=True)
+
+    fwd, bwd = np.empty_like(e), np.empty_like(e)
+    for t, live in enumerate(longer):
+        at = start[live] + t
+        a = ((into[live] if t == 0 else fwd[at - 1])[:, None, :] @ step[at])[:, 0]
         norm = a.sum(axis=1, keepdims=True)
         total += float(np.log(norm).sum())
         fwd[at] = a / norm
+    bwd[start + size - 1] = after
+    for t in range(len(longer) - 2, -1, -1):
+        at = start[longer[t + 1]] + t
+        b = (step[at + 1] @ bwd[at + 1][:, :, None])[:, :, 0]
+        bwd[at] = b / b.sum(axis=1, keepdims=True)
+
     pairs = np.zeros((2, 2))
-    for t in range(longest - 1, -1, -1):
-        at = start[: live[t]] + t
-        bwd[at] = 1.0
-        if t + 1 < longest and live[t + 1]:
-            on = at[: live[t + 1]]
-            ahead = e[on + 1] * bwd[on + 1]
-            both = fwd[on][:, :, None] * pot[None] * ahead[:, None, :]
-            pairs += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-            b = ahead @ pot.T
-            bwd[on] = b / b.sum(axis=1, keepdims=True)
+    if counted:
+        first = np.zeros(n, bool)
+        first[start[nth == 0]] = True
+        on = np.flatnonzero(~first[1:])  # lines with a next one
+        both = fwd[on][:, :, None] * step[on + 1] * bwd[on + 1][:, None, :]
+        pairs = (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
     p = fwd * bwd
     return p[:, 1] / p.sum(axis=1), pairs, total
 
@@ -134,7 +164,7 @@ class LineField:
         if not got:
             return np.zeros(0)
         lens = np.array([len(x) for _, x in got])
-        good, _, _ = chains(self.lines(np.concatenate([f for f, _ in got])), lens, self.trans)
+        good, _, _ = chains(self.lines(np.concatenate([f for f, _ in got])), lens, self.trans, counted=False)
         weight = np.concatenate([x for _, x in got]) + 1e-9  # lines of no length count only where there are no others
         first = np.cumsum(lens) - lens
         mean = np.clip(np.add.reduceat(good * weight, first) / np.add.reduceat(weight, first), 0, 1)
@@ -142,15 +172,13 @@ class LineField:
         return np.where(mean < self.line, THRESHOLD * mean / self.line, 1 - (1 - THRESHOLD) * (1 - mean) / (1 - self.line))
 
 
-def fit(feats: list[np.ndarray], labels: list[int], rounds: int = 120, rate: float = 0.15, decay: float = 1e-3, fit_chain: int = 400) -> LineField:
-    """Gradient ascent on the likelihood. Chains of over ``fit_chain`` lines are fitted as pieces of so many lines, without the
-    pairs between the pieces; scores are of whole chains."""
+def fit(feats: list[np.ndarray], labels: list[int], rounds: int = 120, rate: float = 0.15, decay: float = 1e-3) -> LineField:
+    """Gradient ascent on the likelihood of whole chains."""
     w, trans = np.zeros(WEIGHTS), np.zeros((2, 2))
     if not feats:
         return LineField(w, trans)
-    cut = [(f[i : i + fit_chain], y) for f, y in zip(feats, labels, strict=True) for i in range(0, len(f), fit_chain)]
-    x = np.concatenate([f for f, _ in cut])
-    lens, y = np.array([len(f) for f, _ in cut]), np.array([y for _, y in cut])
+    x = np.concatenate(feats)
+    lens, y = np.array([len(f) for f in feats]), np.array(labels)
     lines_y = np.repeat(y, lens)
     seen = np.zeros((2, 2))
     np.add.at(seen, (y, y), lens - 1)
@@ -178,7 +206,7 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(id_col.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 4000, fit_chain: int = 400) -> LineField:
+def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = 4000) -> LineField:
     """Fit on at most ``fit_rows`` labelled documents (those of the smallest checksums), whole texts.
 
     Held-out ids, null labels and null ids are left out. Of several labels of an id the smallest counts."""
@@ -192,10 +220,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     width = len(_SIZES)
     rows = sorted((r["label"], bytes(r["feats"]), r["weight"]) for r in rows)
     feats, labels = [np.frombuffer(f, np.uint8).reshape(-1, width).astype(np.int64) for _, f, _ in rows], [y for y, _, _ in rows]
-    field = fit(feats, labels, fit_chain=fit_chain)
+    field = fit(feats, labels)
     if len(set(labels)) > 1:
         lens = np.array([len(f) for f in feats])
-        good, _, _ = chains(field.lines(np.concatenate(feats)), lens, field.trans)
+        good, _, _ = chains(field.lines(np.concatenate(feats)), lens, field.trans, counted=False)
         weight = np.concatenate([np.frombuffer(w, np.int64) for _, _, w in rows]) + 1e-9
         first = np.cumsum(lens) - lens
         field.line = best_line(np.add.reduceat(good * weight, first) / np.add.reduceat(weight, first), np.array(labels))

@@ -188,6 +188,28 @@ def test_forward_backward_against_all_labellings():
     assert np.isclose(pairs.sum(), 4)
 
 
+def test_forward_backward_of_long_chains():
+    rng = np.random.default_rng(6)
+    for lens in ([1], [1, 1, 2], [16, 17, 15, 33], [700, 1, 300, 2], [257] * 3, [5000, 3]):
+        u, trans = rng.normal(0, 3, sum(lens)), rng.normal(0, 2, (2, 2))
+        p, pairs, total = quality_classifier.chains(u, np.array(lens), trans)
+        want_p, want_pairs, want_total, at = [], np.zeros((2, 2)), 0.0, 0
+        for n in lens:  # line by line, in logarithms
+            x = np.stack([np.zeros(n), u[at : at + n]], axis=1)
+            fwd, bwd = x.copy(), np.zeros((n, 2))
+            for t in range(1, n):
+                fwd[t] += np.logaddexp.reduce(fwd[t - 1][:, None] + trans, axis=0)
+            for t in range(n - 2, -1, -1):
+                bwd[t] = np.logaddexp.reduce(trans + (x[t + 1] + bwd[t + 1])[None], axis=1)
+            z = np.logaddexp.reduce(fwd[-1])
+            want_p += np.exp(fwd + bwd - z)[:, 1].tolist()
+            for t in range(1, n):
+                want_pairs += np.exp(fwd[t - 1][:, None] + trans + (x[t] + bwd[t])[None] - z)
+            want_total += z
+            at += n
+        assert np.allclose(p, want_p) and np.allclose(pairs, want_pairs) and np.isclose(total, want_total)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
