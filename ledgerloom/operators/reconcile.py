@@ -29,6 +29,15 @@ class _Free:
         held.pop(bisect_left(held, i))
 
 
+def _nearest(held: list[tuple[int, int]], a: int) -> tuple[int, int] | None:
+    """Of (amount, place) in ascending order, the pair nearest in amount; of equally near ones the first place."""
+    at = bisect_left(held, (a, -1))
+    near = [held[at]] if at < len(held) else []
+    if at:
+        near.append(held[bisect_left(held, (held[at - 1][0], -1))])
+    return min(near, key=lambda x: (abs(x[0] - a), x[1]), default=None)
+
+
 def _cents(x: object) -> int | None:
     return None if x is None or pd.isna(x) else abs(int(x))
 
@@ -42,20 +51,25 @@ def match_settlement(ev: pd.DataFrame, tx: pd.DataFrame) -> pd.DataFrame:
     ev, tx = ev.sort_values(["created_at", "evidence_id"]), tx.sort_values(["created_at", "tx_id"])
     ids, days, amounts = tx["tx_id"].tolist(), tx["day"].tolist(), [_cents(a) for a in tx["cents"]]
     exact, by_day, by_amount = _Free(), _Free(), _Free()
+    near_by: dict[object, list[tuple[int, int]]] = {}
     for i, (d, a) in enumerate(zip(days, amounts, strict=True)):
         exact.add((d, a), i)
         by_day.add(d, i)
         by_amount.add(a, i)
+        if a is not None:
+            near_by.setdefault(d, []).append((a, i))
+    for held in near_by.values():
+        held.sort()
     rows, taken = [], set()
     for eid, day, cents in zip(ev["evidence_id"].tolist(), ev["day"].tolist(), ev["cents"].tolist(), strict=True):
         a, pick, tier = _cents(cents), None, None
         if a is not None and not pd.isna(day):
             if held := exact.by.get((day, a)):
                 pick, tier = held[0], 1
-            elif held := by_day.by.get(day):
-                near = held[0] if a == 0 else min(held, key=lambda i: (abs(amounts[i] - a), i))
-                if a == 0 or abs(amounts[near] - a) <= max(GAP_FACTOR * a, GAP_LEAST * 100):
-                    pick, tier = near, 2
+            elif a == 0 and (held := by_day.by.get(day)):
+                pick, tier = held[0], 2
+            elif a and (near := _nearest(near_by.get(day, []), a)) and abs(near[0] - a) <= max(GAP_FACTOR * a, GAP_LEAST * 100):
+                pick, tier = near[1], 2
             if pick is None and (held := by_amount.by.get(a)):
                 pick, tier = held[0], 3
         if pick is None:
@@ -65,6 +79,9 @@ def match_settlement(ev: pd.DataFrame, tx: pd.DataFrame) -> pd.DataFrame:
         exact.drop((days[pick], amounts[pick]), pick)
         by_day.drop(days[pick], pick)
         by_amount.drop(amounts[pick], pick)
+        if amounts[pick] is not None:
+            held = near_by[days[pick]]
+            held.pop(bisect_left(held, (amounts[pick], pick)))
         rows.append((sid, eid, ids[pick], {1: "matched", 2: "amount_mismatch", 3: "date_mismatch"}[tier], tier))
     rows += [(sid, None, ids[i], "missing_evidence", None) for i in range(len(ids)) if i not in taken]
     return pd.DataFrame(rows, columns=["settlement_id", "evidence_id", "tx_id", "status", "tier"]).astype({"evidence_id": "Int64", "tx_id": "Int64", "tier": "Int32"})

@@ -87,7 +87,7 @@ VIEWS: dict[str, str] = {
     "numbered_": """
         select settlement_id, org_id, row_number() over (order by settlement_id) - 1 as no, count(*) over () as of_all from settlements""",
     "comments": """
-        select conv_id * 1000 + turn as comment_id, n.settlement_id, a.membership_id as author_membership_id, substring(text, 1, 40) as comment,
+        select conv_id * 1000 + turn as comment_id, n.settlement_id, a.membership_id as author_membership_id, text as comment,
             cast(date '2001-01-01' + cast((conv_id * 37 + turn) % 300 as int) as timestamp) as created_at
         from {conversations} join numbered_ n on n.no = conv_id % n.of_all
         join (select org_id, membership_id, row_number() over (partition by org_id order by membership_id) - 1 as i, count(*) over (partition by org_id) as c from memberships where role = 'auditor') a
