@@ -99,14 +99,14 @@ with words as materialized (
 ), repeats as (
     select doc_id, count(distinct i + j) as n from windows join again using (doc_id, k), range(0, 3) as r(j) group by doc_id
 ), dup_lines as (
-    select doc_id, count(*) - count(distinct line) as n from (select doc_id, unnest(string_split(text, chr(10))) as line from words) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id
+    select doc_id, count(*) as lines, count(*) - count(distinct line) as n from (select doc_id, unnest(string_split(text, chr(10))) as line from words) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id
 ), counted as materialized (
     select doc_id, s0, s1, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
-        (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, coalesce(d.n, 0)::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words
+        (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, coalesce(d.lines, 0)::bigint as n_lines, coalesce(d.n, 0)::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words
     from words left join repeats r using (doc_id) left join dup_lines d using (doc_id)
 ), measured as materialized (
     select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, 100 * word_chars // greatest(n_words, 1) as m_length, 10000 * n_symbols // greatest(word_chars, 1) as m_symbols,
-        10000 * n_dup_lines // greatest(n_words, 1) as m_dup_lines, 10000 * n_repeat_words // greatest(n_words, 1) as m_repeats
+        10000 * n_dup_lines // greatest(n_lines, 1) as m_dup_lines, 10000 * n_repeat_words // greatest(n_words, 1) as m_repeats
     from counted
 ), long as (
     select s0, s1, 'm_length' as m, m_length as v from measured where not base_failed union all select s0, s1, 'm_symbols', m_symbols from measured where not base_failed
@@ -118,14 +118,18 @@ with words as materialized (
 ), upto as (
     select *, sum(n) over (partition by s0, s1, level, m order by b) as upto, sum(n) over (partition by s0, s1, level, m) as whole, case when b < 32 then b else (b - ((b - 32) // 32) * 32) << ((b - 32) // 32) end as floor_v from sketch
 ), quartiles as (
-    select s0, s1, level, m, max(whole) as n, min(floor_v) filter (upto * 4 >= whole) as q1, min(floor_v) filter (upto * 4 >= whole * 3) as q3 from upto group by all
+    select s0, s1, level, m, max(whole) as n, min(floor_v) filter (upto * 4 >= whole) as q1, min(floor_v) filter (upto * 2 >= whole) as q2,
+        min(floor_v) filter (upto * 4 >= whole * 3) as q3, min(floor_v) filter (upto * 10 >= whole * 9) as d9 from upto group by all
 ), fences as (
-    select s0, s1, level, m, n, q1 - w as low, q3 + w as high from (select *, (q3 - q1) * 3 + case m when 'm_length' then 150 when 'm_symbols' then 500 when 'm_dup_lines' then 2500 else 2000 end as w from quartiles)
+    select s0, s1, level, m, n, q1 - (q3 - q1) * 3 - q1 // 32 as low,
+        case m when 'm_length' then q3 + (q3 - q1) * 3 + q3 // 32 else d9 + (d9 - q2) * 9 + d9 // 32 end as high from quartiles
 ), chosen as (
     select d.doc_id, f.m, f.low, f.high, row_number() over (partition by d.doc_id, f.m order by f.level desc) as k
     from measured d join fences f on (f.level = 0 or (f.n >= 200 and f.s0 = d.s0 and (f.level = 1 or f.s1 = d.s1)))
 ), odd as (
-    select distinct c.doc_id from chosen c join measured d using (doc_id) where k = 1 and (case m when 'm_length' then m_length when 'm_symbols' then m_symbols when 'm_dup_lines' then m_dup_lines else m_repeats end > high or (m = 'm_length' and m_length < low))
+    select distinct c.doc_id from chosen c join measured d using (doc_id) where k = 1 and case m
+        when 'm_length' then m_length > high or m_length < low when 'm_symbols' then m_symbols > high and n_symbols > 3
+        when 'm_dup_lines' then m_dup_lines > high and n_dup_lines > 3 else m_repeats > high and n_repeat_words > 18 end
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and doc_id not in (select doc_id from odd) as kept from measured
 """

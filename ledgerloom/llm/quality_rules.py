@@ -3,8 +3,10 @@
 A sketch is a log-linear histogram: values below 32 have a bucket each, larger ones 32 buckets per
 power of two, so a quantile is off by 1/32 of its value at most. Sketches merge by adding counts,
 which rollup() does for (language, source), language and everything; a stratum with few rows falls
-back on the sketch above it. Each measure is then held against fences around its stratum's
-quartiles, and the thresholds are joined back to the rows.
+back on the sketch above it. Word length is held against fences around its stratum's quartiles. The
+other measures are 0 for most documents, so that their quartiles say nothing: their fences are set by
+the median and the ninth decile, and a document needs more than a few events to be beyond one. The
+thresholds are joined back to the rows. No fence has a fixed least width but the sketch's own error.
 """
 
 from __future__ import annotations
@@ -18,11 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Measures per document as whole numbers, and the slack that a fence leaves at least.
-#: Means of word length are in hundredths, shares in parts of 10,000.
-MEASURES = {"m_length": 150, "m_symbols": 500, "m_dup_lines": 2500, "m_repeats": 2000}
+#: Measures per document as whole numbers: means of word length in hundredths, shares in parts of 10,000.
+MEASURES = ("m_length", "m_symbols", "m_dup_lines", "m_repeats")
 LOW_SIDED = ("m_length",)
 
+#: Measures that are 0 for most documents, with what they count and how many of it prove nothing:
+#: three events are within chance even where a stratum shows none. A repetition of three words is six words.
+TAILED = {"m_symbols": ("n_symbols", 3), "m_dup_lines": ("n_dup_lines", 3), "m_repeats": ("n_repeat_words", 18)}
+
 #: Up to so many strata's thresholds are broadcast; more are joined by a shuffle.
 STRATA_SENT = 100_000
 
@@ -31,7 +36,7 @@ _WS[[9, 10, 11, 12, 13, 32]] = True
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 
 def repeated_words(words: list[bytes], size: int = 3) -> int:
@@ -60,7 +65,7 @@ def repeated_words(words: list[bytes], size: int = 3) -> int:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
-        rows = np.zeros((len(texts), 5), np.int64)
+        rows = np.zeros((len(texts), len(COUNTS)), np.int64)
         for i, t in enumerate(texts):
             if not t:
                 continue
@@ -68,8 +73,10 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = np.frombuffer(t, np.uint8)
             starts = (raw & 0xC0) != 0x80  # one for each code point
             lines = [x for x in t.split(b"\n") if x.strip()]
-            rows[i] = (len(words), int(starts.sum()) - int(_WS[raw].sum()), int(_SYMBOL[raw].sum()), len(lines) - len(set(lines)), repeated_words(words))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(rows[:, k]) for k in range(5))], [*batch.schema.names[:-1], *COUNTS])
+            chars = int(starts.sum()) - int(_WS[raw].sum())
+            rows[i] = (len(words), chars, int(_SYMBOL[raw].sum()), len(lines), len(lines) - len(set(lines)), repeated_words(words))
+        counts = [pa.array(rows[:, k]) for k in range(len(COUNTS))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *counts], [*batch.schema.names[:-1], *COUNTS])
 
 
 def bucket(v: Column) -> Column:
@@ -98,16 +105,21 @@ def sketches(measured: DataFrame, strata: list[str]) -> DataFrame:
     return merged.groupBy(*strata, "level", "measure", "b").agg(F.sum("n").alias("n"))
 
 
-def thresholds(sketch: DataFrame, strata: list[str], reach: float) -> DataFrame:
-    """(strata..., level, measure, n, low, high): fences of ``reach`` quartile ranges around the quartiles."""
+def thresholds(sketch: DataFrame, strata: list[str], reach: float, tail_reach: float) -> DataFrame:
+    """(strata..., level, measure, n, low, high): fences ``reach`` quartile ranges beyond the quartiles, or, for measures
+    in TAILED, ``tail_reach`` times the way from the median to the ninth decile beyond the latter; and the sketch's error."""
     at = Window.partitionBy(*strata, "level", "measure")
     seen = sketch.withColumn("upto", F.sum("n").over(at.orderBy("b"))).withColumn("all", F.sum("n").over(at))
-    quartile = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, bucket_floor(F.col("b"))))
-    table = seen.groupBy(*strata, "level", "measure").agg(F.max("all").alias("n"), quartile(1).alias("q1"), quartile(3).alias("q3"))
-    slack = F.create_map(*(F.lit(x) for kv in MEASURES.items() for x in kv))[F.col("measure")]
-    width = F.floor((F.col("q3") - F.col("q1")) * reach) + slack
-    low = F.when(F.col("measure").isin(*LOW_SIDED), F.col("q1") - width)
-    return table.select(*strata, "level", "measure", "n", low.alias("low"), (F.col("q3") + width).alias("high"))
+    quantile = lambda k, of: F.min(F.when(F.col("upto") * of >= F.col("all") * k, bucket_floor(F.col("b"))))
+    table = seen.groupBy(*strata, "level", "measure").agg(
+        F.max("all").alias("n"), quantile(1, 4).alias("q1"), quantile(1, 2).alias("q2"), quantile(3, 4).alias("q3"), quantile(9, 10).alias("d9")
+    )
+    error = lambda q: F.floor(F.col(q) / 32)
+    width = F.floor((F.col("q3") - F.col("q1")) * reach)
+    tail = F.col("d9") + F.floor((F.col("d9") - F.col("q2")) * tail_reach) + error("d9")
+    low = F.when(F.col("measure").isin(*LOW_SIDED), F.col("q1") - width - error("q1"))
+    high = F.when(F.col("measure").isin(*TAILED), tail).otherwise(F.col("q3") + width + error("q3"))
+    return table.select(*strata, "level", "measure", "n", low.alias("low"), high.alias("high"))
 
 
 def quality_rules(
@@ -119,10 +131,13 @@ def quality_rules(
     max_repeat_percent: int = 50,
     min_rows: int = 200,
     reach: float = 3.0,
+    tail_reach: float = 9.0,
 ) -> DataFrame:
     """The id, strata, counts, measures, ``base_failed`` and ``kept`` of every document.
 
     A null text counts as empty and fails the base rule; a null stratum is a stratum of its own.
+    Repeated lines are a share of the lines with a word, symbols one of the characters in words, repeated words one of
+    the words. Where a tenth or more of a stratum is junk of one kind, that kind shapes its fence and stays.
     Rows that fail the base rule shape no threshold. A stratum with fewer than ``min_rows`` rows takes
     the thresholds of the level above it. Repeated rows count as often as they occur; an empty table
     gives no rows; other columns are not looked at."""
@@ -141,11 +156,11 @@ def quality_rules(
             failed.alias("base_failed"),
             F.floor(100 * F.col("word_chars") / words).alias("m_length"),
             F.floor(10000 * F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))).alias("m_symbols"),
-            F.floor(10000 * F.col("n_dup_lines") / words).alias("m_dup_lines"),
+            F.floor(10000 * F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))).alias("m_dup_lines"),
             F.floor(10000 * F.col("n_repeat_words") / words).alias("m_repeats"),
         )
     )
-    fences = thresholds(sketches(measured.filter(~F.col("base_failed")), keys), keys, reach)
+    fences = thresholds(sketches(measured.filter(~F.col("base_failed")), keys), keys, reach, tail_reach)
     wide = fences.groupBy(*keys, "level").agg(F.max("n").alias("n"), *(F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}") for m in MEASURES for side in ("low", "high")))
     fence_cols = [f"{side}_{m}" for m in MEASURES for side in ("low", "high")]
     # The thresholds of every stratum, from the lowest level with enough rows; the whole table's sketch counts at any size.
@@ -160,7 +175,11 @@ def quality_rules(
         chosen = F.broadcast(chosen)
     odd = F.lit(False)
     for m in MEASURES:
-        odd = odd | (F.col(m) > F.col(f"_f.high_{m}"))
+        beyond = F.col(m) > F.col(f"_f.high_{m}")
+        if m in TAILED:
+            counted_by, by_chance = TAILED[m]
+            beyond = beyond & (F.col(counted_by) > by_chance)
+        odd = odd | beyond
         if m in LOW_SIDED:
             odd = odd | (F.col(m) < F.col(f"_f.low_{m}"))
     judged = measured.join(chosen, keys, "left").withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False)))

@@ -18,6 +18,7 @@ from ledgerloom.llm import bpe, common, decontamination, line_dedup, near_dedup,
 from ledgerloom.llm.anchors import blocks
 from ledgerloom.llm.common import Scratch
 from ledgerloom.llm.decontamination import leaks
+from ledgerloom.llm.quality_rules import quality_rules
 from ledgerloom.llm.queries import op8_quality_classifier, op9_decontamination, op10_url_filters, tokenizer_path
 from ledgerloom.llm.substring_dedup import least_docs
 from ledgerloom.llm.suffix_groups import suffix_order
@@ -494,3 +495,19 @@ def test_urls_follow_the_training_rules(spark, sf_dir):
     rows = op10_url_filters(spark, sf_dir).collect()
     assert {r.verdict for r in rows} <= {"allow", "block"}
     assert all(r.verdict == "block" for r in rows if r.rule == "example.com/en/")
+
+
+def test_fences_follow_the_stratum(spark):
+    """The same documents are odd in a source without symbols or repeated lines, and not in one where they are common."""
+    rng = random.Random(3)
+    prose = lambda: " ".join(f"word{rng.randrange(10**6)}" for _ in range(80))
+    code = lambda k: prose() + " " + " ".join(["{" + "$" * k + "}"] * 2 + [f"x{rng.randrange(10**6)}"])
+    lines = lambda: prose() + "\nend" * 6 + "\n" + prose()
+    rows = [(i, prose(), "prose") for i in range(300)] + [(300 + i, code(5 + i % 20), "code") for i in range(300)] + [(600 + i, lines() if i % 3 else prose(), "log") for i in range(300)]
+    rows += [(1000, code(12), "prose"), (1001, code(12), "code"), (1002, lines(), "prose"), (1003, lines(), "log"), (1004, code(12), "new"), (1005, code(1), "prose")]
+    rows += rows[-6:]  # repeated rows, and ties of every measure
+    judged = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en"))).collect()
+    assert len(judged) == len(rows) and not any(r.base_failed for r in judged)
+    kept = {r.doc_id: r.kept for r in judged}
+    assert [kept[i] for i in range(1000, 1006)] == [False, True, False, True, True, True]
+    assert all(kept[i] for i in range(900))
