@@ -14,6 +14,7 @@ from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .quality_classifier import classify, fit_on, held_out
 from .quality_rules import quality_rules
+from .sentence_pieces import encode_pieces, packed
 from .sharding import shard_rows
 from .substring_dedup import dedup_substrings
 from .suffix_dedup import dedup_strings
@@ -77,6 +78,20 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_pieces(read(spark, sf_dir, "documents").select("doc_id", "text"), pieces_path())
+    return coded.select(
+        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(packed(F.col("token_ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.element_at("ends", -1).cast("long").alias("n_spanned"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (pipeline, op1_quality_rules, op2_substring_dedup, op3_bpe, op4_suffix_dedup, op5_sharding, op6_near_dedup, op7_line_dedup, op8_quality_classifier, op9_decontamination, op10_url_filters)}
+    return {f.__name__: f for f in (pipeline, op1_quality_rules, op2_substring_dedup, op3_bpe, op4_suffix_dedup, op5_sharding, op6_near_dedup, op7_line_dedup, op8_quality_classifier, op9_decontamination, op10_url_filters, op11_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
