@@ -175,3 +175,86 @@ with recursive remainders as materialized (
 select doc_id, size::bigint as size, text_crc32::bigint as text_crc32, 'rows' as law, coalesce(w.shard, home)::integer as shard, coalesce(w.slot + g - w.lo, before + r)::bigint as slot, null::integer as grown_shard
 from put left join walk w on g >= w.lo and g < w.hi
 """
+
+_LAST = "right(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1)"
+
+
+def _before(state: str, kept: str, follows: str, due: str) -> str:
+    """The cheapest edit of a row in a state, with all that follows it."""
+    keep = f"case when ok and role[1:1] in ({kept}) then struct_pack(c := more + {follows}.c, a := 'K' || {follows}.a) end"
+    if state == "v0":
+        keep = f"case when ok and role[1:1] = 's' then struct_pack(c := more + vs.c, a := 'K' || vs.a) when ok and role[1:1] = 'u' then struct_pack(c := more + vu.c, a := 'K' || vu.a) end"
+    return f"list_min([struct_pack(c := 2 + {state}.c, a := 'D' || {state}.a), {keep}, case when ok then struct_pack(c := more + 1 + {due}.c, a := 'R' || {due}.a) end])"
+
+
+def _or_insert(own: str, *others: str) -> str:
+    return f"list_min([{own}, " + ", ".join(f"struct_pack(c := {5 * n} + {o}.c, a := '{'I' * n}' || {o}.a)" for n, o in enumerate(others, 1)) + "])"
+
+
+ORACLES["op12_conversation_repair"] = f"""
+with recursive remainders as materialized (
+    select list(c order by n) as t from (select n, list_reduce(list_prepend(n, range(0, 8)), lambda x, k: case when x % 2 = 1 then xor(3988292384, x >> 1) else x >> 1 end) as c from range(0, 256) r(n))
+), keyed as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations
+), dealt as materialized (
+    select conv_id, turn, role, text, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(k, ''), lambda s: unicode(s)::bigint)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) % 20 as f from keyed, remainders
+), hurt as materialized (
+    select conv_id, turn, case f when 4 then 'user' else role end as role, case f when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
+    from dealt, range(0, case f when 3 then 2 else 1 end) where f <> 0
+), ordered as materialized (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, count(*) over (partition by conv_id) as n,
+        row_number() over (partition by conv_id, role, text order by turn nulls first) > 1 as again, {_LAST} as final from hurt
+), faults as materialized (
+    select *, final <> '' and not again as ok, case when final <> '' and not again and final not in ('.', '!', '?') then 5 else 0 end as more,
+        lag(role[1:1]) over (partition by conv_id order by i) || role[1:1] not in ('su', 'ua', 'au') as off from ordered
+), paths as (
+    select distinct conv_id, n as i, struct_pack(c := 0::bigint, a := '') as v0, struct_pack(c := 10::bigint, a := 'II') as vs, struct_pack(c := 5::bigint, a := 'I') as vu, struct_pack(c := 0::bigint, a := '') as va from ordered
+    union all
+    select conv_id, i - 1, {_or_insert('b0', 'bu', 'ba')}, {_or_insert('bs', 'bu', 'ba')}, {_or_insert('bu', 'ba')}, {_or_insert('ba', 'bu')} from (
+        select p.conv_id, p.i, {_before('v0', "'s'", 'vs', 'vu')} as b0, {_before('vs', "'u'", 'vu', 'vu')} as bs, {_before('vu', "'a'", 'va', 'va')} as bu, {_before('va', "'u'", 'vu', 'vu')} as ba
+        from paths p join faults f on f.conv_id is not distinct from p.conv_id and f.i = p.i)
+), cheapest as (
+    select conv_id, v0.c as cost, v0.a as audit from paths where i = 0
+), letters as (
+    select conv_id, j, audit[j:j] as e, count(*) filter (where audit[j:j] <> 'I') over w as i, count(*) filter (where audit[j:j] <> 'D') over w as o from cheapest, range(1, length(audit) + 1) r(j)
+    window w as (partition by conv_id order by j)
+), said as (
+    select l.conv_id, l.o, l.e, f.role, case l.e when 'I' then '' else f.text end as text, bool_or(l.o = 1 and l.e = 'K' and f.role[1:1] = 's') over (partition by l.conv_id) as s
+    from letters l left join faults f on f.conv_id is not distinct from l.conv_id and f.i = l.i and l.e <> 'I' where l.e <> 'D'
+), repaired as (
+    select conv_id, sha256(string_agg(case when e = 'K' then role when (o % 2 = 1) <> s then 'user' else 'assistant' end || ':' || text, chr(10) order by o)) as h from said group by conv_id
+), counts as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where final = '') as blank, count(*) filter (where final <> '' and again) as duplicate,
+        count(*) filter (where more = 5) as truncated, count(*) filter (where off) as illegal from faults group by conv_id
+)
+select a.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+    coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit, coalesce(h, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) a left join counts c on c.conv_id is not distinct from a.conv_id
+left join cheapest p on p.conv_id is not distinct from a.conv_id left join repaired r on r.conv_id is not distinct from a.conv_id
+"""
+
+ORACLES["op13_source_divergence"] = r"""
+with docs as materialized (
+    select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents
+), words as materialized (
+    select d, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs
+), kept as materialized (
+    select lang, term, count(*) as total from words group by lang, term having count(distinct d) >= 30
+), groups as materialized (
+    select distinct lang, source from docs
+), counted as materialized (
+    select lang, source, term, count(*) as n from words semi join kept using (lang, term) group by all
+), sizes as materialized (
+    select g.lang, g.source, coalesce(v, 0)::hugeint as v, coalesce(all_n, 0)::hugeint as all_n, coalesce(own, 0)::hugeint as own from groups g
+    left join (select lang, count(*) as v, sum(total) as all_n from kept group by lang) using (lang) left join (select lang, source, sum(n) as own from counted group by all) using (lang, source)
+), prices as materialized (
+    select s.lang, s.source, k.term, coalesce(n, 0) as n, 1 + (1000000000::hugeint * (coalesce(n, 0) + 5)) // (own + 5 * v) as p, 1 + (1000000000::hugeint * (k.total + 5)) // (all_n + 5 * v) as q
+    from sizes s join kept k using (lang) left join counted using (lang, source, term)
+), valued as (
+    select g.lang, g.source, 'pair' as part, h.source as item, coalesce(value, 0) as value from groups g join groups h on g.lang = h.lang and g.source <> h.source
+    left join (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from prices a join prices b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all) x on x.lang = g.lang and x.source = g.source and x.item = h.source
+    union all
+    select lang, source, 'term', term, p - q from prices where n > 0 and p > q
+)
+select lang, source, part, item, value::bigint as value, rank::integer as rank from (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from valued) where part = 'pair' or rank <= 50
+"""

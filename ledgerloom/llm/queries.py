@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .common import read
+from .conversations import damaged, repair, reports
 from .decontamination import leaks
+from .divergence import divergence
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .quality_classifier import classify, fit_on, held_out
@@ -92,6 +94,18 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = read(spark, sf_dir, "conversations")
+    found = reports(repair(damaged(convs))).withColumnRenamed("conv_id", "_id")
+    all_ = convs.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    numbers = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return all_.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(read(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,7 +113,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (pipeline, op1_quality_rules, op2_substring_dedup, op3_bpe, op4_suffix_dedup, op5_sharding, op6_near_dedup, op7_line_dedup, op8_quality_classifier, op9_decontamination, op10_url_filters, op11_sentencepiece)}
+    return {f.__name__: f for f in (pipeline, op1_quality_rules, op2_substring_dedup, op3_bpe, op4_suffix_dedup, op5_sharding, op6_near_dedup, op7_line_dedup, op8_quality_classifier, op9_decontamination, op10_url_filters, op11_sentencepiece, op12_conversation_repair, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
