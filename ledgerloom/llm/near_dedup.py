@@ -327,6 +327,14 @@ def border_links(rows: DataFrame, reps: DataFrame, docs: DataFrame, size: int, p
     return links
 
 
+def same_documents(known: DataFrame, reps: DataFrame, s: Scratch) -> DataFrame:
+    """Links (a, b) between the first ids of the different texts that one id has, all to the least of them."""
+    several = s.table(known.groupBy("id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).filter("lo <> hi").select("id"))
+    first = known.join(wanted(several), "id", "left_semi").select("id", "set_key").distinct().join(reps.select("set_key", F.col("id").alias("a")), "set_key")
+    first = s.table(first.select("id", "a"))
+    return first.join(first.groupBy("id").agg(F.min("a").alias("b")), "id").filter("a <> b").select("a", "b").distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -340,7 +348,7 @@ def near_duplicates(
 
     Ids are whole numbers or strings, ordered as Spark orders them. Words are lower-cased A-Z; fewer words than
     a shingle are one shingle. Texts that are null or have no words are linked with nothing. Rows of equal id are
-    one document; a row with a null id has a null component and is kept. An empty table gives no rows; other
+    one document, linked with whatever one of its texts is; a row with a null id has a null component and is kept. An empty table gives no rows; other
     columns are not looked at. The radius follows from ``percent`` and ``loss``."""
     kind, radius = id_type(docs, id_col), radius_for(percent, loss)
     if kind in ("smallint", "tinyint"):
@@ -366,7 +374,7 @@ def near_duplicates(
         one, two = (reps.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
         near_size = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
         close = s.table(pairs.join(two, "b").join(one, "a").filter(near_size).filter(unequal_symbols("sig_a", "sig_b") <= radius).select("a", "b").distinct())
-        links = confirmed(close, base, shingle, percent, s)
+        links = confirmed(close, base, shingle, percent, s).unionByName(same_documents(known, reps, s))
         found = components(links, s)
 
         coloured = s.table(placed.join(found.withColumnRenamed("component", "c"), "id", "left").select("key", "id", "hub", F.coalesce("c", "id").alias("c")))
@@ -380,6 +388,10 @@ def near_duplicates(
 
         named = reps.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("c"))
         judged = signed.select("id", "n", "set_key").join(named, "set_key", "left")
+        # A row without words belongs where its id's other rows are.
+        wordless = signed.filter("set_key is null and id is not null").select("id").distinct()
+        elsewhere = known.join(wanted(wordless), "id", "left_semi").join(named, "set_key").groupBy("id").agg(F.min("c").alias("other"))
+        judged = judged.join(wanted(s.table(elsewhere)), "id", "left").withColumn("c", F.coalesce("c", "other"))
         component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
         kept = F.coalesce(component == F.col("id"), F.lit(True))
         return cut(judged.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept")))

@@ -142,46 +142,48 @@ class FmIndex:
         return down[: len(c)] + base, down[len(c) :] + base
 
 
-def least_docs(seqs: list[np.ndarray], docs: np.ndarray, indexed: np.ndarray, span: int) -> list[np.ndarray]:
-    """For each sequence of numbers from 1 on and each of its windows: the least doc of the indexed sequences that
-    has the window; the greatest long where none has it."""
-    none = np.iinfo(np.int64).max
-    lens = np.array([len(s) for s in seqs])
-    found = [np.full(max(0, x - span + 1), none) for x in lens]
-    own = np.flatnonzero(indexed)
-    if not len(own):
-        return found
-    parts = [p for i in own for p in (seqs[i], np.zeros(1, np.int64))]  # 0 ends each sequence
-    seq = np.concatenate(parts)
-    top = max(int(s.max()) for s in seqs) + 1
-    index = FmIndex(seq, top, span)
-    owner = np.repeat(docs[own], lens[own] + 1)
-    edges = np.flatnonzero(np.unpackbits(index.whole.words.view(np.uint8), bitorder="little")[: index.n])
-    least = np.minimum.reduceat(owner[index.order], edges)
-    del index.order
-    flat = np.concatenate(seqs)
-    starts = np.cumsum(lens) - lens
-    # A stream runs leftwards; lo, hi is the interval of the words from p to e, fewer than span of them.
-    p, e = lens.copy(), lens.copy()
-    lo, hi = np.zeros(len(seqs), np.int64), np.full(len(seqs), index.n, np.int64)
-    out = np.full(len(flat), none)
-    live = np.flatnonzero(e >= span)
-    while len(live):
-        p[live] -= 1
-        a, b = index.step(flat[starts[live] + p[live]], lo[live], hi[live])
-        full = (a < b) & (e[live] - p[live] == span)
-        at = live[full]  # span words are matched: report the interval, then forget its last word
-        out[starts[at] + p[at]] = least[index.whole.rank(a[full] + 1) - 1]
-        a[full], b[full] = index.shorter.last(a[full]), index.shorter.next(a[full])
-        e[at] -= 1
-        lost = a >= b  # no such words in the shard: begin again a word further left
-        at = live[lost]
-        e[at] -= 1
-        p[at] = e[at]
-        a[lost], b[lost] = 0, index.n
-        lo[live], hi[live] = a, b
-        live = live[e[live] >= span]
-    return [out[i : i + len(f)] for i, f in zip(starts.tolist(), found, strict=True)]
+class Shard:
+    """Indexed texts (sequences of words) and the least document of each window; other texts stream through it."""
+
+    def __init__(self, texts: list[list[bytes]], docs: list[int], span: int) -> None:
+        self.span, self.number = span, {}
+        seqs = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in t], np.int64) for t in texts]
+        parts = [p for x in seqs for p in (x, np.zeros(1, np.int64))]  # 0 ends each sequence
+        self.unknown = len(self.number) + 1  # what no indexed text holds
+        self.index = FmIndex(np.concatenate(parts), self.unknown + 1, span)
+        owner = np.repeat(np.array(docs, np.int64), [len(x) + 1 for x in seqs])
+        edges = np.flatnonzero(np.unpackbits(self.index.whole.words.view(np.uint8), bitorder="little")[: self.index.n])
+        self.least = np.minimum.reduceat(owner[self.index.order], edges)
+        del self.index.order
+
+    def least_docs(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """For each text and each of its windows the least document that has it, the greatest long where none has."""
+        index, span = self.index, self.span
+        seqs = [np.array([self.number.get(w, self.unknown) for w in t], np.int64) for t in texts]
+        lens = np.array([len(x) for x in seqs])
+        flat = np.concatenate(seqs)
+        starts = np.cumsum(lens) - lens
+        # A stream runs leftwards; lo, hi is the interval of the words from p to e, fewer than span of them.
+        p, e = lens.copy(), lens.copy()
+        lo, hi = np.zeros(len(seqs), np.int64), np.full(len(seqs), index.n, np.int64)
+        out = np.full(len(flat), np.iinfo(np.int64).max)
+        live = np.flatnonzero(e >= span)
+        while len(live):
+            p[live] -= 1
+            a, b = index.step(flat[starts[live] + p[live]], lo[live], hi[live])
+            full = (a < b) & (e[live] - p[live] == span)
+            at = live[full]  # span words are matched: report the interval, then forget its last word
+            out[starts[at] + p[at]] = self.least[index.whole.rank(a[full] + 1) - 1]
+            a[full], b[full] = index.shorter.last(a[full]), index.shorter.next(a[full])
+            e[at] -= 1
+            lost = a >= b  # no such words in the shard: begin again a word further left
+            at = live[lost]
+            e[at] -= 1
+            p[at] = e[at]
+            a[lost], b[lost] = 0, index.n
+            lo[live], hi[live] = a, b
+            live = live[e[live] >= span]
+        return [out[i : i + max(0, n - span + 1)] for i, n in zip(starts.tolist(), lens.tolist(), strict=True)]
 
 
 def _hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
@@ -233,15 +235,16 @@ def block_rows(span: int) -> object:
     return run
 
 
-def reported_spans(span: int) -> object:
-    """Over rows (a, k, c, doc, last, indexed, words) in the order of a, k: the spans of windows with one least doc, where it is below ``last``."""
+def reported_spans(span: int, room: int) -> object:
+    """Over rows (a, k, c, doc, last, indexed, words) in the order of a, k, indexed ones first: the spans of windows with
+    one least doc, where it is below ``last``.
 
-    def shard(rows: list[tuple]) -> pa.RecordBatch:
+    Small groups (a, k) share a shard. Of a group with more than ``room`` words the indexed rows make a shard, through
+    which the others stream in slices of that many words, so a task never holds all of a group."""
+
+    def report(shard: Shard, rows: list[tuple]) -> pa.RecordBatch:
         out: dict[str, list] = {c: [] for c in _REPORT}
-        number: dict[bytes, int] = {}
-        seqs = [np.array([number.setdefault(w, len(number) + 1) for w in r[6].split()], np.int64) for r in rows]
-        found = least_docs(seqs, np.array([r[3] for r in rows], np.int64), np.array([r[5] for r in rows], bool), span)
-        for (a, _, c, _, last, _, _), least in zip(rows, found, strict=True):
+        for (a, _, c, _, last, _, _), least in zip(rows, shard.least_docs([r[6] for r in rows]), strict=True):
             edges = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
             n = np.diff(np.concatenate([edges, [len(least)]]))
             use = least[edges] < last
@@ -252,20 +255,36 @@ def reported_spans(span: int) -> object:
             out["least"] += least[edges[use]].tolist()
         return _emit(out, _REPORT)
 
+    def built(rows: list[tuple]) -> Shard | None:
+        own = [r for r in rows if r[5]]
+        return Shard([r[6] for r in own], [r[3] for r in own], span) if own else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
+        shard: Shard | None = None
+        sliced = None  # the group that is streamed in slices
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                b = whole.slice(lo, 1000)
-                for r in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                    if held >= SHARD_WORDS and r[:2] != rows[-1][:2]:
-                        yield shard(rows)
+            for lo in range(0, whole.num_rows, 100):
+                for r in zip(*(x.to_pylist() for x in whole.slice(lo, 100).columns), strict=True):
+                    words = r[6].split()
+                    if rows and held >= room and (r[:2] != rows[-1][:2] or not r[5]):
+                        if sliced is None:
+                            shard = built(rows)
+                        if shard:
+                            yield report(shard, rows)
+                        sliced = r[:2] if r[:2] == rows[-1][:2] else None
                         rows, held = [], 0
-                    rows.append(r)
-                    held += r[6].count(b" ") + 2
+                    elif sliced is not None and r[:2] != sliced:
+                        if shard and rows:
+                            yield report(shard, rows)
+                        rows, held, sliced = [], 0, None
+                    rows.append((*r[:6], words))
+                    held += len(words) + 1
         if rows:
-            yield shard(rows)
+            shard = shard if sliced is not None else built(rows)
+            if shard:
+                yield report(shard, rows)
         pa.default_memory_pool().release_unused()
 
     return run
@@ -310,8 +329,8 @@ def earlier_spans(base: DataFrame, span: int, shard_words: int | None = None) ->
         # Rows of one id with one text give a block twice, from the same place: the same content.
         texts = texts.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).withColumn("indexed", F.pmod(F.col("c"), F.col("of")) == F.col("k"))
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = texts.select("a", "k", "c", "doc", "last", "indexed", "words").repartition(parts, "a", "k").sortWithinPartitions("a", "k")
-        reports = s.table(dealt.mapInArrow(reported_spans(span), "a long, c long, off long, n long, least long"))
+        dealt = texts.select("a", "k", "c", "doc", "last", "indexed", "words").repartition(parts, "a", "k").sortWithinPartitions("a", "k", F.desc("indexed"))
+        reports = s.table(dealt.mapInArrow(reported_spans(span, room), "a long, c long, off long, n long, least long"))
         found = rows.drop("n").join(reports, ["a", "c"]).filter("doc > least").select("doc", "th", (F.col("first") + F.col("off")).alias("first"), "n")
         return cut(found.groupBy("doc", "th").agg(F.collect_list("first").alias("firsts"), F.collect_list("n").alias("counts")))
 

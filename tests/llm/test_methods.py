@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -20,7 +21,6 @@ from ledgerloom.llm.common import Scratch
 from ledgerloom.llm.decontamination import leaks
 from ledgerloom.llm.quality_rules import quality_rules
 from ledgerloom.llm.queries import op8_quality_classifier, op9_decontamination, op10_url_filters, tokenizer_path
-from ledgerloom.llm.substring_dedup import least_docs
 from ledgerloom.llm.suffix_groups import suffix_order
 
 
@@ -67,7 +67,33 @@ def test_windows_of_earlier_documents(seed):
             first[k] = min(first.get(k, 99), int(d))
     none = np.iinfo(np.int64).max
     want = [[first.get(tuple(s[i : i + span].tolist()), none) for i in range(len(s) - span + 1)] for s in seqs]
-    assert [x.tolist() for x in least_docs(seqs, docs, indexed, span)] == want
+    texts = [[b"%d" % x for x in s] for s in seqs]
+    shard = substring_dedup.Shard([t for t, i in zip(texts, indexed, strict=True) if i], docs[indexed].tolist(), span)
+    assert [x.tolist() for x in shard.least_docs(texts)] == want
+
+
+@pytest.mark.parametrize("room", [100, 1_000])
+def test_a_task_never_holds_all_of_a_group(monkeypatch, room):
+    """A group of twenty times the room streams in slices, and gives what one shard of all gives."""
+    rng = random.Random(2)
+    base = [b"w%d" % rng.randrange(40) for _ in range(60)]
+    rows = []
+    for c in range(room // 2):
+        i = rng.randrange(20)
+        rows.append((1, 0, c, c, 10**6, c < 3, b" ".join(base[i : i + 40])))
+    small = [(a, 0, c, c, 10**6, True, b" ".join(base[:20] + [b"x%d" % a])) for a in (0, 2) for c in range(2)]
+    held = []
+    own = substring_dedup.Shard.least_docs
+    monkeypatch.setattr(substring_dedup.Shard, "least_docs", lambda self, texts: held.append(sum(map(len, texts))) or own(self, texts))
+    given = [*small[:2], *rows, *small[2:]]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*given, strict=True)], list("akcdliw"))
+
+    def found(room):
+        return [r for b in substring_dedup.reported_spans(16, room)(iter([batch])) for r in b.to_pylist()]
+
+    sliced = found(room)
+    assert max(held) <= room + 200 and len(held) >= 15
+    assert sliced == found(10**9)
 
 
 def test_bit_vectors():
@@ -277,6 +303,14 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, errors, percent,
     assert got == near_components(rows, percent)
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, ""), (9, c), (9, None), (11, ""), (None, a)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (7, 3, False), (9, 9, True), (9, 9, True), (11, 11, True), (None, None, True)]
+    assert sorted([(r.doc_id, r.component_id, r.kept) for r in got], key=str) == sorted(want, key=str)
+
+
 def test_near_duplicates_without_broadcast_and_with_text_ids(spark, monkeypatch):
     monkeypatch.setattr(common, "IDS_SENT", 0)
     rows = near_corpus()
