@@ -101,12 +101,17 @@ def semester_period(year: Column, semester: Column) -> tuple[Column, Column]:
     return first, last
 
 
+#: What students read for a status; an approved settlement reads by whether it is published.
+STATUS_LABELS = {"draft": "작성 중", "ready_for_review": "검토 준비", "submitted": "감사 중", "resubmitted": "감사 중", "rejected": "반려"}
+NO_SETTLEMENT, PUBLISHED, APPROVED = "미제출", "공개 완료", "승인 완료"
+
+
 def status_label(status: Column, published_at: Column) -> Column:
     """What students read: fixed wording per status; a status without one stands as it is."""
-    return (
-        F.when(status.isNull(), "미제출").when(status == "draft", "작성중").when(status == "submitted", "제출완료").when(status.isin("under_audit", "ready_for_review"), "감사중")
-        .when((status == "approved") & published_at.isNotNull(), "공개완료").when(status == "approved", "승인완료").when(status == "rejected", "반려").otherwise(status)
-    )
+    label = F.when(status.isNull(), NO_SETTLEMENT).when((status == "approved") & published_at.isNotNull(), PUBLISHED).when(status == "approved", APPROVED)
+    for name, words in STATUS_LABELS.items():
+        label = label.when(status == name, words)
+    return label.otherwise(status)
 
 
 def settlement_label(org: Column, year: Column, semester: Column, title: Column) -> Column:

@@ -147,8 +147,35 @@ def progress(matched: Column, total: Column) -> Column:
     return F.when(total > 0, F.bround(100.0 * matched / total, 1)).otherwise(F.lit(0.0))
 
 
-def apply_overrides(results: DataFrame, overrides: DataFrame) -> DataFrame:
-    """The latest override of each evidence replaces what it provides (status, tx_id, notes)."""
-    last = overrides.groupBy("evidence_id").agg(F.max_by(F.struct("status", "tx_id", "notes"), F.struct("made_at", "override_id")).alias("o"))
-    joined = results.join(last, "evidence_id", "left")
-    return joined.select("settlement_id", "evidence_id", F.coalesce("o.tx_id", "tx_id").alias("tx_id"), F.coalesce("o.status", "status").alias("status"), F.col("o.notes").alias("notes"))
+#: Why an override is refused.
+NO_RESULT, OTHER_EVIDENCE, NO_TX, OTHER_TX = "결과를 찾을 수 없습니다.", "이 결산안에 속하지 않은 증빙입니다.", "거래내역을 찾을 수 없습니다.", "이 결산안에 속하지 않은 거래내역입니다."
+#: Columns that an override may set, and the flags that say whether it does.
+OVERRIDABLE = {"evidence_id": "has_evidence", "tx_id": "has_tx", "status": "has_status", "notes": "has_notes"}
+
+
+def judged_overrides(results: DataFrame, overrides: DataFrame, evidences: DataFrame, bank_tx: DataFrame) -> DataFrame:
+    """``overrides`` with ``reason``: null, or why it is refused. A link has to be to a row of the result's settlement.
+
+    Overrides have override_id, result_id, made_at, the four columns of a result that may be set and a flag for each that
+    tells a null that is set from a column that is left alone."""
+    links = results.select("result_id", F.col("settlement_id").alias("_own"))
+    e = evidences.select("evidence_id", F.col("settlement_id").alias("_of_evidence"))
+    t = bank_tx.select("tx_id", F.col("settlement_id").alias("_of_tx"), F.lit(True).alias("_is_tx"))
+    rows = overrides.join(links, "result_id", "left").join(e, "evidence_id", "left").join(t, "tx_id", "left")
+    evidence, tx = F.col("has_evidence") & F.col("evidence_id").isNotNull(), F.col("has_tx") & F.col("tx_id").isNotNull()
+    reason = (
+        F.when(F.col("_own").isNull(), NO_RESULT).when(evidence & ~F.col("_of_evidence").eqNullSafe(F.col("_own")), OTHER_EVIDENCE)
+        .when(tx & F.col("_is_tx").isNull(), NO_TX).when(tx & ~F.col("_of_tx").eqNullSafe(F.col("_own")), OTHER_TX)
+    )
+    return rows.select(*overrides.columns, reason.alias("reason"))
+
+
+def apply_overrides(results: DataFrame, overrides: DataFrame, evidences: DataFrame, bank_tx: DataFrame) -> DataFrame:
+    """``results`` (result_id, settlement_id, evidence_id, tx_id, status, notes) after all overrides that aren't refused.
+
+    Each column has what the latest override (by made_at, override_id) that sets it says, a null too; others stay."""
+    good = judged_overrides(results, overrides, evidences, bank_tx).filter("reason is null")
+    at = F.struct("made_at", "override_id")
+    latest = good.groupBy("result_id").agg(*(F.max_by(F.struct(F.col(c).alias("v")), F.when(F.col(flag), at)).alias(f"_{c}") for c, flag in OVERRIDABLE.items()))
+    new = [F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(F.col(f"_{c}.v")).alias(c) for c in OVERRIDABLE]
+    return results.join(latest, "result_id", "left").select("result_id", "settlement_id", *new)

@@ -9,7 +9,8 @@ from ..functions.scalars import last_activity, semester_order, signed_amount
 from .reconcile import STATUSES, progress, status_counts
 
 MONEY = "decimal(18,2)"
-PENDING, IN_PROGRESS, COMPLETED = ["submitted", "ready_for_review"], ["under_audit"], ["approved", "rejected"]
+#: Statuses that wait for an auditor, are with one, and are decided.
+PENDING, IN_PROGRESS, COMPLETED = ["submitted", "resubmitted"], ["under_audit"], ["approved", "rejected"]
 
 
 def money(c: Column) -> Column:
@@ -67,24 +68,29 @@ def auditor_dashboard(scope: DataFrame, settlements: DataFrame) -> DataFrame:
 
 
 def president_dashboard(memberships: DataFrame, users: DataFrame, settlements: DataFrame) -> DataFrame:
-    team = memberships.groupBy("org_id").agg(F.countDistinct("user_id").alias("team_size"), F.min_by("user_id", F.struct(F.when(F.col("role") == "president", 0).otherwise(1), "created_at", "membership_id")).alias("first_id"), F.max((F.col("role") == "president").cast("int")).alias("has"))
+    team = memberships.groupBy("org_id").agg(F.countDistinct("user_id").alias("team_size"), F.min_by("user_id", F.struct(F.when(F.col("role") == "president", 0).otherwise(1), ~F.col("is_primary"), "created_at", "membership_id")).alias("first_id"), F.max((F.col("role") == "president").cast("int")).alias("has"))
     team = team.join(users.select(F.col("user_id").alias("first_id"), F.col("name").alias("president_name")), "first_id", "left").select("org_id", "team_size", F.when(F.col("has") == 1, F.col("president_name")).alias("president_name"))
     work = settlements.groupBy("org_id").agg(
-        F.count_if(F.col("submitted_at").isNotNull()).alias("submitted_count"), F.count_if(F.col("status").isin(COMPLETED)).alias("completed_count"), F.count_if(F.col("status").isin(PENDING + IN_PROGRESS)).alias("pending_count"),
+        F.count_if(F.col("status").isin(PENDING + IN_PROGRESS + COMPLETED)).alias("submitted_count"), F.count_if(F.col("status").isin(COMPLETED)).alias("completed_count"), F.count_if(F.col("status").isin(PENDING + IN_PROGRESS)).alias("pending_count"),
         F.max(F.struct("academic_year", semester_order(F.col("semester")).alias("o"), "semester")).alias("p"),
     )
     return team.join(work, "org_id").select("org_id", "team_size", "president_name", "submitted_count", "completed_count", "pending_count", F.col("p.academic_year").alias("current_year"), F.col("p.semester").alias("current_semester"))
 
 
 def auditor_activity(memberships: DataFrame, comments: DataFrame, settlements: DataFrame) -> DataFrame:
-    """Per auditor membership: settlements commented on, review days (each and their mean to one decimal, halves to even), last activity."""
+    """Per auditor membership: settlements of its organisation that it commented on, decided or waiting; days from
+    submission to decision (each and their mean to one decimal, halves to even); last activity."""
     last = comments.groupBy("author_membership_id", "settlement_id").agg(F.max("created_at").alias("at"))
-    days = F.bround((F.unix_seconds(F.col("at").cast("timestamp")) - F.unix_seconds(F.col("submitted_at").cast("timestamp"))) / 86400.0, 1)
+    days = F.bround((F.unix_seconds(F.col("audited_at").cast("timestamp")) - F.unix_seconds(F.col("submitted_at").cast("timestamp"))) / 86400.0, 1)
     done = F.col("status").isin(COMPLETED)
-    per = last.join(settlements.select("settlement_id", "status", "submitted_at"), "settlement_id").groupBy(F.col("author_membership_id").alias("membership_id")).agg(
-        F.count("*").alias("reviewed"), F.count_if(done).alias("completed"), F.count_if(~done).alias("pending"), F.bround(F.avg(F.when(done & (F.col("at") >= F.col("submitted_at")), days)), 1).alias("avg_review_days"), F.max("at").alias("last_at"))
-    out = memberships.filter("role = 'auditor'").join(per, "membership_id", "left")
-    return out.select("membership_id", "org_id", "user_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("reviewed", "completed", "pending")), "avg_review_days", F.coalesce("last_at", "created_at").alias("last_activity_at"))
+    auditors = memberships.filter("role = 'auditor'")
+    own = auditors.select(F.col("membership_id").alias("author_membership_id"), F.col("org_id").alias("_org"))
+    seen = last.join(settlements.select("settlement_id", "org_id", "status", "submitted_at", "audited_at"), "settlement_id").join(own, "author_membership_id").filter("org_id = _org")
+    per = seen.groupBy(F.col("author_membership_id").alias("membership_id")).agg(
+        F.count_if(done).alias("completed"), F.count_if(F.col("status").isin(PENDING + IN_PROGRESS)).alias("pending"), F.bround(F.avg(F.when(done, days)), 1).alias("avg_review_days"), F.max("at").alias("last_at"))
+    out = auditors.join(per, "membership_id", "left")
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return out.select("membership_id", "org_id", "user_id", number(F.col("completed") + F.col("pending")).alias("reviewed"), *(number(c).alias(c) for c in ("completed", "pending")), "avg_review_days", F.coalesce("last_at", "created_at").alias("last_activity_at"))
 
 
 def auditor_worklist(scope: DataFrame, rollup: DataFrame) -> DataFrame:

@@ -99,15 +99,29 @@ def cross_settlement_violation(t: Tables) -> DataFrame:
     return R.cross_settlement(odd, t.evidences)
 
 
-OVERRIDES = """select evidence_id * 10 + k as override_id, evidence_id, case when k = 1 then 'manually_resolved' end as status, cast(null as bigint) as tx_id, concat('n', cast(k as varchar(4))) as notes,
-    cast(date '2024-01-01' + cast(evidence_id % 5 + k as int) as timestamp) as made_at from evidences join (select 0 as k union all select 1 as k) x on 1 = 1 where evidence_id % 20 = 0 and (k = 0 or evidence_id % 40 = 0)"""
+RESULTS = "select coalesce(evidence_id, tx_id) as result_id, settlement_id, evidence_id, tx_id, status, cast(null as varchar(20)) as notes from recon"
+# Every twentieth result is decided by hand, some twice: a status and a note, a link that is undone, a link to a row of this settlement, of another one, and of none.
+OVERRIDES = """select r.result_id * 10 + k as override_id, r.result_id + case when r.result_id % 300 = 0 then 1000000000000000 else 0 end as result_id, cast(date '2024-01-01' + cast(r.result_id % 5 + k as int) as timestamp) as made_at,
+    k = 0 or r.result_id % 60 = 0 as has_status, case when k = 0 then 'manually_resolved' end as status, k = 1 or r.result_id % 40 = 0 as has_notes, concat('n', cast(k as varchar(4))) as notes,
+    k = 1 as has_tx, case when r.result_id % 3 <> 0 then r.result_id + r.result_id % 7 * 1000 end as tx_id, r.result_id % 80 = 0 as has_evidence, case when r.result_id % 160 = 0 then r.evidence_id else 1 + r.result_id end as evidence_id
+    from (select coalesce(evidence_id, tx_id) as result_id, evidence_id from recon) r join (select 0 as k union all select 1 as k) x on 1 = 1 where r.result_id % 20 = 0 and (k = 0 or r.result_id % 40 = 0)"""
+JUDGED = f"""select o.*, case when r.result_id is null then '결과를 찾을 수 없습니다.' when o.has_evidence and o.evidence_id is not null and e.settlement_id is distinct from r.settlement_id then '이 결산안에 속하지 않은 증빙입니다.'
+    when o.has_tx and o.tx_id is not null and t.tx_id is null then '거래내역을 찾을 수 없습니다.' when o.has_tx and o.tx_id is not null and t.settlement_id is distinct from r.settlement_id then '이 결산안에 속하지 않은 거래내역입니다.' end as reason
+    from ({OVERRIDES}) o left join ({RESULTS}) r on r.result_id = o.result_id left join evidences e on e.evidence_id = o.evidence_id left join bank_tx t on t.tx_id = o.tx_id"""
+_LATEST = ", ".join(f"arg_max(struct_pack(v := {c}), (made_at, override_id)) filter (has_{h}) as new_{h}" for c, h in (("status", "status"), ("notes", "notes"), ("tx_id", "tx"), ("evidence_id", "evidence")))
 
 
 @query("apply_overrides", f"""
-with o as ({OVERRIDES}), last as (select * from o qualify row_number() over (partition by evidence_id order by made_at desc, override_id desc) = 1)
-select r.settlement_id, r.evidence_id, coalesce(l.tx_id, r.tx_id) as tx_id, coalesce(l.status, r.status) as status, l.notes from recon r left join last l on l.evidence_id = r.evidence_id""")
+with last as (select result_id, {_LATEST} from ({JUDGED}) where reason is null group by result_id)
+select r.result_id, settlement_id, case when new_evidence is null then evidence_id else new_evidence.v end as evidence_id, case when new_tx is null then tx_id else new_tx.v end as tx_id,
+    case when new_status is null then status else new_status.v end as status, case when new_notes is null then notes else new_notes.v end as notes from ({RESULTS}) r left join last l on l.result_id = r.result_id""")
 def apply_overrides(t: Tables) -> DataFrame:
-    return R.apply_overrides(t.recon, t.sql(OVERRIDES))
+    return R.apply_overrides(t.sql(RESULTS), t.sql(OVERRIDES), t.evidences, t.bank_tx)
+
+
+@query("override_violations", f"select override_id, result_id, reason from ({JUDGED}) where reason is not null")
+def override_violations(t: Tables) -> DataFrame:
+    return R.judged_overrides(t.sql(RESULTS), t.sql(OVERRIDES), t.evidences, t.bank_tx).filter("reason is not null").select("override_id", "result_id", "reason")
 
 
 @query("expense_summary", f"""
@@ -163,7 +177,7 @@ query("auditor_scope", SCOPE)(scope)
 
 
 @query("auditor_dashboard", f"""
-select user_id, count(*) filter (status in ('submitted', 'ready_for_review')) as pending, count(*) filter (status = 'under_audit') as in_progress, count(*) filter (status in ('approved', 'rejected')) as completed, count(*) as total
+select user_id, count(*) filter (status in ('submitted', 'resubmitted')) as pending, count(*) filter (status = 'under_audit') as in_progress, count(*) filter (status in ('approved', 'rejected')) as completed, count(*) as total
 from ({SCOPE}) join settlements using (org_id) group by user_id""")
 def auditor_dashboard(t: Tables) -> DataFrame:
     return U.auditor_dashboard(scope(t), t.settlements)
@@ -174,8 +188,8 @@ SEM = "case semester when '1' then 1 when '2' then 2 when 'summer' then 3 when '
 
 @query("president_dashboard", f"""
 with team as (select org_id, count(distinct user_id) as team_size from memberships group by 1),
-pres as (select org_id, name as president_name from memberships join users using (user_id) where role = 'president' qualify row_number() over (partition by org_id order by memberships.created_at, membership_id) = 1),
-work as (select org_id, count(submitted_at) as submitted_count, count(*) filter (status in ('approved', 'rejected')) as completed_count, count(*) filter (status in ('submitted', 'ready_for_review', 'under_audit')) as pending_count from settlements group by 1),
+pres as (select org_id, name as president_name from memberships join users using (user_id) where role = 'president' qualify row_number() over (partition by org_id order by is_primary desc, memberships.created_at, membership_id) = 1),
+work as (select org_id, count(*) filter (status in ('submitted', 'resubmitted', 'under_audit', 'approved', 'rejected')) as submitted_count, count(*) filter (status in ('approved', 'rejected')) as completed_count, count(*) filter (status in ('submitted', 'resubmitted', 'under_audit')) as pending_count from settlements group by 1),
 cur as (select org_id, academic_year as current_year, semester as current_semester from settlements qualify row_number() over (partition by org_id order by academic_year desc, {SEM} desc) = 1)
 select org_id, team_size, president_name, submitted_count, completed_count, pending_count, current_year, current_semester from team join work using (org_id) join cur using (org_id) left join pres using (org_id)""")
 def president_dashboard(t: Tables) -> DataFrame:
@@ -184,17 +198,17 @@ def president_dashboard(t: Tables) -> DataFrame:
 
 @query("auditor_activity", """
 with l as (select author_membership_id as membership_id, settlement_id, max(created_at) as made_at from comments group by 1, 2),
-p as (select membership_id, count(*) as reviewed, count(*) filter (status in ('approved', 'rejected')) as completed, count(*) filter (status not in ('approved', 'rejected')) as pending,
-    round_even(avg(round_even((epoch(made_at) - epoch(submitted_at)) / 86400.0, 1)) filter (status in ('approved', 'rejected') and made_at >= submitted_at), 1) as avg_review_days, max(made_at) as last_at
-    from l join settlements using (settlement_id) group by 1)
-select membership_id, org_id, user_id, coalesce(reviewed, 0) as reviewed, coalesce(completed, 0) as completed, coalesce(pending, 0) as pending, avg_review_days, coalesce(last_at, created_at) as last_activity_at
+p as (select l.membership_id, count(*) filter (status in ('approved', 'rejected')) as completed, count(*) filter (status in ('submitted', 'resubmitted', 'under_audit')) as pending,
+    round_even(avg(round_even((epoch(audited_at) - epoch(submitted_at)) / 86400.0, 1)) filter (status in ('approved', 'rejected')), 1) as avg_review_days, max(made_at) as last_at
+    from l join settlements s using (settlement_id) join memberships m on m.membership_id = l.membership_id and m.org_id = s.org_id group by 1)
+select membership_id, org_id, user_id, coalesce(completed + pending, 0) as reviewed, coalesce(completed, 0) as completed, coalesce(pending, 0) as pending, avg_review_days, coalesce(last_at, created_at) as last_activity_at
 from memberships left join p using (membership_id) where role = 'auditor'""")
 def auditor_activity(t: Tables) -> DataFrame:
     return U.auditor_activity(t.memberships, t.comments, t.settlements)
 
 
 @query("auditor_worklist", f"""
-select user_id, settlement_id, status, evidence_count, tx_count, comment_count, {", ".join(R.STATUSES)}, progress_percent from ({SCOPE}) join ({ROLLUP}) using (org_id) where status in ('submitted', 'ready_for_review', 'under_audit', 'approved', 'rejected')""")
+select user_id, settlement_id, status, evidence_count, tx_count, comment_count, {", ".join(R.STATUSES)}, progress_percent from ({SCOPE}) join ({ROLLUP}) using (org_id) where status in ('submitted', 'resubmitted', 'under_audit', 'approved', 'rejected')""")
 def auditor_worklist(t: Tables) -> DataFrame:
     return U.auditor_worklist(scope(t), rollup(t))
 
@@ -369,7 +383,7 @@ def fanout_stream(t: Tables) -> DataFrame:
     return heard.groupBy("event_id", "action").agg(F.count("*").alias("n"), F.min("user_id").alias("first_user"), F.sum("user_id").alias("ids"))
 
 
-LABEL = "case when s.status is null then '미제출' when s.status = 'draft' then '작성중' when s.status = 'submitted' then '제출완료' when s.status in ('under_audit', 'ready_for_review') then '감사중' when s.status = 'approved' and s.published_at is not null then '공개완료' when s.status = 'approved' then '승인완료' when s.status = 'rejected' then '반려' else s.status end"
+LABEL = "case when s.status is null then '미제출' when s.status = 'draft' then '작성 중' when s.status = 'ready_for_review' then '검토 준비' when s.status in ('submitted', 'resubmitted') then '감사 중' when s.status = 'rejected' then '반려' when s.status = 'approved' and s.published_at is not null then '공개 완료' when s.status = 'approved' then '승인 완료' else s.status end"
 
 
 @query("org_period_cards", f"""

@@ -510,21 +510,29 @@ def failure_reasons(t: Tables) -> DataFrame:
     return V.failure_reasons(rows)
 
 
-REPLAY = """
-with recursive a as (select settlement_id, action, ts, row_number() over (partition by settlement_id order by ts, event_id) as n from actions),
-r as (select distinct settlement_id, 0::bigint as n, 'draft' as status, null::timestamp as submitted_at, null::timestamp as audited_at, null::timestamp as published_at, 0 as accepted, 0 as refused from a
-union all select r.settlement_id, a.n, case when ok then case action when 'submit' then 'submitted' when 'resubmit' then 'submitted' when 'approve' then 'approved' when 'reject' then 'rejected' else 'approved' end else status end,
-    case when ok and action in ('submit', 'resubmit') then ts else submitted_at end, case when not ok then audited_at when action in ('approve', 'reject') then ts when action in ('submit', 'resubmit') then null else audited_at end,
-    case when ok and action = 'publish' then ts else published_at end, accepted + ok::int, refused + (not ok)::int
-from r join a on a.settlement_id = r.settlement_id and a.n = r.n + 1, lateral (select (action = 'submit' and status = 'draft') or (action in ('approve', 'reject') and status in ('submitted', 'under_audit', 'ready_for_review')) or (action = 'resubmit' and status = 'rejected') or (action = 'publish' and status = 'approved') as ok) z)
-select settlement_id, status, submitted_at, audited_at, published_at, accepted, refused from r qualify row_number() over (partition by settlement_id order by n desc) = 1"""
-
-
-@query("lifecycle_replay", REPLAY)
+_ALLOWED = "(action = 'submit' and status = 'draft') or (action in ('approve', 'reject') and status in ('submitted', 'resubmitted')) or (action = 'resubmit' and status = 'rejected') or (action = 'publish' and status = 'approved' and published_at is null)"
+REPLAY = f"""
+with recursive a as (select settlement_id, event_id, action, ts, row_number() over (partition by settlement_id order by ts, event_id) as n from actions),
+r as (select distinct settlement_id, 0::bigint as n, null::bigint as event_id, null::timestamp as ts, '' as action, 'draft' as prior, 'draft' as status, true as ok, false as was_public, null::timestamp as submitted_at, null::timestamp as audited_at, null::timestamp as published_at, 0 as accepted, 0 as refused from a
+union all select r.settlement_id, a.n, a.event_id, a.ts, a.action, status, case when z.ok then case a.action when 'submit' then 'submitted' when 'resubmit' then 'resubmitted' when 'approve' then 'approved' when 'reject' then 'rejected' else 'approved' end else status end, z.ok, published_at is not null,
+    case when z.ok and a.action in ('submit', 'resubmit') then a.ts else submitted_at end, case when not z.ok then audited_at when a.action in ('approve', 'reject') then a.ts when a.action in ('submit', 'resubmit') then null else audited_at end,
+    case when z.ok and a.action = 'publish' then a.ts else published_at end, accepted + z.ok::int, refused + (not z.ok)::int
+from r join a on a.settlement_id = r.settlement_id and a.n = r.n + 1, lateral (select {_ALLOWED.replace('action', 'a.action')} as ok) z)
+"""
+
+
+@query("lifecycle_replay", REPLAY + "select settlement_id, status, submitted_at, audited_at, published_at, accepted, refused from r qualify row_number() over (partition by settlement_id order by n desc) = 1")
 def lifecycle_replay(t: Tables) -> DataFrame:
     return C.lifecycle_replay(t.actions)
 
 
+@query("lifecycle_events", REPLAY + """select settlement_id, event_id, ts, action, prior as before, status as after, ok as accepted, case when ok then null when action = 'publish' and prior = 'approved' then '이미 공개된 결산안입니다.'
+    else concat(case action when 'submit' then 'DRAFT 상태에서만 제출할 수 있습니다' when 'approve' then '제출됨/재제출됨 상태의 결산안만 승인할 수 있습니다' when 'reject' then '제출됨/재제출됨 상태의 결산안만 반려할 수 있습니다'
+        when 'resubmit' then '반려 상태의 결산안만 재제출할 수 있습니다' else '승인된 결산안만 공개할 수 있습니다' end, ' (현재: ', prior, ').') end as reason from r where n > 0""")
+def lifecycle_events(t: Tables) -> DataFrame:
+    return C.lifecycle_events(t.actions)
+
+
 @query("view_counts", f"select v.settlement_id, count(*) as view_count from views v join settlements s on s.settlement_id = v.settlement_id join organizations o on o.org_id = s.org_id join ({VISIBLE}) x on x.user_id = v.user_id and x.college_name = o.college_name where s.status = 'approved' and s.published_at is not null group by 1")
 def view_counts(t: Tables) -> DataFrame:
     public = U.public_gate(t.settlements).join(t.organizations.select("org_id", "college_name"), "org_id").select("settlement_id", "college_name")
@@ -532,10 +540,9 @@ def view_counts(t: Tables) -> DataFrame:
 
 
 @query("progress_steps", """
-select settlement_id, step, case when done then 'done' when now then 'current' else 'waiting' end as state, case when done then made_at end as completed_at from (
-select settlement_id, 1 as step, submitted_at is not null as done, submitted_at is null as now, submitted_at as made_at from settlements union all
-select settlement_id, 2, status in ('approved', 'rejected'), submitted_at is not null and status not in ('approved', 'rejected'), audited_at from settlements union all
-select settlement_id, 3, status = 'approved', status = 'rejected', audited_at from settlements)""")
+select settlement_id, 1 as step, case when submitted_at is not null then 'completed' else 'pending' end as state, submitted_at as completed_at from settlements union all
+select settlement_id, 2, case when status in ('submitted', 'resubmitted') then 'in_progress' when audited_at is not null then 'completed' else 'pending' end, case when status not in ('submitted', 'resubmitted') then audited_at end from settlements union all
+select settlement_id, 3, case when status = 'approved' then 'completed' else 'pending' end, case when status = 'approved' then audited_at end from settlements""")
 def progress_steps(t: Tables) -> DataFrame:
     return C.progress_steps(t.settlements)
 

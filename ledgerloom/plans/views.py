@@ -47,7 +47,7 @@ VIEWS: dict[str, str] = {
             make_date(academic_year, case sem_no when 1 then 3 when 2 then 9 when 3 then 7 else 12 end, 1) as since from dated_""",
     "settlements": """
         select settlement_id, org_id, academic_year, semester, concat('Settlement ', cast(settlement_id as varchar(20))) as title,
-            case k when 0 then 'draft' when 1 then 'submitted' when 2 then 'under_audit' when 5 then 'rejected' when 6 then 'ready_for_review' else 'approved' end as status,
+            case k when 0 then 'draft' when 1 then 'submitted' when 2 then 'under_audit' when 5 then 'rejected' when 6 then case when settlement_id % 2 = 0 then 'ready_for_review' else 'resubmitted' end else 'approved' end as status,
             case when k <> 0 then cast(since + 70 as timestamp) end as submitted_at,
             case when k in (3, 4, 5, 7) then cast(since + 80 as timestamp) end as audited_at,
             case when k in (4, 7) then cast(since + 90 as timestamp) end as published_at,
@@ -85,19 +85,19 @@ VIEWS: dict[str, str] = {
         union all
         select settlement_id, null, tx_id, 'missing_evidence' from bank_tx where tx_id > 1000000000000""",
     "numbered_": """
-        select settlement_id, org_id, row_number() over (order by settlement_id) - 1 as no, count(*) over () as of_all from settlements""",
+        select settlement_id, org_id, row_number() over (order by settlement_id) - 1 as no from settlements""",
     "comments": """
         select conv_id * 1000 + turn as comment_id, n.settlement_id, a.membership_id as author_membership_id, text as comment,
             cast(date '2001-01-01' + cast((conv_id * 37 + turn) % 300 as int) as timestamp) as created_at
-        from {conversations} join numbered_ n on n.no = conv_id % n.of_all
+        from (select *, conv_id % (select count(*) from settlements) as no from {conversations}) c join numbered_ n on n.no = c.no
         join (select org_id, membership_id, row_number() over (partition by org_id order by membership_id) - 1 as i, count(*) over (partition by org_id) as c from memberships where role = 'auditor') a
             on a.org_id = n.org_id and a.i = turn % a.c
         where text is not null""",
     "actions": """
         select event_id, n.settlement_id, user_id as actor_user_id, case event_type when 'signup' then 'submit' when 'purchase' then 'approve' when 'error' then 'reject' when 'click' then 'resubmit' else 'publish' end as action, ts
-        from {events} join numbered_ n on n.no = user_id % n.of_all""",
+        from (select *, user_id % (select count(*) from settlements) as no from {events}) e join numbered_ n on n.no = e.no""",
     "views": """
-        select event_id, n.settlement_id, user_id, ts from {events} join numbered_ n on n.no = (user_id * 7 + event_id) % n.of_all where event_type = 'view'""",
+        select event_id, n.settlement_id, user_id, ts from (select *, (user_id * 7 + event_id) % (select count(*) from settlements) as no from {events} where event_type = 'view') e join numbered_ n on n.no = e.no""",
     "notifications": """
         select event_id as notification_id, user_id, event_type as notification_type, concat('note ', cast(event_id as varchar(20))) as title, ts as created_at,
             case when event_id % 3 = 0 then null else ts end as read_at from {events}""",
@@ -166,8 +166,8 @@ def needed(sql: str, known: tuple[str, ...] = ()) -> list[str]:
     return out
 
 
-def with_views(sql: str) -> str:
-    ctes = [f"{v} as ({VIEWS[v]})" for v in needed(sql)]
+def with_views(sql: str, kind: str = "") -> str:
+    ctes = [f"{v} as {kind}({VIEWS[v]})" for v in needed(sql)]
     body = sql.strip()
     if not ctes:
         return body
@@ -177,8 +177,8 @@ def with_views(sql: str) -> str:
 
 
 def duckdb_sql(sql: str) -> str:
-    """The statement for DuckDB, base tables under their own names."""
-    text = with_views(sql)
+    """The statement for DuckDB, base tables under their own names; a view that is read twice is made once."""
+    text = with_views(sql, "materialized ")
     for t in TABLES:
         text = text.replace("{" + t + "}", t)
     return text

@@ -31,7 +31,7 @@ STATE = "status string, submitted_at timestamp, audited_at timestamp, published_
 def replay_state(state: dict, action: str, ts: object) -> tuple[dict, bool]:
     """The state after an action, and whether its status allowed it."""
     froms, to = RULES.get(action, ([], None))
-    if state["status"] not in froms:
+    if state["status"] not in froms or (action == "publish" and state["published_at"] is not None):
         return state, False
     new = state | {"status": to}
     if action in ("submit", "resubmit"):
