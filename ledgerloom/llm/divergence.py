@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, cut
+from .common import Scratch, cut, wanted
 
 #: Terms in a block, about.
 BLOCK = 16_384
@@ -154,16 +154,16 @@ def divergence(docs: DataFrame, least_docs: int = 30, top: int = 50) -> DataFram
         groups = cut(groups.join(languages, "lang", "left").select(*group, "own", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("terms", "total")]))
 
         blocks = F.greatest(F.ceil(F.col("terms") / BLOCK), F.lit(1))
-        dealt = vocabulary.join(languages, "lang").select("lang", "term", F.pmod(F.xxhash64("term"), blocks).cast("int").alias("block"))
+        dealt = vocabulary.join(wanted(languages), "lang").select("lang", "term", F.pmod(F.xxhash64("term"), blocks).cast("int").alias("block"))
         ids = dealt.withColumn("id", F.row_number().over(Window.partitionBy("lang", "block").orderBy("term")))
         placed = kept.select(*group, "term", "n").join(ids, ["lang", "term"])
         arrays = scratch.table(
             placed.groupBy(*group, "block").agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("a"))
-            .join(groups, group).select(*group, "block", F.col("a.id").alias("ids"), F.col("a.n").alias("counts"), "own", "terms")
+            .join(wanted(groups), group).select(*group, "block", F.col("a.id").alias("ids"), F.col("a.n").alias("counts"), "own", "terms")
         )
 
         others = groups.select("lang", F.col("source").alias("other"), F.col("own").alias("other_own"))
-        facing = arrays.join(others, "lang").filter("source <> other")
+        facing = arrays.join(wanted(others), "lang").filter("source <> other")
         side = ["lang", "a", "b", "block", "ids", "counts", "own", "other_own", "terms"]
         one = facing.filter("source < other").select("lang", "source", "other", *side[3:]).toDF(*side)
         two = facing.filter("source > other").select("lang", "other", "source", *side[3:]).toDF(*side)
@@ -181,7 +181,7 @@ def divergence(docs: DataFrame, least_docs: int = 30, top: int = 50) -> DataFram
         sums = cut(_one_row(priced, ["lang", "a", "b"], value="value"))
 
         mine = [F.col(c).alias(f"_{c}") for c in ("lang", "source", "own")]
-        pairs = groups.join(groups.select(*mine), (F.col("lang") == F.col("_lang")) & (F.col("source") != F.col("_source")))
+        pairs = groups.join(wanted(groups.select(*mine)), (F.col("lang") == F.col("_lang")) & (F.col("source") != F.col("_source")))
         pairs = pairs.withColumns({"a": F.least("source", "_source"), "b": F.greatest("source", "_source")}).join(sums, ["lang", "a", "b"], "left")
         nothing = F.lit(0).cast("long")
         absent = F.abs(price(nothing, F.col("own"), F.col("terms")) - price(nothing, F.col("_own"), F.col("terms")))
@@ -190,6 +190,6 @@ def divergence(docs: DataFrame, least_docs: int = 30, top: int = 50) -> DataFram
         pairs = pairs.withColumn("rank", F.row_number().over(by_value))
 
         over = price(F.col("n"), F.col("own"), F.col("terms")) - price(F.col("all"), F.col("total"), F.col("terms"))
-        words = kept.join(groups, group).select(*group, F.lit("term").alias("part"), F.col("term").alias("item"), over.alias("value")).filter("value > 0")
+        words = kept.join(wanted(groups), group).select(*group, F.lit("term").alias("part"), F.col("term").alias("item"), over.alias("value")).filter("value > 0")
         words = words.withColumn("rank", F.row_number().over(by_value)).filter(F.col("rank") <= top)
         return cut(pairs.unionByName(words))
