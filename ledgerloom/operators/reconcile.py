@@ -8,10 +8,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import Work, cut
+from .components import connected
+
 #: Evidence statuses that take part, and a near amount's limits.
 OPEN_STATUSES = ["needs_review", "confirmed", "uploaded"]
 GAP_FACTOR, GAP_LEAST = 10, 1000
 
+#: Rows of a settlement from which on it is cut into its interacting parts.
+SPLIT_OVER = 50_000
+
 RESULT = "settlement_id long, evidence_id long, tx_id long, status string, tier int"
 
 
@@ -87,15 +93,60 @@ def match_settlement(ev: pd.DataFrame, tx: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["settlement_id", "evidence_id", "tx_id", "status", "tier"]).astype({"evidence_id": "Int64", "tx_id": "Int64", "tier": "Int32"})
 
 
-def reconcile(evidences: DataFrame, bank_tx: DataFrame) -> DataFrame:
+def parts_that_interact(e: DataFrame, t: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
+    """Evidences and transactions with ``part``: those that can't bear upon each other have different ones.
+
+    Choices meet only over a day or an amount of a settlement that has evidences and transactions both. Such days and
+    amounts are nodes, a row that has a day and an amount among them ties the two, and a part is a component. A row with
+    neither can't be matched at all: its part is null."""
+    node = lambda kind, c: F.when(F.col(c).isNotNull(), F.xxhash64("settlement_id", F.lit(kind), c))
+    dated, seen = ({"by_day": node("day", "day"), "by_amount": node("amount", "value")} for _ in range(2))
+    e, t = e.withColumn("value", F.abs("cents")).withColumns(dated), t.withColumn("value", F.abs("cents")).withColumns(seen)
+    e = e.withColumns({c: F.when(F.col("day").isNotNull() & F.col("cents").isNotNull(), F.col(c)) for c in ("by_day", "by_amount")})
+    nodes = lambda d: d.select(F.explode(F.array("by_day", "by_amount")).alias("node")).filter("node is not null").distinct()
+    live = work.table(nodes(e).join(nodes(t), "node"))
+    ties = e.select("by_day", "by_amount").unionByName(t.select("by_day", "by_amount")).filter("by_day is not null and by_amount is not null").distinct()
+    for c in ("by_day", "by_amount"):
+        ties = ties.join(live.withColumnRenamed("node", c), c)
+    found = connected(ties.select(F.col("by_day").alias("a"), F.col("by_amount").alias("b")), work)
+    part = cut(live.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        for c in ("by_day", "by_amount"):
+            rows = rows.join(part.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part")), c, "left")
+        return rows.withColumn("part", F.coalesce("by_day_part", "by_amount_part"))
+
+    return placed(e), placed(t)
+
+
+def reconcile(evidences: DataFrame, bank_tx: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
     """(settlement_id, evidence_id, tx_id, status, tier): one row per evidence that takes part and per transaction left.
 
-    The greedy order is the result's meaning, so a settlement is one group; settlements are spread over tasks."""
+    The greedy order is the result's meaning, so rows that bear upon each other are one group. A settlement of up to
+    ``split_over`` rows is one; a larger one is cut into its interacting parts, which are dealt into as many groups as
+    its size asks for. That changes nothing in the result, as parts don't bear upon each other. A worker holds about
+    ``split_over`` rows, or the largest part."""
     day = lambda c: F.date_diff(F.col(c), F.lit("1970-01-01").cast("date")).alias("day")
     cents = (F.col("amount") * 100).cast("long").alias("cents")
-    e = evidences.filter(F.col("status").isin(OPEN_STATUSES)).select("settlement_id", "evidence_id", day("evidence_date"), cents, "created_at")
-    t = bank_tx.select("settlement_id", "tx_id", day("transaction_date"), cents, "created_at")
-    return e.groupBy("settlement_id").cogroup(t.groupBy("settlement_id")).applyInPandas(match_settlement, RESULT)
+    e = cut(evidences.filter(F.col("status").isin(OPEN_STATUSES)).select("settlement_id", "evidence_id", day("evidence_date"), cents, "created_at"))
+    t = cut(bank_tx.select("settlement_id", "tx_id", day("transaction_date"), cents, "created_at"))
+    large = e.select("settlement_id").unionByName(t.select("settlement_id")).groupBy("settlement_id").agg(F.ceil(F.count("*") / split_over).cast("int").alias("groups")).filter("groups > 1")
+    if large.isEmpty():
+        return e.groupBy("settlement_id").cogroup(t.groupBy("settlement_id")).applyInPandas(match_settlement, RESULT)
+    large = cut(large)
+    whole = [d.join(large, "settlement_id", "left_anti").withColumn("group", F.lit(0)) for d in (e, t)]
+    with Work(e.sparkSession, "reconcile") as work:
+        split = parts_that_interact(e.join(large, "settlement_id"), t.join(large, "settlement_id"), work)
+    split = [d.withColumn("group", F.pmod(F.xxhash64("part"), F.col("groups")).cast("int")) for d in split]
+    columns = [["settlement_id", "evidence_id", "day", "cents", "created_at", "group"], ["settlement_id", "tx_id", "day", "cents", "created_at", "group"]]
+    e, t = (w.select(*c).unionByName(s.filter("part is not null").select(*c)) for w, s, c in zip(whole, split, columns, strict=True))
+    met = e.groupBy("settlement_id", "group").cogroup(t.groupBy("settlement_id", "group")).applyInPandas(match_settlement, RESULT)
+    null = lambda kind: F.lit(None).cast(kind)
+    alone = [
+        split[0].filter("part is null").select("settlement_id", "evidence_id", null("long").alias("tx_id"), F.lit("missing_bank_transaction").alias("status"), null("int").alias("tier")),
+        split[1].filter("part is null").select("settlement_id", null("long").alias("evidence_id"), "tx_id", F.lit("missing_evidence").alias("status"), null("int").alias("tier")),
+    ]
+    return met.unionByName(alone[0]).unionByName(alone[1])
 
 
 def exact_kth(evidences: DataFrame, bank_tx: DataFrame) -> DataFrame:
@@ -107,12 +158,33 @@ def exact_kth(evidences: DataFrame, bank_tx: DataFrame) -> DataFrame:
     return e.withColumn("k", F.row_number().over(order("evidence_id"))).drop("created_at").join(t.withColumn("k", F.row_number().over(order("tx_id"))).drop("created_at"), keys).select("settlement_id", "evidence_id", "tx_id", "k")
 
 
+def amount_bucket(amount: Column) -> Column:
+    """The power of two below an amount; 0 below 2."""
+    return F.when(amount < 2, 0).otherwise(F.floor(F.log2(amount))).cast("int")
+
+
+def day_pairs(e: DataFrame, t: DataFrame) -> DataFrame:
+    """Evidences with the transactions of their day whose amount is in a power of two that the near band reaches.
+
+    An evidence of amount a takes up to a + max(10 a, 1000), and from nothing on (the band is wider than a), so it is filed under
+    the buckets up to the one of that bound; amount 0 takes any. Of a day's pairs only those are built that lie in the
+    band or at most a factor of two beyond it."""
+    top = F.when(F.col("a") == 0, F.lit(TOP_BUCKET)).otherwise(F.least(amount_bucket(F.col("a") + F.greatest(F.col("a") * GAP_FACTOR, F.lit(GAP_LEAST))), F.lit(TOP_BUCKET)))
+    filed = e.withColumn("bucket", F.explode(F.sequence(F.lit(0), top)))
+    held = t.filter("b is not null").withColumn("bucket", F.least(amount_bucket(F.col("b")), F.lit(TOP_BUCKET))).withColumnRenamed("transaction_date", "evidence_date")
+    return filed.join(held, ["settlement_id", "evidence_date", "bucket"])
+
+
+#: Amounts have twelve digits at most, so this bucket holds the largest.
+TOP_BUCKET = 34
+
+
 def candidates(evidences: DataFrame, bank_tx: DataFrame) -> DataFrame:
-    """Every transaction that an evidence could take, with the tier and the gap, from two equi-joins."""
+    """Every transaction that an evidence could take, with the tier and the gap: a banded join within days, and an equi-join on amounts."""
     e = evidences.filter(F.col("status").isin(OPEN_STATUSES)).select("settlement_id", "evidence_id", "evidence_date", F.abs("amount").alias("a")).filter("a is not null and evidence_date is not null")
     t = bank_tx.select("settlement_id", "tx_id", "transaction_date", F.abs("amount").alias("b"))
     gap = F.abs(F.col("a") - F.col("b")).cast("decimal(13,2)").alias("gap")
-    same_day = e.join(t.withColumnRenamed("transaction_date", "evidence_date"), ["settlement_id", "evidence_date"])
+    same_day = day_pairs(e, t)
     day = same_day.select("settlement_id", "evidence_id", "tx_id", F.when(F.col("a") == F.col("b"), 1).otherwise(2).alias("tier"), gap, "a").filter((F.col("tier") == 1) | (F.col("a") == 0) | (F.col("gap") <= F.greatest(F.col("a") * GAP_FACTOR, F.lit(GAP_LEAST)))).drop("a")
     amount = e.join(t.withColumnRenamed("b", "a"), ["settlement_id", "a"]).filter("evidence_date <> transaction_date").select("settlement_id", "evidence_id", "tx_id", F.lit(3).alias("tier"), F.lit(0).cast("decimal(13,2)").alias("gap"))
     return day.unionByName(amount)

@@ -45,15 +45,25 @@ def access_check(requests: DataFrame, memberships: DataFrame, scope: DataFrame)
     return requests.select("user_id", "org_id").distinct().join(allowed, ["user_id", "org_id"], "left").select("user_id", "org_id", F.coalesce("ok", F.lit(False)).alias("allowed"))
 
 
-def notification_fanout(actions: DataFrame, settlements: DataFrame, memberships: DataFrame) -> DataFrame:
+#: Listeners of an organisation and action that one task gets at most, about.
+LISTENERS = 10_000
+
+
+def notification_fanout(actions: DataFrame, settlements: DataFrame, memberships: DataFrame, listeners_at_once: int = LISTENERS) -> DataFrame:
     """One row per event (event_id is unique) and user with a role that hears of it, without the actor.
 
-    Listeners are made distinct before the events meet them, so the fanned-out rows are not shuffled again."""
+    Listeners are made distinct before the events meet them, so the fanned-out rows are not shuffled again. Those of an
+    organisation and action are dealt into as many buckets as their count asks for, and each event goes to every bucket
+    of its organisation, so a large organisation's notifications are made by many tasks."""
     spark = actions.sparkSession
     routes = F.broadcast(spark.createDataFrame(ROUTES, "action string, role string"))  # a fixed table
-    listeners = memberships.select("org_id", "role", "user_id").join(routes, "role").select("org_id", "action", "user_id").distinct()
+    key = ["org_id", "action"]
+    listeners = memberships.select("org_id", "role", "user_id").join(routes, "role").select(*key, "user_id").distinct()
+    buckets = listeners.groupBy(*key).agg(F.ceil(F.count("*") / listeners_at_once).cast("int").alias("buckets"))
+    dealt = listeners.join(buckets, key).withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.col("buckets")).cast("int")).drop("buckets")
     events = actions.select("event_id", "settlement_id", "action", "actor_user_id").join(settlements.select("settlement_id", "org_id"), "settlement_id")
-    heard = events.join(listeners, ["org_id", "action"])
+    sent = events.join(buckets, key).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1))).drop("buckets")
+    heard = sent.join(dealt, [*key, "bucket"])
     return heard.filter(~F.col("user_id").eqNullSafe(F.col("actor_user_id"))).select("event_id", "user_id", "action")
 
 

@@ -46,6 +46,12 @@ def reconcile(t: Tables) -> DataFrame:
     return R.reconcile(t.evidences, t.bank_tx)
 
 
+@query("reconcile_parts", RECONCILE)
+def reconcile_parts(t: Tables) -> DataFrame:
+    """The same, settlements of more than 60 rows cut into their interacting parts."""
+    return R.reconcile(t.evidences, t.bank_tx, split_over=60)
+
+
 COUNTS = ", ".join(f"count(*) filter (status = '{s}') as {s}" for s in R.STATUSES)
 
 

@@ -40,6 +40,54 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours wherever it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Work:
+    """Tables of one job, written to the shared folder and read from there; all are deleted at its end, or by ``close``."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.root, self.made, self.paths = spark, scratch(spark, name), 0, {}
+
+    def __enter__(self) -> Work:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        remove(self.spark, self.root)
+
+    def path(self) -> str:
+        """A new path of this job."""
+        self.made += 1
+        return f"{self.root}/{self.made}"
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` as Parquet and go on from there."""
+        path = self.path()
+        df.write.parquet(path)
+        written = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(written)] = path
+        return written
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no later step reads."""
+        for t in tables:
+            remove(self.spark, self.paths.pop(id(t)))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there; Spark's cleaner deletes it where that is on."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(scratch(df.sparkSession, "checkpoints"))
+    return df.checkpoint(eager=True)
+
+
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
