@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import reconcile as R
 from ..operators import rollup as U
 from ..operators import scope as S
-from ..sources.files import scratch
+from ..sources.files import Work, cut
 from ..streaming import jobs as J
 from .registry import query
 from .views import Tables
@@ -381,12 +381,12 @@ def notification_fanout(t: Tables) -> DataFrame:
 @query("fanout_stream", f"select event_id, action, count(*) as n, min(user_id) as first_user, sum(user_id)::bigint as ids from ({FANOUT}) f group by event_id, action")
 def fanout_stream(t: Tables) -> DataFrame:
     """The fan-out as a stream: the events are written as files, read as they come, and the notifications of all batches read back."""
-    spark, at = t.spark, scratch(t.spark, "fanout")
-    t.actions.write.parquet(f"{at}/actions")
-    stream = J.events_stream(spark, f"{at}/actions", spark.read.parquet(f"{at}/actions").schema)
-    J.fanout_stream(stream, t.settlements, t.memberships, f"{at}/out", f"{at}/state").awaitTermination()
-    heard = spark.read.parquet(f"{at}/out")
-    return heard.groupBy("event_id", "action").agg(F.count("*").alias("n"), F.min("user_id").alias("first_user"), F.sum("user_id").alias("ids"))
+    spark = t.spark
+    with Work(spark, "fanout") as work:
+        given, out = work.table(t.actions), work.path()
+        J.fanout_stream(J.events_stream(spark, work.path_of(given), given.schema), t.settlements, t.memberships, out, work.path()).awaitTermination()
+        heard = spark.read.parquet(out)
+        return cut(heard.groupBy("event_id", "action").agg(F.count("*").alias("n"), F.min("user_id").alias("first_user"), F.sum("user_id").alias("ids")))
 
 
 LABEL = "case when s.status is null then '미제출' when s.status = 'draft' then '작성 중' when s.status = 'ready_for_review' then '검토 준비' when s.status in ('submitted', 'resubmitted') then '감사 중' when s.status = 'rejected' then '반려' when s.status = 'approved' and s.published_at is not null then '공개 완료' when s.status = 'approved' then '승인 완료' else s.status end"
@@ -432,6 +432,23 @@ def invitation_effective_status(t: Tables) -> DataFrame:
     return S.effective_status(t.invitations, "2024-02-10")
 
 
+@query("invitation_stream", """
+select invitation_id, case when status <> 'pending' and created_at + interval 1 day <= timestamp '2024-02-10' then status when expires_at < timestamp '2024-02-10' then 'expired' else 'pending' end as status from invitations where created_at <= timestamp '2024-02-10'""")
+def invitation_stream(t: Tables) -> DataFrame:
+    """What has become of invitations by a day, from events up to then: timers end what nobody decided when the clock's tick has passed it."""
+    spark, i = t.spark, t.invitations
+    made = i.select("invitation_id", F.lit("created").alias("event"), "expires_at", F.col("created_at").alias("ts"))
+    decided = i.filter("status <> 'pending'").select("invitation_id", F.col("status").alias("event"), F.lit(None).cast("timestamp").alias("expires_at"), F.expr("created_at + interval 1 day").alias("ts"))
+    tick = spark.sql("select cast(null as bigint) as invitation_id, 'tick' as event, cast(null as timestamp) as expires_at, timestamp '2024-02-10' as ts")
+    so_far = made.unionByName(decided).filter("ts <= timestamp '2024-02-10'").unionByName(tick)
+    with Work(spark, "invitations") as work:
+        given, out = work.table(so_far), work.path()
+        events = J.events_stream(J.stateful_session(spark), work.path_of(given), given.schema)
+        J.invitation_stream(events).writeStream.option("checkpointLocation", work.path()).trigger(availableNow=True).start(out, "parquet", "append").awaitTermination()
+        told = spark.read.schema("invitation_id long, status string, at timestamp").parquet(out)
+        return cut(told.groupBy("invitation_id").agg(F.max_by("status", F.struct("at", F.col("status") != "pending")).alias("status")))
+
+
 @query("membership_snapshot", """
 with done as (select * from invitations where status = 'accepted'), cut as (select org_id, role, max(struct_pack(created_at, invitation_id)) as since from done where invitation_type = 'role_transfer' group by 1, 2)
 select org_id, user_id, role, arg_max(invitation_type = 'role_transfer', invitation_id) as is_primary, max(created_at) as granted_at from done left join cut using (org_id, role)

@@ -14,6 +14,7 @@ from ..operators import ledger as L
 from ..operators import lifecycle as C
 from ..operators import rollup as U
 from ..sources import files as S
+from ..streaming import jobs as J
 from .books import SIGNED, VISIBLE, visible
 from .registry import query
 from .views import Tables
@@ -526,17 +527,50 @@ def lifecycle_replay(t: Tables) -> DataFrame:
     return C.lifecycle_replay(t.actions)
 
 
-@query("lifecycle_events", REPLAY + """select settlement_id, event_id, ts, action, prior as before, status as after, ok as accepted, case when ok then null when action = 'publish' and prior = 'approved' then '이미 공개된 결산안입니다.'
+LIFECYCLE = REPLAY + """select settlement_id, event_id, ts, action, prior as before, status as after, ok as accepted, case when ok then null when action = 'publish' and prior = 'approved' then '이미 공개된 결산안입니다.'
     else concat(case action when 'submit' then 'DRAFT 상태에서만 제출할 수 있습니다' when 'approve' then '제출됨/재제출됨 상태의 결산안만 승인할 수 있습니다' when 'reject' then '제출됨/재제출됨 상태의 결산안만 반려할 수 있습니다'
-        when 'resubmit' then '반려 상태의 결산안만 재제출할 수 있습니다' else '승인된 결산안만 공개할 수 있습니다' end, ' (현재: ', prior, ').') end as reason from r where n > 0""")
+        when 'resubmit' then '반려 상태의 결산안만 재제출할 수 있습니다' else '승인된 결산안만 공개할 수 있습니다' end, ' (현재: ', prior, ').') end as reason from r where n > 0"""
+
+
+@query("lifecycle_events", LIFECYCLE)
 def lifecycle_events(t: Tables) -> DataFrame:
     return C.lifecycle_events(t.actions)
 
 
-@query("view_counts", f"select v.settlement_id, count(*) as view_count from views v join settlements s on s.settlement_id = v.settlement_id join organizations o on o.org_id = s.org_id join ({VISIBLE}) x on x.user_id = v.user_id and x.college_name = o.college_name where s.status = 'approved' and s.published_at is not null group by 1")
+@query("lifecycle_stream", LIFECYCLE)
+def lifecycle_stream(t: Tables) -> DataFrame:
+    """The same from actions as they come, each settlement's state kept by the stream."""
+    spark = t.spark
+    with S.Work(spark, "lifecycle") as work:
+        given, out = work.table(t.actions), work.path()
+        actions = J.events_stream(J.stateful_session(spark), work.path_of(given), given.schema)
+        J.lifecycle_stream(actions).writeStream.option("checkpointLocation", work.path()).trigger(availableNow=True).start(out, "parquet", "append").awaitTermination()
+        return S.cut(spark.read.schema("settlement_id long, event_id long, ts timestamp, action string, before string, after string, accepted boolean, reason string").parquet(out))
+
+
+VIEW_COUNTS = f"select v.settlement_id, count(*) as view_count from views v join settlements s on s.settlement_id = v.settlement_id join organizations o on o.org_id = s.org_id join ({VISIBLE}) x on x.user_id = v.user_id and x.college_name = o.college_name where s.status = 'approved' and s.published_at is not null group by 1"
+
+
+def public(t: Tables) -> DataFrame:
+    return U.public_gate(t.settlements).join(t.organizations.select("org_id", "college_name"), "org_id").select("settlement_id", "college_name")
+
+
+@query("view_counts", VIEW_COUNTS)
 def view_counts(t: Tables) -> DataFrame:
-    public = U.public_gate(t.settlements).join(t.organizations.select("org_id", "college_name"), "org_id").select("settlement_id", "college_name")
-    return C.view_counts(t.views, public, visible(t))
+    return C.view_counts(t.views, public(t), visible(t))
+
+
+@query("view_counts_stream", VIEW_COUNTS)
+def view_counts_stream(t: Tables) -> DataFrame:
+    """The same as views come, in two micro-batches or more, every fifth view twice."""
+    spark = t.spark
+    with S.Work(spark, "views") as work:
+        twice = t.views.unionByName(t.views.filter("event_id % 5 = 0"))
+        given, out = work.table(twice.repartition(4, "ts")), work.path()
+        shown, seen = work.table(public(t)), work.table(visible(t))  # read by every micro-batch
+        views = J.events_stream(spark, work.path_of(given), given.schema, files_at_once=2)
+        J.view_count_stream(views, shown, seen, out, work.path(), lateness_s=10**9).awaitTermination()
+        return S.cut(J.view_counts_of(spark, out))
 
 
 @query("progress_steps", """
@@ -571,9 +605,10 @@ def ocr_lines_json(t: Tables) -> DataFrame:
     part = F.floor(F.col("receipt_id") / 200)
     line = F.struct("receipt_id", "pos", F.concat_ws("|", part.cast("string"), "text").alias("text"), "confidence")
     by = t.receipt_lines.groupBy(part.alias("part")).agg(F.transform(F.sort_array(F.collect_list(line)), lambda x: F.struct(x["text"].alias("text"), x["confidence"].cast("double").alias("confidence"))).alias("lines"))
-    path = S.scratch(t.spark, "ocr_lines")
-    by.select(F.when(F.col("part") % 2 == 0, F.to_json(F.struct("lines"))).otherwise(F.to_json("lines")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
-    return S.ocr_lines_json(t.spark, path).select(F.substring_index("text", "|", 1).cast("bigint").alias("part"), "pos", "text", "confidence")
+    with S.Work(t.spark, "ocr_lines") as work:
+        path = work.path()
+        by.select(F.when(F.col("part") % 2 == 0, F.to_json(F.struct("lines"))).otherwise(F.to_json("lines")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+        return S.cut(S.ocr_lines_json(t.spark, path).select(F.substring_index("text", "|", 1).cast("bigint").alias("part"), "pos", "text", "confidence"))
 
 
 @query("receipt_json_extract", """select receipt_id, case when receipt_id % 9 <> 0 then case when receipt_id % 4 = 0 then 'raw name' else concat('가게', receipt_id % 50) end end as merchant_name, case when receipt_id % 9 <> 0 then d end as evidence_date, case when receipt_id % 9 <> 0 then a::decimal(12,2) end as amount,
@@ -601,9 +636,10 @@ def ground_truth_csv(t: Tables) -> DataFrame:
     """The typed form of labels, by way of CSV files."""
     r = F.col("receipt_id")
     raw = t.ground_truth.select(F.when(r % 7 == 0, " ").otherwise(F.col("file_name")).alias("file_name"), "evidence_type", F.col("expected_date").cast("string"), "expected_merchant_name", F.col("expected_amount").cast("string"), F.when(r % 2 == 0, "Naver_Pay").otherwise(F.lit("card")).alias("expected_payment_method"), F.lit("  ").alias("notes"), "split", "difficulty")
-    path = S.scratch(t.spark, "labels_csv")
-    raw.write.csv(path, header=True)
-    return S.ground_truth_csv(t.spark, path)
+    with S.Work(t.spark, "labels_csv") as work:
+        path = work.path()
+        raw.write.csv(path, header=True)
+        return S.cut(S.ground_truth_csv(t.spark, path))
 
 
 @query("sheet_grid", "select concat(file_id, '.xlsx') as path, row_idx::integer as row_idx, col_idx, value, null as error from sheet_cells where value is not null")
@@ -615,9 +651,10 @@ def sheet_grid(t: Tables) -> DataFrame:
 @query("write_report", f"select receipt_id, date_ok, merchant_ok, coalesce(split, 'none') as split from ({EVALUATED})")
 def write_report(t: Tables) -> DataFrame:
     """Evaluation rows written as JSON by split, and read again."""
-    path = S.scratch(t.spark, "report")
-    S.write_report(evaluated(t).select("receipt_id", "date_ok", "merchant_ok", F.coalesce("split", F.lit("none")).alias("split")), path, "split")
-    return t.spark.read.schema("receipt_id long, date_ok boolean, merchant_ok boolean, split string").json(path)
+    with S.Work(t.spark, "report") as work:
+        path = work.path()
+        S.write_report(evaluated(t).select("receipt_id", "date_ok", "merchant_ok", F.coalesce("split", F.lit("none")).alias("split")), path, "split")
+        return S.cut(t.spark.read.schema("receipt_id long, date_ok boolean, merchant_ok boolean, split string").json(path))
 
 
 @query("file_inventory", "select concat('/up/', source_file_name) as path, lower(regexp_extract(source_file_name, '\\.([^./]+)$', 1)) as suffix, case when evidence_id % 5 <> 1 then 'suffix' when evidence_id % 4 = 0 then 'empty' when evidence_id % 4 = 1 then 'too_large' end as reject_reason from evidences")

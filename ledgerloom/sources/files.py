@@ -74,6 +74,9 @@ class Work:
         self.paths[id(written)] = path
         return written
 
+    def path_of(self, table: DataFrame) -> str:
+        return self.paths[id(table)]
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
         for t in tables:

@@ -2,18 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.lifecycle import RULES
+from ..operators.lifecycle import ALREADY_PUBLIC, REASONS, RULES, UNKNOWN
 from ..operators.scope import notification_fanout
 
+#: Stores with timers are kept by RocksDB.
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application with the state store that timers need; the given one's settings stay as they are."""
+    own = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
+    return own
+
+
+def events_stream(spark: SparkSession, path: str, schema: object, files_at_once: int | None = None) -> DataFrame:
+    """A folder of Parquet files as a stream, oldest first, as many files to a micro-batch as are given."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader).parquet(path)
+
+
+def started(rows: DataFrame, write: object, checkpoint: str) -> object:
+    """Hand each micro-batch of all that is there now to ``write``; returns the started query."""
+    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+# Views
+
+
+def view_count_stream(views: DataFrame, public: DataFrame, visible: DataFrame, out: str, checkpoint: str, lateness_s: int = 3600) -> object:
+    """Count views (event_id, settlement_id, user_id, ts) as they come; returns the started query.
+
+    Each micro-batch writes folders of its own under ``out``, and overwrites them when it is repeated after a restart, so
+    nothing is counted twice: ``events`` has the events taken for the first time and whether their user may see the
+    settlement, ``late`` those more than ``lateness_s`` older than the newest event of earlier batches. An event is taken
+    once within the lateness; what is older than that is not looked up, so the look-up stays bounded.
+    ``view_counts_of`` reads the counts."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = _earlier(spark, f"{out}/events", batch_id)
+        bound = before.agg((F.max("ts") - F.make_dt_interval(secs=F.lit(lateness_s))).alias("bound"))
+        dated = batch.select("event_id", "settlement_id", "user_id", "ts").join(F.broadcast(bound))  # one row
+        dated.filter("ts < bound").drop("bound").write.mode("overwrite").parquet(f"{out}/late/batch={batch_id}")
+        fresh = dated.filter("bound is null or ts >= bound").drop("bound").dropDuplicates(["event_id"])
+        recent = before.join(F.broadcast(bound)).filter("ts >= bound").select("event_id")
+        fresh = fresh.join(recent, "event_id", "left_anti").join(public, "settlement_id", "left")
+        allowed = visible.select("user_id", "college_name").withColumn("counts", F.lit(True))
+        judged = fresh.join(allowed, ["user_id", "college_name"], "left").select("event_id", "settlement_id", "ts", F.coalesce("counts", F.lit(False)).alias("counts"))
+        judged.write.mode("overwrite").parquet(f"{out}/events/batch={batch_id}")
+
+    return started(views, write, checkpoint)
 
-def view_count_stream(views: DataFrame, public: DataFrame, visible: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Running view counts: each event once within the lateness, against static tables of what is public to whom."""
-    once = views.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
-    seen = once.join(public, "settlement_id").join(visible, ["user_id", "college_name"])
-    return seen.groupBy("settlement_id").agg(F.count("*").alias("view_count"))
+
+_TAKEN = "event_id long, settlement_id long, ts timestamp, counts boolean, batch long"
+
+
+def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """What batches before this one have taken."""
+    if batch_id == 0:
+        return spark.createDataFrame([], _TAKEN)
+    return spark.read.schema(_TAKEN).parquet(path).filter(F.col("batch") < batch_id)
+
+
+def view_counts_of(spark: SparkSession, out: str) -> DataFrame:
+    """(settlement_id, view_count) of all batches so far."""
+    return spark.read.schema(_TAKEN).parquet(f"{out}/events").filter("counts").groupBy("settlement_id").agg(F.count("*").alias("view_count"))
+
+
+# Notifications
 
 
 def fanout_stream(actions: DataFrame, settlements: DataFrame, memberships: DataFrame, out: str, checkpoint: str) -> object:
@@ -22,10 +87,13 @@ def fanout_stream(actions: DataFrame, settlements: DataFrame, memberships: DataF
     def write(batch: DataFrame, batch_id: int) -> None:
         notification_fanout(batch, settlements, memberships).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return actions.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    return started(actions, write, checkpoint)
 
 
+# Lifecycle
+
 STATE = "status string, submitted_at timestamp, audited_at timestamp, published_at timestamp"
+FIRST = {"status": "draft", "submitted_at": None, "audited_at": None, "published_at": None}
 
 
 def replay_state(state: dict, action: str, ts: object) -> tuple[dict, bool]:
@@ -43,22 +111,88 @@ def replay_state(state: dict, action: str, ts: object) -> tuple[dict, bool]:
     return new, True
 
 
-def lifecycle_stream(actions: DataFrame) -> DataFrame:
-    """(settlement_id, event_id, action, accepted, status) per action as it comes, with each settlement's state kept by Spark."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+def _why(state: dict, action: str) -> str:
+    if action not in RULES:
+        return UNKNOWN
+    return ALREADY_PUBLIC if state["status"] in RULES[action][0] else REASONS[action].format(state["status"])
+
+
+class Lifecycle(StatefulProcessor):
+    """A settlement's status and dates, moved on by each action."""
 
-    def step(key: tuple, batches: object, held: GroupState) -> object:
-        state = dict(zip(("status", "submitted_at", "audited_at", "published_at"), held.get, strict=True)) if held.exists else {"status": "draft", "submitted_at": None, "audited_at": None, "published_at": None}
-        rows = []
-        for x in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
-            state, ok = replay_state(state, x.action, x.ts.to_pydatetime())
-            rows.append((key[0], x.event_id, x.action, ok, state["status"]))
-        held.update(tuple(state.values()))
-        yield pd.DataFrame(rows, columns=["settlement_id", "event_id", "action", "accepted", "status"])
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("state", STATE)
 
-    return actions.groupBy("settlement_id").applyInPandasWithState(step, "settlement_id long, event_id long, action string, accepted boolean, status string", STATE, "append", GroupStateTimeout.NoTimeout)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        state = dict(zip(FIRST, self.held.get(), strict=True)) if self.held.exists() else FIRST
+        for x in sorted(rows, key=lambda r: (r.ts, r.event_id)):
+            before, why = state["status"], None
+            new, ok = replay_state(state, x.action, x.ts)
+            if not ok:
+                why = _why(state, x.action)
+            state = new
+            yield Row(settlement_id=key[0], event_id=x.event_id, ts=x.ts, action=x.action, before=before, after=state["status"], accepted=ok, reason=why)
+        self.held.update(tuple(state.values()))
 
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
+        yield from ()
 
-def events_stream(spark: SparkSession, path: str, schema: object) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+    def close(self) -> None:
+        pass
+
+
+def lifecycle_stream(actions: DataFrame) -> DataFrame:
+    """Each action as it comes (settlement_id, event_id, ts, action, before, after, accepted, reason), with each settlement's
+    state kept by Spark. Actions of a settlement have to come in their order, but within a micro-batch they are sorted.
+    ``actions`` is a stream of a ``stateful_session``."""
+    schema = "settlement_id long, event_id long, ts timestamp, action string, before string, after string, accepted boolean, reason string"
+    return actions.groupBy("settlement_id").transformWithState(Lifecycle(), schema, "append", "none")
+
+
+# Invitations
+
+
+class Expiry(StatefulProcessor):
+    """An invitation waits until it is accepted or cancelled, or its time is up; a timer tells the last."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getValueState("expires_at_ms", "ms long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        for x in sorted(rows, key=lambda r: (r.ts, r.event != "created")):
+            at = int(x.ts.timestamp() * 1000)
+            if x.event == "created":
+                due = None if x.expires_at is None else int(x.expires_at.timestamp() * 1000) + 1  # over once its time has passed
+                self.waiting.update((due,))
+                if due is not None:
+                    self.handle.registerTimer(due)
+                yield Row(invitation_id=key[0], status="pending", at=x.ts)
+            elif x.event in ("accepted", "cancelled") and self.waiting.exists():
+                (due,) = self.waiting.get()
+                if due is not None and at >= due:
+                    continue  # too late: the timer is about to end it
+                if due is not None:
+                    self.handle.deleteTimer(due)
+                self.waiting.clear()
+                yield Row(invitation_id=key[0], status=x.event, at=x.ts)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
+        from datetime import datetime, timezone
+
+        self.waiting.clear()
+        at = datetime.fromtimestamp((expiredTimerInfo.getExpiryTimeInMs() - 1) / 1000, timezone.utc)
+        yield Row(invitation_id=key[0], status="expired", at=at)
+
+    def close(self) -> None:
+        pass
+
+
+def invitation_stream(events: DataFrame) -> DataFrame:
+    """(invitation_id, status, at): what becomes of each invitation, as events (invitation_id, event, expires_at, ts) come.
+
+    Events are created, accepted and cancelled; any other (a clock's tick) only moves the time on. An invitation that is
+    neither accepted nor cancelled expires when the watermark, the latest ts, passes expires_at; its state goes then.
+    ``events`` is a stream of a ``stateful_session``."""
+    timed = events.withWatermark("ts", "0 seconds")
+    return timed.groupBy("invitation_id").transformWithState(Expiry(), "invitation_id long, status string, at timestamp", "append", "eventTime")
