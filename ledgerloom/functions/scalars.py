@@ -41,16 +41,47 @@ def normalize_header(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"\s+", ""))
 
 
-@arrow_udf(T.StringType())
-def nfkc(text: pa.Array) -> pa.Array:
+#: Blocks whose code points are looked at for ones that NFKC leaves alone wherever they stand; Latin to Cyrillic, kana, Han, Hangul syllables.
+_BLOCKS = [(0x09, 0x0D), (0x20, 0x52F), (0x1E00, 0x1EFF), (0x2010, 0x204F), (0x20A0, 0x20BF), (0x3000, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)]
+
+
+def stable_class() -> str:
+    """The insides of a character class: code points that NFKC keeps and that never combine with what is before them."""
+    kept = [c for lo, hi in _BLOCKS for c in range(lo, hi + 1) if unicodedata.normalize("NFKC", chr(c)) == chr(c) and not unicodedata.combining(chr(c)) and unicodedata.category(chr(c)) != "Cn"]
+    ranges: list[list[int]] = []
+    for c in kept:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in ranges)
+
+
+_UNSTABLE = f"[^{stable_class()}]"
+
+
+def _normalized(text: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
 
 
+#: Said to be non-deterministic only so that filters on its result aren't copied below it, where it would run again.
+_nfkc = arrow_udf(_normalized, T.StringType()).asNondeterministic()
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode's compatibility form. Texts of code points that it leaves alone, as nearly all are, stay in the JVM; only others meet Python."""
+    return F.coalesce(_nfkc(F.when(text.rlike(_UNSTABLE), text)), text)
+
+
+#: Ends of lines, and white space, as Unicode has them.
+_LINE_ENDS = r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]"
+_SPACES = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def normalize_text(text: Column) -> Column:
-    """NFKC; the white space of each line collapsed, bars stripped, the won sign spelt, empty lines gone."""
-    lines = F.split(F.regexp_replace(nfkc(text), "₩", "원"), "\n")
-    clean = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "), F.lit(" \t|")))
-    return F.array_join(F.filter(clean, lambda x: x != ""), "\n")
+    """NFKC; the white space of each line collapsed, blanks and bars stripped, the won sign spelt, empty lines gone."""
+    clean = F.transform(F.split(nfkc(text), _LINE_ENDS), lambda x: F.trim(F.regexp_replace(x, _SPACES, " "), F.lit(" \t|")))
+    return F.array_join(F.transform(F.filter(clean, lambda x: x != ""), lambda x: F.replace(x, F.lit("₩"), F.lit("원"))), "\n")
 
 
 def match_text(text: Column) -> Column:

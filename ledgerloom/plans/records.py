@@ -55,14 +55,24 @@ def normalize_header(t: Tables) -> DataFrame:
     return t.sheet_cells.filter("row_idx < 2").select("file_id", "row_idx", "col_idx", N.normalize_header(F.col("value")).alias("h"))
 
 
-@query("normalize_text")
+# Every third document is written in other forms of the same text: ligatures, wide digits and signs, letters taken apart, a no-break space. NFKC undoes them all.
+FORMS = [("fi", "ﬁ"), ("1", "１"), ("2", "②"), ("é", "é"), ("ü", "ü"), ("ñ", "ñ"), (".", "．"), ("IV", "Ⅳ")]
+_WRITTEN = "text"
+for _plain, _other in FORMS:
+    _WRITTEN = f"replace({_WRITTEN}, '{_plain}', '{_other}')"
+WRITTEN = f"select doc_id, case when doc_id % 3 = 0 then {_WRITTEN} when doc_id % 3 = 1 then concat('₩ ', text) else text end as text from {{documents}}"
+PLAIN = "select doc_id, case when doc_id % 3 = 1 then concat('₩ ', text) else text end as text from documents"
+
+
+@query("normalize_text", f"""
+select doc_id, array_to_string(list_filter(list_transform(string_split(replace(text, '₩', '원'), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'), ' |' || chr(9))), lambda x: x <> ''), chr(10)) as normalized from ({PLAIN})""")
 def normalize_text(t: Tables) -> DataFrame:
-    return t.base("documents").select("doc_id", N.normalize_text(F.col("text")).alias("normalized"))
+    return t.sql(WRITTEN).select("doc_id", N.normalize_text(F.col("text")).alias("normalized"))
 
 
-@query("match_text")
+@query("match_text", f"select doc_id, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]', '', 'g') as match from ({PLAIN})")
 def match_text(t: Tables) -> DataFrame:
-    return t.base("documents").select("doc_id", N.match_text(F.col("text")).alias("match"))
+    return t.sql(WRITTEN).select("doc_id", N.match_text(F.col("text")).alias("match"))
 
 
 def _address(text: str) -> str:

@@ -111,19 +111,25 @@ VIEWS: dict[str, str] = {
     "amounts_": """
         select o_orderkey as receipt_id, o_orderkey % 7 as k, cast(o_orderdate as date) as d, 1000 + (o_orderkey * 37) % 900000 as a, 1000 + (o_orderkey * 53) % 500000 as b from {orders}""",
     "receipt_lines": """
-        select receipt_id, 0 as pos, concat(case when k = 1 then '상호: ' when k = 2 then '가맹점명 ' else '' end, '가게', cast(receipt_id % 50 as varchar(4)), ' 본점') as text, 0.97 as confidence, 10.0 as top from amounts_
-        union all select receipt_id, 1, concat(case when k < 4 then '거래일시 ' else '' end, case k % 3 when 0 then concat(cast(year(d) as varchar(4)), '-', cast(month(d) as varchar(2)), '-', cast(day(d) as varchar(2))) when 1 then concat(cast(year(d) as varchar(4)), '.', cast(month(d) as varchar(2)), '.', cast(day(d) as varchar(2)))
-            else concat(cast(year(d) as varchar(4)), '년 ', cast(month(d) as varchar(2)), '월 ', cast(day(d) as varchar(2)), '일') end), 0.95, 40.0 from amounts_
-        union all select receipt_id, 2, concat('아메리카노 2 ', cast(cast(floor(b / 1000) as int) as varchar(10)), ',', lpad(cast(b % 1000 as varchar(10)), 3, '0')), 0.9, 70.0 from amounts_
-        union all select receipt_id, 3, case receipt_id % 11 when 2 then '사업자번호 123-45-67890 TEL 02-123-4567' when 5 then '받은금액 950,000' when 8 then '서울 광진구 자양로 12' else '수량 3' end, 0.9, 90.0 from amounts_ where k <> 3
-        union all select receipt_id, 4, concat('부가세 ', cast(cast(floor(b / 1000) as int) as varchar(10)), ',', lpad(cast(b % 1000 as varchar(10)), 3, '0')), 0.92, 120.0 from amounts_
-        union all select receipt_id, 5, concat('합계금액', case when k % 2 = 0 then concat(' ', cast(cast(floor(a / 1000) as int) as varchar(10)), ',', lpad(cast(a % 1000 as varchar(10)), 3, '0')) else '' end), 0.96, 150.0 from amounts_ where k <> 6
-        union all select receipt_id, 6, concat(cast(cast(floor(a / 1000) as int) as varchar(10)), ',', lpad(cast(a % 1000 as varchar(10)), 3, '0')), 0.96, 170.0 from amounts_ where k % 2 = 1
-        union all select receipt_id, 7, case when k = 4 then '승인금액' else concat('카드결제 ', cast(cast(floor(a / 1000) as int) as varchar(10)), ',', lpad(cast(a % 1000 as varchar(10)), 3, '0')) end, 0.94, 200.0 from amounts_ where k in (2, 4, 5)
-        union all select receipt_id, 8, '1', 0.5, 220.0 from amounts_ where k = 4
-        union all select receipt_id, 8, case receipt_id % 11 when 5 then '거스름돈 3,500' when 6 then concat('총액 ', cast(a as varchar(10)), '원') else concat('승인번호 ', cast(10000000 + receipt_id as varchar(20))) end, 0.9, 220.0 from amounts_ where k <> 4
-        union all select receipt_id, 9, concat(cast(cast(floor(a / 1000) as int) as varchar(10)), ',', lpad(cast(a % 1000 as varchar(10)), 3, '0')), 0.93, 240.0 from amounts_ where k = 4
-        union all select receipt_id, 10, case k when 0 then '[체크카드 승인]' when 1 then '네이버페이 주문' when 2 then '현금영수증' when 3 then '계좌이체 받는분 총무' when 4 then '   ' else '감사합니다' end, 0.91, 270.0 from amounts_""",
+        select receipt_id, case when slot < 9 then slot else slot - 1 end as pos, text,
+            case slot when 0 then 0.97 when 1 then 0.95 when 2 then 0.9 when 3 then 0.9 when 4 then 0.92 when 5 then 0.96 when 6 then 0.96 when 7 then 0.94 when 8 then 0.5 when 9 then 0.9 when 10 then 0.93 else 0.91 end as confidence,
+            case slot when 0 then 10.0 when 1 then 40.0 when 2 then 70.0 when 3 then 90.0 when 4 then 120.0 when 5 then 150.0 when 6 then 170.0 when 7 then 200.0 when 8 then 220.0 when 9 then 220.0 when 10 then 240.0 else 270.0 end as top
+        from (select receipt_id, slot, case slot
+            when 0 then concat(case when k = 1 then '상호: ' when k = 2 then '가맹점명 ' else '' end, '가게', cast(receipt_id % 50 as varchar(4)), ' 본점')
+            when 1 then concat(case when k < 4 then '거래일시 ' else '' end, case k % 3 when 0 then concat(cast(year(d) as varchar(4)), '-', cast(month(d) as varchar(2)), '-', cast(day(d) as varchar(2))) when 1 then concat(cast(year(d) as varchar(4)), '.', cast(month(d) as varchar(2)), '.', cast(day(d) as varchar(2)))
+                else concat(cast(year(d) as varchar(4)), '년 ', cast(month(d) as varchar(2)), '월 ', cast(day(d) as varchar(2)), '일') end)
+            when 2 then concat('아메리카노 2 ', concat(cast(cast(floor(b / 1000) as int) as varchar(10)), ',', lpad(cast(b % 1000 as varchar(10)), 3, '0')))
+            when 3 then case when k <> 3 then case receipt_id % 11 when 2 then '사업자번호 123-45-67890 TEL 02-123-4567' when 5 then '받은금액 950,000' when 8 then '서울 광진구 자양로 12' else '수량 3' end end
+            when 4 then concat('부가세 ', concat(cast(cast(floor(b / 1000) as int) as varchar(10)), ',', lpad(cast(b % 1000 as varchar(10)), 3, '0')))
+            when 5 then case when k <> 6 then concat('합계금액', case when k % 2 = 0 then concat(' ', concat(cast(cast(floor(a / 1000) as int) as varchar(10)), ',', lpad(cast(a % 1000 as varchar(10)), 3, '0'))) else '' end) end
+            when 6 then case when k % 2 = 1 then concat(cast(cast(floor(a / 1000) as int) as varchar(10)), ',', lpad(cast(a % 1000 as varchar(10)), 3, '0')) end
+            when 7 then case when k = 4 then '승인금액' when k in (2, 5) then concat('카드결제 ', concat(cast(cast(floor(a / 1000) as int) as varchar(10)), ',', lpad(cast(a % 1000 as varchar(10)), 3, '0'))) end
+            when 8 then case when k = 4 then '1' end
+            when 9 then case when k <> 4 then case receipt_id % 11 when 5 then '거스름돈 3,500' when 6 then concat('총액 ', cast(a as varchar(10)), '원') else concat('승인번호 ', cast(10000000 + receipt_id as varchar(20))) end end
+            when 10 then case when k = 4 then concat(cast(cast(floor(a / 1000) as int) as varchar(10)), ',', lpad(cast(a % 1000 as varchar(10)), 3, '0')) end
+            else case k when 0 then '[체크카드 승인]' when 1 then '네이버페이 주문' when 2 then '현금영수증' when 3 then '계좌이체 받는분 총무' when 4 then '   ' else '감사합니다' end end as text
+            from amounts_ join (values (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) as r(slot) on 1 = 1) x
+        where text is not null""",
     "ocr_attempts": """
         select receipt_id, case v when 0 then 'adaptive_binary' when 1 then case when k < 3 then 'background_cropped' else 'document_enhanced' end else case when k % 2 = 0 then 'upscaled_enhanced' else 'sharpened' end end as attempt, v, case when k < 5 then 'physical_receipt' else 'e_receipt' end as evidence_type, case when receipt_id % 5 = v then null else case when (receipt_id + v) % 4 = 0 then d + 1 else d end end as evidence_date,
             case when receipt_id % 6 = v then null else concat('가게 ', case when (receipt_id + v) % 3 = 0 then cast(receipt_id % 50 as varchar(4)) else concat('-', cast(receipt_id % 50 as varchar(4))) end) end as merchant_name,
@@ -136,14 +142,18 @@ VIEWS: dict[str, str] = {
     "sheet_rows_": """
         select settlement_id as file_id, settlement_id % 3 as layout, row_number() over (partition by settlement_id order by tx_id) + 1 as row_idx, tx_id, transaction_date as d, amount, description from bank_tx""",
     "sheet_cells": """
-        select file_id, cast(0 as bigint) as row_idx, 0 as col_idx, '거래 내역' as value from (select distinct file_id from sheet_rows_) f
-        union all select file_id, cast(1 as bigint), c, case layout when 0 then case c when 0 then '거래 일자' when 1 then '적요' when 2 then '거래금액' else '메모' end when 1 then case c when 0 then '거래일시' when 1 then '거래명' when 2 then '거래금액' when 3 then '구분' else '잔액' end
-            else case c when 0 then '날짜' when 1 then '내용' when 2 then '출금액' else '입금액' end end
-            from (select distinct file_id, layout from sheet_rows_) f join (select 0 as c union all select 1 as c union all select 2 as c union all select 3 as c) x on 1 = 1
-        union all select file_id, row_idx, 0, case when tx_id % 31 = 0 then '합계' when layout = 0 then concat(cast(year(d) as varchar(4)), '-', cast(month(d) as varchar(2)), '-', cast(day(d) as varchar(2))) when layout = 1 then concat(cast(year(d) as varchar(4)), '.', lpad(cast(month(d) as varchar(2)), 2, '0'), '.', lpad(cast(day(d) as varchar(2)), 2, '0'), ' 16:59:05') else concat(cast(year(d) as varchar(4)), '/', cast(month(d) as varchar(2)), '/', cast(day(d) as varchar(2))) end from sheet_rows_
-        union all select file_id, row_idx, 1, description from sheet_rows_
-        union all select file_id, row_idx, 2, case layout when 0 then concat(cast(amount as varchar(20)), '원') when 1 then cast(abs(amount) as varchar(20)) else case when amount < 0 then cast(-amount as varchar(20)) else '0' end end from sheet_rows_
-        union all select file_id, row_idx, 3, case layout when 0 then case when tx_id % 4 = 0 then 'memo' end when 1 then case when amount < 0 then '출금' else '입금' end else case when amount > 0 then cast(amount as varchar(20)) else '-' end end from sheet_rows_""",
+        select file_id, case when slot < 4 then row_idx when slot = 4 then cast(0 as bigint) else cast(1 as bigint) end as row_idx, case when slot < 4 then slot when slot = 4 then 0 else slot - 5 end as col_idx,
+            case slot
+            when 0 then case when tx_id % 31 = 0 then '합계' when layout = 0 then concat(cast(year(d) as varchar(4)), '-', cast(month(d) as varchar(2)), '-', cast(day(d) as varchar(2))) when layout = 1 then concat(cast(year(d) as varchar(4)), '.', lpad(cast(month(d) as varchar(2)), 2, '0'), '.', lpad(cast(day(d) as varchar(2)), 2, '0'), ' 16:59:05') else concat(cast(year(d) as varchar(4)), '/', cast(month(d) as varchar(2)), '/', cast(day(d) as varchar(2))) end
+            when 1 then description
+            when 2 then case layout when 0 then concat(cast(amount as varchar(20)), '원') when 1 then cast(abs(amount) as varchar(20)) else case when amount < 0 then cast(-amount as varchar(20)) else '0' end end
+            when 3 then case layout when 0 then case when tx_id % 4 = 0 then 'memo' end when 1 then case when amount < 0 then '출금' else '입금' end else case when amount > 0 then cast(amount as varchar(20)) else '-' end end
+            when 4 then '거래 내역'
+            when 5 then case layout when 0 then '거래 일자' when 1 then '거래일시' else '날짜' end
+            when 6 then case layout when 0 then '적요' when 1 then '거래명' else '내용' end
+            when 7 then case layout when 2 then '출금액' else '거래금액' end
+            else case layout when 0 then '메모' when 1 then '구분' else '입금액' end end as value
+        from sheet_rows_ join (values (0), (1), (2), (3), (4), (5), (6), (7), (8)) as r(slot) on 1 = 1 where slot < 4 or row_idx = 2""",
     "template_cells_": """
         select settlement_id as file_id, r.row_idx, r.col_idx, r.value from settlements join (values (0, 0, '단체명 :'), (0, 2, '학 과'), (1, 0, '학년도'), (1, 2, '학기'), (2, 0, '총 수입'), (3, 0, '총지출'), (3, 3, '단체명'), (5, 0, '3월 결산'), (7, 0, '날 짜'), (7, 1, '내용'), (7, 2, '수입'), (7, 3, '지출'), (7, 4, '잔액'), (20, 0, '3월 정산'), (30, 0, '4월결산'), (60, 0, '4월 정산')) as r(row_idx, col_idx, value) on 1 = 1
         where settlement_id % 3 <> 0 or r.row_idx <> 7""",

@@ -7,7 +7,9 @@ import re
 import tempfile
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -99,19 +101,38 @@ def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
+_BAD_FILE = (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, ValueError, EOFError, zlib.error)
+
+
+def _elements(z: zipfile.ZipFile, name: str, tag: str) -> Iterator[ElementTree.Element]:
+    """Each element of a tag once it is complete; what has been read is let go, so one of them is held at a time."""
+    with z.open(name) as stream:
+        above: list[ElementTree.Element] = []
+        for what, x in ElementTree.iterparse(stream, ("start", "end")):
+            if what == "start":
+                above.append(x)
+                continue
+            above.pop()
+            if _local(x.tag) == tag:
+                yield x
+                if above:
+                    above[-1].remove(x)
+
+
 def sheet_cells(content: bytes) -> Iterator[tuple[int, int, str]]:
-    """(row, column, value) of the first worksheet of an OOXML workbook, by tag names whatever their namespace."""
+    """(row, column, value) of the first worksheet of an OOXML workbook, by tag names whatever their namespace.
+
+    The sheet is parsed a row at a time; only the file's bytes and its shared strings are held whole."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
         shared: list[str] = []
         if "xl/sharedStrings.xml" in names:
-            for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")):
-                shared.append("".join(t.text or "" for t in item.iter() if _local(t.tag) == "t"))
+            shared = ["".join(t.text or "" for t in item.iter() if _local(t.tag) == "t") for item in _elements(z, "xl/sharedStrings.xml", "si")]
         sheet = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]), default=None)
         if sheet is None:
             return
         row = -1
-        for r in (x for x in ElementTree.fromstring(z.read(sheet)).iter() if _local(x.tag) == "row"):
+        for r in _elements(z, sheet, "row"):
             row = int(r.get("r", row + 2)) - 1
             col = -1
             for c in (x for x in r if _local(x.tag) == "c"):
@@ -128,21 +149,59 @@ def sheet_cells(content: bytes) -> Iterator[tuple[int, int, str]]:
                     yield row, col, value
 
 
+#: Cells of a batch that goes back to Spark.
+CELLS = 20_000
+_GRID = "path string, row_idx int, col_idx int, value string, error string"
+
+
+def cell_batches(content: bytes, size: int = CELLS) -> Iterator[list[tuple[int, int, str]]]:
+    """The cells of a workbook, ``size`` of them at a time."""
+    cells = sheet_cells(content)
+    while batch := list(islice(cells, size)):
+        yield batch
+
+
 def sheet_grid(files: DataFrame) -> DataFrame:
-    """(path, row_idx, col_idx, value, error): every cell of every workbook in (path, content); a file that can't be read gives its error."""
+    """(path, row_idx, col_idx, value, error): every cell of every workbook in (path, content), in batches of CELLS; a file
+    that can't be read gives its error and no cells."""
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["path", "row_idx", "col_idx", "value", "error"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i in range(b.num_rows):
+                path, content = b.column(0)[i].as_py(), b.column(1)[i].as_py() or b""
                 try:
-                    rows = [(path, *c, None) for c in sheet_cells(content or b"")]
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, ValueError) as e:
-                    rows = [(path, None, None, None, type(e).__name__)]
-                cols = list(zip(*rows, strict=True)) or [[], [], [], [], []]
-                kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["path", "row_idx", "col_idx", "value", "error"])
-
-    return files.select("path", "content").mapInArrow(run, "path string, row_idx int, col_idx int, value string, error string")
+                    # A first pass tells whether all of it can be read, so that no part of a bad file is handed on.
+                    for _ in sheet_cells(content):
+                        pass
+                except _BAD_FILE as e:
+                    yield made([(path, None, None, None, type(e).__name__)])
+                    continue
+                for cells in cell_batches(content):
+                    yield made([(path, *c, None) for c in cells])
+
+    return files.select("path", "content").mapInArrow(run, _GRID)
+
+
+def sheet_stream(spark: SparkSession, path: str, out: str, checkpoint: str, files_at_once: int = 1000) -> object:
+    """Workbooks of a folder as they come: their cells under ``out``/cells, files that can't be read with their error
+    under ``out``/unreadable. A batch that is repeated after a restart writes its folders anew. Returns the started query."""
+    source = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_at_once).load(path)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        grid = sheet_grid(batch).write
+        root = f"{out}/grid/batch={batch_id}"
+        grid.mode("overwrite").parquet(root)
+        grid = batch.sparkSession.read.schema(_GRID).parquet(root)
+        grid.filter("error is null").drop("error").write.mode("overwrite").parquet(f"{out}/cells/batch={batch_id}")
+        grid.filter("error is not null").select("path", "error").write.mode("overwrite").parquet(f"{out}/unreadable/batch={batch_id}")
+        remove(batch.sparkSession, root)
+
+    return source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
 def workbooks(cells: DataFrame) -> DataFrame:
