@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import difflib
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from .blocks import ratios
+
 
 def signed_amount(amount: Column, is_refund: Column) -> Column:
     return F.when(is_refund, -F.abs(amount)).otherwise(F.abs(amount))
@@ -105,8 +107,8 @@ def merchant_similarity(a: Column, b: Column) -> Column:
 @arrow_udf(T.DoubleType())
 def sequence_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     """Matching-blocks ratio of two texts to four decimals; 0 with a missing one."""
-    out = [0.0 if not x or not y else round(difflib.SequenceMatcher(None, x, y).ratio(), 4) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
-    return pa.array(out, pa.float64())
+    parts = [ratios(a.slice(i, 2000).to_pylist(), b.slice(i, 2000).to_pylist()) for i in range(0, len(a), 2000)]
+    return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
 
 #: Semesters in order.

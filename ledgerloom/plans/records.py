@@ -104,7 +104,19 @@ def merchant_similarity(t: Tables) -> DataFrame:
     return t.sql(PAIRS).select("receipt_id", "v", F.round(N.merchant_similarity(F.col("x"), F.col("y")), 9).alias("similarity"))
 
 
-@query("sequence_ratio")
+# One step splits every stretch that is left at its longest block, the first of equals; the names have under 200 signs.
+BLOCKS = f"""
+with recursive p as (select receipt_id, v, x, y, levenshtein(x, y) as distance from ({PAIRS})), d as (select distinct x, y from p where x <> '' and y <> ''),
+m as (
+    select x, y, 0 as alo, length(x)::integer as ahi, 0 as blo, length(y)::integer as bhi, 0 as size from d
+    union all
+    select x, y, case side when 0 then alo else -best.i + best.k end::integer, case side when 0 then -best.i else ahi end::integer, case side when 0 then blo else -best.j + best.k end::integer, case side when 0 then -best.j else bhi end::integer, case side when 0 then best.k else 0 end::integer
+    from (select *, list_max(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi), lambda j: struct_pack(k := length(list_filter(range(1, least(ahi - i, bhi - j) + 1), lambda n: x[i + 1 : i + n] = y[j + 1 : j + n])), i := -i, j := -j))))) as best from m where alo < ahi and blo < bhi) q, range(0, 2) r(side) where best.k > 0
+), r as (select x, y, round(2.0::double * sum(size) / (length(x) + length(y)), 4) as ratio from m group by x, y)
+select receipt_id, v, coalesce(ratio, 0.0)::double as ratio, distance::integer as distance from p left join r on r.x = p.x and r.y = p.y"""
+
+
+@query("sequence_ratio", BLOCKS)
 def sequence_ratio(t: Tables) -> DataFrame:
     return t.sql(PAIRS).select("receipt_id", "v", N.sequence_ratio(F.col("x"), F.col("y")).alias("ratio"), F.levenshtein("x", "y").alias("distance"))
 
