@@ -109,27 +109,34 @@ with words as materialized (
         10000 * n_dup_lines // greatest(n_lines, 1) as m_dup_lines, 10000 * n_repeat_words // greatest(n_words, 1) as m_repeats
     from counted
 ), long as (
-    select s0, s1, 'm_length' as m, m_length as v from measured where not base_failed union all select s0, s1, 'm_symbols', m_symbols from measured where not base_failed
-    union all select s0, s1, 'm_dup_lines', m_dup_lines from measured where not base_failed union all select s0, s1, 'm_repeats', m_repeats from measured where not base_failed
+    select s0, s1, unnest([struct_pack(m := 'm_length', v := m_length, size := 0), struct_pack(m := 'm_symbols', v := m_symbols, size := 0), struct_pack(m := 'm_dup_lines', v := m_dup_lines, size := 0), struct_pack(m := 'm_repeats', v := m_repeats, size := 0),
+        struct_pack(m := 'n_symbols', v := n_symbols, size := word_chars), struct_pack(m := 'n_dup_lines', v := n_dup_lines, size := n_lines), struct_pack(m := 'n_repeat_words', v := n_repeat_words, size := n_words)], recursive := true) from measured where not base_failed
 ), bucketed as (
-    select s0, s1, m, case when v < 32 then v else (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)) end as b from long
+    select s0, s1, m, size, case when v < 32 then v else (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)) end as b from long
 ), sketch as (
-    select s0, s1, 2 as level, m, b, count(*) as n from bucketed group by all union all select s0, null, 1, m, b, count(*) from bucketed group by all union all select null, null, 0, m, b, count(*) from bucketed group by all
+    select s0, s1, 2 as level, m, b, count(*) as n, sum(size) as size from bucketed group by all union all select s0, null, 1, m, b, count(*), sum(size) from bucketed group by all union all select null, null, 0, m, b, count(*), sum(size) from bucketed group by all
 ), upto as (
-    select *, sum(n) over (partition by s0, s1, level, m order by b) as upto, sum(n) over (partition by s0, s1, level, m) as whole, case when b < 32 then b else (b - ((b - 32) // 32) * 32) << ((b - 32) // 32) end as floor_v from sketch
+    select *, sum(n) over (partition by s0, s1, level, m order by b) as upto, sum(n) over (partition by s0, s1, level, m) as whole,
+        case when b < 32 then b else (b - ((b - 32) // 32) * 32) << ((b - 32) // 32) end as floor_v from sketch
 ), quartiles as (
     select s0, s1, level, m, max(whole) as n, min(floor_v) filter (upto * 4 >= whole) as q1, min(floor_v) filter (upto * 2 >= whole) as q2,
-        min(floor_v) filter (upto * 4 >= whole * 3) as q3, min(floor_v) filter (upto * 10 >= whole * 9) as d9 from upto group by all
+        min(floor_v) filter (upto * 4 >= whole * 3) as q3, min(floor_v) filter (upto * 10 >= whole * 9) as d9, sum(size) as size, greatest(coalesce(sum(n) filter (b = 0), 0), 1) as without from upto group by all
 ), fences as (
     select s0, s1, level, m, n, q1 - (q3 - q1) * 3 - q1 // 32 as low,
-        case m when 'm_length' then q3 + (q3 - q1) * 3 + q3 // 32 else d9 + (d9 - q2) * 9 + d9 // 32 end as high from quartiles
+        case m when 'm_length' then q3 + (q3 - q1) * 3 + q3 // 32 else d9 + (d9 - q2) * 9 + d9 // 32 end as high,
+        ln(n::double / without::double) * n::double / greatest(size, 1)::double as rate, ln(n::double / 0.01::double) as bar from quartiles
 ), chosen as (
-    select d.doc_id, f.m, f.low, f.high, row_number() over (partition by d.doc_id, f.m order by f.level desc) as k
+    select d.doc_id, f.m, f.low, f.high, f.rate, f.bar, row_number() over (partition by d.doc_id, f.m order by f.level desc) as k
     from measured d join fences f on (f.level = 0 or (f.n >= 200 and f.s0 = d.s0 and (f.level = 1 or f.s1 = d.s1)))
+), held as (
+    select d.*, c.m, c.low, c.high, case c.m when 'm_length' then m_length when 'm_symbols' then m_symbols when 'm_dup_lines' then m_dup_lines else m_repeats end as share,
+        case c.m when 'm_symbols' then n_symbols when 'm_dup_lines' then n_dup_lines when 'm_repeats' then n_repeat_words // 6 end::double as events,
+        case c.m when 'm_symbols' then word_chars when 'm_dup_lines' then n_lines when 'm_repeats' then n_words end::double * r.rate as mean, r.bar
+    from measured d join chosen c on c.doc_id = d.doc_id and c.k = 1 and c.m like 'm_%'
+    left join chosen r on r.doc_id = d.doc_id and r.k = 1 and r.m = case c.m when 'm_symbols' then 'n_symbols' when 'm_dup_lines' then 'n_dup_lines' when 'm_repeats' then 'n_repeat_words' end
 ), odd as (
-    select distinct c.doc_id from chosen c join measured d using (doc_id) where k = 1 and case m
-        when 'm_length' then m_length > high or m_length < low when 'm_symbols' then m_symbols > high and n_symbols > 3
-        when 'm_dup_lines' then m_dup_lines > high and n_dup_lines > 3 else m_repeats > high and n_repeat_words > 18 end
+    select distinct doc_id from held where case when m = 'm_length' then share > high or share < low
+        else share > high and events > mean and round(events * ln(events / nullif(mean, 0)) - events + mean - bar, 6) > 0 end
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and doc_id not in (select doc_id from odd) as kept from measured
 """

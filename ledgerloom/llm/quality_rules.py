@@ -4,9 +4,11 @@ A sketch is a log-linear histogram: values below 32 have a bucket each, larger o
 power of two, so a quantile is off by 1/32 of its value at most. Sketches merge by adding counts,
 which rollup() does for (language, source), language and everything; a stratum with few rows falls
 back on the sketch above it. Word length is held against fences around its stratum's quartiles. The
-other measures are 0 for most documents, so that their quartiles say nothing: their fences are set by
-the median and the ninth decile, and a document needs more than a few events to be beyond one. The
-thresholds are joined back to the rows. No fence has a fixed least width but the sketch's own error.
+other measures are 0 for most documents, so that their quartiles say nothing. Their sketches tell the
+zeros from the rest, and the share of zeros gives the rate at which a stratum's texts have such
+events. A document is beyond if its share lies above a fence set by the median and the ninth decile,
+and its events are more than its length explains at that rate. What is allowed so grows with the
+text, and all of it comes from the sketches. The thresholds are joined back to the rows.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from .common import cut
 MEASURES = ("m_length", "m_symbols", "m_dup_lines", "m_repeats")
 LOW_SIDED = ("m_length",)
 
-#: Measures that are 0 for most documents, with what they count and how many of it prove nothing:
-#: three events are within chance even where a stratum shows none. A repetition of three words is six words.
-TAILED = {"m_symbols": ("n_symbols", 3), "m_dup_lines": ("n_dup_lines", 3), "m_repeats": ("n_repeat_words", 18)}
+#: Measures that are 0 for most documents: what they count, of how many, and how much of it one event is. A repeated
+#: window of three words is six words, as it is there twice.
+TAILED = {"m_symbols": ("n_symbols", "word_chars", 1), "m_dup_lines": ("n_dup_lines", "n_lines", 1), "m_repeats": ("n_repeat_words", "n_words", 6)}
 
 #: Up to so many strata's thresholds are broadcast; more are joined by a shuffle.
 STRATA_SENT = 100_000
@@ -92,34 +94,53 @@ def bucket_floor(b: Column) -> Column:
 
 
 def sketches(measured: DataFrame, strata: list[str]) -> DataFrame:
-    """(strata..., level, measure, b, n) for every stratum and all that it rolls up into."""
-    long = measured.select(*strata, F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("b")) for m in MEASURES))).alias("x")).select(*strata, "x.*")
-    counts = long.groupBy(*strata, "measure", "b").agg(F.count("*").alias("n"))
+    """(strata..., level, measure, b, n, size) for every stratum and all that it rolls up into: shares and lengths, and the
+    counts behind the shares with the sum of what they are counted of."""
+    values = [F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("b"), F.lit(0).cast("long").alias("size")) for m in MEASURES]
+    values += [F.struct(F.lit(c).alias("measure"), bucket(F.col(c)).alias("b"), F.col(of).alias("size")) for c, of, _ in TAILED.values()]
+    long = measured.select(*strata, F.explode(F.array(*values)).alias("x")).select(*strata, "x.*")
+    counts = long.groupBy(*strata, "measure", "b").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     levels = [
-        counts.select(*(F.col(c) if i < k else F.lit(None).cast("string").alias(c) for i, c in enumerate(strata)), F.lit(k).alias("level"), "measure", "b", "n")
+        counts.select(*(F.col(c) if i < k else F.lit(None).cast("string").alias(c) for i, c in enumerate(strata)), F.lit(k).alias("level"), "measure", "b", "n", "size")
         for k in range(len(strata), -1, -1)
     ]
     merged = levels[0]
     for x in levels[1:]:
         merged = merged.unionByName(x)
-    return merged.groupBy(*strata, "level", "measure", "b").agg(F.sum("n").alias("n"))
+    return merged.groupBy(*strata, "level", "measure", "b").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
 
 
-def thresholds(sketch: DataFrame, strata: list[str], reach: float, tail_reach: float) -> DataFrame:
-    """(strata..., level, measure, n, low, high): fences ``reach`` quartile ranges beyond the quartiles, or, for measures
-    in TAILED, ``tail_reach`` times the way from the median to the ninth decile beyond the latter; and the sketch's error."""
+#: What thresholds() gives for a measure: fences of its values; or for a count the rate of events and the bar.
+FENCES, RATES = ("low", "high"), ("rate", "bar")
+
+
+def thresholds(sketch: DataFrame, strata: list[str], reach: float, tail_reach: float, chance: float) -> DataFrame:
+    """(strata..., level, measure, n, low, high, rate, bar).
+
+    Fences lie ``reach`` quartile ranges beyond the quartiles, or, for measures in TAILED, ``tail_reach`` times the way from
+    the median to the ninth decile beyond the latter; and the sketch's error. Of counts, ``rate`` is the one at which events
+    by chance would leave as many documents without any, and ``bar`` the logarithm above which less than ``chance``
+    documents of the stratum would come by chance."""
     at = Window.partitionBy(*strata, "level", "measure")
     seen = sketch.withColumn("upto", F.sum("n").over(at.orderBy("b"))).withColumn("all", F.sum("n").over(at))
     quantile = lambda k, of: F.min(F.when(F.col("upto") * of >= F.col("all") * k, bucket_floor(F.col("b"))))
     table = seen.groupBy(*strata, "level", "measure").agg(
-        F.max("all").alias("n"), quantile(1, 4).alias("q1"), quantile(1, 2).alias("q2"), quantile(3, 4).alias("q3"), quantile(9, 10).alias("d9")
-    )
+        F.max("all").alias("n"), quantile(1, 4).alias("q1"), quantile(1, 2).alias("q2"), quantile(3, 4).alias("q3"), quantile(9, 10).alias("d9"), F.sum("size").alias("size"),
+        F.greatest(F.sum(F.when(F.col("b") == 0, F.col("n"))), F.lit(1)).alias("without"),
+    )
     error = lambda q: F.floor(F.col(q) / 32)
     width = F.floor((F.col("q3") - F.col("q1")) * reach)
     tail = F.col("d9") + F.floor((F.col("d9") - F.col("q2")) * tail_reach) + error("d9")
     low = F.when(F.col("measure").isin(*LOW_SIDED), F.col("q1") - width - error("q1"))
     high = F.when(F.col("measure").isin(*TAILED), tail).otherwise(F.col("q3") + width + error("q3"))
-    return table.select(*strata, "level", "measure", "n", low.alias("low"), high.alias("high"))
+    rate = F.ln(F.col("n") / F.col("without")) * F.col("n") / F.greatest(F.col("size"), F.lit(1))
+    return table.select(*strata, "level", "measure", "n", low.alias("low"), high.alias("high"), rate.alias("rate"), F.ln(F.col("n") / chance).alias("bar"))
+
+
+def inexplicable(events: Column, size: Column, rate: Column, bar: Column) -> Column:
+    """Whether so many events have a probability under exp(-bar) where rate * size are to be expected (Chernoff's bound)."""
+    mean = rate * size
+    return F.coalesce((events > mean) & (F.round(events * F.ln(events / mean) - events + mean - bar, 6) > 0), F.lit(False))
 
 
 def quality_rules(
@@ -132,12 +153,14 @@ def quality_rules(
     min_rows: int = 200,
     reach: float = 3.0,
     tail_reach: float = 9.0,
+    chance: float = 0.01,
 ) -> DataFrame:
     """The id, strata, counts, measures, ``base_failed`` and ``kept`` of every document.
 
     A null text counts as empty and fails the base rule; a null stratum is a stratum of its own.
     Repeated lines are a share of the lines with a word, symbols one of the characters in words, repeated words one of
-    the words. Where a tenth or more of a stratum is junk of one kind, that kind shapes its fence and stays.
+    the words. Where a tenth or more of a stratum is junk of one kind, that kind shapes its fence and stays. ``chance`` is
+    the number of documents of a stratum that may be beyond a rate by chance.
     Rows that fail the base rule shape no threshold. A stratum with fewer than ``min_rows`` rows takes
     the thresholds of the level above it. Repeated rows count as often as they occur; an empty table
     gives no rows; other columns are not looked at."""
@@ -160,9 +183,10 @@ def quality_rules(
             F.floor(10000 * F.col("n_repeat_words") / words).alias("m_repeats"),
         )
     )
-    fences = thresholds(sketches(measured.filter(~F.col("base_failed")), keys), keys, reach, tail_reach)
-    wide = fences.groupBy(*keys, "level").agg(F.max("n").alias("n"), *(F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}") for m in MEASURES for side in ("low", "high")))
-    fence_cols = [f"{side}_{m}" for m in MEASURES for side in ("low", "high")]
+    fences = thresholds(sketches(measured.filter(~F.col("base_failed")), keys), keys, reach, tail_reach, chance)
+    fence_of = {f"{side}_{m}": (m, side) for m in MEASURES for side in FENCES} | {f"{side}_{c}": (c, side) for c, _, _ in TAILED.values() for side in RATES}
+    fence_cols = list(fence_of)
+    wide = fences.groupBy(*keys, "level").agg(F.max("n").alias("n"), *(F.max(F.when(F.col("measure") == m, F.col(side))).alias(name) for name, (m, side) in fence_of.items()))
     # The thresholds of every stratum, from the lowest level with enough rows; the whole table's sketch counts at any size.
     chosen = measured.select(*keys).distinct()
     picked = []
@@ -177,8 +201,8 @@ def quality_rules(
     for m in MEASURES:
         beyond = F.col(m) > F.col(f"_f.high_{m}")
         if m in TAILED:
-            counted_by, by_chance = TAILED[m]
-            beyond = beyond & (F.col(counted_by) > by_chance)
+            count, size, unit = TAILED[m]
+            beyond = beyond & inexplicable(F.floor(F.col(count) / unit), F.col(size), *(F.col(f"_f.{side}_{count}") for side in RATES))
         odd = odd | beyond
         if m in LOW_SIDED:
             odd = odd | (F.col(m) < F.col(f"_f.low_{m}"))
