@@ -124,8 +124,13 @@ def semester_order(semester: Column) -> Column:
     return F.when(semester == "1", 1).when(semester == "2", 2).when(semester == "summer", 3).when(semester == "winter", 4).otherwise(99)
 
 
+#: What a semester is called.
+SEMESTER_LABELS = {"1": "1학기", "2": "2학기", "summer": "여름학기", "winter": "겨울학기"}
+
+
 def period_label(year: Column, semester: Column, long: bool = False) -> Column:
-    return F.concat(year.cast("string"), F.lit("학년도 " if long else "-"), semester, F.lit("학기"))
+    name = F.coalesce(*(F.when(semester == k, v) for k, v in SEMESTER_LABELS.items()), semester)
+    return F.concat(year.cast("string"), F.lit("학년도 " if long else "-"), name)
 
 
 def semester_period(year: Column, semester: Column) -> tuple[Column, Column]:

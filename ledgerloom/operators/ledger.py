@@ -88,16 +88,34 @@ def effective_mapping(detected: DataFrame, explicit: DataFrame) -> DataFrame:
     return detected.join(mine, ["template_id", "cell"], "full").select("template_id", "cell", F.coalesce("given", "field").alias("field"))
 
 
-#: Label texts of template fields, in order of precedence.
-LABEL_RULES = [("단체명", "organization_name"), ("학과", "department_name"), ("학년도", "academic_year"), ("학기", "semester"), ("총수입", "total_income"), ("총지출", "total_expense"), ("작성일", "generated_at")]
+#: What the labels of template fields hold, in order of precedence.
+LABEL_RULES = [
+    (("결산안제목", "결산안명", "결산제목", "제목"), "title"),
+    (("학년도", "학년", "년도"), "academic_year"),
+    (("학기",), "semester"),
+    (("단과대학", "단과대"), "college_name"),
+    (("학과", "학부", "전공"), "department_name"),
+    (("단체명", "학생회", "조직명"), "organization_name"),
+    (("총지출액", "총지출", "지출합계", "지출총액"), "total_evidence_amount"),
+    (("증빙건수", "증빙수", "증빙자료건수"), "evidence_count"),
+    (("거래내역건수", "거래건수", "은행거래건수"), "bank_transaction_count"),
+    (("매칭건수", "일치건수", "대조일치"), "matched_count"),
+    (("금액불일치", "금액불일치건수"), "amount_mismatch_count"),
+    (("날짜불일치", "날짜불일치건수"), "date_mismatch_count"),
+    (("거래내역누락", "거래누락"), "missing_bank_transaction_count"),
+    (("증빙누락",), "missing_evidence_count"),
+    (("제출일", "제출일시"), "submitted_at"),
+    (("감사일", "감사일시", "승인일"), "audited_at"),
+    (("공개일", "공개일시"), "published_at"),
+]
 
 
 def template_labels(cells: DataFrame, rows: int = 80) -> DataFrame:
     """(file_id, field, cell): each field's value cell, right of the first cell whose text holds the field's label."""
     text = F.regexp_replace(normalize_header(F.col("value")), ":", "")
     found = F.lit(None).cast("string")
-    for label, field in reversed(LABEL_RULES):
-        found = F.when(F.instr(text, label) > 0, field).otherwise(found)
+    for labels, field in reversed(LABEL_RULES):
+        found = F.when(text.rlike("|".join(labels)), field).otherwise(found)
     w = Window.partitionBy("file_id", "field").orderBy("row_idx", "col_idx")
     hits = cells.filter(F.col("row_idx") < rows).withColumn("field", found).filter("field is not null").withColumn("k", F.row_number().over(w)).filter("k = 1")
     return hits.select("file_id", "field", cell_address(F.col("row_idx"), F.col("col_idx") + 1).alias("cell"))

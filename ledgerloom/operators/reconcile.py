@@ -215,8 +215,8 @@ STATUSES = ["matched", "amount_mismatch", "date_mismatch", "missing_bank_transac
 
 
 def progress(matched: Column, total: Column) -> Column:
-    """Matched results in percent of all, one decimal, halves to even; 0 without results."""
-    return F.when(total > 0, F.bround(100.0 * matched / total, 1)).otherwise(F.lit(0.0))
+    """Matched results in percent of all, two decimals, halves to even; 0 without results."""
+    return F.when(total > 0, F.bround(matched / total * 100, 2)).otherwise(F.lit(0.0))
 
 
 #: Why an override is refused.

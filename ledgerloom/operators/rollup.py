@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import last_activity, semester_order, signed_amount
+from .lifecycle import STATUSES as LIFECYCLE
 from .reconcile import STATUSES, progress, status_counts
 
 MONEY = "decimal(18,2)"
+#: The roles whose dashboard is the treasurer's.
+BOOKKEEPERS = ["treasurer", "president"]
 #: Statuses that wait for an auditor, are with one, and are decided.
 PENDING, IN_PROGRESS, COMPLETED = ["submitted", "resubmitted"], ["under_audit"], ["approved", "rejected"]
 
@@ -46,25 +49,33 @@ def user_settlements(memberships: DataFrame, settlements: DataFrame, roles: list
 
 
 def treasurer_dashboard(memberships: DataFrame, settlements: DataFrame, rollup: DataFrame) -> DataFrame:
-    mine = user_settlements(memberships, settlements.select("settlement_id", "org_id", "status"), ["treasurer"]).join(rollup.drop("org_id", "status"), "settlement_id")
+    mine = user_settlements(memberships, settlements.select("settlement_id", "org_id", "status"), BOOKKEEPERS).join(rollup.drop("org_id", "status"), "settlement_id")
     done = F.sum("matched") + F.sum("manually_resolved")
     return mine.groupBy("user_id").agg(
-        F.countDistinct("org_id").alias("org_count"), F.count("*").alias("settlement_count"), F.count_if(F.col("status") == "draft").alias("draft"), F.count_if(F.col("status") == "approved").alias("approved"),
+        F.countDistinct("org_id").alias("org_count"), F.count("*").alias("settlement_count"), *(F.count_if(F.col("status") == x).alias(x) for x in LIFECYCLE),
         F.sum("evidence_count").alias("evidence_count"), F.sum("evidence_sum").cast(MONEY).alias("evidence_sum"), done.alias("matched_count"), (F.sum("recon_total") - done).alias("unmatched_count"), progress(done, F.sum("recon_total")).alias("progress_percent"),
     )
 
 
-def recent_settlements(memberships: DataFrame, settlements: DataFrame, limit: int = 5) -> DataFrame:
-    """Each treasurer's newest settlements: by submission, then creation."""
-    mine = user_settlements(memberships, settlements, ["treasurer"])
+def recent_settlements(memberships: DataFrame, settlements: DataFrame, limit: int = 10) -> DataFrame:
+    """The newest settlements of each bookkeeper: by submission, then creation."""
+    mine = user_settlements(memberships, settlements, BOOKKEEPERS)
     w = Window.partitionBy("user_id").orderBy(F.desc_nulls_last("submitted_at"), F.desc("created_at"), "settlement_id")
     return mine.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("user_id", "settlement_id", "status", "rank")
 
 
 def auditor_dashboard(scope: DataFrame, settlements: DataFrame) -> DataFrame:
-    mine = scope.join(settlements, "org_id")
+    """Per auditor: organisations in scope, and their settlements by how far their audit is."""
+    mine = scope.join(settlements, "org_id", "left")
     bucket = lambda xs: F.count_if(F.col("status").isin(xs))
-    return mine.groupBy("user_id").agg(bucket(PENDING).alias("pending"), bucket(IN_PROGRESS).alias("in_progress"), bucket(COMPLETED).alias("completed"), F.count("*").alias("total"))
+    return mine.groupBy("user_id").agg(F.countDistinct("org_id").alias("org_count"), bucket(PENDING).alias("pending"), bucket(IN_PROGRESS).alias("in_progress"), bucket(COMPLETED).alias("completed"), F.count("settlement_id").alias("total"))
+
+
+def auditor_pending(scope: DataFrame, settlements: DataFrame, limit: int = 10) -> DataFrame:
+    """The newest settlements in each auditor's scope that wait for audit: by submission, then creation."""
+    w = Window.partitionBy("user_id").orderBy(F.desc_nulls_last("submitted_at"), F.desc("created_at"), "settlement_id")
+    waiting = scope.join(settlements.filter(F.col("status").isin(PENDING)), "org_id")
+    return waiting.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("user_id", "settlement_id", "status", "rank")
 
 
 def president_dashboard(memberships: DataFrame, users: DataFrame, settlements: DataFrame) -> DataFrame:
@@ -114,12 +125,19 @@ def public_gate(settlements: DataFrame) -> DataFrame:
 
 
 def student_dashboard(memberships: DataFrame, settlements: DataFrame, evidences: DataFrame) -> DataFrame:
-    """Per user and organisation: published settlements, their snapshot, last publication, views, current period."""
-    shot = snapshot(settlements, evidences, strict=True)
-    pub = public_gate(settlements).join(shot, "settlement_id").groupBy("org_id").agg(F.count("*").alias("published_count"), F.sum("item_count").alias("item_count"), F.sum("total_amount").alias("total_amount"), F.max("published_at").alias("last_published_at"), F.sum("view_count").alias("view_count"))
-    now = current_period(settlements)
+    """Per user and organisation: published settlements, last publication and views; the current period with its sum and count."""
+    pub = public_gate(settlements).groupBy("org_id").agg(F.count("*").alias("published_count"), F.max("published_at").alias("last_published_at"), F.sum("view_count").alias("view_count"))
+    last = settlements.groupBy("org_id").agg(F.max(F.struct("academic_year", semester_order(F.col("semester")).alias("o"), "settlement_id", "semester")).alias("p")).select("org_id", "p.academic_year", "p.semester", "p.settlement_id")
+    now = last.join(snapshot(settlements, evidences, strict=False), "settlement_id")
     base = memberships.select("user_id", "org_id").distinct().join(now, "org_id").join(pub, "org_id", "left")
-    return base.select("user_id", "org_id", "academic_year", "semester", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("published_count", "item_count", "view_count")), money(F.col("total_amount")).alias("total_amount"), "last_published_at")
+    return base.select("user_id", "org_id", "settlement_id", "academic_year", "semester", "item_count", "total_amount", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("published_count", "view_count")), "last_published_at")
+
+
+def student_recent(settlements: DataFrame, evidences: DataFrame, comments: DataFrame, limit: int = 5) -> DataFrame:
+    """Per organisation the settlements published last, with their sum as of publication and their latest comment."""
+    w = Window.partitionBy("org_id").orderBy(F.desc("published_at"), "settlement_id")
+    recent = public_gate(settlements).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("org_id", "settlement_id", "rank")
+    return recent.join(snapshot(settlements, evidences, strict=False), "settlement_id").join(latest_comment(comments), "settlement_id", "left").select("org_id", "settlement_id", "rank", "total_amount", "comment")
 
 
 def current_period(settlements: DataFrame) -> DataFrame:
@@ -138,14 +156,13 @@ def public_periods(visible: DataFrame, organizations: DataFrame, settlements: Da
     return by.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("academic_year"), F.desc(semester_order(F.col("semester"))))))
 
 
-def spec_fields(settlements: DataFrame, organizations: DataFrame, rollup: DataFrame, evidences: DataFrame) -> DataFrame:
-    """One wide row per settlement with the fields that report templates know."""
-    split = evidences.groupBy("settlement_id").agg(
-        money(F.sum(F.when(F.col("is_refund"), F.abs("amount")))).alias("total_income"), money(F.sum(F.when(~F.col("is_refund"), F.abs("amount")))).alias("total_expense"), F.min("evidence_date").alias("first_date"), F.max("evidence_date").alias("last_date"))
-    return (
-        settlements.join(organizations.select("org_id", F.col("name").alias("organization_name"), "college_name", "department_name"), "org_id").join(rollup.drop("org_id", "status"), "settlement_id").join(split, "settlement_id", "left")
-        .select("settlement_id", "organization_name", "college_name", "department_name", "academic_year", "semester", "title", "status", "evidence_count", money(F.col("total_income")).alias("total_income"), money(F.col("total_expense")).alias("total_expense"), "evidence_sum", "tx_count", "matched", "unmatched_count", "progress_percent", "first_date", "last_date")
-    )
+def spec_fields(settlements: DataFrame, organizations: DataFrame, rollup: DataFrame) -> DataFrame:
+    """One row per settlement with the fields that report templates know, but for the time of making; dates in ISO form."""
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssxxx").alias(c)
+    orgs = organizations.select("org_id", F.col("name").alias("organization_name"), "college_name", "department_name")
+    counts = rollup.select("settlement_id", F.col("evidence_sum").alias("total_evidence_amount"), "evidence_count", F.col("tx_count").alias("bank_transaction_count"), *(F.col(x).alias(f"{x}_count") for x in STATUSES[:5]))
+    dated = settlements.select("settlement_id", "org_id", "title", "academic_year", "semester", *(iso(c) for c in ("submitted_at", "audited_at", "published_at")))
+    return dated.join(orgs, "org_id").join(counts, "settlement_id").drop("org_id")
 
 
 def notification_counts(notifications: DataFrame) -> DataFrame:

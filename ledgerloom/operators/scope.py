@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import settlement_label, status_label
 
 #: Which roles hear of an action.
-ROUTES = [("submit", "auditor"), ("resubmit", "auditor"), ("approve", "treasurer"), ("approve", "president"), ("reject", "treasurer"), ("reject", "president"), ("publish", "student")]
+ROUTES = [("submit", "auditor"), ("resubmit", "auditor"), ("approve", "treasurer"), ("approve", "president"), ("reject", "treasurer"), ("reject", "president"), ("publish", "student"), ("publish", "treasurer"), ("publish", "auditor"), ("publish", "president")]
 
 
 def visible_colleges(memberships: DataFrame, organizations: DataFrame, users: DataFrame) -> DataFrame:
@@ -89,9 +89,16 @@ def labelled(settlements: DataFrame, organizations: DataFrame) -> DataFrame:
     return settlements.join(organizations.select("org_id", "name"), "org_id").select("settlement_id", settlement_label(F.col("name"), F.col("academic_year"), F.col("semester"), F.col("title")).alias("label"))
 
 
+#: The role that an invitation's type asks for, and the roles that can be handed on.
+INVITED_ROLES, TRANSFERABLE = {"treasurer_invite": "treasurer", "auditor_invite": "auditor"}, ["treasurer", "auditor", "president"]
+
+
 def invitation_rule_check(invitations: DataFrame) -> DataFrame:
-    """Invitations whose type and role don't go together."""
-    wrong = F.when((F.col("invitation_type") == "role_transfer") & (F.col("role") == "student"), "transfer_needs_officer").when((F.col("invitation_type") == "member_invite") & (F.col("role") == "president"), "president_needs_transfer")
+    """Invitations whose type and role don't go together, with the rule that they break."""
+    kind, role = F.col("invitation_type"), F.col("role")
+    wrong = F.when((kind == "role_transfer") & ~role.isin(TRANSFERABLE), "권한 이전은 treasurer/auditor/admin 만 지원됩니다.")
+    for name, due in INVITED_ROLES.items():
+        wrong = wrong.when((kind == name) & (role != due), f"invitation_type={name} 에는 role={due} 만 허용됩니다.")
     return invitations.select("invitation_id", wrong.alias("violation")).filter("violation is not null")
 
 

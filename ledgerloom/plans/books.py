@@ -137,7 +137,7 @@ def expense_summary(t: Tables) -> DataFrame:
     return U.expense_summary(t.evidences)
 
 
-PROGRESS = "case when {n} > 0 then round_even(100.0 * ({m}) / {n}, 1) else 0.0 end"
+PROGRESS = "case when {n} > 0 then round_even(({m})::double / {n} * 100, 2) else 0.0 end"
 ROLLUP = f"""
 select s.settlement_id, s.org_id, s.status, coalesce(evidence_count, 0) as evidence_count, cast(coalesce(evidence_sum, 0) as decimal(18,2)) as evidence_sum, coalesce(tx_count, 0) as tx_count, coalesce(comment_count, 0) as comment_count,
     {", ".join(f"coalesce({x}, 0) as {x}" for x in R.STATUSES)}, coalesce(total, 0) as recon_total, coalesce(total - matched - manually_resolved, 0) as unmatched_count,
@@ -153,12 +153,12 @@ def rollup(t: Tables) -> DataFrame:
 
 query("settlement_rollup", ROLLUP)(rollup)
 
-MINE = "select distinct user_id, org_id from memberships where role = 'treasurer'"
+MINE = "select distinct user_id, org_id from memberships where role in ('treasurer', 'president')"
 
 
 @query("treasurer_dashboard", f"""
 with ru as ({ROLLUP}), m as ({MINE})
-select user_id, count(distinct org_id) as org_count, count(*) as settlement_count, count(*) filter (status = 'draft') as draft, count(*) filter (status = 'approved') as approved, sum(evidence_count)::bigint as evidence_count,
+select user_id, count(distinct org_id) as org_count, count(*) as settlement_count, {", ".join(f"count(*) filter (status = '{x}') as {x}" for x in U.LIFECYCLE)}, sum(evidence_count)::bigint as evidence_count,
     cast(sum(evidence_sum) as decimal(18,2)) as evidence_sum, sum(matched + manually_resolved)::bigint as matched_count, sum(recon_total - matched - manually_resolved)::bigint as unmatched_count,
     {PROGRESS.format(n="sum(recon_total)", m="sum(matched + manually_resolved)")} as progress_percent
 from m join ru using (org_id) group by user_id""")
@@ -167,7 +167,7 @@ def treasurer_dashboard(t: Tables) -> DataFrame:
 
 
 @query("recent_settlements", f"""
-select user_id, settlement_id, status, rank from (select user_id, settlement_id, status, row_number() over (partition by user_id order by submitted_at desc nulls last, created_at desc, settlement_id) as rank from ({MINE}) join settlements using (org_id)) where rank <= 5""")
+select user_id, settlement_id, status, rank from (select user_id, settlement_id, status, row_number() over (partition by user_id order by submitted_at desc nulls last, created_at desc, settlement_id) as rank from ({MINE}) join settlements using (org_id)) where rank <= 10""")
 def recent_settlements(t: Tables) -> DataFrame:
     return U.recent_settlements(t.memberships, t.settlements)
 
@@ -183,12 +183,19 @@ query("auditor_scope", SCOPE)(scope)
 
 
 @query("auditor_dashboard", f"""
-select user_id, count(*) filter (status in ('submitted', 'resubmitted')) as pending, count(*) filter (status = 'under_audit') as in_progress, count(*) filter (status in ('approved', 'rejected')) as completed, count(*) as total
-from ({SCOPE}) join settlements using (org_id) group by user_id""")
+select user_id, count(distinct org_id) as org_count, count(*) filter (status in ('submitted', 'resubmitted')) as pending, count(*) filter (status = 'under_audit') as in_progress, count(*) filter (status in ('approved', 'rejected')) as completed, count(settlement_id) as total
+from ({SCOPE}) left join settlements using (org_id) group by user_id""")
 def auditor_dashboard(t: Tables) -> DataFrame:
     return U.auditor_dashboard(scope(t), t.settlements)
 
 
+@query("auditor_pending", f"""
+select user_id, settlement_id, status, rank from (select user_id, settlement_id, status, row_number() over (partition by user_id order by submitted_at desc nulls last, created_at desc, settlement_id) as rank
+from ({SCOPE}) join settlements using (org_id) where status in ('submitted', 'resubmitted')) where rank <= 10""")
+def auditor_pending(t: Tables) -> DataFrame:
+    return U.auditor_pending(scope(t), t.settlements)
+
+
 SEM = "case semester when '1' then 1 when '2' then 2 when 'summer' then 3 when 'winter' then 4 else 99 end"
 
 
@@ -236,14 +243,21 @@ def viewer_snapshot(t: Tables) -> DataFrame:
 
 
 @query("student_dashboard", f"""
-with shot as ({snap(True)}), pub as (select org_id, count(*) as published_count, sum(item_count)::bigint as item_count, sum(total_amount) as total_amount, max(published_at) as last_published_at, sum(view_count)::bigint as view_count from settlements join shot using (settlement_id) group by 1),
-cur as (select org_id, academic_year, semester from settlements qualify row_number() over (partition by org_id order by academic_year desc, {SEM} desc) = 1)
-select user_id, org_id, academic_year, semester, coalesce(published_count, 0) as published_count, coalesce(item_count, 0) as item_count, coalesce(view_count, 0) as view_count, cast(coalesce(total_amount, 0) as decimal(18,2)) as total_amount, last_published_at
-from (select distinct user_id, org_id from memberships) join cur using (org_id) left join pub using (org_id)""")
+with shot as ({snap(False)}), pub as (select org_id, count(*) as published_count, max(published_at) as last_published_at, sum(view_count)::bigint as view_count from settlements where status = 'approved' and published_at is not null group by 1),
+cur as (select org_id, settlement_id, academic_year, semester from settlements qualify row_number() over (partition by org_id order by academic_year desc, {SEM} desc, settlement_id desc) = 1)
+select user_id, org_id, settlement_id, academic_year, semester, item_count, total_amount, coalesce(published_count, 0) as published_count, coalesce(view_count, 0) as view_count, last_published_at
+from (select distinct user_id, org_id from memberships) join cur using (org_id) join shot using (settlement_id) left join pub using (org_id)""")
 def student_dashboard(t: Tables) -> DataFrame:
     return U.student_dashboard(t.memberships, t.settlements, t.evidences)
 
 
+@query("student_recent", f"""
+select org_id, settlement_id, rank, total_amount, comment from (select org_id, settlement_id, row_number() over (partition by org_id order by published_at desc, settlement_id) as rank from settlements where status = 'approved' and published_at is not null)
+join ({snap(False)}) using (settlement_id) left join (select settlement_id, comment from comments qualify row_number() over (partition by settlement_id order by created_at desc, comment_id desc) = 1) using (settlement_id) where rank <= 5""")
+def student_recent(t: Tables) -> DataFrame:
+    return U.student_recent(t.settlements, t.evidences, t.comments)
+
+
 @query("current_period", f"select org_id, academic_year, semester from settlements qualify row_number() over (partition by org_id order by academic_year desc, {SEM} desc) = 1")
 def current_period(t: Tables) -> DataFrame:
     return U.current_period(t.settlements)
@@ -271,13 +285,15 @@ def public_periods(t: Tables) -> DataFrame:
     return U.public_periods(visible(t), t.organizations, t.settlements)
 
 
+_ISO = ", ".join(f"strftime({c}, '%Y-%m-%dT%H:%M:%S') || '+00:00' as {c}" for c in ("submitted_at", "audited_at", "published_at"))
+
+
 @query("spec_fields", f"""
-with x as (select settlement_id, sum(abs(amount)) filter (is_refund) as total_income, sum(abs(amount)) filter (not is_refund) as total_expense, min(evidence_date) as first_date, max(evidence_date) as last_date from evidences group by 1)
-select s.settlement_id, o.name as organization_name, college_name, department_name, academic_year, semester, title, s.status, evidence_count, cast(coalesce(total_income, 0) as decimal(18,2)) as total_income, cast(coalesce(total_expense, 0) as decimal(18,2)) as total_expense,
-    evidence_sum, tx_count, matched, unmatched_count, progress_percent, first_date, last_date
-from settlements s join organizations o using (org_id) join ({ROLLUP}) r using (settlement_id) left join x using (settlement_id)""")
+select s.settlement_id, title, academic_year, semester, o.name as organization_name, college_name, department_name, evidence_sum as total_evidence_amount, evidence_count, tx_count as bank_transaction_count,
+    {", ".join(f"{x} as {x}_count" for x in R.STATUSES[:5])}, {_ISO}
+from settlements s join organizations o using (org_id) join ({ROLLUP}) r using (settlement_id)""")
 def spec_fields(t: Tables) -> DataFrame:
-    return U.spec_fields(t.settlements, t.organizations, rollup(t), t.evidences)
+    return U.spec_fields(t.settlements, t.organizations, rollup(t))
 
 
 @query("notification_counts", "select user_id, count(*) as total, count(*) - count(read_at) as unread from notifications group by user_id")
@@ -422,7 +438,9 @@ def settlement_label(t: Tables) -> DataFrame:
     return S.labelled(t.settlements, t.organizations)
 
 
-@query("invitation_rule_check", "select invitation_id, case when invitation_type = 'role_transfer' then 'transfer_needs_officer' else 'president_needs_transfer' end as violation from invitations where (invitation_type = 'role_transfer' and role = 'student') or (invitation_type = 'member_invite' and role = 'president')")
+@query("invitation_rule_check", """
+select invitation_id, case invitation_type when 'role_transfer' then '권한 이전은 treasurer/auditor/admin 만 지원됩니다.' else concat('invitation_type=', invitation_type, ' 에는 role=', split_part(invitation_type, '_', 1), ' 만 허용됩니다.') end as violation
+from invitations where case invitation_type when 'role_transfer' then role not in ('treasurer', 'auditor', 'president') else role <> split_part(invitation_type, '_', 1) end""")
 def invitation_rule_check(t: Tables) -> DataFrame:
     return S.invitation_rule_check(t.invitations)
 

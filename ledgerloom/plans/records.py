@@ -121,7 +121,10 @@ def sequence_ratio(t: Tables) -> DataFrame:
     return t.sql(PAIRS).select("receipt_id", "v", N.sequence_ratio(F.col("x"), F.col("y")).alias("ratio"), F.levenshtein("x", "y").alias("distance"))
 
 
-@query("semester_norm", "select settlement_id, lower(trim(semester)) as semester, case semester when '1' then 1 when '2' then 2 when 'summer' then 3 else 4 end as o, concat(academic_year, '-', semester, '학기') as short, concat(academic_year, '학년도 ', semester, '학기') as long from settlements")
+_SEMESTER = "case semester when '1' then '1학기' when '2' then '2학기' when 'summer' then '여름학기' else '겨울학기' end"
+
+
+@query("semester_norm", f"select settlement_id, lower(trim(semester)) as semester, case semester when '1' then 1 when '2' then 2 when 'summer' then 3 else 4 end as o, concat(academic_year, '-', {_SEMESTER}) as short, concat(academic_year, '학년도 ', {_SEMESTER}) as long from settlements")
 def semester_norm(t: Tables) -> DataFrame:
     y, s = F.col("academic_year"), N.normalize_semester(F.concat(F.lit(" "), F.upper("semester")))
     return t.settlements.select("settlement_id", s.alias("semester"), N.semester_order(s).alias("o"), N.period_label(y, s).alias("short"), N.period_label(y, s, long=True).alias("long"))
@@ -201,7 +204,7 @@ def effective_mapping(t: Tables) -> DataFrame:
     return L.effective_mapping(t.sql(DETECTED), t.sql(EXPLICIT))
 
 
-RULES = "case " + " ".join(f"when contains(x, '{a}') then '{b}'" for a, b in L.LABEL_RULES) + " end"
+RULES = "case " + " ".join(f"when regexp_matches(x, '{'|'.join(a)}') then '{b}'" for a, b in L.LABEL_RULES) + " end"
 
 
 @query("template_labels", f"""

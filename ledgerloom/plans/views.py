@@ -103,9 +103,9 @@ VIEWS: dict[str, str] = {
             case when event_id % 3 = 0 then null else ts end as read_at from {events}""",
     "invitations": """
         select c_custkey as invitation_id, cast(c_nationkey as bigint) as org_id, concat('u', cast(c_custkey as varchar(20)), '@example.org') as invited_email,
-            case when c_custkey % 4 = 0 then 'role_transfer' else 'member_invite' end as invitation_type,
+            case c_custkey % 4 when 0 then 'role_transfer' when 1 then 'treasurer_invite' else 'auditor_invite' end as invitation_type,
             case when c_custkey % 5 = 0 then 'treasurer' when c_custkey % 5 = 1 then 'president' when c_custkey % 5 = 2 then 'auditor' else 'student' end as role,
-            case when c_custkey % 3 = 0 then 'accepted' when c_custkey % 3 = 1 then 'pending' else 'cancelled' end as status,
+            case when c_custkey % 3 = 0 then 'accepted' when c_custkey % 3 = 1 then 'pending' when c_custkey % 2 = 0 then 'revoked' else 'declined' end as status,
             cast(date '2024-01-01' + cast(c_custkey % 60 + 7 as int) as timestamp) as expires_at, cast(date '2024-01-01' + cast(c_custkey % 60 as int) as timestamp) as created_at, c_custkey as user_id
         from {customer}""",
     "amounts_": """
@@ -155,7 +155,7 @@ VIEWS: dict[str, str] = {
             else case layout when 0 then '메모' when 1 then '구분' else '입금액' end end as value
         from sheet_rows_ join (values (0), (1), (2), (3), (4), (5), (6), (7), (8)) as r(slot) on 1 = 1 where slot < 4 or row_idx = 2""",
     "template_cells_": """
-        select settlement_id as file_id, r.row_idx, r.col_idx, r.value from settlements join (values (0, 0, '단체명 :'), (0, 2, '학 과'), (1, 0, '학년도'), (1, 2, '학기'), (2, 0, '총 수입'), (3, 0, '총지출'), (3, 3, '단체명'), (5, 0, '3월 결산'), (7, 0, '날 짜'), (7, 1, '내용'), (7, 2, '수입'), (7, 3, '지출'), (7, 4, '잔액'), (20, 0, '3월 정산'), (30, 0, '4월결산'), (60, 0, '4월 정산')) as r(row_idx, col_idx, value) on 1 = 1
+        select settlement_id as file_id, r.row_idx, r.col_idx, r.value from settlements join (values (0, 0, '단체명 :'), (0, 2, '학 과'), (1, 0, '학년도'), (1, 2, '학기'), (2, 0, '결산안 제목'), (2, 2, '증빙 건수'), (3, 0, '총지출'), (3, 3, '학생회'), (4, 0, '금액 불일치 건수'), (4, 2, '승인일'), (5, 0, '3월 결산'), (7, 0, '날 짜'), (7, 1, '내용'), (7, 2, '수입'), (7, 3, '지출'), (7, 4, '잔액'), (20, 0, '3월 정산'), (30, 0, '4월결산'), (60, 0, '4월 정산')) as r(row_idx, col_idx, value) on 1 = 1
         where settlement_id % 3 <> 0 or r.row_idx <> 7""",
     "templates": """
         select c_custkey as template_id, cast(c_nationkey as bigint) as org_id, cast(date '2023-01-01' + cast((c_custkey * 17) % 300 as int) as timestamp) as created_at from {customer}""",

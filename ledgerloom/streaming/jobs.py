@@ -152,8 +152,12 @@ def lifecycle_stream(actions: DataFrame) -> DataFrame:
 # Invitations
 
 
+#: What ends an invitation but time.
+DECIDED = ("accepted", "revoked", "declined")
+
+
 class Expiry(StatefulProcessor):
-    """An invitation waits until it is accepted or cancelled, or its time is up; a timer tells the last."""
+    """An invitation waits until it is decided, or its time is up; a timer tells the last."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -168,7 +172,7 @@ class Expiry(StatefulProcessor):
                 if due is not None:
                     self.handle.registerTimer(due)
                 yield Row(invitation_id=key[0], status="pending", at=x.ts)
-            elif x.event in ("accepted", "cancelled") and self.waiting.exists():
+            elif x.event in DECIDED and self.waiting.exists():
                 (due,) = self.waiting.get()
                 if due is not None and at >= due:
                     continue  # too late: the timer is about to end it
@@ -191,8 +195,8 @@ class Expiry(StatefulProcessor):
 def invitation_stream(events: DataFrame) -> DataFrame:
     """(invitation_id, status, at): what becomes of each invitation, as events (invitation_id, event, expires_at, ts) come.
 
-    Events are created, accepted and cancelled; any other (a clock's tick) only moves the time on. An invitation that is
-    neither accepted nor cancelled expires when the watermark, the latest ts, passes expires_at; its state goes then.
+    Events are created and those DECIDED; any other (a clock's tick) only moves the time on. An invitation that
+    isn't decided expires when the watermark, the latest ts, passes expires_at; its state goes then.
     ``events`` is a stream of a ``stateful_session``."""
     timed = events.withWatermark("ts", "0 seconds")
     return timed.groupBy("invitation_id").transformWithState(Expiry(), "invitation_id long, status string, at timestamp", "append", "eventTime")

@@ -61,3 +61,55 @@ def test_ledger_block(spark):
     assert [int(r.balance) for r in lines] == [-820000, -1220000, -1230000]
     totals = {(r.level, r.group_name): int(r.expense) for r in ledger.ledger_totals(e).collect()}
     assert totals == {(0, "간식행사"): 1220000, (0, "미분류"): 10000, (1, None): 1230000}
+
+
+def test_what_students_read(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.functions.scalars import period_label, status_label
+
+    rows = [(None, None, "미제출"), ("draft", None, "작성 중"), ("ready_for_review", None, "검토 준비"), ("submitted", None, "감사 중"), ("resubmitted", None, "감사 중"), ("under_audit", None, "under_audit"), ("rejected", AT, "반려"), ("approved", None, "승인 완료"), ("approved", AT, "공개 완료")]
+    got = spark.createDataFrame(rows, "status string, published_at timestamp, want string").select("want", status_label(F.col("status"), F.col("published_at")).alias("label")).collect()
+    assert [r.label for r in got] == [r.want for r in got]
+    terms = spark.createDataFrame([("1",), ("summer",), ("winter",)], "s string").select(period_label(F.lit(2026), F.col("s")).alias("short"), period_label(F.lit(2026), F.col("s"), long=True).alias("long")).collect()
+    assert [tuple(r) for r in terms] == [("2026-1학기", "2026학년도 1학기"), ("2026-여름학기", "2026학년도 여름학기"), ("2026-겨울학기", "2026학년도 겨울학기")]
+
+
+def test_steps_of_a_settlement(spark):
+    from ledgerloom.operators.lifecycle import progress_steps
+
+    rows = [(1, "draft", None, None), (2, "submitted", AT, None), (3, "rejected", AT, AT), (4, "resubmitted", AT, None), (5, "approved", AT, AT)]
+    got = progress_steps(spark.createDataFrame(rows, "settlement_id long, status string, submitted_at timestamp, audited_at timestamp")).orderBy("settlement_id", "step").collect()
+    states = {k: [(r.state, r.completed_at is not None) for r in got if r.settlement_id == k] for k in range(1, 6)}
+    done, waits, now = ("completed", True), ("pending", False), ("in_progress", False)
+    assert states == {1: [waits, waits, waits], 2: [done, now, waits], 3: [done, done, waits], 4: [done, now, waits], 5: [done, done, done]}
+
+
+def test_progress_has_two_decimals(spark):
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame([(1, 3), (2, 3), (0, 0), (5, 5)], "m long, n long").select(reconcile.progress(F.col("m"), F.col("n")).alias("p")).collect()
+    assert [r.p for r in got] == [33.33, 66.67, 0.0, 100.0]
+
+
+def test_who_hears_of_a_publication_and_who_may_be_invited(spark):
+    from ledgerloom.operators import scope
+
+    roles = ["student", "treasurer", "auditor", "president"]
+    members = spark.createDataFrame([(1, u, r) for u, r in enumerate(roles)], "org_id long, user_id long, role string")
+    actions = spark.createDataFrame([(1, 10, "publish", 3), (2, 10, "approve", None), (3, 10, "submit", 0)], "event_id long, settlement_id long, action string, actor_user_id long")
+    heard = scope.notification_fanout(actions, spark.createDataFrame([(10, 1)], "settlement_id long, org_id long"), members).collect()
+    assert sorted((r.event_id, r.user_id) for r in heard) == [(1, 0), (1, 1), (1, 2), (2, 1), (2, 3), (3, 2)]
+    asked = [(1, "treasurer_invite", "treasurer"), (2, "treasurer_invite", "auditor"), (3, "auditor_invite", "auditor"), (4, "auditor_invite", "student"), (5, "role_transfer", "president"), (6, "role_transfer", "student")]
+    wrong = scope.invitation_rule_check(spark.createDataFrame(asked, "invitation_id long, invitation_type string, role string")).collect()
+    assert sorted(r.invitation_id for r in wrong) == [2, 4, 6]
+
+
+def test_days_of_review_are_from_submission_to_decision(spark):
+    m = spark.createDataFrame([(1, 7, 70, "auditor", AT), (2, 7, 71, "auditor", AT)], "membership_id long, org_id long, user_id long, role string, created_at timestamp")
+    at = lambda d: datetime(2026, 4, d)
+    s = spark.createDataFrame([(10, 7, "approved", at(1), at(3)), (11, 7, "rejected", at(1), at(6)), (12, 7, "under_audit", at(1), None), (13, 7, "draft", None, None), (14, 8, "approved", at(1), at(9))], "settlement_id long, org_id long, status string, submitted_at timestamp, audited_at timestamp")
+    c = spark.createDataFrame([(1, k, at(k)) for k in (10, 11, 12, 13, 14)] + [(1, 10, at(9))], "author_membership_id long, settlement_id long, created_at timestamp")
+    got = {r.membership_id: r for r in rollup.auditor_activity(m, c, s).collect()}
+    assert (got[1].reviewed, got[1].completed, got[1].pending, got[1].avg_review_days, got[1].last_activity_at) == (3, 2, 1, 3.5, at(13))
+    assert (got[2].reviewed, got[2].avg_review_days, got[2].last_activity_at) == (0, None, AT)
