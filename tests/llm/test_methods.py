@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import zlib
@@ -20,7 +21,7 @@ from ledgerloom.llm.anchors import blocks
 from ledgerloom.llm.common import Scratch
 from ledgerloom.llm.decontamination import leaks
 from ledgerloom.llm.quality_rules import quality_rules
-from ledgerloom.llm.queries import op8_quality_classifier, op9_decontamination, op10_url_filters, tokenizer_path
+from ledgerloom.llm.queries import op3_bpe, op8_quality_classifier, op9_decontamination, op10_url_filters, tokenizer_path
 from ledgerloom.llm.suffix_groups import suffix_order
 
 
@@ -545,3 +546,28 @@ def test_fences_follow_the_stratum(spark):
     kept = {r.doc_id: r.kept for r in judged}
     assert [kept[i] for i in range(1000, 1006)] == [False, True, False, True, True, True]
     assert all(kept[i] for i in range(900))
+
+
+def test_recall_of_items_with_every_name_and_number_changed(spark):
+    rng = random.Random(8)
+    names = "Tom Ann Bob Sue Maria Peter Olga Ivan Lena Karl Nina Paul".split()
+    places = ["from the market near the old bridge", "at the corner shop behind the school", "on the way to the river", "with the help of a neighbour", "before the rain starts in the evening", "while the others wait outside the gate"]
+    frames = ["{N} {v} {x} {t} {e}.", "In the morning {N} {v} {x} {t} {e}.", "Then {N} walks {x} {u} {e}.", "Each of the {t} costs {x} dollars {e}, says {N}.", "How many {t} does {N} have after {x} {u} {e}?"]
+    pick = lambda words: rng.choice(words.split())
+    items = [[{"frame": rng.choice(frames), "v": pick("buys finds sells counts packs"), "t": pick("apples pears stamps coins books"), "e": rng.choice(places), "u": pick("km kg hours days liters")} for _ in range(k)] for k in (1, 2, 3, 5) for _ in range(25)]
+    told = lambda item: " ".join(s["frame"].format(N=rng.choice(names), x=rng.randrange(2, 900), **{k: s[k] for k in "vteu"}) for s in item)
+    bench = spark.createDataFrame([(i, told(x)) for i, x in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"It is told here. {told(x)} That is all.") for i, x in enumerate(items)], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in leaks(docs, bench).collect()}
+    assert sum((i, i) in found for i in range(len(items))) >= 0.95 * len(items)
+
+
+def test_token_query_against_the_library(spark, sf_dir):
+    library = Tokenizer.from_file(tokenizer_path())
+    library.no_truncation()
+    library.no_padding()
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in op3_bpe(spark, sf_dir).collect():
+        ids = library.encode(text[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
