@@ -101,15 +101,15 @@ def test_streams(spark, tmp_path):
     at = datetime(2026, 1, 1)
     actions = spark.createDataFrame([(1, 10, 5, "submit", at), (2, 10, 5, "publish", at), (3, 10, 6, "approve", at)], "event_id long, settlement_id long, actor_user_id long, action string, ts timestamp")
     actions.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = jobs.events_stream(spark, str(tmp_path / "in"), actions.schema)
-    q = jobs.lifecycle_stream(stream).writeStream.format("memory").queryName("replayed").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    stream, own = jobs.events_stream(spark, str(tmp_path / "in"), actions.schema), jobs.stateful_session(spark)
+    q = jobs.lifecycle_stream(jobs.events_stream(own, str(tmp_path / "in"), actions.schema)).writeStream.format("memory").queryName("replayed").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert {(r.event_id, r.accepted, r.status) for r in spark.table("replayed").collect()} == {(1, True, "submitted"), (2, False, "submitted"), (3, True, "approved")}
+    assert {(r.event_id, r.accepted, r.after) for r in own.table("replayed").collect()} == {(1, True, "submitted"), (2, False, "submitted"), (3, True, "approved")}
     settlements = spark.createDataFrame([(10, 1)], "settlement_id long, org_id long")
     members = spark.createDataFrame([(1, "auditor", 5), (1, "auditor", 7), (1, "treasurer", 8)], "org_id long, role string, user_id long")
     f = jobs.fanout_stream(stream, settlements, members, str(tmp_path / "out"), str(tmp_path / "c2"))
     f.awaitTermination(120)
-    assert {(r.event_id, r.user_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, 7), (3, 8)}
+    assert {(r.event_id, r.user_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(1, 7), (2, 7), (2, 8), (3, 8)}
 
 
 def parsed(spark, kind, *texts, boxes=None):
