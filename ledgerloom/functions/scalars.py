@@ -60,6 +60,8 @@ def stable_class() -> str:
 
 
 _UNSTABLE = f"[^{stable_class()}]"
+#: What most texts are made of, told at once.
+_USUAL = r"[^\x00-\x7f가-힣]"
 
 
 def _normalized(text: pa.Array) -> pa.Array:
@@ -72,7 +74,7 @@ _nfkc = arrow_udf(_normalized, T.StringType()).asNondeterministic()
 
 def nfkc(text: Column) -> Column:
     """Unicode's compatibility form. Texts of code points that it leaves alone, as nearly all are, stay in the JVM; only others meet Python."""
-    return F.coalesce(_nfkc(F.when(text.rlike(_UNSTABLE), text)), text)
+    return F.coalesce(_nfkc(F.when(text.rlike(_USUAL) & text.rlike(_UNSTABLE), text)), text)
 
 
 #: Ends of lines, and white space, as Unicode has them.

@@ -426,7 +426,8 @@ def extract_merchant(t: Tables) -> DataFrame:
 select z.receipt_id, z.d as evidence_date, merchant_name, amount, payment_method, round(0.25 + case when merchant_name is null then 0 else 0.3 end + case when amount is null then 0 else 0.3 end + case when payment_method is null then 0 else 0.15 end, 4)::double as confidence
 from amounts_ z left join amount_of on amount_of.receipt_id = z.receipt_id left join mm on mm.receipt_id = z.receipt_id left join merchant_of on merchant_of.receipt_id = z.receipt_id""")
 def parse_receipt(t: Tables) -> DataFrame:
-    return Y.parse_receipt(Y.page_lines(t.receipt_lines), receipt_types(t), 2000)
+    # The derived lines come from one small file; dealt by receipt, as the parser's groups are, they are read by all tasks.
+    return Y.parse_receipt(Y.page_lines(t.receipt_lines.repartition("receipt_id")), receipt_types(t), 2000)
 
 
 @query("line_merge", "select receipt_id, (row_number() over (partition by receipt_id order by pos) - 1)::int as row, concat(trim(text), ' |') as text from receipt_lines where trim(text) <> ''")
