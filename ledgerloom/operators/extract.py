@@ -120,23 +120,24 @@ def context_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def line_merge(boxes: DataFrame) -> DataFrame:
+def line_merge(boxes: DataFrame, all_receipts: bool = False) -> DataFrame:
     """(receipt_id, row, text, left, top, right, bottom) from boxes (receipt_id, top, left, height, text, and right and
-    bottom if they are known): boxes whose centre lies near the mean centre of the row so far join it.
+    bottom if they are known): boxes whose centre lies near the mean centre of the row so far join it. With ``all_receipts``
+    boxes of null text are in no row, and a receipt of no others has one line of nulls.
 
-    The state is the row's running mean, so each receipt's boxes fold in one array."""
+    The state is the row's running mean, so each receipt's boxes fold in one array, in one aggregate."""
     if "bottom" not in boxes.columns:
         boxes = boxes.withColumn("bottom", F.col("top") + F.col("height")).withColumn("right", F.col("left"))
-    w = Window.partitionBy("receipt_id")
-    sized = boxes.withColumn("c", F.col("top") + F.col("height") / 2).withColumn("reach", F.greatest(F.lit(12.0), 0.7 * F.median("height").over(w)))
     kind = "struct<top:double,left:double,c:double,text:string,right:double,bottom:double>"
+    sized = boxes.withColumn("c", F.col("top") + F.col("height") / 2)
     box = F.struct(*(F.col(c).cast("string" if c == "text" else "double").alias(c) for c in ("top", "left", "c", "text", "right", "bottom")))
-    rows = sized.groupBy("receipt_id").agg(F.sort_array(F.collect_list(box)).alias("b"), F.first("reach").alias("reach"))
+    here = F.col("text").isNotNull() if all_receipts else F.lit(True)
+    rows = sized.groupBy("receipt_id").agg(F.sort_array(F.collect_list(F.when(here, box))).alias("b"), F.greatest(F.lit(12.0), 0.7 * F.median(F.when(here, F.col("height")))).alias("reach"))
     fold = F.expr(f"""aggregate(b, cast(array() as array<struct<n:int,sum:double,boxes:array<{kind}>>>),
         (rows, x) -> if(size(rows) > 0 and abs(x.c - element_at(rows, -1).sum / element_at(rows, -1).n) <= reach,
             concat(slice(rows, 1, size(rows) - 1), array(named_struct('n', element_at(rows, -1).n + 1, 'sum', element_at(rows, -1).sum + x.c, 'boxes', concat(element_at(rows, -1).boxes, array(x))))),
             concat(rows, array(named_struct('n', 1, 'sum', x.c, 'boxes', array(x))))))""")
-    row = rows.select("receipt_id", F.posexplode(fold).alias("row", "r")).select("receipt_id", "row", F.col("r.boxes").alias("b"))
+    row = rows.select("receipt_id", (F.posexplode_outer if all_receipts else F.posexplode)(fold).alias("row", "r")).select("receipt_id", "row", F.col("r.boxes").alias("b"))
     words = F.transform(F.array_sort("b", lambda x, y: F.when(x["left"] < y["left"], -1).when(x["left"] > y["left"], 1).otherwise(0)), lambda x: x["text"])
     ends = [(F.array_min if c in ("left", "top") else F.array_max)(F.col(f"b.{c}")).alias(c) for c in ("left", "top", "right", "bottom")]
     return row.select("receipt_id", "row", F.array_join(words, " ").alias("text"), *ends)

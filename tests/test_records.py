@@ -172,3 +172,13 @@ def test_addresses(spark):
     texts = ["서울 광진구 자양로", "자양로", "12-34", "카페"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(N.looks_like_address(F.col("t"))).collect()] == [True, False, True, False]
+
+
+def test_receipts_without_text_have_no_fields(spark):
+    """Not even the method that their type would give; blank boxes beside text change nothing."""
+    boxes = [(1, 0.0, "합계 5,000"), (1, 2.0, "  "), (2, 0.0, " "), (2, 20.0, ""), (3, 0.0, None), (4, 0.0, "현금 2024-03-05")]
+    found = spark.createDataFrame([(i, 0.0, top, 50.0, top + 12, t) for i, top, t in boxes], "receipt_id long, left double, top double, right double, bottom double, text string")
+    types = spark.createDataFrame([(1, "e_receipt"), (2, "e_receipt"), (3, "bank_transfer_statement")], "receipt_id long, evidence_type string")
+    got = {r.receipt_id: (r.amount, r.payment_method, r.evidence_date, r.confidence) for r in layout.parse_receipt(found, types, 2024).collect()}
+    assert got == {1: (5000, "online_payment", None, 0.45), 2: (None, None, None, 0.0), 3: (None, None, None, 0.0), 4: (2024, "cash", date(2024, 3, 5), 0.7)}
+    assert layout.parse_receipt(found.filter("receipt_id > 9"), types, 2024).count() == 0
