@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import cut
+
 #: The statuses, which of them an action may follow, the status after it, and why it is refused otherwise.
 STATUSES = ["draft", "ready_for_review", "submitted", "under_audit", "approved", "rejected", "resubmitted"]
 RULES = {"submit": (["draft"], "submitted"), "approve": (["submitted", "resubmitted"], "approved"), "reject": (["submitted", "resubmitted"], "rejected"), "resubmit": (["rejected"], "resubmitted"), "publish": (["approved"], "approved")}
@@ -67,7 +69,8 @@ def lifecycle_events(actions: DataFrame) -> DataFrame:
 
     event = F.struct("at", "event_id", "ts", "action", "code")
     blocks = placed.groupBy("settlement_id", F.shiftright("at", BITS).alias("block")).agg(F.array_sort(F.collect_list(event)).alias("events"))
-    blocks = blocks.withColumn("does", composed(F.transform("events", lambda e: F.get(table, e["code"]))))
+    # Written once: the bounds of ranges are sampled anew each time, so a block that is made twice needn't have the same events.
+    blocks = cut(blocks.withColumn("does", composed(F.transform("events", lambda e: F.get(table, e["code"])))))
     upper = blocks.groupBy("settlement_id", F.shiftright("block", BITS).alias("top")).agg(F.array_sort(F.collect_list(F.struct("block", "does"))).alias("blocks")).withColumn("does", composed(F.col("blocks.does")))
     whole = upper.groupBy("settlement_id").agg(F.array_sort(F.collect_list(F.struct("top", "does"))).alias("tops"))
 

@@ -40,6 +40,12 @@ def test_events_in_blocks(spark, monkeypatch, bits):
     assert got == plainly(rows)
 
 
+def test_blocks_are_made_once(spark):
+    """Bounds of ranges are sampled from rows in the order in which they come, so events numbered twice may be numbered differently."""
+    actions = spark.createDataFrame(history(400, 3), "settlement_id long, event_id long, ts timestamp, action string")
+    assert "monotonically_increasing_id" not in lifecycle.lifecycle_events(actions)._jdf.queryExecution().toString()
+
+
 def test_reasons(spark):
     names = ["submit", "submit", "publish", "approve", "publish", "publish", "resubmit", "reject", "vanish", None]
     rows = [(1, i, START + timedelta(days=i), a) for i, a in enumerate(names)]
