@@ -124,6 +124,25 @@ def test_a_large_organisation_is_shared_by_tasks(spark):
     assert buckets.agg(F.max("count")).first()[0] < 50
 
 
+def test_the_digest_of_notifications_is_that_of_the_fan_out(spark):
+    r = random.Random(9)
+    roles = ["student", "treasurer", "auditor", "president"]
+    members = [(r.randrange(3), r.choice([None, *range(12)]), r.choice(roles)) for _ in range(60)] + [(3, 5, "auditor"), (4, None, "auditor"), (4, 5, "auditor"), (5, None, "auditor")]
+    members = spark.createDataFrame(members, "org_id long, user_id long, role string")
+    settlements = spark.createDataFrame([(10 + i, i) for i in range(7)], "settlement_id long, org_id long")
+    acts = ["submit", "approve", "reject", "resubmit", "publish", "vanish"]
+    actions = spark.createDataFrame([(i, 10 + r.randrange(8), r.choice(acts), r.choice([None, *range(14)])) for i in range(800)], "event_id long, settlement_id long, action string, actor_user_id long")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    told = scope.notification_fanout(actions, settlements, members).groupBy("event_id", "action").agg(F.count("*").alias("n"), F.min("user_id").alias("first_user"), F.sum("user_id").alias("ids"))
+    assert rows(scope.notification_digest(actions, settlements, members)) == rows(told)
+
+
+def test_the_fan_out_queries_make_no_row_for_each_listener(spark, sf_dir):
+    from ledgerloom.plans import all_queries
+
+    assert "explode" not in all_queries()["notification_fanout"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_banded_pairs(spark):
     r = random.Random(6)
     amounts = [Decimal(x) for x in ("0", "0.01", "1", "1.99", "2", "99.99", "100", "1099.99", "1100", "12345.67", "9999999999.99")] + [Decimal(r.randrange(1, 10**7)) / 100 for _ in range(60)]
