@@ -78,3 +78,12 @@ def test_a_stream_of_workbooks_sets_bad_files_apart(spark, tmp_path):
     run()
     assert spark.read.parquet(f"{tmp_path}/out/cells").count() == 12
     assert [(r.path.rsplit("/", 1)[-1], r.error) for r in spark.read.parquet(f"{tmp_path}/out/unreadable").collect()] == [("b.xlsx", "BadZipFile")]
+
+
+def test_a_merchants_name_is_cleaned_once(spark):
+    from ledgerloom.operators import layout
+
+    texts = ["가맹점명: 가게7 본점", "상호 store - CU 구의", "  merchant|STORE: x  y ", "가게 사업자번호 1", "가게 123-45-67890 TEL 02-123-4567", "telescope", "합계 카페", "합계", "-", "", None]
+    named = spark.createDataFrame([(x,) for x in texts], "text string").select(layout.merchant_clean(F.col("text")).alias("name"))
+    assert [r.name for r in named.collect()] == ["가게7 본점", "CU 구의", "x y", "가게", "가게", "telescope", "합계 카페", None, None, None, None]
+    assert named._jdf.queryExecution().analyzed().toString().count("매장명") == 2  # the look whether it is needed, and the step
