@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import random
+import zipfile
 from collections import Counter
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
-from ledgerloom.operators import reconcile
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import reconcile, rollup
+from ledgerloom.plans import all_queries, views
+from ledgerloom.sources import files
 
 
 def test_candidates_are_counted_without_pairs(spark):
@@ -33,3 +39,29 @@ def test_candidates_are_counted_without_pairs(spark):
     got = {r.evidence_id: (r.exact, r.near, r.dated, int(r.tx_ids), r.gaps) for r in reconcile.candidate_digest(e, t).collect()}
     assert got == want
     assert sum(v[0] for v in want.values()) and sum(v[1] for v in want.values()) and sum(v[2] for v in want.values())
+
+
+def shape(df) -> str:
+    """The physical plan with all its expressions, before adaptive execution changes it."""
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        return df._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before)
+
+
+def plan(spark, sf_dir, name) -> str:
+    return shape(all_queries()[name](spark, sf_dir)).split("== Physical Plan ==")[1]
+
+
+def test_tasks_grow_with_the_orders(spark, sf_dir, monkeypatch):
+    few = views.Tables(spark, sf_dir)
+    assert few.tasks == 4
+    monkeypatch.setattr(views, "ORDERS", 100)
+    many = views.Tables(spark, sf_dir)
+    assert many.tasks == 15
+    for name in ("orders", "lineitem"):
+        assert many.base(name).rdd.getNumPartitions() == 15
+    assert many.receipt_lines.rdd.getNumPartitions() == 15
