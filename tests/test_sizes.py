@@ -65,3 +65,8 @@ def test_tasks_grow_with_the_orders(spark, sf_dir, monkeypatch):
     for name in ("orders", "lineitem"):
         assert many.base(name).rdd.getNumPartitions() == 15
     assert many.receipt_lines.rdd.getNumPartitions() == 15
+
+
+def test_a_merchant_needs_no_amounts_of_neighbours(spark, sf_dir):
+    assert r"(?:\.\d{1,2})?(?!\d)" not in plan(spark, sf_dir, "extract_merchant")
+    assert r"(?:\.\d{1,2})?(?!\d)" in plan(spark, sf_dir, "extract_amount")
