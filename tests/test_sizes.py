@@ -82,3 +82,21 @@ def test_receipts_are_dealt_as_orders_before_their_lines_are_made(spark, sf_dir)
 def test_ledgers_are_dealt_by_settlement(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(views, "ORDERS", 100)
     assert "hashpartitioning(settlement_id#" in (text := plan(spark, sf_dir, "ledger_lines")) and ", 15), REPARTITION_BY_NUM" in text
+
+
+def test_results_without_a_link_are_dealt_by_the_other(spark):
+    confs = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        results = spark.createDataFrame([(1, i if i % 2 else None, None if i % 2 else i, "x") for i in range(200)] + [(1, 500, 501, "y"), (1, None, None, "z")], "settlement_id long, evidence_id long, tx_id long, status string")
+        e = spark.createDataFrame([(i, f"m{i}") for i in range(0, 600)], "evidence_id long, merchant_name string")
+        t = spark.createDataFrame([(i, f"d{i}") for i in range(0, 600)], "tx_id long, description string")
+        rows = [(r.evidence_id, r.tx_id, r.merchant_name, r.description, r.p) for r in reconcile.with_labels(results, e, t).withColumn("p", F.spark_partition_id()).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 202
+    assert all(m == (None if i is None else f"m{i}") and d == (None if j is None else f"d{j}") for i, j, m, d, _ in rows)
+    assert len({p for i, j, _, _, p in rows if j is None and i is not None}) == 4
