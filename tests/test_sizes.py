@@ -100,3 +100,21 @@ def test_results_without_a_link_are_dealt_by_the_other(spark):
     assert len(rows) == 202
     assert all(m == (None if i is None else f"m{i}") and d == (None if j is None else f"d{j}") for i, j, m, d, _ in rows)
     assert len({p for i, j, _, _, p in rows if j is None and i is not None}) == 4
+
+
+def test_recent_settlements_meet_users_as_the_newest_of_each_organisation(spark):
+    rnd = random.Random(6)
+    at = lambda: rnd.choice([None, *(datetime(2024, 1, 1 + i) for i in range(4))])
+    settlements = [(i, rnd.randrange(3), "s", at(), at()) for i in range(60)]
+    members = [(u, o, rnd.choice(["treasurer", "president", "student"])) for u in range(8) for o in range(3)] * 2
+    s = spark.createDataFrame(settlements, "settlement_id long, org_id long, status string, submitted_at timestamp, created_at timestamp")
+    m = spark.createDataFrame(members, "user_id long, org_id long, role string")
+    out = rollup.recent_settlements(m, s)
+    late = lambda t: (t is None, 0 if t is None else -t.timestamp())
+    want = set()
+    for u in range(8):
+        orgs = {o for v, o, r in members if v == u and r != "student"}
+        mine = sorted((x for x in settlements if x[1] in orgs), key=lambda x: (late(x[3]), late(x[4]), x[0]))
+        want |= {(u, x[0], "s", k + 1) for k, x in enumerate(mine[:10])}
+    assert {tuple(r) for r in out.collect()} == want
+    assert not [x for x in shape(out).split("== Physical Plan ==")[1].splitlines() if "Window" in x and "user_id" in x]
