@@ -118,3 +118,24 @@ def test_recent_settlements_meet_users_as_the_newest_of_each_organisation(spark)
         want |= {(u, x[0], "s", k + 1) for k, x in enumerate(mine[:10])}
     assert {tuple(r) for r in out.collect()} == want
     assert not [x for x in shape(out).split("== Physical Plan ==")[1].splitlines() if "Window" in x and "user_id" in x]
+
+
+def test_a_sheet_is_read_by_tags_without_a_tree():
+    xml = '<x:worksheet xmlns:x="urn:x"><x:sheetData><x:row r="3"><x:c r="B3" t="s"><x:v>1</x:v></x:c><x:c t="inlineStr"><x:is><x:r><x:t>a&amp;</x:t></x:r><x:r><x:t>b</x:t></x:r></x:is></x:c><x:c><x:f>1+1</x:f><x:v>2</x:v></x:c><x:c r="AA3"><x:v/></x:c></x:row><x:row><x:c><x:v>9</x:v></x:c></x:row></x:sheetData></x:worksheet>'
+    book = lambda sheet: made({"xl/sharedStrings.xml": "<sst><si><t>no</t></si><si><r><t>y</t></r><r><t>es</t></r></si></sst>", "xl/worksheets/sheet1.xml": sheet})
+
+    def made(files_: dict) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for k, v in files_.items():
+                z.writestr(k, v)
+        return out.getvalue()
+
+    assert list(files.sheet_cells(book(xml))) == [(2, 1, "yes"), (2, 2, "a&b"), (2, 3, "2"), (3, 0, "9")]
+    for bad in (xml[:-60], xml.replace("&amp;", "&nothing;"), xml.replace("x:v>1<", "x:v>7<")):
+        try:
+            list(files.sheet_cells(book(bad)))
+        except files._BAD_FILE:
+            continue
+        raise AssertionError(bad)
+    assert [r for r, _ in files._sheet_rows(io.BytesIO(xml.encode()))] == ["3", None]
