@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +43,8 @@ def keyword_flags(lines: DataFrame) -> DataFrame:
 
 
 def amounts_of(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(f"({GROUPED_AMOUNT})"), F.lit(1)), lambda x: F.regexp_replace(x, ",", "").cast("bigint"))
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"({GROUPED_AMOUNT})"), F.lit(1)), lambda x: F.translate(x, ",", "").cast("bigint"))
+    return F.when(F.contains(text, F.lit(",")), found).otherwise(F.array().cast("array<bigint>"))
 
 
 def amount_tokens(lines: DataFrame) -> DataFrame:
@@ -55,51 +58,88 @@ def amount_values(lines: DataFrame) -> DataFrame:
     return lines.select("receipt_id", "pos", F.posexplode(values).alias("i", "value"))
 
 
+#: Lines after a label within which its amounts may stand.
+WITHIN = 3
+
+
+def _holds(text: Column, words: list[str]) -> Column:
+    """Whether a text has one of the words; those that hold another of them tell nothing more."""
+    least = [w for w in dict.fromkeys(words) if not any(x in w for x in words if x != w)]
+    return reduce(lambda c, w: c | F.contains(text, F.lit(w)), least[1:], F.contains(text, F.lit(least[0])))
+
+
+def _judged(lines: DataFrame) -> DataFrame:
+    """Lines as ``classified`` has them with ``tokens``, a line's own amounts; blank lines too, which are no part of it.
+
+    A label looks three lines ahead and an amount three lines back, so one pass over a receipt's lines in order tells all."""
+    text = F.trim("text")
+    base = lines.select("receipt_id", "pos", "text", F.coalesce(text == "", F.lit(True)).alias("blank"), amounts_of(text).alias("tokens"), F.replace(text, F.lit(" "), F.lit("")).alias("flat"))
+    flat, some = F.col("flat"), F.size("tokens") > 0
+    label = F.when(_holds(flat, META), "meta").when(_holds(flat, SUBTOTAL), "subtotal").when(_holds(flat, PAYMENT), "payment").when(_holds(flat, TOTAL), "total").when(some, "item").otherwise("meta")
+    named = base.select("receipt_id", "pos", "text", "blank", "tokens", label.alias("own"))
+    # What a line is to its neighbours: an item with amounts to give, a label that lacks amounts, or one that has them.
+    part = F.when(F.col("own") == "item", "item").when(F.col("own") != "meta", F.when(some, "label").otherwise("gets"))
+    w = Window.partitionBy("receipt_id", "blank").orderBy("pos")
+    near = [k for k in range(-WITHIN, WITHIN + 1) if k]
+    row = named.withColumn("part", part).withColumns({"n": F.row_number().over(w), **{f"part{k}": F.lead("part", k).over(w) for k in near}, **{f"tokens{k}": F.lead("tokens", k).over(w) for k in near if k > 0}})
+    # The first neighbour that is no meta line decides.
+    after = F.coalesce(*(F.when(F.col(f"part{k}").isNotNull(), F.struct(F.col(f"part{k}").alias("part"), F.col(f"tokens{k}").alias("tokens"))) for k in near if k > 0))
+    gets = F.col("part") == "gets"
+    given = F.when(gets & (after["part"] == "item"), after["tokens"])
+    gives = (F.col("part") == "item") & (F.coalesce(*(F.col(f"part{-k}") for k in range(1, WITHIN + 1))) == "gets")
+    no = F.array().cast("array<bigint>")
+    found = row.withColumns({"given": given, "gives": F.coalesce(gives, F.lit(False)), "gets": F.coalesce(gets, F.lit(False))})
+    return found.select(
+        "receipt_id", "pos", "n", "text", "blank", "tokens",
+        F.when((F.col("gets") & F.col("given").isNull()) | F.col("gives"), "meta").otherwise(F.col("own")).alias("label"),
+        F.when(F.col("gets"), F.coalesce("given", no)).when(F.col("gives"), no).otherwise(F.col("tokens")).alias("amounts"),
+    )
+
+
 def classified(lines: DataFrame) -> DataFrame:
     """Non-empty lines, numbered, with a label and amounts; a label's line without amounts has the first amounts that
     follow within three lines and before the next label; one that finds none is no label."""
-    text = F.trim("text")
-    flat = F.regexp_replace(text, " ", "")
-    has = lambda words: F.greatest(*(F.instr(flat, w) for w in words)) > 0
-    base = lines.filter(text != "").withColumn("amounts", amounts_of(text))
-    label = F.when(has(META), "meta").when(has(SUBTOTAL), "subtotal").when(has(PAYMENT), "payment").when(has(TOTAL), "total").when(F.size("amounts") > 0, "item").otherwise("meta")
-    w = Window.partitionBy("receipt_id").orderBy("pos")
-    marked = base.withColumn("label", label).withColumn("n", F.row_number().over(w)).withColumn("is_label", F.col("label").isin("payment", "total", "subtotal"))
-    seg = F.last(F.when(F.col("is_label"), F.col("n")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    parts = marked.withColumn("seg", seg)
-    in_seg = Window.partitionBy("receipt_id", "seg")
-    wants = F.max(F.when(F.col("is_label") & (F.size("amounts") == 0), F.col("n"))).over(in_seg)
-    first = F.min(F.when((F.col("label") == "item") & (F.col("n") <= F.col("seg") + 3), F.col("n"))).over(in_seg)
-    found = parts.withColumn("wants", wants).withColumn("first", F.when(wants.isNotNull(), first))
-    taken = F.max_by(F.when(F.col("n") == F.col("first"), F.col("amounts")), F.when(F.col("n") == F.col("first"), 1)).over(in_seg)
-    done = found.withColumn("given", taken)
-    gets = F.col("is_label") & (F.size("amounts") == 0)
-    return done.select(
-        "receipt_id", "pos", "n", "text",
-        F.when(gets & F.col("given").isNull(), "meta").when(F.col("n") == F.col("first"), "meta").otherwise(F.col("label")).alias("label"),
-        F.when(gets, F.coalesce("given", F.array().cast("array<bigint>"))).when(F.col("n") == F.col("first"), F.array().cast("array<bigint>")).otherwise(F.col("amounts")).alias("amounts"),
-    )
+    return _judged(lines).filter("not blank").select("receipt_id", "pos", "n", "text", "label", "amounts")
+
+
+def _chosen() -> tuple[Column, Column, Column]:
+    """Over a receipt's judged lines: the first payment, the largest total, the largest item."""
+    of = lambda label, value: F.when((F.col("label") == label) & ~F.col("blank") & (F.size("amounts") > 0), value)
+    return F.min_by(of("payment", F.get("amounts", F.lit(0))), of("payment", F.col("n"))), F.max(of("total", F.array_max("amounts"))), F.max(of("item", F.array_max("amounts")))
+
+
+def _decision() -> tuple[Column, Column]:
+    """(amount, selected_from) of ``p``, ``t`` and ``m``, the three that may be chosen."""
+    return F.coalesce("p", "t", "m"), F.when(F.col("p").isNotNull(), "payment").when(F.col("t").isNotNull(), "total").when(F.col("m").isNotNull(), "item")
 
 
 def payment_amount(lines: DataFrame) -> DataFrame:
     """(receipt_id, amount, selected_from): the first payment, else the largest total, else the largest item."""
-    a = classified(lines).select("receipt_id", "label", "n", F.posexplode("amounts").alias("i", "value"))
-    of = lambda label: F.when(F.col("label") == label, F.col("value"))
-    got = a.groupBy("receipt_id").agg(F.min_by(of("payment"), F.when(F.col("label") == "payment", F.struct("n", "i"))).alias("p"), F.max(of("total")).alias("t"), F.max(of("item")).alias("m"))
-    source = F.when(F.col("p").isNotNull(), "payment").when(F.col("t").isNotNull(), "total").when(F.col("m").isNotNull(), "item")
-    every = lines.select("receipt_id").distinct().join(got, "receipt_id", "left")
-    return every.select("receipt_id", F.coalesce("p", "t", "m").alias("amount"), source.alias("selected_from"))
+    got = _judged(lines).groupBy("receipt_id").agg(*(c.alias(name) for c, name in zip(_chosen(), "ptm", strict=True)))
+    amount, source = _decision()
+    return got.select("receipt_id", amount.alias("amount"), source.alias("selected_from"))
 
 
 def payment_trace(lines: DataFrame) -> DataFrame:
-    """The stages in one table: (receipt_id, stage, pos, i, value, label). 1 tokens, 2 lines, 3 candidates, 4 decision."""
-    none, no = F.lit(None).cast("string"), F.lit(None).cast("bigint")
-    tokens = amount_tokens(lines.filter(F.trim("text") != "")).select("receipt_id", F.lit(1).alias("stage"), "pos", "i", "value", none.alias("label"))
-    c = classified(lines)
-    two = c.select("receipt_id", F.lit(2).alias("stage"), "pos", F.lit(None).cast("int").alias("i"), no.alias("value"), "label")
-    three = c.filter("label <> 'meta'").select("receipt_id", F.lit(3).alias("stage"), "pos", F.posexplode("amounts").alias("i", "value"), "label")
-    four = payment_amount(lines).select("receipt_id", F.lit(4).alias("stage"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("i"), F.col("amount").alias("value"), F.col("selected_from").alias("label"))
-    return tokens.unionByName(two).unionByName(three.select("receipt_id", "stage", "pos", "i", "value", "label")).unionByName(four)
+    """The stages in one table: (receipt_id, stage, pos, i, value, label). 1 tokens, 2 lines, 3 candidates, 4 decision.
+
+    Lines are judged once: each gives its rows of the first three stages, and a receipt's first line the decision too."""
+    whole = Window.partitionBy("receipt_id")
+    order = whole.orderBy("blank", "pos")
+    rows = _judged(lines).withColumns({"first": F.row_number().over(order) == 1, **{name: c.over(whole) for c, name in zip(_chosen(), "ptm", strict=True)}})
+    null = lambda kind: F.lit(None).cast(kind)
+
+    def row(stage: int, i: Column, value: Column, label: Column, pos: Column) -> Column:
+        return F.struct(F.lit(stage).alias("stage"), pos.alias("pos"), i.cast("int").alias("i"), value.cast("bigint").alias("value"), label.cast("string").alias("label"))
+
+    pos, kept = F.col("pos"), ~F.col("blank")
+    amount, source = _decision()
+    none = F.array().cast(f"array<struct<stage:int,pos:{rows.schema['pos'].dataType.simpleString()},i:int,value:bigint,label:string>>")
+    tokens = F.transform("tokens", lambda v, i: row(1, i, v, null("string"), pos))
+    taken = F.when(F.col("label") != "meta", F.transform("amounts", lambda v, i: row(3, i, v, F.col("label"), pos))).otherwise(none)
+    of_line = F.when(kept, F.concat(tokens, F.array(row(2, null("int"), null("bigint"), F.col("label"), pos)), taken)).otherwise(none)
+    decided = F.when(F.col("first"), F.array(row(4, null("int"), amount, source, null(rows.schema["pos"].dataType)))).otherwise(none)
+    return rows.select("receipt_id", F.inline(F.concat(of_line, decided)))
 
 
 def payment_method(lines: DataFrame, types: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import reconcile, rollup
+from ledgerloom.operators import extract, reconcile, rollup
 from ledgerloom.plans import all_queries, views
 from ledgerloom.sources import files
 
@@ -139,3 +139,38 @@ def test_a_sheet_is_read_by_tags_without_a_tree():
             continue
         raise AssertionError(bad)
     assert [r for r, _ in files._sheet_rows(io.BytesIO(xml.encode()))] == ["3", None]
+
+
+def test_receipts_are_judged_once(spark, sf_dir):
+    for name in ("payment_amount", "payment_trace"):
+        assert plan(spark, sf_dir, name).count("FileScan parquet") == 1, name
+
+
+def test_labels_and_amounts_find_each_other(spark):
+    rnd = random.Random(23)
+    kinds = {"합계": "total", "부가세 1,000": "subtotal", "카드결제": "payment", "승인금액 7,000": "payment", "빵 2,000 3,000": "item", "물 500,000": "item", "안녕": "meta", "전화 1,234": "meta", " ": None, None: None}
+    lines = [(r, p, rnd.choice(list(kinds))) for r in range(150) for p in range(rnd.randrange(1, 12))]
+    want, chosen = {}, {}
+    for r in range(150):
+        mine = [[p, kinds[t], [int(x.replace(",", "")) for x in t.split() if "," in x]] for q, p, t in lines if q == r and kinds[t]]
+        done = [x[:] for x in mine]
+        for k, (_, kind, amounts) in enumerate(mine):
+            if kind in ("meta", "item") or amounts:
+                continue
+            done[k][1] = "meta"
+            for j in range(k + 1, min(k + 4, len(mine))):
+                if mine[j][1] == "item":
+                    done[k][1:], done[j][1:] = [kind, mine[j][2]], ["meta", []]
+                if mine[j][1] != "meta":
+                    break
+        want |= {(r, p): (n + 1, kind, amounts) for n, (p, kind, amounts) in enumerate(done)}
+        of = lambda name: [v for _, kind, a in done if kind == name for v in a]  # noqa: B023, E731
+        chosen[r] = next(((f(v), name) for name, f in (("payment", lambda v: v[0]), ("total", max), ("item", max)) if (v := of(name))), (None, None))
+    df = spark.createDataFrame(lines, "receipt_id long, pos int, text string")
+    assert {(r.receipt_id, r.pos): (r.n, r.label, r.amounts) for r in extract.classified(df).collect()} == want
+    assert {r.receipt_id: (r.amount, r.selected_from) for r in extract.payment_amount(df).collect()} == chosen
+    trace = extract.payment_trace(df).collect()
+    assert {r.receipt_id: (r.value, r.label) for r in trace if r.stage == 4} == chosen and sum(r.stage == 4 for r in trace) == 150
+    assert Counter((r.receipt_id, r.pos, r.value, r.label) for r in trace if r.stage == 3) == Counter((*k, v, kind) for k, (_, kind, a) in want.items() if kind != "meta" for v in a)
+    assert {(r.receipt_id, r.pos, r.label) for r in trace if r.stage == 2} == {(*k, kind) for k, (_, kind, _) in want.items()}
+    assert sum(r.stage == 1 for r in trace) == sum(t.count(",") for _, _, t in lines if t)
