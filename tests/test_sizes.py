@@ -174,3 +174,35 @@ def test_labels_and_amounts_find_each_other(spark):
     assert Counter((r.receipt_id, r.pos, r.value, r.label) for r in trace if r.stage == 3) == Counter((*k, v, kind) for k, (_, kind, a) in want.items() if kind != "meta" for v in a)
     assert {(r.receipt_id, r.pos, r.label) for r in trace if r.stage == 2} == {(*k, kind) for k, (_, kind, _) in want.items()}
     assert sum(r.stage == 1 for r in trace) == sum(t.count(",") for _, _, t in lines if t)
+
+
+def test_a_greedy_match_is_that_of_all_pairs():
+    rnd = random.Random(12)
+    order = lambda day, a, i, d, b: (1, 0, i) if d == day and b == a else (2, 0, i) if d == day and a == 0 else (2, abs(b - a), i) if d == day and b != reconcile.NO_AMOUNT and abs(b - a) <= max(10 * a, 100_000) else (3, 0, i) if b == a else None
+    seen = Counter()
+    for _ in range(300):
+        some = lambda n: ([rnd.choice([reconcile.NO_DAY, 1, 2, 3]) for _ in range(n)], [rnd.choice([reconcile.NO_AMOUNT, 0, 100, 300, 500, 700, 90_000, 5_000_000]) for _ in range(n)])
+        (days, amounts), (tx_days, tx_amounts) = some(rnd.randrange(30)), some(rnd.randrange(30))
+        picks, tiers, free = [], [], set(range(len(tx_days)))
+        for day, a in zip(days, amounts, strict=True):
+            best = min((k for i in free if (k := order(day, a, i, tx_days[i], tx_amounts[i]))), default=None) if day != reconcile.NO_DAY and a != reconcile.NO_AMOUNT else None
+            picks.append(best and best[2])
+            tiers.append(best and best[0])
+            free -= {best[2]} if best else set()
+        assert reconcile.match(days, amounts, tx_days, tx_amounts) == (picks, tiers)
+        seen.update(tiers)
+    assert min(seen[k] for k in (1, 2, 3, None)) > 20
+
+
+def test_a_settlement_of_one_part_is_not_dealt_by_parts(spark):
+    """Its rows are looked at by kinds only; a settlement of several parts is dealt in as many groups as its size asks for."""
+    day = date(2024, 1, 1)
+    one = [(1, i, "confirmed", day, Decimal(5), datetime(2024, 1, 2)) for i in range(40)]
+    many = [(2, 100 + i, "confirmed", day + timedelta(i), Decimal(1000 * i), datetime(2024, 1, 2)) for i in range(40)]
+    e = spark.createDataFrame(one + many, "settlement_id long, evidence_id long, status string, evidence_date date, amount decimal(12,2), created_at timestamp")
+    t = e.select("settlement_id", (F.col("evidence_id") + 1000).alias("tx_id"), F.col("evidence_date").alias("transaction_date"), "amount", "created_at")
+    cut, out = reconcile.reconcile(e, t, split_over=10), reconcile.reconcile(e, t)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, out.collect()))
+    parts = {s: cut.filter(F.col("settlement_id") == s).select(F.spark_partition_id()).distinct().count() for s in (1, 2)}
+    assert parts[1] == 1 and parts[2] > 1
+    assert "FlatMapGroupsInArrow" in shape(cut) and "CoGroups" not in shape(cut)
