@@ -10,12 +10,14 @@ from collections import Counter
 from datetime import date, datetime, timedelta
 from decimal import Decimal
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars
 from ledgerloom.operators import extract, reconcile, rollup
 from ledgerloom.plans import all_queries, views
 from ledgerloom.sources import files
+from ledgerloom.streaming import jobs
 
 
 def test_candidates_are_counted_without_pairs(spark):
@@ -233,3 +235,51 @@ def test_a_file_may_have_a_document_a_line(spark, sf_dir, tmp_path):
     (tmp_path / "j" / "a.json").write_text('{"lines": [{"text": "x", "confidence": 0.5}, {"text": "y", "confidence": 1}]}\n[{"text": "z", "confidence": 0.1}]\n')
     got = files.ocr_lines_json(spark, str(tmp_path / "j"), by_line=True)
     assert sorted((r.pos, r.text, r.confidence) for r in got.collect()) == [(0, "x", 0.5), (0, "z", 0.1), (1, "y", 1.0)]
+
+
+def test_periods_are_made_once(spark, sf_dir):
+    """Of the lines only evidences and transactions are made again, and a settlement's filter isn't tried on lines."""
+    assert plan(spark, sf_dir, "public_settlements").count("FileScan parquet [l_") == 1
+    for name in ("auditor_worklist", "settlement_rollup"):
+        assert plan(spark, sf_dir, name).count("FileScan parquet [l_") == 4, name  # evidences and transactions, and both for their links
+    assert "make_date" not in plan(spark, sf_dir, "public_periods")
+
+
+def test_an_invitation_decided_at_once_costs_one_look_at_its_state():
+    calls, timers, state = [], set(), {}
+
+    class Handle:
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return state.get("due")
+
+        def update(self, v):
+            calls.append("update")
+            state["due"] = v
+
+        def clear(self):
+            calls.append("clear")
+            state.pop("due")
+
+        def registerTimer(self, at):
+            calls.append("register")
+            timers.add(at)
+
+        def deleteTimer(self, at):
+            calls.append("delete")
+            timers.remove(at)
+
+    x = jobs.Expiry()
+    x.init(Handle())
+    at = lambda d: datetime(2024, 1, d)
+    ms = lambda d: int(at(d).timestamp() * 1000) + 1
+    row = lambda event, day, due=None: Row(event=event, ts=at(day), expires_at=due and at(due))
+    told = lambda *rows: [r.status for r in x.handleInputRows((1,), iter(rows), None)]
+    assert told(row("accepted", 2), row("created", 1, 9)) == ["pending", "accepted"] and calls == ["get"] and not timers
+    assert told(row("created", 1, 9)) == ["pending"] and timers == {ms(9)} and state == {"due": (ms(9),)}
+    assert told(row("created", 2, 12)) == ["pending"] and timers == {ms(12)}
+    assert told(row("tick", 3), row("accepted", 20)) == [] and timers == {ms(12)}
+    assert told(row("declined", 3)) == ["declined"] and not timers and not state
