@@ -283,3 +283,22 @@ def test_an_invitation_decided_at_once_costs_one_look_at_its_state():
     assert told(row("created", 2, 12)) == ["pending"] and timers == {ms(12)}
     assert told(row("tick", 3), row("accepted", 20)) == [] and timers == {ms(12)}
     assert told(row("declined", 3)) == ["declined"] and not timers and not state
+
+
+def test_candidates_are_pairs(spark, sf_dir):
+    """Every pair is a row, and the digest's counts and sums are those of the pairs."""
+    pairs, digest = (all_queries()[name](spark, sf_dir) for name in ("recon_candidates", "recon_candidate_digest"))
+    assert pairs.columns == ["settlement_id", "evidence_id", "tx_id", "tier", "gap"]
+    told = digest.agg(F.sum("exact"), F.sum("near"), F.sum("dated"), F.sum("tx_ids"), F.sum("gaps")).first()
+    of = lambda k: F.count_if(F.col("tier") == k)
+    assert pairs.agg(of(1), of(2), of(3), F.sum("tx_id").cast("decimal(38,0)"), F.sum("gap").cast("decimal(38,2)")).first() == told and min(told) > 0
+
+
+def test_an_evidence_looks_for_its_day_in_few_classes(spark):
+    e = spark.createDataFrame([(1, i, date(2024, 1, 1), Decimal(a)) for i, a in enumerate(("0", "5", "90", "50000", "9999999999.99"))], "settlement_id long, evidence_id long, evidence_date date, a decimal(12,2)")
+    t = spark.createDataFrame([(1, i, date(2024, 1, 1), Decimal(2) ** k) for i, k in enumerate(range(34))], "settlement_id long, tx_id long, transaction_date date, b decimal(12,2)")
+    met = reconcile.day_pairs(e, t, tasks=7)
+    plan = shape(met)
+    assert re.search(r"hashpartitioning\(settlement_id#\d+L?, evidence_date#\d+, class#\d+, 7\), REPARTITION_BY_NUM", plan) and "SortMergeJoin" in plan
+    most = {r.evidence_id: (r.classes, r.most) for r in met.groupBy("evidence_id").agg(F.count_distinct("class").alias("classes"), F.max("b").alias("most")).collect()}
+    assert {i: n for i, (n, _) in most.items()} == {0: 6, 1: 1, 2: 2, 3: 3, 4: 6} and most[3][1] < 32 * 550_000
