@@ -14,7 +14,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars
-from ledgerloom.operators import extract, reconcile, rollup
+from ledgerloom.operators import extract, layout, reconcile, rollup
 from ledgerloom.plans import all_queries, views
 from ledgerloom.sources import files
 from ledgerloom.streaming import jobs
@@ -302,3 +302,39 @@ def test_an_evidence_looks_for_its_day_in_few_classes(spark):
     assert re.search(r"hashpartitioning\(settlement_id#\d+L?, evidence_date#\d+, class#\d+, 7\), REPARTITION_BY_NUM", plan) and "SortMergeJoin" in plan
     most = {r.evidence_id: (r.classes, r.most) for r in met.groupBy("evidence_id").agg(F.count_distinct("class").alias("classes"), F.max("b").alias("most")).collect()}
     assert {i: n for i, (n, _) in most.items()} == {0: 6, 1: 1, 2: 2, 3: 3, 4: 6} and most[3][1] < 32 * 550_000
+
+
+def test_dates_are_looked_for_where_they_can_be(spark):
+    """A receipt's date is that of a plain search in each line, alone and with the next; most lines have no text to search."""
+    rnd = random.Random(11)
+    parts = ["2024", "20240305", "24.3.5", "2024-13-01", "02-123-4567", "1999년", "3월", "31일", "2월 30일", "-", ".", "/", "5", "거래일시", "합계 9,000", "2024 . 2", "29", "가게"]
+    receipts = {i: [(j, rnd.choice(["", " ", "  "]).join(rnd.choices(parts, k=rnd.randint(1, 3))), 20.0 * j if i % 3 else 60.0 * j) for j in range(rnd.randint(1, 5))] for i in range(400)}
+    rows = [(i, j, text, 0.0, top, 100.0, top + 12) for i, lines in receipts.items() for j, text, top in lines]
+    lines = spark.createDataFrame(rows, "receipt_id long, pos int, text string, left double, top double, right double, bottom double")
+    types = spark.createDataFrame([(i, "e_receipt") for i in receipts], "receipt_id long, evidence_type string")
+
+    def best(lines):
+        found = []
+        for j, text, top in lines:
+            after = lines[j + 1] if j + 1 < len(lines) else None
+            joined = [f"{text} {after[1]}"] if after and max(after[2] - top - 12, 0) <= layout.NEAR else []
+            for ctx, t in enumerate([text, *joined]):
+                word = any(w in t.lower() for w in extract.DICTIONARIES["date"])
+                for way, pattern in enumerate(layout.DATES):
+                    for k, (y, m, d) in enumerate(re.findall(pattern, t, re.ASCII)):
+                        y = int(y) + 2000 if int(y) < 100 else int(y)
+                        try:
+                            day = date(y, int(m), int(d))
+                        except ValueError:
+                            continue
+                        score = 50 + 22 * word - 0.8 * j + 6 * (top / (lines[-1][2] + 12) <= 0.35) - abs(y - 2024) * 4 - 12 * (y > 2025 or y < 2020)
+                        found.append((round(score, 6), -j, -ctx, -way, -k, day))
+        return max(found)[-1] if found else None
+
+    want = {i: best(lines) for i, lines in receipts.items()}
+    got = {r.receipt_id: r.evidence_date for r in layout.fields(lines, types, 2024).collect()}
+    assert got == want and None in want.values() and len(set(want.values())) > 5
+    text = shape(layout.fields(lines, types, 2024)).split("== Physical Plan ==")[1]
+    assert text.count("regexp_extract_all") <= 5  # the amounts, and each pattern of a date once
+    looked = layout.page(lines, types).select("text", layout.date_texts().alias("t")).collect()
+    assert {len(r.t) if r.t else 0 for r in looked} == {0, 1, 2}
