@@ -338,3 +338,21 @@ def test_dates_are_looked_for_where_they_can_be(spark):
     assert text.count("regexp_extract_all") <= 5  # the amounts, and each pattern of a date once
     looked = layout.page(lines, types).select("text", layout.date_texts().alias("t")).collect()
     assert {len(r.t) if r.t else 0 for r in looked} == {0, 1, 2}
+
+
+def test_rows_are_written_as_parquet_and_shuffled_once(spark, monkeypatch):
+    rnd = random.Random(12)
+    day = lambda: rnd.choice([None, *(date(2024, 1, 1) + timedelta(i) for i in range(40))])
+    amount = lambda: rnd.choice([None, *(Decimal(1000 * i) for i in range(60))])
+    made = lambda: datetime(2024, 1, 1) + timedelta(rnd.randrange(50))
+    e = spark.createDataFrame([(i % 4, i, "confirmed", day(), amount(), made()) for i in range(160)], "settlement_id long, evidence_id long, status string, evidence_date date, amount decimal(12,2), created_at timestamp")
+    t = spark.createDataFrame([(i % 4 if i % 9 else 7, 1000 + i, day(), amount(), made()) for i in range(160)], "settlement_id long, tx_id long, transaction_date date, amount decimal(12,2), created_at timestamp")
+    rows = lambda d: sorted(map(str, d.collect()))
+    whole, cut = reconcile.reconcile(e, t), reconcile.reconcile(e, t, split_over=20)
+    for d in (whole, cut):
+        text = shape(d).split("== Physical Plan ==")[1]
+        assert text.count("Exchange hashpartitioning") == 1 and "FileScan parquet" in text and not re.search(r"Scan ExistingRDD\[[^]]*created_at", text)
+    monkeypatch.setattr(reconcile, "BROADCAST_IDS", 0)
+    shuffled = reconcile.reconcile(e, t, split_over=20)
+    assert shape(shuffled).split("== Physical Plan ==")[1].count("Exchange hashpartitioning") > 1
+    assert rows(whole) == rows(cut) == rows(shuffled) and len(rows(whole)) > 200
